@@ -125,49 +125,109 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, least), "a long, b long, similarity double")
 
 
+def _joined_blocks(size: int, least: float):
+    """Sorted rows of (band, p, q) blocks -> links that join components of one block, at most one less than it has texts."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def join(rep: list[int], component: list[int], texts: list[bytes]):
+        root = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        if len(root) < 2:
+            return
+        doc, shingle, count = counted(*shingles_of(*binary_column(pa.array(texts, pa.binary())), size))
+        total = np.bincount(doc, count, len(rep))
+        # a shingle counted c times is c items, so that the overlap of multisets is that of sets
+        doc, shingle = np.repeat(doc, count), np.repeat(shingle, count)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        _, item = np.unique(mix(shingle + nth.astype(U64) * step(1)), return_inverse=True)
+        shared = np.bincount(item) > 1
+        dense = np.cumsum(shared) - 1
+        doc, item = doc[shared[item]], dense[item[shared[item]]]
+        common = np.zeros((len(rep), len(rep)), np.float32)
+        order = np.argsort(item, kind="stable")
+        doc, item = doc[order], item[order]
+        for lo in range(0, int(item[-1]) + 1 if len(item) else 0, COLUMNS):
+            at = slice(*np.searchsorted(item, [lo, lo + COLUMNS]))
+            part = np.zeros((len(rep), COLUMNS), np.float32)
+            part[doc[at], item[at] - lo] = 1
+            common += part @ part.T
+        for i, j in zip(*np.nonzero(np.triu(common >= (least - 1e-12) * (total[:, None] + total[None, :] - common), 1))):
+            x, y = find(component[i]), find(component[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+    def run(batches):
+        def blocks():
+            key, rows = None, []
+            for batch in batches:
+                for *at, rep, component, text in zip(*(batch.column(c).to_pylist() for c in ("band", "p", "q", "rep", "component", "text"))):
+                    if at != key:
+                        if rows:
+                            yield zip(*rows)
+                        key, rows = at, []
+                    rows.append((rep, component, text.encode()))
+            if rows:
+                yield zip(*rows)
+
+        for rep, component, texts in blocks():
+            if links := list(join(list(rep), list(component), list(texts))):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=schema)
+
+    return run
+
+
+#: Items whose overlaps are counted at once in a block, and texts and words of half a block.
+COLUMNS, BLOCK_TEXTS, BLOCK_WORDS = 8192, 256, 2_000_000
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, bands: int = 36, rows: int = 7) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row per document: doc_id, class_id, n_links.
+    """docs(doc_id, text, ...) -> one row per document: doc_id, class_id.
 
     class_id is the least doc_id of the document's class: texts joined, directly or through others,
     by verified multiset Jaccard similarity of at least `similarity` over runs of `size` words.
-    n_links counts the different texts that the document's text was verified against with success.
     With 36 bands of 7 registers a pair at exactly 0.8 becomes a candidate with probability 0.9998.
 
     Equal texts collapse to one representative before banding, so copies never meet in pairs. In a
-    bucket every text is compared with the bucket's least; then texts of one bucket that still lie in
-    different classes are compared with each other, so no candidate is skipped by way of its leader.
+    bucket every text is first compared with one leader, a different one in each band. Buckets that
+    then still hold texts of several components are compared whole, in blocks of bounded size that
+    give back spanning links only: every candidate pair is decided, and no pair becomes a row.
 
-    A null text counts as empty; a text without words is a class of its own and has no links; one of
-    fewer than `size` words has one shingle. Rows with a null doc_id are left out of classes and keep a
-    null class_id. Repeated doc_ids with equal texts share a class. An empty table gives no rows. Other
-    columns are ignored.
+    A null text counts as empty; a text without words is a class of its own; one of fewer than `size`
+    words has one shingle. Rows with a null doc_id are in no class and keep a null class_id. Repeated
+    doc_ids with equal texts share a class. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     texts = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     marked = texts.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary"))))
     signed = stage(marked.mapInArrow(_banded(size, bands, rows), "doc_id long, same binary, n long, bands array<long>"), "signed")
     worded = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    firsts = stage(worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "firsts")
-    member = firsts.select("rep", F.explode("bands").alias("band"))
-    bucket = stage(member.groupBy("band").agg(F.count("*").alias("k"), F.min("rep").alias("lead"), F.max("rep").alias("last")).where("k > 1"), "buckets")
-    crowd = stage(member.join(bucket.where("k > 2").select("band", "lead"), "band"), "crowds")
-    star = bucket.where("k = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(crowd.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct()
-    star = stage(star, "pairs")
-    links = stage(_links(star, texts, size, similarity), "links")
+    firsts = stage(worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "firsts")
+    member = firsts.select("rep", "n", F.explode("bands").alias("band"))
+    rank = F.struct(F.xxhash64("rep", "band").alias("h"), "rep")
+    bucket = member.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("words"), F.min(rank)["rep"].alias("lead"), F.max(rank)["rep"].alias("last")).where("k > 1")
+    bucket = stage(bucket, "buckets")
+    crowd = stage(member.join(bucket.where("k > 2").drop("last"), "band"), "crowds")
+    star = bucket.where("k = 2").select("lead", F.col("last").alias("rep")).union(crowd.where("rep != lead").select("lead", "rep"))
+    star = star.select(F.least("lead", "rep").alias("b"), F.greatest("lead", "rep").alias("a")).distinct()
+    links = stage(_links(star, texts, size, similarity).select("a", "b"), "links")
     known = components(links)
-    placed = crowd.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = crowd.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = stage(placed, "placed")
-    part = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    meet = part.select("band", F.col("component").alias("c1")).join(part.select("band", F.col("component").alias("c2")), "band").where("c1 < c2")
-    left = placed.select("band", F.col("component").alias("c1"), F.col("rep").alias("r1"))
-    right = placed.select("band", F.col("component").alias("c2"), F.col("rep").alias("r2"))
-    cross = meet.join(left, ["band", "c1"]).join(right, ["band", "c2"]).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stage(_links(stage(cross, "cross"), texts, size, similarity), "links")
-    links = links.union(more)
-    group = stage(components(links), "classes")
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").join(degree, "id", "left")
-    of_text = of_text.select("same", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    unsettled = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK_TEXTS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    inside = placed.join(unsettled, "band").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    inside = inside.select("band", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    inside = inside.select("band", "rep", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    blocks = inside.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    blocks = blocks.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    more = stage(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
+    group = stage(components(links.union(more)), "classes")
+    of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(of_text, "same", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
