@@ -119,9 +119,12 @@ def _verified(size: int, least: float):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs(a, b) whose texts overlap enough. Both joins may be split by skew handling: a is often a hot leader."""
-    b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs(a, b) whose texts overlap enough.
+
+    Both are sort-merge joins at every size: skew handling can split a hot leader, and no list of ids is broadcast.
+    """
+    b = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = b.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, least), "a long, b long, similarity double")
 
 
@@ -224,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     inside = placed.join(unsettled, "band").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     inside = inside.select("band", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     inside = inside.select("band", "rep", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    blocks = inside.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    blocks = inside.hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     blocks = blocks.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     more = stage(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
     group = stage(components(links.union(more)), "classes")
