@@ -7,17 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is a capture of the day 2024-01-01 + page_id % 366; the list is URL_LIST."""
+    from .url_filter import url_filter
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    entries = spark.createDataFrame(oracles.URL_LIST, "entry string, category string, action string, at string")
+    out = url_filter(captures, entries)
+    return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_format
+
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -31,6 +50,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged, ledger
+
+    out = judged(ledger(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,8 +66,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_near_duplicates, op5_substring_dedup, op8_pieces)}
+    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": oracles.OP1, "op3_chat": oracles.OP3, "op6_quality_rules": oracles.OP6}
