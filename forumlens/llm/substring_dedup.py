@@ -11,13 +11,13 @@ of windows that chose it; the bytes of that run are its segment.
    the anchor: a merge sort whose comparisons find the common extension by binary search over prefix
    polynomial hashes and verify it on the bytes. A window repeats where two segments agree in both
    directions far enough, which the adjacent common extensions of the two orders decide exactly.
-4. A k-gram with very many different segments is salted. Each salt reports windows that it has seen
-   once, and one of each that it has seen more often; equal windows of two salts then meet by digest.
+4. The segments of a k-gram with very many different ones are cut into ranges of 64, 8 and at last 1
+   window, keyed by the bytes that all windows of a range share. Equal windows keep equal keys, so each
+   cut sends the group on in smaller ones; steps 2 and 3 follow each cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import cmp_to_key
 
 import numpy as np
@@ -165,42 +165,29 @@ def repeats(segments: list[bytes], left: list[int], length: int) -> np.ndarray:
     return out
 
 
-def _compared(length: int, salt_rows: int):
-    """Sorted runs -> repeated stretches (kind 0: start, stop) and windows left to other salts (kind 1 alone, 2 settled)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("digest", pa.binary())])
+def _compared(length: int):
+    """Runs sorted by k-gram -> repeated stretches."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def group(rows: list[tuple]):
-        segments, left = [r[6] for r in rows], [r[3] - r[4] for r in rows]
-        salted = rows[0][5] > salt_rows
-        if len(rows) < 2 and not salted:
-            return
-        flags = repeats(segments, left, length)
-        told = set()
-        for i, (_, doc, th, pos, lo, _, seg) in enumerate(rows):
+        flags = repeats([r[4] for r in rows], [r[2] - r[3] for r in rows], length)
+        for i, (doc, th, pos, _, _) in enumerate(rows):
             on = np.flatnonzero(flags[:, i])
             if len(on):
                 for run in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1):
-                    yield doc, th, pos - int(run[-1]), pos - int(run[0]) + length, 0, None
-            if salted:
-                for w in range(len(seg) - length + 1):
-                    repeated = bool(flags[left[i] - w, i])
-                    digest = hashlib.blake2b(seg[w : w + length], digest_size=16).digest()
-                    if not repeated or digest not in told:
-                        if repeated:
-                            told.add(digest)
-                        yield doc, th, lo + w, lo + w + length, 2 if repeated else 1, digest
+                    yield doc, th, pos - int(run[-1]), pos - int(run[0]) + length
 
     def run(batches):
         def groups():
             key, rows = None, []
             for batch in batches:
-                for gram, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "doc_id", "th", "pos", "lo", "n", "bytes"))):
-                    if (gram, salt) != key:
-                        if rows:
+                for gram, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "th", "pos", "lo", "bytes"))):
+                    if gram != key:
+                        if len(rows) > 1:
                             yield rows
-                        key, rows = (gram, salt), []
-                    rows.append((gram, *row))
-            if rows:
+                        key, rows = gram, []
+                    rows.append(row)
+            if len(rows) > 1:
                 yield rows
 
         out = []
@@ -215,26 +202,65 @@ def _compared(length: int, salt_rows: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, salt_rows: int = 1024) -> DataFrame:
+def _ranged(length: int, width: int):
+    """Runs -> parts of at most `width` windows, keyed by the bytes that all windows of the range share."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("seg", pa.int64()), ("bytes", pa.binary())])
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, th, pos, lo, hi, gram, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "pos", "lo", "hi", "gram", "bytes"))):
+                for x in range((pos - hi) // width * width, pos - lo + 1, width):
+                    first, last = max(lo, pos - x - width + 1), min(hi, pos - x)
+                    shared = raw[pos - x - lo : pos - x - width + 1 - lo + length]
+                    part = raw[first - lo : last - lo + length]
+                    key = xxhash.xxh3_64_intdigest(shared, seed=(gram ^ x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((doc, th, pos, first, last, signed(key), signed(xxhash.xxh3_64_intdigest(part)), part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+KEY = ["doc_id", "th"]
+RUN = "doc_id long, th int, pos int, lo int, hi int, gram long"
+
+
+def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...]) -> DataFrame:
+    """runs(RUN, n, bytes) of k-grams with n different segments -> their repeated stretches."""
+    calm = runs.where(F.col("n") <= most) if widths else runs
+    calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "doc_id long, th int, start int, stop int")
+    if not widths or runs.where(F.col("n") > most).isEmpty():
+        return calm
+    parts = runs.where(F.col("n") > most).mapInArrow(_ranged(length, widths[0]), f"{RUN}, seg long, bytes binary")
+    whole, several = _grouped(stage(parts, "ranges"), length, ["bytes"])
+    return calm.union(whole).union(_settled(stage(several, "ranges"), length, most, widths[1:]))
+
+
+def _grouped(rows: DataFrame, length: int, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Stretches of segments that repeat whole, and one row of each segment of a k-gram that has several.
+
+    Counts are combined before the shuffle and joined back, so the copies of a hot segment never meet.
+    """
+    g = stage(rows.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "pos", "lo", "hi", *more)).alias("r")), "segments")
+    whole = rows.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    several = stage(g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    return whole, g.join(several, "gram").select("gram", "n", "r.*")
+
+
+def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
     """texts(doc_id, th, text) -> (doc_id, th, start, stop): byte stretches covered by repeated strings; they may overlap."""
-    key = ["doc_id", "th"]
     a = stage(texts.mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
-    shared = a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    shared = stage(a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams")
     b = stage(a.join(shared, "gram"), "shared")
-    unstage(a)
-    g = stage(b.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "lo", "hi", "pos")).alias("r")), "segments")
-    whole = b.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*key, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    several = g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    runs = g.join(several, "gram").select("gram", "n", "r.*")
-    by_doc = runs.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
-    cut = texts.join(by_doc, key).select(*key, "text", "runs").mapInArrow(_cut(length), "doc_id long, th int, pos int, lo int, hi int, gram long, n long, bytes binary")
-    salted = cut.withColumn("salt", F.when(F.col("n") > salt_rows, F.pmod(F.xxhash64("doc_id", "pos"), F.ceil(F.col("n") / salt_rows))).otherwise(0).cast("int"))
-    found = salted.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_compared(length, salt_rows), "doc_id long, th int, start int, stop int, kind int, digest binary")
-    found = stage(found, "compared")
-    open_ = found.where("kind > 0")
-    met = open_.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
-    across = open_.where("kind = 1").join(met, "digest").select(*key, "start", "stop")
-    return whole.union(found.where("kind = 0").select(*key, "start", "stop")).union(across)
+    unstage(a, shared)
+    whole, runs = _grouped(b, length, [])
+    by_doc = runs.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
+    cut = texts.join(by_doc, KEY).select(*KEY, "text", "runs").mapInArrow(_cut(length), f"{RUN}, n long, bytes binary")
+    return whole.union(stage(_settled(stage(cut, "runs"), length, group_rows, (64, 8, 1)), "compared"))
 
 
 def _kept(raw: bytes, spans: list | None) -> tuple[bytes, int, int]:
@@ -266,7 +292,7 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
 
-def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, salt_rows: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `keep`.
 
     Removes each byte covered by a string of `length` bytes that also starts anywhere else in the table,
@@ -278,7 +304,7 @@ def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, salt
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(f"_{c}") for c in keep))
     texts = texts.withColumn("th", F.hash("text"))
-    spans = repeated_spans(texts.select("doc_id", "th", "text"), length=length, gram=gram, salt_rows=salt_rows)
+    spans = repeated_spans(texts.select("doc_id", "th", "text"), length=length, gram=gram, group_rows=group_rows)
     by_doc = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     names = [f"_{c}" for c in keep]
     joined = texts.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "th", "text", "spans", *names)
