@@ -186,3 +186,29 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Exactly the given columns, so that others of any name cannot clash: only(df, text="string")."""
     return df.select(*(df[c].cast(t).alias(c) for c, t in columns.items()))
+
+
+def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame:
+    """docs with columns added by compute(batches of doc_id and text) -> per batch, a list of Arrow arrays.
+
+    All columns travel along under internal names, so added names may clash with none of them on the way;
+    a name that docs already has is returned in its new meaning.
+    """
+    from pyspark.sql import types as T
+
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    inner = docs.toDF(*(f.name for f in fields))
+    at = {f.name: i for i, f in enumerate(docs.schema.fields)}
+    kinds = {"c": T.StructType.fromDDL(", ".join(f"x{i} {t}" for i, (_, t) in enumerate(added)))}
+    schema = T.StructType([*fields, *kinds["c"].fields])
+    names = [f.name for f in schema.fields]
+    text = f"c{at['text']}"
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text, 1 << 21):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(text))], names=names)
+
+    out = inner.mapInArrow(run, schema)
+    new = {n for n, _ in added}
+    return out.select(*(out[f"c{i}"].alias(f.name) for i, f in enumerate(docs.schema.fields) if f.name not in new), *(out[f"x{i}"].alias(n) for i, (n, _) in enumerate(added)))

@@ -37,7 +37,7 @@ def vocabulary(model_file: str) -> dict:
 class Encoder:
     """Encodes and decodes with one vocabulary. Caches are bounded and only save time."""
 
-    WORDS, PAIRS, LONGEST = 150_000, 400_000, 48
+    WORDS, PAIRS, LONGEST = 100_000, 800_000, 48
 
     def __init__(self, vocab: dict):
         self.pieces, self.end, self.unknown = vocab["pieces"], vocab["end"], vocab["unknown"]
@@ -45,6 +45,7 @@ class Encoder:
         self.control = vocab["control"]
         self.ids = {p: i for i, (p, ok) in enumerate(zip(self.pieces, vocab["plain"])) if ok}
         self.bytes = {int(m[1], 16): i for i, p in enumerate(self.pieces) if not vocab["plain"][i] and (m := BYTE.fullmatch(p))}
+        self.special = frozenset(i for i in range(len(self.pieces)) if not vocab["plain"][i])
         self.byte_of = {i: b for b, i in self.bytes.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a separator after another character; word-wise encoding would not be exact")
@@ -55,10 +56,14 @@ class Encoder:
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.size = [len(p) for p in self.pieces]
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.sound: dict[int, bool] = {}
+        #: Of each piece, the longest piece that is a proper prefix of it.
+        self.shorter = [next((i for k in range(len(p) - 1, 0, -1) if (i := self.ids.get(p[:k])) is not None), -1) for p in self.pieces]
+        self.fits: dict[int, bool] = {}
+        self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.spaced: dict[str, tuple[str, int, str]] = {}
         self.bare: dict[str, tuple[str, int, str]] = {}
+        #: The generations before: a word used again moves up, so a full cache never starts cold.
+        self.old: dict[int, dict[str, tuple[str, int, str]]] = {id(self.spaced): {}, id(self.bare): {}}
 
     def merged(self, text: str) -> list[int]:
         """The result of merging neighbours, best score first and leftmost among equals, by a heap over a linked list."""
@@ -87,58 +92,52 @@ class Encoder:
                 offer(before[i])
         return [self.ids[p] for p in part if p is not None]
 
-    def is_sound(self, piece: int) -> bool:
-        """Whether the piece re-merges to itself."""
-        if (ok := self.sound.get(piece)) is None:
-            ok = self.sound[piece] = self.merged(self.pieces[piece]) == [piece]
-        return ok
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the two pieces, side by side, re-merge to themselves."""
-        if (ok := self.fits.get((left, right))) is None:
-            if len(self.fits) >= self.PAIRS:
-                self.fits.clear()
-            ok = self.fits[left, right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+    def fit(self, left: int, right: int) -> bool:
+        """Whether the right piece re-merges to itself, and so does its pair with the left piece (none: -1)."""
+        if len(self.fits) >= self.PAIRS:
+            self.fits.clear()
+        ok = self.merged(self.pieces[right]) == [right] if left < 0 else self.fit(-1, right) and self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+        self.fits[left << 32 | right] = ok
         return ok
 
     def backtracked(self, text: str) -> list[int]:
         """Pieces of a text whose characters are all in the vocabulary."""
-        whole = self.ids.get(text)
-        if whole is not None and self.is_sound(whole):
-            return [whole]
-        starts: list[list[int]] = [[] for _ in text]
+        fits, size, shorter = self.fits, self.size, self.shorter
+        n = len(text)
+        longest = [-1] * (n + 1)
         for end, piece in self.automaton.iter(text):  # by rising end: the last match of a start is its longest
-            starts[end + 1 - self.size[piece]].append(piece)
+            longest[end + 1 - size[piece]] = piece
         failed = 0
         out: list[int] = []
-        tried: list[int] = []
-        at, n, choice = 0, len(text), len(starts[0]) - 1
+        at, piece, last = 0, longest[0], -1
         while at < n:
-            here = starts[at]
-            last = out[-1] if out else -1
-            while choice >= 0:
-                piece = here[choice]
-                if not failed >> (at + self.size[piece]) & 1 and self.is_sound(piece) and (last < 0 or self.compatible(last, piece)):
-                    break
-                choice -= 1
-            if choice >= 0:
-                out.append(here[choice])
-                tried.append(choice)
-                at += self.size[here[choice]]
-                choice = len(starts[at]) - 1 if at < n else 0
+            while piece >= 0:
+                end = at + size[piece]
+                if not failed >> end & 1:
+                    ok = fits.get(last << 32 | piece)
+                    if self.fit(last, piece) if ok is None else ok:
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
+                out.append(piece)
+                at, last, piece = end, piece, longest[end]
             else:
-                failed |= 1 << at
                 if not out:
                     return self.merged(text)
-                at -= self.size[out.pop()]
-                choice = tried.pop() - 1
+                failed |= 1 << at
+                at -= size[last]
+                piece = shorter[out.pop()]
+                last = out[-1] if out else -1
         return out
 
     def segment(self, text: str) -> list[int]:
         """Ids of one word with its separators."""
+        whole = self.ids.get(text)
+        if whole is not None and (self.fits.get(-1 << 32 | whole) or self.fit(-1, whole)):
+            return [whole]
         out: list[int] = []
         start = 0
-        for i, ch in enumerate(text):
+        for i, ch in enumerate(text) if not self.known.issuperset(text) else ():
             if ch not in self.known:
                 if start < i:
                     out += self.backtracked(text[start:i])
@@ -161,6 +160,8 @@ class Encoder:
 
     def decoded(self, ids: list[int]) -> str:
         """Text of the ids: separators become spaces, byte runs UTF-8 (U+FFFD where invalid), control ids vanish."""
+        if not any(map(self.special.__contains__, ids)):
+            return "".join(map(self.texts.__getitem__, ids))
         parts: list[str] = []
         run = bytearray()
         for i in ids:
@@ -173,16 +174,21 @@ class Encoder:
             if i == self.unknown:
                 parts.append(" ⁇ ")
             elif not self.control[i]:
-                parts.append(self.pieces[i].replace(SPACE, " "))
+                parts.append(self.texts[i])
         if run:
             parts.append(run.decode("utf-8", "replace"))
         return "".join(parts)
 
     def entry(self, word: str, cache: dict[str, tuple[str, int, str]], lead: str) -> tuple[str, int, str]:
-        ids = self.segment(lead + word)
-        found = (" ".join(map(str, ids)), len(ids), self.decoded(ids))
+        old = self.old[id(cache)]
+        found = old.get(word)
+        if found is None:
+            ids = self.segment(lead + word)
+            found = (" ".join(map(str, ids)), len(ids), self.decoded(ids))
         if len(word) <= self.LONGEST:
             if len(cache) >= self.WORDS:
+                old.clear()
+                old.update(cache)
                 cache.clear()
             cache[word] = found
         return found
@@ -195,7 +201,7 @@ class Encoder:
         spaced, bare = self.spaced, self.bare
         if not self.lines:
             for word in re.findall(r" +[^ ]*", " " + text):
-                yield self.entry(word[1:].replace(" ", SPACE), {}, SPACE)
+                yield self.entry(word[1:].replace(" ", SPACE), spaced, SPACE)
             return
         newline = self.bytes.get(10, self.unknown)
         feed = (str(newline), 1, self.decoded([newline]))
