@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, carried, only, prepare, slices, word_hashes
+from .common import binary_column, carried, only, prepare, slices, stage, word_hashes
 
 #: Insults that the lexicon labellers look for. Fixed values; the labelled sample adds to them.
 INSULTS = [
@@ -42,8 +42,8 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document number of each lower-case word."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and document number of each lower-case word, its start and end, and the lower-case bytes."""
     low = LOWER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -52,7 +52,27 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return word_hashes(low, s, e), np.searchsorted(offsets, s, side="right") - 1
+    return word_hashes(low, s, e), np.searchsorted(offsets, s, side="right") - 1, s, e, low
+
+
+def distinct_words(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of one occurrence of each word of a document."""
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    return np.sort(order[new])
+
+
+#: Lengths in bytes of the word beginnings that may mark a document, besides whole words.
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
+def marks_of(h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray):
+    """(places, hashes) of the whole words and then of each length of their proper beginnings."""
+    yield np.arange(len(h)), h
+    for k in BEGINNINGS:
+        at = np.flatnonzero(e - s > k)
+        yield at, word_hashes(low, s[at], s[at] + k)
 
 
 def lexicon(words: list[str]) -> np.ndarray:
@@ -60,6 +80,31 @@ def lexicon(words: list[str]) -> np.ndarray:
     return np.sort(hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
 
 
+#: Learned evidence (summed log-odds) that makes a document toxic, and below which it counts as none.
+MUCH, LITTLE = 7.0, 4.5
+
+
+@dataclass
+class Marks:
+    """Words and word beginnings that the labelled sample found typical of toxic documents, by hash, with log-odds."""
+
+    hashes: np.ndarray
+    odds: np.ndarray
+
+    def evidence(self, h: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Of each word, the largest log-odds among the word and its beginnings."""
+        out = np.zeros(len(h))
+        if not len(self.hashes) or not len(h):
+            return out
+        for at, mark in marks_of(h, s, e, low):
+            i = np.minimum(np.searchsorted(self.hashes, mark), len(self.hashes) - 1)
+            out[at] = np.maximum(out[at], np.where(self.hashes[i] == mark, self.odds[i], 0))
+        return out
+
+
+NO_MARKS = Marks(np.zeros(0, np.uint64), np.zeros(0))
+
+
 @dataclass
 class Votes:
     """Per document: votes [n, labellers] of each aspect, style bins [n, k], and its words."""
@@ -70,10 +115,10 @@ class Votes:
     doc: np.ndarray
 
 
-def labelled(column: pa.Array, learned: np.ndarray) -> Votes:
+def labelled(column: pa.Array, learned: Marks) -> Votes:
     data, offsets = binary_column(column)
     n = len(offsets) - 1
-    h, doc = hashed_words(data, offsets)
+    h, doc, s, e, low = hashed_words(data, offsets)
     share = {}
     for name, chars in CLASS.items():
         is_in = np.zeros(256, bool)
@@ -82,10 +127,8 @@ def labelled(column: pa.Array, learned: np.ndarray) -> Votes:
     words = np.bincount(doc, minlength=n)
     some = np.maximum(words, 1)
     again = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n) / some if len(h) else np.zeros(n)
-    order = np.lexsort((h, doc))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    h, doc = h[order][new], doc[order][new]
+    one = distinct_words(h, doc)
+    h, doc, s, e = h[one], doc[one], s[one], e[one]
     distinct = np.bincount(doc, minlength=n) / some
     measures = {
         "symbols": share["symbol"] / some,
@@ -104,8 +147,10 @@ def labelled(column: pa.Array, learned: np.ndarray) -> Votes:
         found = of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h if len(of) and len(h) else np.zeros(len(h), bool)
         return np.bincount(doc[found], minlength=n)
 
-    first, second, taught = hits(insults[::2]), hits(insults[1::2]), hits(learned)
-    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught > 0, BAD, NONE), np.where(first + second + taught == 0, GOOD, NONE)]
+    first, second = hits(insults[::2]), hits(insults[1::2])
+    taught = np.bincount(doc, learned.evidence(h, s, e, low), n) if len(doc) else np.zeros(n)
+    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught >= MUCH, BAD, NONE), np.where((first + second == 0) & (taught < LITTLE), GOOD, NONE)]
+    measures["taught"] = np.minimum(taught / 10, 0.99)
     bins = np.stack([np.minimum((x * 10).astype(np.int64), 9) for x in measures.values()], axis=1) if n else np.zeros((0, len(measures)), np.int64)
     return Votes({"junk": np.stack(junk, axis=1), "toxic": np.stack(toxic, axis=1)}, bins, h, doc)
 
@@ -172,37 +217,47 @@ def _sampled(docs: DataFrame, share: float, salt: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def learned_words(docs: DataFrame, labels: DataFrame, bound: int) -> np.ndarray:
-    """Hashes of the words that mark toxic documents in at most about `bound` labelled rows.
+def learned_marks(docs: DataFrame, labels: DataFrame, bound: int) -> Marks:
+    """Marks of toxic documents from about `bound` labelled rows at most, equal texts counting once.
 
-    A word counts if at least 5 toxic and at most one in 500 other documents of the sample have it, and it is 20 times as frequent there.
+    A word or word beginning is a mark if at least 5 toxic texts and 1.5 % of them have it, and it is 16 times
+    as frequent there as elsewhere; its weight is its smoothed log-odds, 5 at most.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     if not total:
-        return np.zeros(0, np.uint64)
+        return NO_MARKS
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, bound / total) * (1 << 30)))
+    texts = only(docs, doc_id="long", text="string").join(picked, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    texts = stage(texts, "labelled")
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 21):
-                h, doc = hashed_words(*binary_column(batch.column("text")))
-                pair = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-                toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[pair[0].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(toxic.astype(np.int32))], names=["word", "toxic"])
-
-    words = only(docs, doc_id="long", text="string").join(picked, "doc_id").select("text", "toxic").mapInArrow(run, "word long, toxic int")
-    sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+                h, doc, s, e, low = hashed_words(*binary_column(batch.column("text")))
+                one = distinct_words(h, doc)
+                h, doc, s, e = h[one], doc[one], s[one], e[one]
+                found = [(doc[at], mark) for at, mark in marks_of(h, s, e, low)]
+                doc, mark = np.concatenate([d for d, _ in found]), np.concatenate([m for _, m in found])
+                one = distinct_words(mark, doc)
+                toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[doc[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(mark[one].view(np.int64)), pa.array(toxic.astype(np.int32))], names=["mark", "toxic"])
+
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    count = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    count = count.where((F.col("a") >= 5) & (F.col("b") * 500 <= n0) & (F.col("a") * n0 >= 20 * n1 * F.greatest("b", F.lit(1)) / 4))
-    top = count.orderBy(F.desc("a"), "word").limit(500).collect()
-    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    count = texts.mapInArrow(run, "mark long, toxic int").groupBy("mark").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    count = count.where((F.col("a") >= max(5, 0.015 * n1)) & (F.col("a") * n0 >= 16 * n1 * F.col("b")))
+    top = count.orderBy(F.desc("a"), "mark").limit(4000).collect()
+    hashes = np.array([r["mark"] for r in top], np.int64).view(np.uint64)
+    a, b = (np.array([r[c] for r in top], float) for c in "ab")
+    odds = np.clip(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), 0, 5)
+    order = np.argsort(hashes)
+    return Marks(hashes[order], odds[order])
 
 
 @dataclass
 class Model:
-    learned: np.ndarray
+    learned: Marks
     patterns: dict[str, dict[int, float]]
     weights: dict[str, np.ndarray]
 
@@ -233,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000,
     training documents and `labelled_sample` the labelled rows that teach the vocabulary (about so many)."""
     prepare(docs.sparkSession)
     texts = only(docs, doc_id="long", text="string")
-    learned = learned_words(texts, labels, labelled_sample) if labels is not None else np.zeros(0, np.uint64)
+    learned = learned_marks(texts, labels, labelled_sample) if labels is not None else NO_MARKS
 
     def vote(batches):
         for whole in batches:

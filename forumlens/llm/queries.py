@@ -65,8 +65,15 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op8_pieces)}
+    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op8_pieces, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
