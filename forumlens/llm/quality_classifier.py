@@ -80,8 +80,9 @@ def lexicon(words: list[str]) -> np.ndarray:
     return np.sort(hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
 
 
-#: Learned evidence (summed log-odds) that makes a document toxic, and below which it counts as none.
-MUCH, LITTLE = 7.0, 4.5
+#: Learned evidence (summed log-odds) that makes a document toxic, and below which it counts as none;
+#: long documents meet marks by chance, so both rise with the number of words.
+MUCH, LITTLE, MUCH_A_WORD, LITTLE_A_WORD = 9.0, 4.5, 0.006, 0.003
 
 
 @dataclass
@@ -139,7 +140,7 @@ def labelled(column: pa.Array, learned: Marks) -> Votes:
         "same": np.where(words >= 50, 1 - distinct, 0),
     }
     bad = [measures["symbols"] > 0.3, measures["bars"] > 0.3, measures["marks"] > 0.3, measures["upper"] > 0.5, measures["again"] > 0.2, measures["same"] > 0.9, words == 0]
-    calm = (measures["symbols"] < 0.1) & (measures["marks"] < 0.1) & (measures["upper"] < 0.3) & (measures["again"] < 0.1) & (words > 0)
+    calm = (measures["symbols"] < 0.1) & (measures["marks"] < 0.1) & (measures["upper"] < 0.3) & (measures["again"] <= 0.2) & (words > 0)
     junk = [np.where(x, BAD, NONE) for x in bad] + [np.where(calm, GOOD, NONE)]
     insults = lexicon(INSULTS)
 
@@ -149,8 +150,8 @@ def labelled(column: pa.Array, learned: Marks) -> Votes:
 
     first, second = hits(insults[::2]), hits(insults[1::2])
     taught = np.bincount(doc, learned.evidence(h, s, e, low), n) if len(doc) else np.zeros(n)
-    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught >= MUCH, BAD, NONE), np.where((first + second == 0) & (taught < LITTLE), GOOD, NONE)]
-    measures["taught"] = np.minimum(taught / 10, 0.99)
+    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught >= np.maximum(MUCH, MUCH_A_WORD * words), BAD, NONE), np.where((first + second == 0) & (taught < np.maximum(LITTLE, LITTLE_A_WORD * words)), GOOD, NONE)]
+    measures["taught"] = np.minimum(taught / np.maximum(10, 0.01 * words), 0.99)
     bins = np.stack([np.minimum((x * 10).astype(np.int64), 9) for x in measures.values()], axis=1) if n else np.zeros((0, len(measures)), np.int64)
     return Votes({"junk": np.stack(junk, axis=1), "toxic": np.stack(toxic, axis=1)}, bins, h, doc)
 
@@ -171,7 +172,7 @@ def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int =
         if np.abs(new - q).max() < 1e-9:
             break
         q = new
-    return q
+    return np.where(good + bad > 0, q, (count * q).sum() / max(count.sum(), 1))  # without a vote there is the prior only
 
 
 def features(found: Votes, aspect: str) -> tuple[np.ndarray, np.ndarray]:
