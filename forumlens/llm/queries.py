@@ -57,6 +57,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_html
+
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,8 +78,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The separator is id 50256, which the vocabulary leaves free."""
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256).select("doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op8_pieces, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op7_html_text, op8_pieces, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
