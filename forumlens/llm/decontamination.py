@@ -8,12 +8,14 @@ vectors give the least edit distance of the item to any stretch there.
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, prepare, slices
+from .common import carried, only, prepare, slices
 
 #: White space that compares as a plain space; one character for one, so that places stay those of the text.
 SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"}
@@ -64,6 +66,10 @@ def myers(bits: dict[str, int], m: int, text: str, most: int, anchored: bool = F
     return best, end
 
 
+#: The matcher of the broadcast in use, by its object in this worker process.
+_MATCHERS: dict[int, Matcher] = {}
+
+
 class Matcher:
     """All items, prepared for search."""
 
@@ -164,7 +170,19 @@ def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08,
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that hold no item (see contaminated); rows with a null doc_id stay."""
-    bad = contaminated(docs, items, **options).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+    """The documents, with all their columns, that match no item (see contaminated); decided row by row, without a shuffle."""
+    prepare(docs.sparkSession)
+    for block in _blocks(items, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        flag = f"hit_{uuid.uuid4().hex}"
+
+        def compute(column, shared=shared):
+            key = id(shared)
+            if key not in _MATCHERS:
+                _MATCHERS.clear()
+                _MATCHERS[key] = Matcher(shared.value, error_rate)
+            return [pa.array([next(_MATCHERS[key].matches(t or ""), None) is not None for t in column.to_pylist()], pa.bool_())]
+
+        docs = carried(docs, [(flag, "boolean")], compute).where(~F.col(flag)).drop(flag)
+    return docs

@@ -234,3 +234,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(of_text, "same", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class of near duplicates, with all its columns: that of the least doc_id.
+
+    Rows with a null doc_id are in no class and stay. Of rows that repeat a doc_id one stays.
+    """
+    classes = near_duplicates(docs, **options).where("doc_id is not null")
+    id_ = docs["doc_id"].cast("long")
+    first = stage(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("k")).select(F.col("doc_id").alias("kept_id"), "k"), "kept")
+    kept = docs.join(first.where("k = 1"), id_ == F.col("kept_id"), "left_semi")
+    if not first.where("k > 1").isEmpty():
+        kept = kept.union(docs.join(first.where("k > 1"), id_ == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return kept.union(docs.where(docs["doc_id"].isNull()))

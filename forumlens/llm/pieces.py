@@ -15,6 +15,7 @@ import heapq
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -231,7 +232,8 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text and the end id."""
-        return [int(i) for ids, n, _ in self.chunks(text) if n for i in ids.split(" ")] + [self.end]
+        ids = " ".join([ids for ids, n, _ in self.chunks(text) if n])
+        return [*(np.fromstring(ids, np.int32, sep=" ").tolist() if ids else ()), self.end]
 
     def decode(self, ids: list[int]) -> str:
         text = self.decoded(ids)

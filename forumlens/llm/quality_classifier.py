@@ -11,6 +11,7 @@ Two aspects are judged alike: junk (tables, symbol noise, shouting, repetition)
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -339,3 +340,12 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, **bounds: int) ->
     model = fit(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return carried(docs, [("junk_score", "double"), ("junk_posterior", "double"), ("toxic_score", "double"), ("toxic_posterior", "double"), ("rejected", "boolean")], lambda column: shared.value.scored(column))
+
+
+def accepted(docs: DataFrame, labels: DataFrame | None = None, **bounds: int) -> DataFrame:
+    """The documents, with their own columns only, that classify() does not reject."""
+    model = fit(docs, labels, **bounds)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    flag = f"rejected_{uuid.uuid4().hex}"
+    judged = carried(docs, [(flag, "boolean")], lambda column: shared.value.scored(column)[-1:])
+    return judged.where(~F.col(flag)).drop(flag)

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepare, slices, stage, unstage
 
@@ -292,31 +293,50 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
 
-def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `keep`.
+def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     Removes each byte covered by a string of `length` bytes that also starts anywhere else in the table,
     in the same text too; strings are judged on the input. A null text counts as empty and keeps zero
     bytes, as does an empty one; texts below `length` bytes are kept whole. Repeated rows repeat each
-    other's strings. A null doc_id is carried as null. An empty table gives no rows. Other columns are
-    ignored, and do not clash, unless `keep` names them.
+    other's strings. A null doc_id is carried as null. An empty table gives no rows. Other columns are ignored.
     """
+    return _cleaned(docs, (), False, length=length, gram=gram, group_rows=group_rows).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _cleaned(docs: DataFrame, rest: tuple[str, ...], as_text: bool, **options: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept, and the columns `rest` under the names x0, x1..."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(f"_{c}") for c in keep))
+    names = [f"x{i}" for i in range(len(rest))]
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(x) for c, x in zip(rest, names)))
     texts = texts.withColumn("th", F.hash("text"))
-    spans = repeated_spans(texts.select("doc_id", "th", "text"), length=length, gram=gram, group_rows=group_rows)
-    by_doc = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    names = [f"_{c}" for c in keep]
-    joined = texts.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "th", "text", "spans", *names)
-    out = joined.mapInArrow(_carrying(names), f"doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept binary{''.join(f', {c} {docs.schema[c[1:]].dataType.simpleString()}' for c in names)}")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"_{c}").alias(c) for c in keep))
+    spans = repeated_spans(texts.select("doc_id", "th", "text"), **options)
+    by_doc = spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = texts.join(by_doc, KEY, "left").select(*KEY, "text", "spans", *names)
+    schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
+    out = joined.mapInArrow(_carrying(names, as_text), schema)
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *names)
 
 
-def _carrying(names: list[str]):
+def _carrying(names: list[str], text: bool):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 22):
                 for done in _removed([batch]):
-                    yield pa.RecordBatch.from_arrays([*done.columns, *(batch.column(c) for c in names)], names=[*done.schema.names, *names])
+                    cells = list(done.columns)
+                    if text:
+                        cells[-1] = pa.array([k.decode("utf-8", "ignore") for k in done.column("kept").to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([*cells, *(batch.column(c) for c in names)], names=[*done.schema.names, *names])
 
     return run
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, their texts without repeated strings, and n_chars (if they have it) anew.
+
+    A character of which one byte is removed goes whole. Texts may become empty; rows stay.
+    """
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = _cleaned(docs, rest, True, **({"length": 400, "gram": 100, "group_rows": 1024} | options))
+    new = {c: F.col(f"x{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(new[c].alias(c) for c in docs.columns))
