@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 U64 = np.uint64
 #: Odd base of the wrap-around polynomial hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -161,16 +161,7 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[n
 def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds (rows here, bytes in slices()), and send this package to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    context = spark.sparkContext
-    if getattr(context, "_forumlens_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="forumlens-"), "forumlens_code.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._forumlens_sent = True
+    ship(spark)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
