@@ -70,7 +70,7 @@ def parse_list(text: Column, separators: str = ",") -> Column:
     """A JSON list of strings, or else the parts between separators once brackets and quotes are gone."""
     parts = F.split(F.regexp_replace(text, r'[\[\]"]', " "), separators)
     found = F.coalesce(F.from_json(text, "array<string>"), parts)
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def keywords(text: Column) -> Column:
@@ -104,7 +104,7 @@ def other_lines(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def redacted(url: Column) -> Column:
