@@ -55,14 +55,18 @@ def search_terms(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Overlap of two arrays without repeats; 0 where both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, 0.0).otherwise(shared / union)
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """Word overlap of query and text; at least 0.25 where the text holds the query as a phrase; null where nothing matches."""
-    overlap = jaccard(search_terms(query), search_terms(text))
-    phrase = F.contains(F.lower(text), F.lower(query))
+def lexical_score(terms: Column, phrase: Column, other_terms: Column) -> Column:
+    """Overlap of the query's and a text's search_terms, at least 0.25 where the text holds the query as a phrase; null without any.
+
+    The arguments are columns that are computed already: an expression would be evaluated once for each mention.
+    """
+    overlap = jaccard(terms, other_terms)
     return F.when(phrase, F.greatest(overlap, F.lit(0.25))).when(overlap > 0, overlap)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_score
+from ..functions.text import search_terms
 from ..functions.vector import cosine
 
 
@@ -17,8 +19,14 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = 10) -> Da
 
 def lexical_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """docs(id, text) -> the ids of most overlap with the query; rows without any are left out."""
-    scored = docs.select("id", lexical_score(F.lit(query), F.coalesce("text", F.lit(""))).alias("score")).where("score is not null")
-    return scored.select("id", F.bround("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    wanted = list(dict.fromkeys(re.findall("[a-z0-9]{3,}", query.lower())))
+    terms = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    marked = docs.select("id", search_terms(low).alias("terms"), F.contains(low, F.lit(query.lower())).alias("phrase"))
+    scored = marked.select("id", F.size(F.array_intersect(terms, "terms")).alias("shared"), F.size("terms").alias("n"), "phrase").where("phrase or shared > 0")
+    overlap = F.col("shared") / F.greatest(F.lit(len(wanted)) + F.col("n") - F.col("shared"), F.lit(1))
+    score = F.when(F.col("phrase"), F.greatest(overlap, F.lit(0.25))).otherwise(overlap)
+    return scored.select("id", F.bround(score, 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def phrase_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:

@@ -66,7 +66,9 @@ def test_cluster_label(spark):
 
 def test_lexical_score(spark):
     df = spark.createDataFrame([("open source local model benchmark",), ("open thread about coffee",), ("nothing here",), ("open model benchmark",)], "t string")
-    scores = [r[0] for r in df.select(text.lexical_score(F.lit("open model benchmark"), F.col("t"))).collect()]
+    q = "open model benchmark"
+    df = df.select(text.search_terms(F.lit(q)).alias("a"), F.contains("t", F.lit(q)).alias("p"), text.search_terms(F.col("t")).alias("b"))
+    scores = [r[0] for r in df.select(text.lexical_score(F.col("a"), F.col("p"), F.col("b"))).collect()]
     assert scores[0] == pytest.approx(0.6) and scores[1] == pytest.approx(1 / 6) and scores[2] is None and scores[3] == 1.0
 
 
