@@ -179,6 +179,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[c].cast(t).alias(c) for c, t in columns.items()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer (a small table in one file); large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame:
     """docs with columns added by compute(batches of doc_id and text) -> per batch, a list of Arrow arrays.
 
@@ -188,7 +194,7 @@ def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame
     from pyspark.sql import types as T
 
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    inner = docs.toDF(*(f.name for f in fields))
+    inner = spread(docs.toDF(*(f.name for f in fields)))
     at = {f.name: i for i, f in enumerate(docs.schema.fields)}
     kinds = {"c": T.StructType.fromDDL(", ".join(f"x{i} {t}" for i, (_, t) in enumerate(added)))}
     schema = T.StructType([*fields, *kinds["c"].fields])

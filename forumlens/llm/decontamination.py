@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, only, prepare, slices
+from .common import carried, only, prepare, slices, spread
 
 #: White space that compares as a plain space; one character for one, so that places stay those of the text.
 SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"}
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08,
     """
     spark = docs.sparkSession
     prepare(spark)
-    texts = only(docs, doc_id="long", text="string")
+    texts = spread(only(docs, doc_id="long", text="string"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
     def search(shared):

@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, prepare, slices
+from .common import only, prepare, slices, spread
 
 # Elements by kind, and words of classes and ids that mark boilerplate or content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -273,4 +273,4 @@ def extract_html(pages: DataFrame) -> DataFrame:
                 texts = [main_text(p) for p in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return only(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(only(pages, page_id="long", url="string", html="string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, stage
+from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage
 from .components import components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     """
     prepare(docs.sparkSession)
     texts = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    marked = texts.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary"))))
+    marked = spread(texts).withColumn("same", F.unhex(F.md5(F.col("text").cast("binary"))))
     signed = stage(marked.mapInArrow(_banded(size, bands, rows), "doc_id long, same binary, n long, bands array<long>"), "signed")
     worded = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     firsts = stage(worded.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "firsts")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, prepare, slices
+from .common import only, prepare, slices, spread
 
 SPACE = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -282,7 +282,7 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
                 ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -297,4 +297,4 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
                 n, ids, plain = zip(*(encoder.digests(t or "") for t in batch.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, carried, only, prepare, slices, stage, word_hashes
+from .common import binary_column, carried, only, prepare, slices, spread, stage, word_hashes
 
 #: Insults that the lexicon labellers look for. Fixed values; the labelled sample adds to them.
 INSULTS = [
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000,
                 found = labelled(batch.column("text"), learned)
                 yield pa.RecordBatch.from_arrays([pa.array(_codes(found.votes[a])) for a in ASPECTS], names=list(ASPECTS))
 
-    counts = texts.select("text").mapInArrow(vote, "junk long, toxic long").groupBy(*ASPECTS).agg(F.count("*").alias("n")).orderBy(*ASPECTS).toPandas()
+    counts = spread(texts.select("text")).mapInArrow(vote, "junk long, toxic long").groupBy(*ASPECTS).agg(F.count("*").alias("n")).orderBy(*ASPECTS).toPandas()
     patterns = {}
     for aspect, width in zip(ASPECTS, (8, 5)):
         by = counts.groupby(aspect)["n"].sum()

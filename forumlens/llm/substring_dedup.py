@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepare, slices, stage, unstage
+from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepare, slices, spread, stage, unstage
 
 NO_ID = -(1 << 63)
 #: Starts of windows that are hashed at once.
@@ -254,7 +254,7 @@ def _grouped(rows: DataFrame, length: int, more: list[str]) -> tuple[DataFrame,
 
 def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
     """texts(doc_id, th, text) -> (doc_id, th, start, stop): byte stretches covered by repeated strings; they may overlap."""
-    a = stage(texts.mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
+    a = stage(spread(texts).mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
     shared = stage(a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams")
     b = stage(a.join(shared, "gram"), "shared")
     unstage(a, shared)

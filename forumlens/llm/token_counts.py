@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, prepare, slices, stage
+from .common import only, prepare, slices, spread, stage
 
 BLOCK_TOKENS = 1 << 16
 #: Blocks of a file that one task of the scan handles together.
@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([numbered], pa.list_(pa.struct([("document", pa.int64()), ("doc_id", pa.int64())])))], names=names)
         yield from cut(True)
 
-    out = stage(only(docs, doc_id="long", text="string").mapInArrow(run, "file string, block long, payload binary, documents array<struct<document: long, doc_id: long>>"), "tokens")
+    out = stage(spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "file string, block long, payload binary, documents array<struct<document: long, doc_id: long>>"), "tokens")
     manifest = out.where("block is null").select("file", F.explode("documents").alias("d")).select("file", "d.document", "d.doc_id")
     return out.where("block is not null").select("file", "block", "payload"), manifest
 
