@@ -103,17 +103,19 @@ def separator_scan(blocks: DataFrame, separator: int, *, width: int = 4) -> Data
     return done.union(rest.withColumn("terminated", F.lit(False))).select("file", F.col("document").cast("long").alias("document"), F.col("n_tokens").cast("long").alias("n_tokens"), "terminated")
 
 
-def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int, *, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Tokenise docs(doc_id, text) into flat streams: (blocks as read_token_files gives them, manifest).
+def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int, *, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, int]:
+    """Tokenise docs(doc_id, text) into flat streams: (blocks as read_token_files gives them, manifest, bytes of an id).
 
-    Each input partition becomes one file, a stream of 4-byte ids cut into blocks wherever they fall; the
-    manifest (file, document, doc_id) is all that tells which document is which. The ranks of the
+    Each input partition becomes one file, a stream of ids of 2 bytes (4 if the vocabulary is larger), cut into
+    blocks wherever they fall; the manifest (file, document, doc_id) is all that tells which document is which. The ranks of the
     byte-pair vocabulary are broadcast; their number bounds that.
     """
     spark = docs.sparkSession
     prepare(spark)
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    width = 2 if max(separator, *ranks.values()) < 1 << 16 else 4
+    kind = f"<u{width}"
     shared = spark.sparkContext.broadcast((pattern, ranks))
 
     def run(batches):
@@ -128,7 +130,7 @@ def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
 
         def cut(whole: bool):
             nonlocal kept, size, block
-            ids = np.concatenate(kept) if kept else np.zeros(0, "<u4")
+            ids = np.concatenate(kept) if kept else np.zeros(0, kind)
             at = 0
             while len(ids) - at >= block_tokens or whole and at < len(ids):
                 part = ids[at : at + block_tokens]
@@ -140,7 +142,7 @@ def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
             for batch in slices(whole, "text"):
                 numbered = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = np.array([*coder.encode_ordinary(text or ""), separator], "<u4")
+                    ids = np.array([*coder.encode_ordinary(text or ""), separator], kind)
                     kept.append(ids)
                     size += len(ids)
                     numbered.append({"document": n, "doc_id": doc})
@@ -152,7 +154,7 @@ def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
 
     out = stage(spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "file string, block long, payload binary, documents array<struct<document: long, doc_id: long>>"), "tokens")
     manifest = out.where("block is null").select("file", F.explode("documents").alias("d")).select("file", "d.document", "d.doc_id")
-    return out.where("block is not null").select("file", "block", "payload"), manifest
+    return out.where("block is not null").select("file", "block", "payload"), manifest, width
 
 
 def token_counts(docs: DataFrame, ranks_file: str, pattern: str, separator: int) -> DataFrame:
@@ -161,6 +163,6 @@ def token_counts(docs: DataFrame, ranks_file: str, pattern: str, separator: int)
     Null and empty texts have 0 tokens. Repeated rows are counted each; a null doc_id is carried. A
     separator id inside a document would end it, so it must be none of the vocabulary's.
     """
-    blocks, manifest = write_tokens(docs, ranks_file, pattern, separator)
-    found = separator_scan(blocks, separator)
+    blocks, manifest, width = write_tokens(docs, ranks_file, pattern, separator)
+    found = separator_scan(blocks, separator, width=width)
     return found.join(manifest, ["file", "document"]).select("file", "document", "doc_id", "n_tokens")
