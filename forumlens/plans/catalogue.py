@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text, vector
-from ..operators import filters, model, search, series, topics, upkeep
+from ..operators import filters, model, search, series, topics, upkeep, views
 from ..sources.domain import SQL, Domain, day, moment
 from . import artifacts
 
@@ -473,11 +473,6 @@ def weak_labels(d: Domain) -> DataFrame:
     return scored.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
-def stratified_split(d: Domain) -> DataFrame:
-    return model.stratified_split(d.predictions).groupBy("label", "split").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT l.label, round(CASE WHEN s > 0 THEN tp / s ELSE 0.0 END, 6) AS precision, round(CASE WHEN r > 0 THEN tp / r ELSE 0.0 END, 6) AS recall, round(CASE WHEN s + r > 0 THEN 2 * tp / (s + r) ELSE 0.0 END, 6) AS f1, r AS support FROM (
   SELECT x.label, count(*) FILTER (a = x.label AND b = x.label) AS tp, count(*) FILTER (a = x.label) AS r, count(*) FILTER (b = x.label) AS s
   FROM (SELECT label AS a, CASE WHEN confidence < 0.3 THEN 'neutral' ELSE label END AS b FROM content) c, (SELECT unnest(['positive', 'neutral', 'negative']) AS label) x GROUP BY x.label) l""")
@@ -592,3 +587,129 @@ def threshold_yield(d: Domain) -> DataFrame:
     one = d.content.agg(*(F.avg((F.abs(F.col("confidence") - 0.5) > t).cast("double")).alias(f"t{i}") for i, t in enumerate(cuts)))
     pairs = F.array(*(F.struct(F.lit(t).alias("threshold"), r6(F.col(f"t{i}")).alias("share")) for i, t in enumerate(cuts)))
     return one.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+@query("SELECT topic_id, CAST(week_start AS VARCHAR) AS week_start, CASE WHEN avg_sentiment IS NULL THEN 'none' WHEN avg_sentiment >= 0.35 THEN 'very_positive' WHEN avg_sentiment >= 0.1 THEN 'positive' WHEN avg_sentiment > -0.1 THEN 'neutral' WHEN avg_sentiment > -0.35 THEN 'negative' ELSE 'very_negative' END AS tone FROM over_time")
+def topic_tone(d: Domain) -> DataFrame:
+    return _over_time(d).select("topic_id", day("week_start").alias("week_start"), views.tone(F.col("avg_sentiment")).alias("tone"))
+
+
+@query("SELECT id, round((x - lo) / greatest(hi - lo, 1e-4), 6) AS x FROM (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), (SELECT min(CAST(embedding[1] AS DOUBLE)) AS lo, max(CAST(embedding[1] AS DOUBLE)) AS hi FROM embeddings)", with_domain=False)
+def map_scatter(d: Domain) -> DataFrame:
+    points = d.vectors.select("id", F.get("vector", F.lit(0)).cast("double").alias("x"))
+    return views.min_max(points, "x").select("id", r6("x").alias("x"))
+
+
+@query("SELECT id, round(x / greatest(top, 1e-9), 6) AS x FROM (SELECT vec_id AS id, CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), (SELECT max(abs(CAST(embedding[2] AS DOUBLE))) AS top FROM embeddings)", with_domain=False)
+def normalised_axis(d: Domain) -> DataFrame:
+    points = d.vectors.select("id", F.get("vector", F.lit(1)).cast("double").alias("x"))
+    return views.max_abs(points, "x").select("id", r6("x").alias("x"))
+
+
+@query(f""", {NODES}, e AS (SELECT a.topic_id AS s, b.topic_id AS t FROM nodes a JOIN nodes b ON a.topic_id <> b.topic_id WHERE len(list_intersect(a.terms, b.terms)) > 0
+  AND len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) >= 0.15) SELECT s AS node, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY t) AS neighbours, count(*) AS degree FROM e GROUP BY s""")
+def topic_neighbours(d: Domain) -> DataFrame:
+    return views.neighbours(topics.similarity_edges(_nodes(d), 0.15)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), " ").alias("neighbours"), "degree")
+
+
+@query("SELECT label, count(*) AS n, CASE label WHEN 'positive' THEN 1 WHEN 'neutral' THEN 2 ELSE 3 END AS place FROM content GROUP BY label ORDER BY place")
+def label_donut(d: Domain) -> DataFrame:
+    return views.in_label_order(d.content.groupBy("label").agg(F.count("*").alias("n"))).orderBy("place")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS recent FROM events", with_domain=False)
+def request_rate(d: Domain) -> DataFrame:
+    return views.request_rate(d.table("events")).select("event_id", "recent")
+
+
+@query("SELECT t.topic_id, t.topic_id IN (SELECT topic_id FROM assigned WHERE timestamp >= DATE '2024-03-24') AS emerging FROM topics t")
+def topics_emerging_flag(d: Domain) -> DataFrame:
+    return views.flagged(d.topics.select("topic_id"), filters.recent(d.assigned, 7, datetime(2024, 3, 31).date()), "topic_id", "emerging")
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\b[a-z]{{3,}}\\b')) AS word FROM docs WHERE lang = 'en') WHERE word NOT IN ('{STOP}') GROUP BY word ORDER BY n DESC, word LIMIT 100")
+def word_frequencies(d: Domain) -> DataFrame:
+    return views.word_counts(d.documents.where("lang = 'en'"), text.GRAPH_STOPWORDS)
+
+
+@query("SELECT CAST(week_start AS VARCHAR) AS week_start, count(DISTINCT topic_id) AS topics, CAST(sum(doc_count) AS BIGINT) AS docs FROM over_time GROUP BY over_time.week_start")
+def topics_by_week(d: Domain) -> DataFrame:
+    return _over_time(d).groupBy("week_start").agg(F.countDistinct("topic_id").alias("topics"), F.sum("doc_count").alias("docs")).withColumn("week_start", day("week_start"))
+
+
+@query("SELECT p.id, coalesce((SELECT subreddit FROM posts WHERE posts.id = 'p' || p.id), (SELECT subreddit FROM docs WHERE docs.id = p.id)) AS subreddit FROM predictions p")
+def group_lookup(d: Domain) -> DataFrame:
+    """The group of a prediction: that of the post of its id, else that of the document."""
+    first = d.posts.select("id", F.col("subreddit").alias("a"))
+    second = d.documents.select("id", F.col("subreddit").alias("b"))
+    p = d.predictions.select("id", F.concat(F.lit("p"), "id").alias("pid"))
+    return p.join(first.withColumnRenamed("id", "pid"), "pid", "left").join(second, "id", "left").select("id", F.coalesce("a", "b").alias("subreddit"))
+
+
+@query("SELECT label, split, n FROM (SELECT label, 'train' AS split, CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM predictions GROUP BY 1 UNION ALL SELECT label, 'validation', CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) FROM predictions GROUP BY 1) WHERE n > 0")
+def stratified_split(d: Domain) -> DataFrame:
+    return model.stratified_split(d.predictions).groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN 'patched' ELSE subreddit END AS label FROM docs")
+def point_update(d: Domain) -> DataFrame:
+    """New labels of some rows over the old ones."""
+    new = d.documents.where("id % 4 = 0").select("id", F.lit("patched").alias("new"))
+    return d.documents.join(new, "id", "left").select("id", F.coalesce("new", "subreddit").alias("label"))
+
+
+@query("SELECT id, subreddit, 'old' AS version FROM docs WHERE id % 2 = 0 UNION ALL SELECT id, subreddit, 'new' FROM docs WHERE id % 2 = 1 AND id % 3 = 0")
+def insert_ignore(d: Domain) -> DataFrame:
+    rows = d.documents.select("id", "subreddit")
+    return upkeep.inserted(rows.where("id % 2 = 0").withColumn("version", F.lit("old")), rows.where("id % 3 = 0").withColumn("version", F.lit("new")), ["id"])
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, event_id % 2 = 1 AS flag, strftime(ts, '%Y-%m-%d') AS d FROM events", with_domain=False)
+def migration_types(d: Domain) -> DataFrame:
+    raw = d.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.when(F.col("event_id") % 2 == 1, "1").otherwise("0").alias("flag"), day("ts").alias("d"))
+    out = upkeep.migrated(raw, timestamps=("iso",), dates=("d",), flags=("flag",))
+    return out.select("event_id", F.date_format("iso", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), "flag", day("d").alias("d"))
+
+
+@query("SELECT doc_id AS id, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS headline FROM documents", with_domain=False)
+def headlines(d: Domain) -> DataFrame:
+    return d.documents.select("id", text.first_line(F.col("text")).alias("headline"))
+
+
+@query("SELECT page_id, regexp_replace(replace(url, '://', '://user:pw@'), '//[^/@]*@', '//***@') AS url FROM pages", with_domain=False)
+def redacted_urls(d: Domain) -> DataFrame:
+    return d.table("pages").select("page_id", text.redacted(F.replace("url", F.lit("://"), F.lit("://user:pw@"))).alias("url"))
+
+
+@query("""SELECT topic_id, CASE WHEN len(u) = 0 THEN 'Unlabeled cluster' ELSE array_to_string(u[1:3], ' / ') END AS label, doc_count FROM
+  (SELECT topic_id, doc_count, list_filter(keywords, lambda w: w NOT IN ('""" + "', '".join(text.LABEL_STOPWORDS) + """') AND length(w) > 2) AS u FROM topics)""")
+def cluster_labels(d: Domain) -> DataFrame:
+    return d.topics.select("topic_id", text.cluster_label(F.col("keywords")).alias("label"), "doc_count")
+
+
+@query("SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM predictions) AS scored, (SELECT count(*) FROM docs d WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.id = d.id)) AS waiting, (SELECT count(*) FROM assignments WHERE topic_id >= 0) AS assigned")
+def step_freshness(d: Domain) -> DataFrame:
+    """What each step of the pipeline has done and still has to do."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [n(d.documents, "documents"), n(d.predictions, "scored"), n(filters.unprocessed(d.documents, d.predictions, "id"), "waiting"), n(d.assignments.where("topic_id >= 0"), "assigned")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)
+    return out
+
+
+@query("SELECT 1 AS reachable", with_domain=False)
+def health(d: Domain) -> DataFrame:
+    return d.spark.sql("SELECT 1 AS reachable")
+
+
+@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1", with_domain=False)
+def thread_sizes(d: Domain) -> DataFrame:
+    return d.table("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT n_name AS nation, r_name AS region, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2", with_domain=False)
+def authors_by_region(d: Domain) -> DataFrame:
+    c, n, r = (d.table(t) for t in ("customer", "nation", "region"))
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return joined.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("customers"))
