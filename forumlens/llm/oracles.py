@@ -56,7 +56,7 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered c USING (rid)),
 b AS (SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 10 * n_symbols > 2 * n_words AS r2, 10 * n_marks > 3 * n_words AS r3,
-  10 * n_dup_lines > 3 * n_lines AS r4, n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS r5 FROM m)
+  n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines AS r4, n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS r5 FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5) AS kept,
   CAST(CAST(r0 AS INTEGER) + 2 * CAST(r1 AS INTEGER) + 4 * CAST(r2 AS INTEGER) + 8 * CAST(r3 AS INTEGER) + 16 * CAST(r4 AS INTEGER) + 32 * CAST(r5 AS INTEGER) AS BIGINT) AS failure_bits
 FROM b

@@ -23,7 +23,7 @@ RULES: dict[str, Column | str] = {
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > 2 * n_words",
     "shouting": "10 * n_marks > 3 * n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_lines >= 5 and 10 * n_dup_lines > 3 * n_lines",
     "short_or_long_words": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
