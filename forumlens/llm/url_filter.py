@@ -38,6 +38,10 @@ def keyed(captures: DataFrame) -> DataFrame:
     return c.withColumn("keys", keys).drop("_labels", "_steps")
 
 
+#: Intervals of a list that is broadcast; a longer list is joined by key, where skew handling splits a hot host.
+BROADCAST_INTERVALS = 200_000
+
+
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(page_id, url, fetched), entries(entry, category, action, at) -> one row per capture.
 
@@ -45,12 +49,13 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     An entry is a domain (it covers its subdomains) or host/path prefix, without scheme. A null or
     unreadable URL has no host and is never blocked, nor is a capture without a fetch time. Repeated
     captures are judged each. Empty tables and empty lists give no rows and no blocks; other columns
-    are ignored. The join is by key, with the interval as its condition, so a host with a third of all
-    captures is split by skew handling, and lists of any size stay distributed.
+    are ignored. The join is by key, with the interval as its condition; see BROADCAST_INTERVALS.
     """
     c = captures.select(captures["page_id"].cast("long").alias("page_id"), captures["url"].cast("string").alias("url"), captures["fetched"].cast("timestamp").alias("fetched"))
     c = keyed(c)
     span = intervals(entries)
+    if span.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:
+        span = F.broadcast(span)
     looked = c.where("fetched is not null").select("page_id", "url", "fetched", F.explode("keys").alias("entry"))
     active = looked.join(span, "entry").where("since <= fetched and (until is null or fetched < until)")
     found = active.distinct().groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_entries"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
