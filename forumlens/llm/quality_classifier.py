@@ -229,8 +229,9 @@ def learned_marks(docs: DataFrame, labels: DataFrame, bound: int) -> Marks:
     total = known.count()
     if not total:
         return NO_MARKS
+    # about `bound` ids: small enough to broadcast by that parameter
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, bound / total) * (1 << 30)))
-    texts = only(docs, doc_id="long", text="string").join(picked, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    texts = only(docs, doc_id="long", text="string").join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     texts = stage(texts, "labelled")
 
     def run(batches):
