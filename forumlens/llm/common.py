@@ -39,6 +39,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every staged table; call it once the results that read them are written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/forumlens")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage
+from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage, unstage
 from .components import components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     blocks = blocks.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     more = stage(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
     group = stage(components(links.union(more)), "classes")
+    unstage(bucket, crowd, links, placed, more)
     of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(of_text, "same", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

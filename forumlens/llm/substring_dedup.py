@@ -230,38 +230,47 @@ KEY = ["doc_id", "th"]
 RUN = "doc_id long, th int, pos int, lo int, hi int, gram long"
 
 
-def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...]) -> DataFrame:
-    """runs(RUN, n, bytes) of k-grams with n different segments -> their repeated stretches."""
+def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...], keep) -> DataFrame:
+    """runs(RUN, n, bytes) of k-grams with n different segments -> their repeated stretches. keep stages a table."""
     calm = runs.where(F.col("n") <= most) if widths else runs
     calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "doc_id long, th int, start int, stop int")
     if not widths or runs.where(F.col("n") > most).isEmpty():
         return calm
     parts = runs.where(F.col("n") > most).mapInArrow(_ranged(length, widths[0]), f"{RUN}, seg long, bytes binary")
-    whole, several = _grouped(stage(parts, "ranges"), length, ["bytes"])
-    return calm.union(whole).union(_settled(stage(several, "ranges"), length, most, widths[1:]))
+    whole, several = _grouped(keep(parts, "ranges"), length, ["bytes"], keep)
+    return calm.union(whole).union(_settled(keep(several, "ranges"), length, most, widths[1:], keep))
 
 
-def _grouped(rows: DataFrame, length: int, more: list[str]) -> tuple[DataFrame, DataFrame]:
+def _grouped(rows: DataFrame, length: int, more: list[str], keep) -> tuple[DataFrame, DataFrame]:
     """Stretches of segments that repeat whole, and one row of each segment of a k-gram that has several.
 
     Counts are combined before the shuffle and joined back, so the copies of a hot segment never meet.
     """
-    g = stage(rows.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "pos", "lo", "hi", *more)).alias("r")), "segments")
+    g = keep(rows.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "pos", "lo", "hi", *more)).alias("r")), "segments")
     whole = rows.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    several = stage(g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    several = keep(g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "several")
     return whole, g.join(several, "gram").select("gram", "n", "r.*")
 
 
 def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
     """texts(doc_id, th, text) -> (doc_id, th, start, stop): byte stretches covered by repeated strings; they may overlap."""
-    a = stage(spread(texts).mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
-    shared = stage(a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams")
-    b = stage(a.join(shared, "gram"), "shared")
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(stage(df, name))
+        return made[-1]
+
+    a = keep(spread(texts).mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
+    shared = keep(a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams")
+    b = keep(a.join(shared, "gram"), "shared")
     unstage(a, shared)
-    whole, runs = _grouped(b, length, [])
+    whole, runs = _grouped(b, length, [], keep)
     by_doc = runs.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
     cut = texts.join(by_doc, KEY).select(*KEY, "text", "runs").mapInArrow(_cut(length), f"{RUN}, n long, bytes binary")
-    return whole.union(stage(_settled(stage(cut, "runs"), length, group_rows, (64, 8, 1)), "compared"))
+    spans = whole.union(_settled(keep(cut, "runs"), length, group_rows, (64, 8, 1), keep))
+    out = stage(spans.distinct(), "spans")
+    unstage(*made)
+    return out
 
 
 def _kept(raw: bytes, spans: list | None) -> tuple[bytes, int, int]:
@@ -311,7 +320,7 @@ def _cleaned(docs: DataFrame, rest: tuple[str, ...], as_text: bool, **options: i
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(x) for c, x in zip(rest, names)))
     texts = texts.withColumn("th", F.hash("text"))
     spans = repeated_spans(texts.select("doc_id", "th", "text"), **options)
-    by_doc = spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_doc = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = texts.join(by_doc, KEY, "left").select(*KEY, "text", "spans", *names)
     schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
     out = joined.mapInArrow(_carrying(names, as_text), schema)
