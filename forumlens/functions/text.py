@@ -77,6 +77,12 @@ def parse_list(text: Column, separators: str = ",") -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def keyword_words(text: Column) -> Column:
+    """The words of a stored list of words, or of [word, score] pairs."""
+    pairs = F.transform(F.from_json(text, "array<array<string>>"), lambda x: F.get(x, F.lit(0)))
+    return F.when(F.ltrim(text).rlike(r"^\[\s*\["), pairs).otherwise(parse_list(text))
+
+
 def keywords(text: Column) -> Column:
     """Lower-case distinct keywords of a stored list, without stop words, in order."""
     found = F.transform(parse_list(text, r"[\s,;|/]+"), lambda x: F.lower(F.trim(x)))

@@ -26,6 +26,19 @@ def trained(labelled: DataFrame, features: int = 1 << 16, rounds: int = 30):
     return Pipeline(stages=steps).fit(rows)
 
 
+def embedded(docs: DataFrame, size: int = 384) -> DataFrame:
+    """docs(id, text) -> id, vector: hashed term frequencies on the unit sphere, a declared substitute for a sentence model.
+
+    A text without words has a zero vector.
+    """
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = docs.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}']+)"), 1).alias("words"))
+    rows = Normalizer(inputCol="tf", outputCol="unit").transform(HashingTF(inputCol="words", outputCol="tf", numFeatures=size).transform(words))
+    return rows.select("id", vector_to_array("unit", "float32").alias("vector"))
+
+
 def label_id(column: str):
     c = F.col(column)
     return F.when(c == "negative", float(LABEL_ID["negative"])).when(c == "neutral", float(LABEL_ID["neutral"])).when(c == "positive", float(LABEL_ID["positive"]))

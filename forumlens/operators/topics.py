@@ -38,7 +38,7 @@ def topic_keywords(docs: DataFrame, n: int = 10) -> DataFrame:
     sizes = counts.groupBy("topic_id").agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     corpus = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    scored = counts.join(corpus, "word").join(F.broadcast(sizes), "topic_id").crossJoin(F.broadcast(mean))
+    scored = counts.join(corpus, "word").join(sizes, "topic_id").crossJoin(F.broadcast(mean))
     scored = scored.select("topic_id", "word", (F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("total"))).alias("score"))
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "word")))
     return ranked.where(F.col("place") <= n).select("topic_id", "place", "word", "score")
@@ -52,7 +52,7 @@ def coherence(docs: DataFrame, keywords: DataFrame, n: int = 10) -> DataFrame:
     """
     top = keywords.where(F.col("place") <= n)
     lists = top.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"))
-    texts = docs.join(F.broadcast(lists), "topic_id")
+    texts = docs.join(lists, "topic_id")
     held = texts.select("topic_id", F.filter("words", lambda w: F.contains(F.lower(F.col("text")), w["word"])).alias("held"))
     one = held.select("topic_id", F.explode("held").alias("w")).groupBy("topic_id", F.col("w.place").alias("pb")).agg(F.count("*").alias("d1"))
     a = held.select("topic_id", "held", F.explode("held").alias("a")).select("topic_id", F.col("a.place").alias("pa"), F.explode("held").alias("b"))

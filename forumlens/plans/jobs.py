@@ -44,7 +44,7 @@ def narrative_events(changes: DataFrame, posts: DataFrame, assigned: DataFrame,
     best = first_rows(on_day.withColumn("w", weight), key, F.desc("w"), F.asc("id"), n=3)
     best = best.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "id"))), lambda x: x["id"]).alias("top_post_ids"))
     named = assigned.where("topic_id >= 0").withColumn("date", F.to_date("timestamp")).join(days, key).groupBy(*key, "topic_id").agg(F.count("*").alias("n"))
-    named = first_rows(named, key, F.desc("n"), F.asc("topic_id"), n=5).join(F.broadcast(topics.select("topic_id", "keywords")), "topic_id")
+    named = first_rows(named, key, F.desc("n"), F.asc("topic_id"), n=5).join(topics.select("topic_id", "keywords"), "topic_id")
     terms = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "topic_id", "keywords"))).alias("t"))
     terms = terms.select(*key, F.slice(F.array_distinct(F.flatten(F.transform("t", lambda x: x["keywords"]))), 1, 5).alias("top_terms"))
     label = F.concat(F.when(F.col("magnitude") >= 0, "Positive").otherwise("Negative"), F.lit(" sentiment shift in r/"), "subreddit")

@@ -42,6 +42,8 @@ class Pipeline:
         rows = rows.withColumn("embedding_key", F.when(~F.col("is_filtered"), F.col("id"))).withColumn("processed_at", F.lit(self.as_of))
         sinks.upsert(self.store, "preprocessed", rows)
         done = self.store.read("preprocessed").where(F.col("processed_at") == F.lit(self.as_of)).agg(F.count("*").alias("record_count"), F.count_if(~F.col("is_filtered")).alias("kept_count"), F.count_if("is_filtered").alias("filtered_count"))
+        kept = usable(self.store.read("preprocessed")).select("id", F.col("clean_text").alias("text"))
+        sinks.insert_ignore(self.store, "embeddings", model.embedded(unprocessed(kept, self.store.read("embeddings"), "id")))
         return done.first().asDict()
 
     def weak_labels(self) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import copy
+import functools
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -39,3 +42,28 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(target))
     context._forumlens_sent = True
+
+
+def remembered(seconds: float = 30, most: int = 128, clock=time.monotonic):
+    """Decorator for functions that end in small driver-side results: kept for some seconds, the oldest going first.
+
+    Callers get copies, so that changing a result changes no other caller's.
+    """
+
+    def wrap(f):
+        kept: dict = {}
+
+        @functools.wraps(f)
+        def call(*args, **kwargs):
+            key = (args, tuple(sorted(kwargs.items())))
+            at, value = kept.get(key, (None, None))
+            if at is None or clock() - at >= seconds:
+                kept.pop(key, None)
+                kept[key] = clock(), (value := f(*args, **kwargs))
+                while len(kept) > most:
+                    kept.pop(next(iter(kept)))
+            return copy.deepcopy(value)
+
+        return call
+
+    return wrap

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -91,6 +91,25 @@ def extracted_comments(raw: DataFrame) -> DataFrame:
     return raw.select("id", "parent_id", F.coalesce("body", F.lit("")).alias("content"), F.col("score").alias("upvotes"), F.timestamp_seconds("created_utc").alias("timestamp"), "subreddit", F.coalesce("author", F.lit("[deleted]")).alias("author"), _karma().alias("author_karma"), "post_id", F.lit("comment").alias("content_type"))
 
 
+def flattened_comments(trees: DataFrame, limit: int | None = None, depth: int = 64) -> DataFrame:
+    """trees(post_id, tree: a JSON list of comments with nested `replies`) -> post_id, place, comment (JSON), parents first.
+
+    Level by level, at most `depth` of them and no further than there are replies; `limit` keeps the first so many of each post.
+    """
+    level = trees.select("post_id", F.posexplode(F.from_json("tree", "array<string>")).alias("k", "comment"))
+    level = level.select("post_id", F.array("k").alias("path"), "comment")
+    out = level
+    for _ in range(depth):
+        level = level.select("post_id", "path", F.posexplode(F.from_json(F.get_json_object("comment", "$.replies"), "array<string>")).alias("k", "comment"))
+        level = level.select("post_id", F.concat("path", F.array("k")).alias("path"), "comment")
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    place = F.row_number().over(Window.partitionBy("post_id").orderBy(F.size("path"), "path"))
+    out = out.select("post_id", place.alias("place"), "comment")
+    return out.where(F.col("place") <= limit) if limit is not None else out
+
+
 def _karma():
     return F.coalesce("link_karma", F.lit(0)) + F.coalesce("comment_karma", F.lit(0))
 

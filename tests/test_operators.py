@@ -157,3 +157,38 @@ def test_model(spark):
     said = model.predicted(fitted, split.where("split = 'validation'")).select("id", F.col("label").alias("predicted"))
     report = model.f1_report(split.join(said, "id")).collect()
     assert len(report) == 3 and all(r.f1 > 0.9 for r in report)
+
+
+def test_drift(spark):
+    from forumlens.operators import drift
+
+    a = spark.createDataFrame([("x", 0.9)] * 50 + [("y", 0.5)] * 50, "label string, confidence double")
+    b = spark.createDataFrame([("x", 0.9)] * 20 + [("z", 0.1)] * 20, "label string, confidence double")
+    same = drift.label_shift(a, a).first()
+    assert same.chi_square == 0 and same.degrees == 1
+    assert drift.label_shift(a, b).first().chi_square > 20
+    assert drift.value_shift(a, a).first().distance == 0 and drift.value_shift(a, b).first().distance == pytest.approx(0.5)
+    assert not drift.confidence_alarm(a, 0.6).first().alarm and drift.confidence_alarm(b).first().alarm
+    assert drift.value_shift(a.limit(0), b.limit(0)).first().distance == 0
+
+
+def test_views(spark):
+    from forumlens.operators import views
+
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, -4.0)], "id int, x double")
+    assert [r.x for r in views.min_max(df, "x").orderBy("id").collect()] == [0.75, 1.0, 0.0]
+    assert [r.x for r in views.max_abs(df, "x").orderBy("id").collect()] == [0.5, 1.0, -1.0]
+    assert views.min_max(df.where("id = 1"), "x").first().x == 0.0
+    edges = spark.createDataFrame([(1, 2), (1, 3)], "source int, target int")
+    assert {r.node: (r.neighbours, r.degree) for r in views.neighbours(edges).collect()} == {1: ([2, 3], 2), 2: ([1], 1), 3: ([1], 1)}
+    calls = spark.createDataFrame([(T + dt.timedelta(minutes=m), "a") for m in (0, 5, 10, 30)], "ts timestamp, event_type string")
+    assert [r.recent for r in views.request_rate(calls).orderBy("ts").collect()] == [1, 2, 3, 1]
+    counts = spark.createDataFrame([("negative", 1), ("odd", 2), ("positive", 3)], "label string, n int")
+    assert [(r.label, r.place) for r in views.in_label_order(counts).orderBy("place").collect()] == [("positive", 1), ("negative", 3)]
+    tones = spark.createDataFrame([(x,) for x in (None, 0.5, 0.2, 0.0, -0.2, -0.9)], "x double").select(views.tone(F.col("x"))).collect()
+    assert [r[0] for r in tones] == ["none", "very_positive", "positive", "neutral", "negative", "very_negative"]
+
+
+def test_embedding(spark):
+    rows = model.embedded(spark.createDataFrame([("a", "Good post"), ("b", "good POST!"), ("c", None)], "id string, text string"), 64).orderBy("id").collect()
+    assert rows[0].vector == rows[1].vector and sum(x * x for x in rows[0].vector) == pytest.approx(1) and not any(rows[2].vector)

@@ -233,3 +233,36 @@ def test_streams(spark, store, tmp_path):
         q.awaitTermination()
         assert spark.table(name).count() in (want, want - 1)
     assert incremental.windowed(df).orderBy("start").first().total == 3.0
+
+
+def test_comment_trees(spark):
+    tree = json.dumps([{"id": "a", "replies": [{"id": "a1", "replies": [{"id": "a11"}]}, {"id": "a2"}]}, {"id": "b"}])
+    df = spark.createDataFrame([("p", tree), ("q", "[]"), ("r", None)], "post_id string, tree string")
+    got = readers.flattened_comments(df).orderBy("place").collect()
+    assert [json.loads(r.comment)["id"] for r in got] == ["a", "b", "a1", "a2", "a11"]
+    assert readers.flattened_comments(df, limit=2).count() == 2
+
+
+def test_remembered():
+    from forumlens.session import remembered
+
+    now, made = [0.0], []
+
+    @remembered(30, most=2, clock=lambda: now[0])
+    def f(x):
+        made.append(x)
+        return [x]
+
+    f(1).append(9)
+    assert f(1) == [1] and made == [1]
+    now[0] = 31
+    assert f(1) == [1] and made == [1, 1]
+    f(2), f(3), f(1)
+    assert made == [1, 1, 2, 3, 1]
+
+
+def test_keyword_pairs(spark):
+    from forumlens.functions import text
+
+    df = spark.createDataFrame([('[["ai", 0.5], ["gpu", 0.1]]',), ('["ai", "gpu"]',), ("ai, gpu",)], "k string")
+    assert [r[0] for r in df.select(text.keyword_words(F.col("k"))).collect()] == [["ai", "gpu"]] * 3
