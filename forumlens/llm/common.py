@@ -165,8 +165,9 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[n
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds (rows here, bytes in slices()), and send this package to the executors."""
+    """Bound what one Arrow batch holds, in rows and bytes, and send this package to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     ship(spark)
 
 

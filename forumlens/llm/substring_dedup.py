@@ -227,13 +227,20 @@ def _ranged(length: int, width: int):
 
 
 KEY = ["doc_id", "th"]
+
+
+def _span(start, stop):
+    """A stretch as one number: lists of them are plain arrays of longs, in order of start."""
+    return (F.shiftleft(start.cast("long"), 32) + stop).alias("span")
+
+
 RUN = "doc_id long, th int, pos int, lo int, hi int, gram long"
 
 
 def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...], keep) -> DataFrame:
     """runs(RUN, n, bytes) of k-grams with n different segments -> their repeated stretches. keep stages a table."""
     calm = runs.where(F.col("n") <= most) if widths else runs
-    calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "doc_id long, th int, start int, stop int")
+    calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "doc_id long, th int, start int, stop int").select(*KEY, _span(F.col("start"), F.col("stop")))
     if not widths or runs.where(F.col("n") > most).isEmpty():
         return calm
     parts = runs.where(F.col("n") > most).mapInArrow(_ranged(length, widths[0]), f"{RUN}, seg long, bytes binary")
@@ -247,13 +254,13 @@ def _grouped(rows: DataFrame, length: int, more: list[str], keep) -> tuple[DataF
     Counts are combined before the shuffle and joined back, so the copies of a hot segment never meet.
     """
     g = keep(rows.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "pos", "lo", "hi", *more)).alias("r")), "segments")
-    whole = rows.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    whole = rows.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*KEY, _span(F.col("lo"), F.col("hi") + length))
     several = keep(g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "several")
     return whole, g.join(several, "gram").select("gram", "n", "r.*")
 
 
 def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
-    """texts(doc_id, th, text) -> (doc_id, th, start, stop): byte stretches covered by repeated strings; they may overlap."""
+    """texts(doc_id, th, text) -> (doc_id, th, span): byte stretches covered by repeated strings (see _span); they may overlap."""
     made: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -273,33 +280,29 @@ def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, grou
     return out
 
 
-def _kept(raw: bytes, spans: list | None) -> tuple[bytes, int, int]:
+def _kept(raw: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     """Bytes outside the spans, how many were inside, and the number of maximal runs inside."""
-    if not spans:
+    if not len(spans):
         return raw, 0, 0
-    parts, at, removed, runs, end = [], 0, 0, 0, -1
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
-        if start > end:
-            runs += 1
-            parts.append(raw[at:start])
-            at = start
-        if stop > end:
-            removed += stop - max(start, end) if start <= end else stop - start
-            end = at = max(end, stop)
-    parts.append(raw[at:])
-    return b"".join(parts), removed, runs
+    spans = np.sort(spans)
+    start, stop = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+    start, stop = start[new].tolist(), stop[np.concatenate([new[1:], [len(spans)]]) - 1].tolist()
+    kept = b"".join([raw[a:b] for a, b in zip([0, *stop], [*start, len(raw)])])
+    return kept, len(raw) - len(kept), len(start)
 
 
 def _removed(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    for whole in batches:
-        for batch in slices(whole, "text", 1 << 22):
-            rows = []
-            for doc, th, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "spans"))):
-                raw = text.encode()
-                kept, removed, runs = _kept(raw, spans)
-                rows.append((doc, th, len(raw), removed, runs, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+    for batch in batches:
+        spans = batch.column("spans")
+        values, at = spans.values.to_numpy(zero_copy_only=False), spans.offsets.to_numpy()
+        rows = []
+        for doc, th, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), at, at[1:]):
+            raw = text.encode()
+            kept, removed, runs = _kept(raw, values[a:b])
+            rows.append((doc, th, len(raw), removed, runs, kept))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
 
 def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
@@ -320,7 +323,7 @@ def _cleaned(docs: DataFrame, rest: tuple[str, ...], as_text: bool, **options: i
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(x) for c, x in zip(rest, names)))
     texts = texts.withColumn("th", F.hash("text"))
     spans = repeated_spans(texts.select("doc_id", "th", "text"), **options)
-    by_doc = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_doc = spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
     joined = texts.join(by_doc, KEY, "left").select(*KEY, "text", "spans", *names)
     schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
     out = joined.mapInArrow(_carrying(names, as_text), schema)
