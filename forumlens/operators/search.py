@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
 from ..functions.vector import cosine
+from .filters import first_rows
 
 
 def vector_search(vectors: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
@@ -17,6 +20,51 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = 10) -> Da
     return vectors.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+    """vectors(id, vector), queries(id, vector) -> query_id, id, score: the k nearest rows of each query, exactly.
+
+    Queries come in blocks of bounded size; each block meets each partition in one matrix product, and only
+    a partition's own k best leave it. Equal scores (to four places) go to the lesser id. Null vectors match nothing.
+    """
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+
+    def nearest(shared):
+        def run(batches):
+            ids, q = shared.value
+            q = np.array(q, float)
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            for batch in batches:
+                v = np.array(batch["vector"].tolist(), float)
+                norm = np.linalg.norm(v, axis=1)
+                score = np.round(np.maximum(q @ (v / np.where(norm > 0, norm, 1)[:, None]).T, 0), 4)
+                key = batch["id"].to_numpy()
+                for i, s in enumerate(score):
+                    top = np.lexsort((key, -s))[:k]
+                    best[i] = sorted([*best[i], *zip((-s[top]).tolist(), key[top].tolist())])[:k]
+            yield pd.DataFrame([(x, i, -s) for x, found in zip(ids, best) for s, i in found], columns=["query_id", "id", "score"])
+
+        return rows.mapInPandas(run, "query_id long, id long, score double")
+
+    found, part = None, []
+    context = vectors.sparkSession.sparkContext
+
+    def flush():
+        nonlocal found, part
+        if part:
+            one = nearest(context.broadcast(tuple(zip(*part))))
+            found, part = one if found is None else found.union(one), []
+
+    for r in queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null").toLocalIterator():
+        part.append((r["id"], r["vector"]))
+        if len(part) >= block:
+            flush()
+    flush()
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    return first_rows(found, ["query_id"], F.desc("score"), F.asc("id"), n=k)
+
+
 def lexical_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """docs(id, text) -> the ids of most overlap with the query; rows without any are left out."""
     wanted = list(dict.fromkeys(re.findall("[a-z0-9]{3,}", query.lower())))

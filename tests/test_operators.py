@@ -192,3 +192,15 @@ def test_views(spark):
 def test_embedding(spark):
     rows = model.embedded(spark.createDataFrame([("a", "Good post"), ("b", "good POST!"), ("c", None)], "id string, text string"), 64).orderBy("id").collect()
     assert rows[0].vector == rows[1].vector and sum(x * x for x in rows[0].vector) == pytest.approx(1) and not any(rows[2].vector)
+
+
+def test_search_of_many(spark):
+    rows = [(i, [float(i % 3), float(i % 2), 1.0]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    some = df.where("id % 10 = 0")
+    one, many = (sorted(map(tuple, search.vector_search_many(df, some, k=5, block=b).collect())) for b in (2, 100))
+    assert one == many and len(one) == 20
+    for q in (0, 10, 20, 30):
+        want = [(r.id, r.score) for r in search.vector_search(df.where("vector is not null"), rows[q][1], 5).collect()]
+        assert sorted(want) == sorted((i, s) for x, i, s in one if x == q)
+    assert search.vector_search_many(df, some.limit(0)).count() == 0
