@@ -1,20 +1,9 @@
-import random
-
 import pytest
+from llm_helpers import prose
 
-WORDS = [a + b for a in ("lo", "mi", "ta", "ren", "sol", "vek", "du", "pra") for b in ("na", "rit", "som", "el", "ka", "", "tu", "wen")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rejected string, band string, th string, hit string"
 
 
-def prose(seed, n):
-    r = random.Random(seed)
-    out = []
-    for i in range(n):
-        w = r.choice(WORDS) or "a"
-        out.append(w.capitalize() if i % 9 == 0 else w + ("." if i % 9 == 8 else ""))
-    return " ".join(out)
-
-
 @pytest.fixture
 def documents(spark):
     """(doc_id, text) pairs -> a table with more columns, whose names clash with internal ones."""

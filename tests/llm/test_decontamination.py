@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import decontamination as D
 

@@ -1,7 +1,7 @@
 import html
 import random
 
-from conftest import prose
+from llm_helpers import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

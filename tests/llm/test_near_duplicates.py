@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import near_duplicates as N
 from forumlens.llm.common import binary_column, shingles_of

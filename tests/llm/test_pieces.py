@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import pieces
 

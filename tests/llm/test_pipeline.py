@@ -1,5 +1,5 @@
 import pytest
-from conftest import prose
+from llm_helpers import prose
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import quality_classifier as Q
 

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import quality_rules as Q
 

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from conftest import prose
+from llm_helpers import prose
 
 from forumlens.llm import substring_dedup as S
 
