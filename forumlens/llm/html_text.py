@@ -32,7 +32,11 @@ UNLIKELY = {
     "cookie", "cookies", "disqus", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
     "notice", "notification", "outbrain", "pagination", "pager", "popup", "promo", "promoted", "recommended", "related", "replies", "respond", "share",
     "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "widget", "topbar", "alert",
+    "adsbygoogle", "adslot", "adbox", "adunit", "leaderboard", "reactions", "responses",
 }
+REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "response", "responses"}
+#: The same inside run-together names.
+RUN_TOGETHER = re.compile(r"cookie(?:banner|bar|notice|consent|law)|side_?bar|advert|newsletter|breadcrumb|paginat|masthead|disqus|sponsor|navbar|navmenu|commentlist|commentsection|usercomments|popup")
 LIKELY = {"article", "body", "content", "entry", "hentry", "main", "page", "post", "story", "text", "blog"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 TAG_POINTS = {"article": 10, "main": 8, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "section": 2}
@@ -59,8 +63,13 @@ class Node:
             words = SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}".lower())
             self.words = frozenset(words)
             style = found.get("style", "").replace(" ", "").lower()
-            if tag not in ("body", "html", "article", "main"):
-                self.skip |= bool(UNLIKELY & self.words) and not {"article", "main", "content"} & self.words
+            if tag == "article":
+                self.skip |= bool(REMARKS & self.words)
+            elif tag not in ("body", "html", "main"):
+                unlikely = UNLIKELY & self.words
+                if unlikely == {"header"} and {"article", "post", "entry", "content", "story"} & self.words:
+                    unlikely = frozenset()  # the head of the text itself
+                self.skip |= bool(unlikely) or bool(RUN_TOGETHER.search(" ".join(words)))
                 self.skip |= found.get("role", "").lower() in ROLES
             self.skip |= "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden", "").lower() == "true"
 
@@ -154,7 +163,7 @@ def skipped(node: Node) -> bool:
     return False
 
 
-def scored(root: Node) -> Node | None:
+def scored(root: Node) -> Node:
     """The best container: characters, link characters and commas rise from each node, points from each paragraph."""
     nodes = []
     for node, done in in_order(root):
@@ -189,7 +198,10 @@ def scored(root: Node) -> Node | None:
             if node.points > top:
                 best, top = node, node.points
     if best is not None:
-        return best
+        up = best
+        while up is not None and up.tag != "article":
+            up = up.parent
+        return up or best  # an article element holds all of its text
     for tag in ("article", "main", "body"):
         for node in nodes:
             if node.tag == tag and node.chars:
@@ -212,7 +224,7 @@ def kept(best: Node) -> list[Node]:
             out.append(node)
         elif isinstance(node, Node) and not skipped(node):
             dense = link_density(node)
-            if node.points >= least or node.tag in ("p", "pre", "blockquote") and (node.chars > 80 and dense < 0.25 or 0 < node.chars <= 80 and not node.linked):
+            if node.points >= least or node.points and node.tag == best.tag and node.words == best.words or node.tag in ("p", "pre", "blockquote") and (node.chars > 80 and dense < 0.25 or 0 < node.chars <= 80 and not node.linked):
                 out.append(node)
             elif node.tag in ("h1", "h2", "h3") and node.chars and dense < 0.5:
                 out.append(node)
@@ -253,9 +265,18 @@ def main_text(page: str | None) -> str:
     """The article of a page; empty for a null, empty or text-free page."""
     if not page or page.isspace():
         return ""
-    root = parsed(page)
-    best = scored(root)
-    return text_of(kept(best)) if best is not None and best.chars else ""
+    best = scored(parsed(page))
+    if best.chars:
+        return text_of(kept(best))
+    if "<form" in page.lower():  # some sites wrap the whole page in one form
+        root = parsed(page)
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            node.skip &= node.tag != "form"
+            stack += [c for c in node.children if isinstance(c, Node)]
+        best = scored(root)
+    return text_of(kept(best)) if best.chars else ""
 
 
 def extract_html(pages: DataFrame) -> DataFrame:

@@ -43,6 +43,25 @@ def test_header_inside_the_article_counts():
     assert main_text("<body><header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>" + prose(1, 30) + "</p></article></body>") == "Head\n" + prose(1, 30)
 
 
+def test_parts_of_one_article():
+    parts = [prose(k, 30 if k else 120) + ", end" for k in range(3)]
+    assert main_text("<body><article><div class=a><p>" + parts[0] + "</p></div><div class=b><p>" + parts[1] + "</p></div><section><p>" + parts[2] + "</p></section></article></body>") == "\n".join(parts)
+    assert main_text("<body><div><div class=part><p>" + parts[0] + "</p></div><div class=part><p>" + parts[1] + "</p></div></div></body>") == "\n".join(parts[:2])
+
+
+def test_names_of_boilerplate():
+    text, other = prose(1, 80), "Words, many words, of other matters, which the reader does not want, at all."
+    for junk in ('<div class="article-comments">', '<section class="main-sidebar">', '<div id="cookieBanner">', '<article class="comment">', '<div class="content-ad">', '<ins class="adsbygoogle">', '<div role="alert">', '<ol class="commentlist">', "<div hidden>"):
+        tag = junk[1:].split()[0].rstrip(">")
+        assert main_text(f"<body><div class=story><p>{text}</p></div>{junk}<p>{other}</p></{tag}></body>") == text, junk
+        assert main_text(f"<body><article><p>{text}</p>{junk}<p>{other}</p></{tag}></article></body>") == text, junk
+    assert main_text(f'<body><article><div class="article-header"><h1>Head</h1></div><p>{text}</p></article></body>') == "Head\n" + text
+
+
+def test_page_inside_a_form():
+    assert main_text("<body><form action=/><div><p>" + prose(1, 50) + "</p></div></form></body>") == prose(1, 50)
+
+
 def test_edges():
     for t in (None, "", "  ", "<p></p>", "<script>x</script>", "<!-- x"):
         assert main_text(t) == ""
