@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -179,6 +181,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept and would otherwise hold the most they ever had."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -210,7 +219,7 @@ def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 1 << 21):
+            for batch in slices(whole, text, 1 << 19):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(text))], names=names)
 
     out = inner.mapInArrow(run, schema)

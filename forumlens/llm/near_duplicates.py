@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage, unstage
+from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage, trim, unstage
 from .components import components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -82,7 +82,7 @@ def _banded(size: int, bands: int, rows: int):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 20):
                 data, offsets = binary_column(batch.column("text"))
                 value, at = shingles_of(data, offsets, size)
                 n = batch.num_rows
@@ -101,8 +101,8 @@ def _verified(size: int, least: float):
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
         for whole in batches:
-            for half in slices(whole, "text_a", 1 << 21):
-                for batch in slices(half, "text_b", 1 << 21):
+            for half in slices(whole, "text_a", 1 << 19):
+                for batch in slices(half, "text_b", 1 << 19):
                     n = batch.num_rows
                     (da, sa, ca), (db, sb, cb) = (counted(*shingles_of(*binary_column(batch.column(c)), size)) for c in ("text_a", "text_b"))
                     d, s, c = np.concatenate([da, db]), np.concatenate([sa, sb]), np.concatenate([ca, cb])
@@ -179,14 +179,17 @@ def _joined_blocks(size: int, least: float):
                 yield zip(*rows)
 
         for rep, component, texts in blocks():
-            if links := list(join(list(rep), list(component), list(texts))):
+            links = list(join(list(rep), list(component), list(texts)))
+            if len(texts) > BLOCK_TEXTS // 4:
+                trim()
+            if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=schema)
 
     return run
 
 
 #: Items whose overlaps are counted at once in a block, and texts and words of half a block.
-COLUMNS, BLOCK_TEXTS, BLOCK_WORDS = 8192, 256, 2_000_000
+COLUMNS, BLOCK_TEXTS, BLOCK_WORDS = 8192, 256, 250_000
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, bands: int = 36, rows: int = 7) -> DataFrame:

@@ -236,7 +236,7 @@ def learned_marks(docs: DataFrame, labels: DataFrame, bound: int) -> Marks:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 19):
                 h, doc, s, e, low = hashed_words(*binary_column(batch.column("text")))
                 one = distinct_words(h, doc)
                 h, doc, s, e = h[one], doc[one], s[one], e[one]
@@ -295,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000,
 
     def vote(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 19):
                 found = labelled(batch.column("text"), learned)
                 yield pa.RecordBatch.from_arrays([pa.array(_codes(found.votes[a])) for a in ASPECTS], names=list(ASPECTS))
 
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000,
 
     def drawn(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 19):
                 found = labelled(batch.column("text"), learned)
                 cells = [batch.column("key")]
                 for aspect in ASPECTS:

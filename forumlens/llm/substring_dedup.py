@@ -31,7 +31,7 @@ from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepar
 
 NO_ID = -(1 << 63)
 #: Starts of windows that are hashed at once.
-STARTS = 1 << 21
+STARTS = 1 << 20
 
 
 def _least(key: np.ndarray, window: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _anchored(length: int, k: int):
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 20):
                 data, offsets = binary_column(batch.column("text"))
                 doc, lo, hi, pos, gram = anchors(data, offsets, length, k)
                 raw = data.tobytes()
