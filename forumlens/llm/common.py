@@ -103,7 +103,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at once; longer inputs are cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,6 +186,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
 
 def trim() -> None:
     """Give freed memory back to the system: workers are kept and would otherwise hold the most they ever had."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

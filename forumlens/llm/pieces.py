@@ -38,7 +38,7 @@ def vocabulary(model_file: str) -> dict:
 class Encoder:
     """Encodes and decodes with one vocabulary. Caches are bounded and only save time."""
 
-    WORDS, PAIRS, LONGEST = 300_000, 1_000_000, 48
+    WORDS, PAIRS, LONGEST = 200_000, 1_000_000, 48
 
     def __init__(self, vocab: dict):
         self.pieces, self.end, self.unknown = vocab["pieces"], vocab["end"], vocab["unknown"]

@@ -31,7 +31,7 @@ from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepar
 
 NO_ID = -(1 << 63)
 #: Starts of windows that are hashed at once.
-STARTS = 1 << 20
+STARTS = 1 << 19
 
 
 def _least(key: np.ndarray, window: int) -> np.ndarray:
