@@ -81,9 +81,9 @@ def lexicon(words: list[str]) -> np.ndarray:
     return np.sort(hashed_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
 
 
-#: Learned evidence (summed log-odds) that makes a document toxic, and below which it counts as none;
-#: long documents meet marks by chance, so both rise with the number of words.
-MUCH, LITTLE, MUCH_A_WORD, LITTLE_A_WORD = 9.0, 4.5, 0.006, 0.003
+#: Learned evidence (summed log-odds of different words) of a stretch of text that makes a document toxic,
+#: and below which it counts as none. A stretch has STRETCH words at most and starts every half of that.
+MUCH, LITTLE, STRETCH = 9.0, 4.5, 1500
 
 
 @dataclass
@@ -104,6 +104,37 @@ class Marks:
         return out
 
 
+def worst_stretch(evidence: np.ndarray, one: np.ndarray, h: np.ndarray, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each document, the most evidence that one stretch of it holds, each word counting once a stretch.
+
+    The most of k stretches exceeds what one has by chance, at summed log-odds by log k: that is taken off.
+    evidence is that of the words at places `one`, one occurrence of each word of a document; h and doc are of all words.
+    """
+    n = len(words)
+    out = np.bincount(doc[one], evidence, n) if len(one) else np.zeros(n)
+    marked = evidence > 0
+    long = (words > STRETCH) & (out > 0)
+    if not long.any():
+        return out
+    keys, first = np.unique(h[one][marked], return_index=True)
+    odds = evidence[marked][first]
+    at = np.flatnonzero(long[doc])
+    key = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+    hit = keys[key] == h[at]
+    at, key = at[hit], key[hit]
+    half = STRETCH // 2
+    block = (at - (np.cumsum(words) - words)[doc[at]]) // half
+    last = np.maximum(-(-words // half) - 2, 0)  # the document's last stretch
+    stretch = np.concatenate([np.minimum(block, last[doc[at]]), np.maximum(block - 1, 0)])
+    found = np.unique(np.stack([np.tile(doc[at], 2), stretch, np.tile(key, 2)]), axis=1)
+    new = np.ones(found.shape[1], bool)
+    new[1:] = (found[:2, 1:] != found[:2, :-1]).any(axis=0)
+    start = np.flatnonzero(new)
+    worst = np.zeros(n)
+    np.maximum.at(worst, found[0, start], np.add.reduceat(odds[found[2]], start))
+    return np.where(long, np.maximum(worst - np.log(last + 1), 0), out)
+
+
 NO_MARKS = Marks(np.zeros(0, np.uint64), np.zeros(0))
 
 
@@ -130,7 +161,8 @@ def labelled(column: pa.Array, learned: Marks) -> Votes:
     some = np.maximum(words, 1)
     again = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n) / some if len(h) else np.zeros(n)
     one = distinct_words(h, doc)
-    h, doc, s, e = h[one], doc[one], s[one], e[one]
+    taught = worst_stretch(learned.evidence(h[one], s[one], e[one], low), one, h, doc, words)
+    h, doc = h[one], doc[one]
     distinct = np.bincount(doc, minlength=n) / some
     measures = {
         "symbols": share["symbol"] / some,
@@ -150,9 +182,8 @@ def labelled(column: pa.Array, learned: Marks) -> Votes:
         return np.bincount(doc[found], minlength=n)
 
     first, second = hits(insults[::2]), hits(insults[1::2])
-    taught = np.bincount(doc, learned.evidence(h, s, e, low), n) if len(doc) else np.zeros(n)
-    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught >= np.maximum(MUCH, MUCH_A_WORD * words), BAD, NONE), np.where((first + second == 0) & (taught < np.maximum(LITTLE, LITTLE_A_WORD * words)), GOOD, NONE)]
-    measures["taught"] = np.minimum(taught / np.maximum(10, 0.01 * words), 0.99)
+    toxic = [np.where(first > 0, BAD, NONE), np.where(second > 0, BAD, NONE), np.where(first + second > 1, BAD, NONE), np.where(taught >= MUCH, BAD, NONE), np.where((first + second == 0) & (taught < LITTLE), GOOD, NONE)]
+    measures["taught"] = np.minimum(taught / np.maximum(10, 0.01 * np.minimum(words, STRETCH)), 0.99)
     bins = np.stack([np.minimum((x * 10).astype(np.int64), 9) for x in measures.values()], axis=1) if n else np.zeros((0, len(measures)), np.int64)
     return Votes({"junk": np.stack(junk, axis=1), "toxic": np.stack(toxic, axis=1)}, bins, h, doc)
 

@@ -81,3 +81,45 @@ def test_training_learns_and_stays_sparse():
     w = Q.train(rows, y)
     assert w[5000] > 2 and np.mean([(w[x].sum() + w[-1] > 0) == t for x, t in zip(rows, y)]) > 0.99
     assert (w != 0).sum() < 1500
+
+
+LANGUAGES = {"en": ("sh", "th", "w", "ee"), "de": ("sch", "ü", "tz", "ei"), "fr": ("é", "eau", "qu", "oi"), "es": ("ñ", "ll", "ía", "rr")}
+
+
+def in_language(lang, seed, n, toxic=0):
+    """n words of 4,000 of a language's own, with so many of its 12 marked ones among every 100."""
+    r, parts = random.Random(seed), LANGUAGES[lang]
+    words = [f"{parts[k % 4]}{'aeiou'[k // 4 % 5]}{'bdfgkmnprt'[k // 20 % 10]}{'aeiou'[k // 200 % 5]}{parts[k // 1000]}" for k in range(4000)]
+    out = r.choices(words, k=n)
+    for at in range(0, n, 100):
+        for k in r.sample(range(12), toxic):
+            out[r.randrange(at, min(at + 100, n))] = f"{'bcdfghjklmnp'[k]}yx{parts[0]}"
+    return " ".join(out)
+
+
+def test_long_texts_are_judged_like_short_ones(documents, spark):
+    short = [(lang, i, (0, 0, 0, 6)[i % 4]) for lang in LANGUAGES for i in range(100)]
+    rows = [(k, in_language(lang, f"{lang}{i}", 100, toxic)) for k, (lang, i, toxic) in enumerate(short)]
+    known = spark.createDataFrame([(k, 1, int(toxic > 0)) for k, (_, _, toxic) in enumerate(short)], "doc_id long, quality int, toxic int")
+    long, want = [], {}
+    for lang in LANGUAGES:
+        clean = [in_language(lang, f"{lang}-long{k}", 10_000) for k in range(2)]
+        for text, toxic in ((" ".join(clean), False), (in_language(lang, f"{lang}-toxic", 20_000, 6), True), (" ".join([clean[0], in_language(lang, f"{lang}-part", 100, 8), clean[1]]), True)):
+            want[1000 + len(long)] = toxic
+            long.append((1000 + len(long), text))
+    out = {r.doc_id: r for r in Q.classify(documents(rows + long), known).collect()}
+    assert {i: out[i].rejected for i in want} == want
+
+
+def test_worst_stretch_is_that_of_a_plain_count():
+    r = np.random.default_rng(3)
+    sizes = [0, 40, Q.STRETCH, Q.STRETCH + 1, 2 * Q.STRETCH, 5000, 20_011]
+    texts = [r.integers(0, 400, n) for n in sizes]
+    odds = np.where(np.arange(400) % 40 == 0, np.arange(400) / 100, 0)
+    h, doc = np.concatenate(texts).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    one = Q.distinct_words(h, doc)
+    got = Q.worst_stretch(odds[h[one].astype(int)], one, h, doc, np.array(sizes))
+    for text, found in zip(texts, got):
+        starts = [0] if len(text) <= Q.STRETCH else range(0, len(text) - Q.STRETCH // 2, Q.STRETCH // 2)
+        want = max(odds[np.unique(text[k : k + Q.STRETCH])].sum() for k in starts) - np.log(len(starts))
+        assert abs(found - max(want, 0)) < 1e-9
