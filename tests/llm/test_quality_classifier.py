@@ -123,3 +123,11 @@ def test_worst_stretch_is_that_of_a_plain_count():
         starts = [0] if len(text) <= Q.STRETCH else range(0, len(text) - Q.STRETCH // 2, Q.STRETCH // 2)
         want = max(odds[np.unique(text[k : k + Q.STRETCH])].sum() for k in starts) - np.log(len(starts))
         assert abs(found - max(want, 0)) < 1e-9
+
+
+def test_all_marks_are_learned(documents, spark):
+    marks = [f"{k:03d}insulting".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(900)]
+    rows = [(i, " ".join([prose(i, 20), *(marks if i < 6 else [])])) for i in range(200)]
+    known = spark.createDataFrame([(i, 1, int(i < 6)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    learned = Q.learned_marks(documents(rows), known, 6000)
+    assert len(learned.hashes) == 6 * 900 and set(Q.lexicon(marks)) <= set(learned.hashes)
