@@ -35,6 +35,11 @@ UNLIKELY = {
     "adsbygoogle", "adslot", "adbox", "adunit", "leaderboard", "reactions", "responses",
 }
 REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "response", "responses"}
+#: First or last parts of a name that only tells the state or layout of what holds the content ("has-sidebar", "comments-open").
+STATE_FIRST = {"has", "have", "no", "not", "with", "without", "hide", "show"}
+STATE_LAST = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off"}
+#: Names of the page's frame, which may stand on an element around the content itself.
+FRAME = {"banner", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "social", "toolbar", "topbar", "widget"}
 #: The same inside run-together names.
 RUN_TOGETHER = re.compile(r"cookie(?:banner|bar|notice|consent|law)|side_?bar|advert|newsletter|breadcrumb|paginat|masthead|disqus|sponsor|navbar|navmenu|commentlist|commentsection|usercomments|popup")
 LIKELY = {"article", "body", "content", "entry", "hentry", "main", "page", "post", "story", "text", "blog"}
@@ -44,13 +49,14 @@ TAG_POINTS = {"article": 10, "main": 8, "div": 5, "pre": 3, "td": 3, "blockquote
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|>|->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WHITE = re.compile(r"\s+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
     """An element: its children are nodes and (decoded) strings in order."""
 
-    __slots__ = ("tag", "parent", "children", "words", "skip", "points", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "words", "skip", "points", "chars", "linked", "commas", "named")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
@@ -58,21 +64,40 @@ class Node:
         self.skip = tag in BOILERPLATE
         self.points = 0.0
         self.chars = self.linked = self.commas = 0
+        self.named = ""
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {k.lower(): v.strip("\"'") if v else "" for k, v in ATTRIBUTE.findall(attributes)}
-            words = SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}".lower())
+            names = f"{found.get('class', '')} {found.get('id', '')}"
+            words = SPLIT.split(names.lower())
             self.words = frozenset(words)
             style = found.get("style", "").replace(" ", "").lower()
-            if tag == "article":
-                self.skip |= bool(REMARKS & self.words)
-            elif tag not in ("body", "html", "main"):
-                unlikely = UNLIKELY & self.words
-                if unlikely == {"header"} and {"article", "post", "entry", "content", "story"} & self.words:
-                    unlikely = frozenset()  # the head of the text itself
-                self.skip |= bool(unlikely) or bool(RUN_TOGETHER.search(" ".join(words)))
+            if UNLIKELY & self.words or REMARKS & self.words or RUN_TOGETHER.search(" ".join(words)):
+                self.named = self.name_of_boilerplate(names.split())
+            if tag not in ("article", "body", "html", "main"):
                 self.skip |= found.get("role", "").lower() in ROLES
             self.skip |= "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden", "").lower() == "true"
 
+    def name_of_boilerplate(self, names: list[str]) -> str:
+        """How classes and id mark boilerplate: "remarks", "frame", "other", or not at all ("")."""
+        split = [[w for w in SPLIT.split(HUMP.sub("-", n).lower()) if w] for n in names]
+        split = [SPLIT.split(n.lower()) for n, w in zip(names, split) if not (len(w) > 1 and (w[0] in STATE_FIRST or w[-1] in STATE_LAST))]
+        words = {w for n in split for w in n}
+        if self.tag == "article":
+            return "remarks" if REMARKS & words else ""
+        if self.tag in ("body", "html", "main"):
+            return ""
+        unlikely = UNLIKELY & words
+        if unlikely == {"header"} and {"article", "post", "entry", "content", "story"} & words:
+            return ""  # the head of the text itself
+        run_together = {m[0] for n in split for m in RUN_TOGETHER.finditer(" ".join(n))}
+        if not unlikely and not run_together:
+            return ""
+        if REMARKS & words or any("comment" in m for m in run_together):
+            return "remarks"
+        if unlikely | run_together <= FRAME:
+            return "" if any(len(n) == 1 and n[0] in LIKELY for n in split) else "frame"
+        return "other"
+
 
 def parsed(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers do for the common cases."""
@@ -140,6 +165,43 @@ def parsed(page: str) -> Node:
             at = node
 
 
+def unnamed(root: Node) -> Node:
+    """The tree with skip set by names of boilerplate, except where such a name stands on what holds the content.
+
+    That is an element with a main element inside, or with over half of the page's text outside links, remarks
+    and other boilerplate: named after the page's frame, or with an article element inside. Remarks of readers never count.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.skip:
+            order.append(node)
+            stack += [c for c in node.children if isinstance(c, Node)]
+    if not any(node.named for node in order):
+        return root
+    free: dict[Node, int] = {}
+    holds: dict[Node, set[str]] = {}
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and not c.skip]
+        free[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(free.pop(c) for c in inside)
+        holds[node] = {node.tag} & {"article", "main"} if node.named != "remarks" else set()
+        for c in inside:
+            holds[node] |= holds.pop(c) if c.named != "remarks" else set()
+        if node.named:
+            node.points = free[node]  # until the page's total is known
+            if "main" in holds[node] and node.named != "remarks":
+                node.named = ""
+            elif node.named == "other" and "article" in holds[node]:
+                node.named = "frame"
+            if node.named in ("remarks", "other"):
+                free[node] = 0
+    for node in order:
+        if node.named:
+            node.skip = node.named != "frame" or 2 * node.points <= free[root]
+        node.points = 0.0
+    return root
+
+
 def in_order(root: Node):
     """(node, whether it ends here) in document order, without what is skipped, and without recursion."""
     stack: list[tuple[Node, bool]] = [(root, False)]
@@ -265,7 +327,7 @@ def main_text(page: str | None) -> str:
     """The article of a page; empty for a null, empty or text-free page."""
     if not page or page.isspace():
         return ""
-    best = scored(parsed(page))
+    best = scored(unnamed(parsed(page)))
     if best.chars:
         return text_of(kept(best))
     if "<form" in page.lower():  # some sites wrap the whole page in one form
@@ -275,7 +337,7 @@ def main_text(page: str | None) -> str:
             node = stack.pop()
             node.skip &= node.tag != "form"
             stack += [c for c in node.children if isinstance(c, Node)]
-        best = scored(root)
+        best = scored(unnamed(root))
     return text_of(kept(best)) if best.chars else ""
 
 

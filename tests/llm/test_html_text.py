@@ -83,3 +83,13 @@ def test_operator(spark):
     out = extract_html(spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")).collect()
     assert sorted((r.text, r.n_chars) for r in out) == sorted([(prose(1, 40), len(prose(1, 40)))] * 2 + [("", 0)] * 2)
     assert extract_html(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_names_on_what_holds_the_content():
+    text, other = prose(1, 80) + "\n" + prose(2, 60), "Words, many words, of other matters, which the reader does not want, at all."
+    body = "".join(f"<p>{p}</p>" for p in text.split("\n"))
+    for tag in ('div class="content has-sidebar"', 'div class="content no-sidebar"', 'div class="hasSidebar"', 'div class="content sidebar"', 'div id="sidebar-layout"', 'div class="page-header-fixed"', 'article class="post has-comments"', 'article class="post comments-open"'):
+        end = tag.split()[0]
+        assert main_text(f"<body><{tag}>{body}<div class=sidebar><p>{other}</p></div><div id=comments><p>{other}</p></div></{end}></body>") == text, tag
+        assert main_text(f'<body><div class="sidebar"><p>{other}</p></div><{tag}>{body}</{end}><div class="comments"><p>{other * 20}</p></div></body>') == text, tag
+    assert main_text(f'<body><div class="ads-layout"><main>{body}</main></div></body>') == text
