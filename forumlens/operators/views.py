@@ -53,3 +53,11 @@ def word_counts(docs: DataFrame, stopwords: list[str], n: int = 100) -> DataFram
     """The n most frequent words of three letters and more, without the stop words."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{3,})\b"), 1)).alias("word"))
     return words.where(~F.col("word").isin(*stopwords)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+
+
+def last_weeks(weeks: DataFrame, values: str, n: int = 12) -> DataFrame:
+    """weeks(topic_id, week_start, values) -> a row a topic, with its values of the last n weeks present, week_0 the oldest of them."""
+    present = weeks.select("week_start").distinct().orderBy(F.desc("week_start")).limit(n)
+    place = present.withColumn("place", F.row_number().over(Window.orderBy("week_start")) - 1)  # n rows
+    placed = weeks.join(F.broadcast(place), "week_start", "left")
+    return placed.groupBy("topic_id").agg(*(F.max(F.when(F.col("place") == k, F.col(values))).alias(f"week_{k}") for k in range(n)))

@@ -150,6 +150,13 @@ def topic_heatmap_pivot(d: Domain) -> DataFrame:
     return weeks.groupBy("topic_id").pivot("week", list(range(12))).agg(r6(F.first("avg_sentiment"))).select("topic_id", *(F.col(f"`{k}`").alias(f"week_{k}") for k in range(12)))
 
 
+@query(""", placed AS (SELECT week_start, row_number() OVER (ORDER BY week_start) - 1 AS place FROM (SELECT DISTINCT week_start FROM over_time WHERE topic_id <> -1 ORDER BY week_start DESC LIMIT 12))
+  SELECT topic_id, """ + ", ".join(f"round(max(CASE WHEN place = {k} THEN avg_sentiment END), 6) AS week_{k}" for k in range(12)) + """ FROM over_time LEFT JOIN placed USING (week_start) WHERE topic_id <> -1 GROUP BY topic_id""")
+def topic_heatmap_last_weeks(d: Domain) -> DataFrame:
+    """The last 12 weeks present; topic_heatmap_pivot has the 12 from 2024-01-01."""
+    return views.last_weeks(_over_time(d).where("topic_id != -1").withColumn("avg_sentiment", r6("avg_sentiment")), "avg_sentiment")
+
+
 @query("SELECT topic_id, CAST(timestamp AS VARCHAR) AS date, round(m, 6) AS mean_sentiment, round(avg(m) OVER (PARTITION BY topic_id ORDER BY timestamp ROWS 6 PRECEDING), 6) AS rolling_7d FROM (SELECT topic_id, timestamp, avg(CASE label WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END) AS m FROM assigned WHERE topic_id <> -1 AND label IS NOT NULL GROUP BY 1, 2)")
 def topic_sentiment_trends(d: Domain) -> DataFrame:
     return series.topic_trend(d.assigned).select("topic_id", day("date").alias("date"), r6("mean_sentiment").alias("mean_sentiment"), r6("rolling_7d").alias("rolling_7d"))

@@ -204,3 +204,12 @@ def test_search_of_many(spark):
         want = [(r.id, r.score) for r in search.vector_search(df.where("vector is not null"), rows[q][1], 5).collect()]
         assert sorted(want) == sorted((i, s) for x, i, s in one if x == q)
     assert search.vector_search_many(df, some.limit(0)).count() == 0
+
+
+def test_last_weeks_keeps_the_newest(spark):
+    from forumlens.operators import views
+
+    rows = [(t, f"2023-{m:02d}-01", m + t / 10) for t in (1, 2) for m in range(1, 13) if m != 5 or t == 1] + [(1, "2024-01-01", 13.1), (3, "2023-01-01", 1.3)]
+    weeks = spark.createDataFrame(rows, "topic_id int, week_start string, v double").selectExpr("topic_id", "cast(week_start as date) week_start", "v")
+    out = {r.topic_id: list(r)[1:] for r in views.last_weeks(weeks, "v").collect()}
+    assert out == {1: [m + 0.1 for m in range(2, 14)], 2: [None if m in (5, 13) else m + 0.2 for m in range(2, 14)], 3: [None] * 12}
