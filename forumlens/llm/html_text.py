@@ -277,7 +277,7 @@ def link_density(node: Node) -> float:
 
 def kept(best: Node) -> list[Node]:
     """The best container and, in page order, its siblings that belong to the text."""
-    if best.parent is None or best.tag in ("article", "main", "body"):
+    if best.parent is None or best.tag in ("main", "body"):
         return [best]
     least = max(10.0, 0.2 * best.points)
     out = []
@@ -286,7 +286,10 @@ def kept(best: Node) -> list[Node]:
             out.append(node)
         elif isinstance(node, Node) and not skipped(node):
             dense = link_density(node)
-            if node.points >= least or node.points and node.tag == best.tag and node.words == best.words or node.tag in ("p", "pre", "blockquote") and (node.chars > 80 and dense < 0.25 or 0 < node.chars <= 80 and not node.linked):
+            if best.tag == "article":
+                if node.chars and dense < 0.5 and (node.tag in ("h1", "h2", "h3") or node.tag == "article" and node.points):
+                    out.append(node)
+            elif node.points >= least or node.points and node.tag == best.tag and node.words == best.words or node.tag in ("p", "pre", "blockquote") and (node.chars > 80 and dense < 0.25 or 0 < node.chars <= 80 and not node.linked):
                 out.append(node)
             elif node.tag in ("h1", "h2", "h3") and node.chars and dense < 0.5:
                 out.append(node)

@@ -93,3 +93,12 @@ def test_names_on_what_holds_the_content():
         assert main_text(f"<body><{tag}>{body}<div class=sidebar><p>{other}</p></div><div id=comments><p>{other}</p></div></{end}></body>") == text, tag
         assert main_text(f'<body><div class="sidebar"><p>{other}</p></div><{tag}>{body}</{end}><div class="comments"><p>{other * 20}</p></div></body>') == text, tag
     assert main_text(f'<body><div class="ads-layout"><main>{body}</main></div></body>') == text
+
+
+def test_articles_and_headings_beside_an_article():
+    a, b = prose(1, 80), prose(2, 60)
+    linked = f"<article><p><a href=x>{prose(3, 40)}</a></p></article>"
+    remark = f'<article class="comment"><p>{prose(4, 40)}</p></article>'
+    assert main_text(f"<body><article><p>{a}</p></article><article><p>{b}</p></article>{linked}{remark}</body>") == f"{a}\n{b}"
+    assert main_text(f"<body><main><h1>Head</h1><article><p>{a}</p></article></main></body>") == f"Head\n{a}"
+    assert main_text(f"<body><main><h1>Head</h1><article><p>{a}</p></article><article><p>{b}</p></article></main></body>") == f"Head\n{a}\n{b}"
