@@ -137,11 +137,22 @@ def topic_over_time(d: Domain) -> DataFrame:
     return _over_time(d).select("topic_id", day("week_start").alias("week_start"), "doc_count", r6("avg_sentiment").alias("avg_sentiment")).orderBy("topic_id", "week_start")
 
 
+def _heatmap(d: Domain, n: int) -> DataFrame:
+    top = d.topics.where("topic_id != -1").orderBy(F.desc("doc_count"), "topic_id").limit(n).select("topic_id")
+    return _over_time(d).join(top, "topic_id", "left_semi").select("topic_id", day("week_start").alias("week_start"), r6("avg_sentiment").alias("avg_sentiment")).orderBy("topic_id", "week_start")
+
+
 @query("""SELECT topic_id, CAST(week_start AS VARCHAR) AS week_start, round(avg_sentiment, 6) AS avg_sentiment FROM over_time
   WHERE topic_id IN (SELECT topic_id FROM topics WHERE topic_id <> -1 ORDER BY doc_count DESC, topic_id LIMIT 5) ORDER BY 1, 2""")
 def topic_heatmap(d: Domain) -> DataFrame:
-    top = d.topics.where("topic_id != -1").orderBy(F.desc("doc_count"), "topic_id").limit(5).select("topic_id")
-    return _over_time(d).join(top, "topic_id", "left_semi").select("topic_id", day("week_start").alias("week_start"), r6("avg_sentiment").alias("avg_sentiment")).orderBy("topic_id", "week_start")
+    return _heatmap(d, 5)
+
+
+@query("""SELECT topic_id, CAST(week_start AS VARCHAR) AS week_start, round(avg_sentiment, 6) AS avg_sentiment FROM over_time
+  WHERE topic_id IN (SELECT topic_id FROM topics WHERE topic_id <> -1 ORDER BY doc_count DESC, topic_id LIMIT 30) ORDER BY 1, 2""")
+def topic_heatmap_top30(d: Domain) -> DataFrame:
+    """The reference's default number of topics."""
+    return _heatmap(d, 30)
 
 
 @query("""SELECT topic_id, """ + ", ".join(f"""round(max(CASE WHEN week_start = DATE '2024-01-01' + {7 * k} THEN avg_sentiment END), 6) AS week_{k}""" for k in range(12)) + """ FROM over_time WHERE topic_id <> -1 GROUP BY topic_id""")

@@ -45,3 +45,8 @@ def test_equals_its_sql(spark, sf, database, name):
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and n != "pipeline" and not n.startswith("op")))
 def test_others_run(spark, sf, name):
     assert entry.queries()[name](spark, sf).columns
+
+
+def test_heatmap_of_30_topics_has_all_of_the_table(spark, sf):
+    topics = {r.topic_id for r in entry.queries()["topics_ranked"](spark, sf).collect()}
+    assert len(topics) > 5 and {r.topic_id for r in entry.queries()["topic_heatmap_top30"](spark, sf).collect()} == topics
