@@ -17,13 +17,15 @@ from .common import only, prepare, slices, spread
 
 # Elements by kind, and words of classes and ids that mark boilerplate or content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "xmp", "noembed", "noframes"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "label", "fieldset", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "xmp", "noembed", "noframes"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "label", "fieldset", "canvas", "audio", "video", "annotation", "annotation-xml"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li",
     "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption",
 }
+#: Kept beside the best container unless they are mostly links; a section or container like the best one needs a heading or points.
+BESIDE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure", "math"}
 PARAGRAPH = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main", "body"}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend", "summary"}
 SAME_LEVEL = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
@@ -34,6 +36,11 @@ UNLIKELY = {
     "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "widget", "topbar", "alert",
     "adsbygoogle", "adslot", "adbox", "adunit", "leaderboard", "reactions", "responses",
 }
+#: Words that stand beside those in the names of boilerplate within an article ("related-posts", but not "related-work").
+COMPANIONS = {
+    "area", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "links", "list", "media", "message",
+    "outer", "panel", "post", "posts", "section", "slot", "stories", "unit", "widgets", "wrap", "wrapper", "article", "entry", "page", "site", "main", "policy", "info", "warning",
+}
 REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "response", "responses"}
 #: First or last parts of a name that only tells the state or layout of what holds the content ("has-sidebar", "comments-open").
 STATE_FIRST = {"has", "have", "no", "not", "with", "without", "hide", "show"}
@@ -44,6 +51,10 @@ FRAME = {"banner", "footer", "header", "masthead", "menu", "nav", "navbar", "nav
 RUN_TOGETHER = re.compile(r"cookie(?:banner|bar|notice|consent|law)|side_?bar|advert|newsletter|breadcrumb|paginat|masthead|disqus|sponsor|navbar|navmenu|commentlist|commentsection|usercomments|popup")
 LIKELY = {"article", "body", "content", "entry", "hentry", "main", "page", "post", "story", "text", "blog"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "dl"}
+#: Out of which an inline end tag doesn't reach.
+BARRIER = {"table", "td", "article", "main", "body"}
 TAG_POINTS = {"article": 10, "main": 8, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "section": 2}
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|>|->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?)""", re.S)
@@ -56,10 +67,13 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 class Node:
     """An element: its children are nodes and (decoded) strings in order."""
 
-    __slots__ = ("tag", "parent", "children", "words", "skip", "points", "chars", "linked", "commas", "named")
+    __slots__ = ("tag", "parent", "children", "words", "skip", "points", "chars", "linked", "commas", "named", "links", "within", "headed")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
+        self.links, self.headed = 0, tag in HEADING
+        #: The nearest article or main element around it, by name.
+        self.within = "" if parent is None else parent.tag if parent.tag in ("article", "main") else parent.within
         self.words: frozenset[str] = frozenset()
         self.skip = tag in BOILERPLATE
         self.points = 0.0
@@ -81,6 +95,8 @@ class Node:
         """How classes and id mark boilerplate: "remarks", "frame", "other", or not at all ("")."""
         split = [[w for w in SPLIT.split(HUMP.sub("-", n).lower()) if w] for n in names]
         split = [SPLIT.split(n.lower()) for n, w in zip(names, split) if not (len(w) > 1 and (w[0] in STATE_FIRST or w[-1] in STATE_LAST))]
+        if self.within == "article":  # there, a word of boilerplate counts only in a name that says nothing else
+            split = [n for n in split if RUN_TOGETHER.search(" ".join(n)) or {w for w in n if w and not w.isdigit()} <= UNLIKELY | REMARKS | COMPANIONS]
         words = {w for n in split for w in n}
         if self.tag == "article":
             return "remarks" if REMARKS & words else ""
@@ -99,9 +115,70 @@ class Node:
         return "other"
 
 
+class Open:
+    """The path of open elements: where text goes, and what is open by name, so that no tag walks the whole path."""
+
+    def __init__(self, root: Node):
+        self.at = root
+        self.count: dict[str, int] = {}
+        self.blocks: list[Node] = []
+        self.inline: list[dict[str, int]] = [{}]  # open inline elements, since each barrier
+
+    def enter(self, node: Node) -> None:
+        self.at, tag = node, node.tag
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.blocks.append(node)
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        if tag in BARRIER:
+            self.inline.append({})
+
+    def leave(self, node: Node) -> None:
+        """Close node, which is open, and all in it."""
+        upto = node.parent
+        while self.at is not upto:
+            tag = self.at.tag
+            self.count[tag] -= 1
+            if tag in BARRIER:
+                self.inline.pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            else:
+                self.inline[-1][tag] -= 1
+            self.at = self.at.parent
+
+    def end(self, tag: str) -> bool:
+        """An end tag; whether it closed something."""
+        if not (self.count if tag in BLOCK else self.inline[-1]).get(tag):
+            return False
+        node = self.at
+        while node.tag != tag:
+            node = node.parent
+        self.leave(node)
+        return True
+
+    def closed_by(self, tag: str) -> Node | None:
+        """The open element that a start tag ends, if any. Inline elements on the way end with it."""
+        stop, found = SAME_LEVEL.get(tag), None
+        alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}.get(tag, (tag,))
+        for node in reversed(self.blocks):
+            if stop and node.tag in alike:
+                found = node
+                if tag != "tr" or node.tag == "tr":
+                    break
+            elif node.tag == "p" and tag in CLOSES_P:
+                return node
+            elif node.tag in (stop or ()) or node.tag not in ("p", "td", "th", "li", "dt", "dd", "tr"):
+                break
+        return found
+
+
 def parsed(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers do for the common cases."""
-    root = at = Node("html", None)
+    root = Node("html", None)
+    path = Open(root)
+    seen_body = False
     end = 0
     size = len(page)
     find = page.find
@@ -111,12 +188,12 @@ def parsed(page: str) -> Node:
             start = size
         if start > end:
             text = page[end:start]
-            at.children.append(html.unescape(text) if "&" in text else text)
+            path.at.children.append(html.unescape(text) if "&" in text else text)
         if start >= size:
             return root
         m = TOKEN.match(page, start)
         if m is None:
-            at.children.append("<")
+            path.at.children.append("<")
             end = start + 1
             continue
         end = m.end()
@@ -125,44 +202,28 @@ def parsed(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                if node.tag in ("table", "td", "article", "main", "body") and tag not in BLOCK:
-                    node = root  # an inline end tag doesn't reach out of these
-                    break
-                node = node.parent
-            if node is not root:
-                at = node.parent
-            elif tag == "p" or tag == "br":
-                at.children.append(Node("br", at))
+            if not path.end(tag) and tag in ("p", "br"):
+                path.at.children.append(Node("br", path.at))
             continue
-        if tag == "html" or tag == "body" and any(isinstance(c, Node) and c.tag == "body" for c in root.children):
+        if tag == "html" or tag == "body" and seen_body:
             continue
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, end)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or tag != "svg":
                 end = size if close is None else (find(">", close.start()) + 1 or size)
             continue
-        if tag in CLOSES_P or tag in SAME_LEVEL or tag == "body":
-            node = at
-            stop = SAME_LEVEL.get(tag)
-            while node is not root:
-                if stop and (node.tag == tag or tag in ("dt", "dd") and node.tag in ("dt", "dd") or tag in ("td", "th") and node.tag in ("td", "th") or tag == "tr" and node.tag in ("td", "th", "tr")):
-                    at = node.parent
-                    if tag != "tr" or node.tag == "tr":
-                        break
-                elif node.tag == "p" and tag in CLOSES_P or tag == "body" and node.tag == "head":
-                    at = node.parent
-                    break
-                elif node.tag in (stop or ()) or node.tag in BLOCK and node.tag not in ("p", "td", "th", "li", "dt", "dd", "tr"):
-                    break
-                node = node.parent
-        if at.tag == "head" and tag not in ("meta", "link", "base", "title"):
-            at = at.parent
-        node = Node(tag, at, m[3])
-        at.children.append(node)
+        if path.count.get("head") and tag not in ("meta", "link", "base", "title"):
+            while path.count["head"]:  # what doesn't belong there ends it
+                path.end("head") or path.leave(path.at)
+        if tag in CLOSES_P or tag in SAME_LEVEL:
+            node = path.closed_by(tag)
+            if node is not None:
+                path.leave(node)
+        seen_body |= tag == "body"
+        node = Node(tag, path.at, m[3])
+        path.at.children.append(node)
         if tag not in VOID:
-            at = node
+            path.enter(node)
 
 
 def unnamed(root: Node) -> Node:
@@ -217,12 +278,12 @@ def skipped(node: Node) -> bool:
     """Boilerplate; a header inside an article or main element is that of the text."""
     if node.skip:
         return True
-    if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return False
+    return node.tag == "header" and not node.within
+
+
+def menu(node: Node) -> bool:
+    """A list outside articles that holds little but three short links at least."""
+    return node.tag in LISTS and node.within != "article" and node.links >= 3 and node.linked > 0.8 * node.chars and node.linked < 40 * node.links
 
 
 def scored(root: Node) -> Node:
@@ -236,7 +297,7 @@ def scored(root: Node) -> Node:
         node.chars += direct
         node.commas += sum(c.count(",") + c.count("，") + c.count("、") for c in own)
         if node.tag == "a":
-            node.linked = node.chars
+            node.linked, node.links = node.chars, 1
         inline = node.tag not in BLOCK
         if node.tag in PARAGRAPH and (node.tag in ("p", "pre", "blockquote") or direct > 25) and node.chars - node.linked >= 25:
             points = 1 + node.commas + min(node.chars / 100, 3)
@@ -249,6 +310,8 @@ def scored(root: Node) -> Node:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.links += node.links
+            node.parent.headed |= node.headed
             if inline or node.tag in ("br",):
                 node.parent.commas += node.commas
         nodes.append(node)
@@ -289,9 +352,9 @@ def kept(best: Node) -> list[Node]:
             if best.tag == "article":
                 if node.chars and dense < 0.5 and (node.tag in ("h1", "h2", "h3") or node.tag == "article" and node.points):
                     out.append(node)
-            elif node.points >= least or node.points and node.tag == best.tag and node.words == best.words or node.tag in ("p", "pre", "blockquote") and (node.chars > 80 and dense < 0.25 or 0 < node.chars <= 80 and not node.linked):
+            elif node.points >= least or node.points and node.tag == best.tag and node.words == best.words:
                 out.append(node)
-            elif node.tag in ("h1", "h2", "h3") and node.chars and dense < 0.5:
+            elif node.chars and not menu(node) and (dense < 0.6 and node.tag in BESIDE or dense < 0.25 and node.tag in ("section", best.tag) and node.headed):
                 out.append(node)
     return out
 
@@ -317,7 +380,7 @@ def text_of(parts: list[Node]) -> str:
                 now.append(item)
             elif item.tag == "br":
                 now.append(" ")
-            elif not (item is not part and (skipped(item) or item.tag in ("ul", "ol", "dl", "table") and item.linked > 0.6 * item.chars)):
+            elif item is part or not (skipped(item) or menu(item)):
                 if item.tag in BLOCK:
                     flush()
                     stack.append(None)

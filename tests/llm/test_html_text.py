@@ -102,3 +102,71 @@ def test_articles_and_headings_beside_an_article():
     assert main_text(f"<body><article><p>{a}</p></article><article><p>{b}</p></article>{linked}{remark}</body>") == f"{a}\n{b}"
     assert main_text(f"<body><main><h1>Head</h1><article><p>{a}</p></article></main></body>") == f"Head\n{a}"
     assert main_text(f"<body><main><h1>Head</h1><article><p>{a}</p></article><article><p>{b}</p></article></main></body>") == f"Head\n{a}\n{b}"
+
+
+def test_nothing_inside_the_article_is_dropped():
+    text = prose(1, 60)
+    for more, want in (
+        ("<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul>", "Source one\nSource two"),
+        ("<ul>" + "<li><a href=a>Short</a></li>" * 5 + "</ul>", "\n".join(["Short"] * 5)),
+        ("<table><tr><td><a href=a>Cell</a></td><td>two</td></tr></table>", "Cell\ntwo"),
+        ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=x>no</annotation></math> here.</p>", "Energy is E=m here."),
+        ('<div class="related-work"><p>Others did so.</p></div>', "Others did so."),
+        ('<section class="share-of-voice"><h2>Share</h2><p>Of voice.</p></section>', "Share\nOf voice."),
+    ):
+        assert main_text(f"<body><article><p>{text}</p>{more}</article></body>") == f"{text}\n{want}", more
+    for junk in ('class="related-posts"', 'class="share-buttons"', 'class="ad-container"', 'class="newsletter-signup"', 'class="social"', 'id="comments"'):
+        assert main_text(f"<body><article><p>{text}</p><div {junk}><p>Words of it.</p></div></article></body>") == text, junk
+
+
+def test_short_siblings_beside_a_container():
+    text = "".join(f"<p>{prose(k, 60)}</p>" for k in (1, 2))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</ul>"
+    more = "<p>See <a href=x>the source</a> for it.</p><section><h2>End</h2><p>Short end.</p></section>"
+    assert main_text(f"<body><div>{menu}<div class=content>{text}</div>{more}</div></body>") == "\n".join([prose(1, 60), prose(2, 60), "See the source for it.", "End", "Short end."])
+
+
+def blocks(r, depth=0):
+    """Random article markup and the lines that it must give."""
+    words = lambda n: prose(r.randrange(10**6), n)
+    kind = r.choice(["p", "p", "p", "list", "table", "quote", "heading", "linked", "pre"] + ["section"] * (depth < 3))
+    if kind == "section":
+        inner = [blocks(r, depth + 1) for _ in range(r.randrange(1, 4))]
+        tag = r.choice(["div", "section", "div class=body-part", "figure"])
+        return f"<{tag}>{''.join(m for m, _ in inner)}</{tag.split()[0]}>", [x for _, lines in inner for x in lines]
+    lines = [words(r.randrange(3, 40)) for _ in range(1 if kind not in ("list", "table") else r.randrange(1, 5))]
+    inner = [r.choice([html.escape(x), html.escape(x).replace(" ", "\n  ", 2), f"<b>{html.escape(x)}</b>"]) for x in lines]
+    if kind == "list":
+        tag = r.choice(["ul", "ol"])
+        return f"<{tag}>" + "".join(f"<li>{r.choice([x, f'<a href=/q>{x}</a>'])}{r.choice(['</li>', ''])}" for x in inner) + f"</{tag}>", lines
+    if kind == "table":
+        return "<table><tbody>" + "".join(f"<tr><td>{x}</td></tr>" for x in inner) + "</tbody></table>", lines
+    tag = {"p": "p", "quote": "blockquote", "heading": r.choice(["h2", "h3", "h5"]), "linked": "p", "pre": "pre"}[kind]
+    if kind == "linked":
+        inner[0] = f'See <a href="/x">{inner[0]}</a>.'
+        lines[0] = f"See {lines[0]}."
+    return f"<{tag}>{inner[0]}</{tag}>", lines
+
+
+def test_generated_pages_come_out_whole():
+    """Two thousand random layouts whose text is known from how they were made."""
+    for seed in range(2000):
+        r = random.Random(seed)
+        first = prose(seed, 40)
+        parts = [blocks(r) for _ in range(r.randrange(1, 7))]
+        junk = JUNK[:]
+        r.shuffle(junk)
+        inner = f"<p>{first}</p>" + "".join(m + r.choice(["", "", "", '<div class="ad">Buy, now, all of it.</div>', "<!-- x -->", "<script>f('<p>')</script>"]) for m, _ in parts)
+        container = r.choice(["article", 'article class="post has-sidebar"', "main><article"])
+        end = "</article></main>" if container.startswith("main") else "</article>"
+        got = main_text(f"<html><body>{''.join(junk[:5])}<{container}>{inner}{end}{''.join(junk[5:])}</body></html>")
+        assert got == "\n".join([first, *(x for _, lines in parts for x in lines)]), seed
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    for make in (lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<b><table>" + "<div>" * n + "</b>" * n, lambda n: "<header>" * n + "x", lambda n: "<table><tr><td>" * n + "</i>" * n):
+        began = time.process_time()
+        main_text(make(30_000))
+        assert time.process_time() - began < 3, make(2)
