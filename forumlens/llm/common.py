@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -23,14 +24,20 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only in a local session that names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='forumlens-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Lists that the tables staged at the moment are noted in (see scratch).
+_OPEN: list[list[DataFrame]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -38,9 +45,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for noted in _OPEN:
+        noted.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end the tables that were staged inside, but for those appended to the list it gives."""
+    noted, kept = [], []
+    _OPEN.append(noted)
+    try:
+        yield kept
+    finally:
+        _OPEN.remove(noted)
+        unstage(*(t for t in noted if all(t is not k for k in kept)))
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every staged table; call it once the results that read them are written."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/forumlens")
@@ -202,6 +223,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+SALTS = 32
+#: Of a group of salted rows, the salts that occur, as bits (an aggregate expression).
+PRESENT = "bit_or(shiftleft(1L, salt)) as salts"
+
+
+def salted(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with a salt from the columns `by`: the rows of a hot key are joined in SALTS tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+
+
+def each_salt(known: DataFrame) -> DataFrame:
+    """What is known once a key, with PRESENT among its aggregates -> a row for each salt that occurs: the other side of a salted join."""
+    each = known.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return each.where("shiftright(salts, salt) & 1 = 1").drop("salts")
+
+
 def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame:
     """docs with columns added by compute(batches of doc_id and text) -> per batch, a list of Arrow arrays.
 

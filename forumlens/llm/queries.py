@@ -46,8 +46,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
-    out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = substring_dedup(table(spark, sf_dir, "documents"), passages=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

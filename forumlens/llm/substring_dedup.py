@@ -5,8 +5,8 @@ the window's anchor, so equal windows share an anchor at the same place. An anch
 of windows that chose it; the bytes of that run are its segment.
 
 1. Anchors whose k-gram occurs once are done: nothing of theirs repeats.
-2. Equal segments of one k-gram (64-bit polynomial hash of the k-gram and an independent 64-bit hash
-   of the segment) repeat as a whole; one of them goes on as their representative.
+2. Equal segments of one k-gram (64-bit polynomial hash of the k-gram and a 128-bit cryptographic digest
+   of the segment's bytes) repeat as a whole; one of them goes on as their representative.
 3. The different segments of one k-gram are suffix-sorted to the right and, reversed, to the left of
    the anchor: a merge sort whose comparisons find the common extension by binary search over prefix
    polynomial hashes and verify it on the bytes. A window repeats where two segments agree in both
@@ -14,11 +14,15 @@ of windows that chose it; the bytes of that run are its segment.
 4. The segments of a k-gram with very many different ones are cut into ranges of 64, 8 and at last 1
    window, keyed by the bytes that all windows of a range share. Equal windows keep equal keys, so each
    cut sends the group on in smaller ones; steps 2 and 3 follow each cut.
+
+Joins of anchors to what is known of their k-gram or segment are salted, so that the anchors of a passage
+that a third of all texts share go to SALTS tasks; the known side has a row for each salt that occurs.
 """
 
 from __future__ import annotations
 
 from functools import cmp_to_key
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Powers, binary_column, mix, only, prefix_hashes, prepare, slices, spread, stage, unstage
+from .common import PRESENT, U64, Powers, binary_column, each_salt, mix, prefix_hashes, prepare, salted, slices, spread, stage, unstage
 
 NO_ID = -(1 << 63)
 #: Starts of windows that are hashed at once.
 STARTS = 1 << 19
+#: What names a text: its id, a hash of it, and where it begins in the text that it was cut from.
+KEY = ["doc_id", "th", "at"]
+SEGMENT = ["gram", "seg", "seg2"]
+#: Columns of an anchor's run of windows, as Arrow has them.
+IDS = [("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32())]
+PLACE = [(c, pa.int32()) for c in ("lo", "hi", "pos")]
+DIGEST = [("gram", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64())]
+
+
+def digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each part, as two columns of longs."""
+    both = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _batch(rows, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
 
 def _least(key: np.ndarray, window: int) -> np.ndarray:
@@ -68,36 +89,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
 
 
 def _anchored(length: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("pos", pa.int32()), ("gram", pa.int64()), ("seg", pa.int64())])
+    schema = pa.schema([*IDS, *PLACE, *DIGEST])
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                data, offsets = binary_column(batch.column("text"))
+            for batch in slices(whole, "data", 1 << 20):
+                data, offsets = binary_column(batch.column("data"))
                 doc, lo, hi, pos, gram = anchors(data, offsets, length, k)
                 raw = data.tobytes()
                 at = offsets[doc]
-                seg = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((at + lo).tolist(), (at + hi + length).tolist())]
+                seg = digests([raw[a:b] for a, b in zip((at + lo).tolist(), (at + hi + length).tolist())])
                 take = pa.array(doc)
-                cells = [batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(x.astype(np.int32)) for x in (lo, hi, pos)), pa.array(gram), pa.array(np.array(seg, U64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cells, schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in KEY), *(pa.array(x.astype(np.int32)) for x in (lo, hi, pos)), pa.array(gram), *map(pa.array, seg)], schema=schema)
 
     return run
 
 
 def _cut(length: int):
-    """Documents with lists of runs -> the runs with their bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+    """Texts with lists of runs -> the runs with their bytes."""
+    schema = pa.schema([*IDS, ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for one in slices(batch, "text", 1 << 22):
+            for one in slices(batch, "data", 1 << 22):
                 rows = []
-                for doc, th, text, runs in zip(*(one.column(c).to_pylist() for c in ("doc_id", "th", "text", "runs"))):
-                    raw = text.encode()
-                    rows += [(doc, th, r["pos"], r["lo"], r["hi"], r["gram"], r["n"], raw[r["lo"] : r["hi"] + length]) for r in runs]
+                for *key, raw, runs in zip(*(one.column(c).to_pylist() for c in (*KEY, "data", "runs"))):
+                    rows += [(*key, r["pos"], r["lo"], r["hi"], r["gram"], r["n"], raw[r["lo"] : r["hi"] + length]) for r in runs]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+                    yield _batch(rows, schema)
 
     return run
 
@@ -168,21 +187,21 @@ def repeats(segments: list[bytes], left: list[int], length: int) -> np.ndarray:
 
 def _compared(length: int):
     """Runs sorted by k-gram -> repeated stretches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([*IDS, ("start", pa.int32()), ("stop", pa.int32())])
 
     def group(rows: list[tuple]):
-        flags = repeats([r[4] for r in rows], [r[2] - r[3] for r in rows], length)
-        for i, (doc, th, pos, _, _) in enumerate(rows):
+        flags = repeats([r[-1] for r in rows], [r[3] - r[4] for r in rows], length)
+        for i, (*key, pos, _, _) in enumerate(rows):
             on = np.flatnonzero(flags[:, i])
             if len(on):
                 for run in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1):
-                    yield doc, th, pos - int(run[-1]), pos - int(run[0]) + length
+                    yield *key, pos - int(run[-1]), pos - int(run[0]) + length
 
     def run(batches):
         def groups():
             key, rows = None, []
             for batch in batches:
-                for gram, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "th", "pos", "lo", "bytes"))):
+                for gram, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", *KEY, "pos", "lo", "bytes"))):
                     if gram != key:
                         if len(rows) > 1:
                             yield rows
@@ -195,55 +214,53 @@ def _compared(length: int):
         for rows in groups():
             out += group(rows)
             while len(out) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[:8192]), schema)], schema=schema)
+                yield _batch(out[:8192], schema)
                 out = out[8192:]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
+            yield _batch(out, schema)
 
     return run
 
 
 def _ranged(length: int, width: int):
     """Runs -> parts of at most `width` windows, keyed by the bytes that all windows of the range share."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("gram", pa.int64()), ("seg", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([*IDS, ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), *DIGEST, ("bytes", pa.binary())])
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, th, pos, lo, hi, gram, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "pos", "lo", "hi", "gram", "bytes"))):
+            rows, parts = [], []
+            for *key, pos, lo, hi, gram, raw in zip(*(batch.column(c).to_pylist() for c in (*KEY, "pos", "lo", "hi", "gram", "bytes"))):
                 for x in range((pos - hi) // width * width, pos - lo + 1, width):
                     first, last = max(lo, pos - x - width + 1), min(hi, pos - x)
-                    shared = raw[pos - x - lo : pos - x - width + 1 - lo + length]
-                    part = raw[first - lo : last - lo + length]
-                    key = xxhash.xxh3_64_intdigest(shared, seed=(gram ^ x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-                    rows.append((doc, th, pos, first, last, signed(key), signed(xxhash.xxh3_64_intdigest(part)), part))
+                    shared = raw[pos - x - lo : max(0, pos - x - width + 1 - lo + length)]  # none, if ranges are longer than windows
+                    rows.append((*key, pos, first, last, signed(xxhash.xxh3_64_intdigest(shared, seed=(gram ^ x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))))
+                    parts.append(raw[first - lo : last - lo + length])
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+                cells = [pa.array(x, t.type) for x, t in zip(zip(*rows), schema)]
+                yield pa.RecordBatch.from_arrays([*cells, *map(pa.array, digests(parts)), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
-KEY = ["doc_id", "th"]
-
-
 def _span(start, stop):
     """A stretch as one number: lists of them are plain arrays of longs, in order of start."""
     return (F.shiftleft(start.cast("long"), 32) + stop).alias("span")
 
 
-RUN = "doc_id long, th int, pos int, lo int, hi int, gram long"
+IDS_DDL = "doc_id long, th long, at int"
+RUN = f"{IDS_DDL}, pos int, lo int, hi int, gram long"
 
 
 def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...], keep) -> DataFrame:
     """runs(RUN, n, bytes) of k-grams with n different segments -> their repeated stretches. keep stages a table."""
     calm = runs.where(F.col("n") <= most) if widths else runs
-    calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), "doc_id long, th int, start int, stop int").select(*KEY, _span(F.col("start"), F.col("stop")))
+    calm = calm.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compared(length), f"{IDS_DDL}, start int, stop int").select(*KEY, _span(F.col("start"), F.col("stop")))
     if not widths or runs.where(F.col("n") > most).isEmpty():
         return calm
-    parts = runs.where(F.col("n") > most).mapInArrow(_ranged(length, widths[0]), f"{RUN}, seg long, bytes binary")
+    parts = runs.where(F.col("n") > most).mapInArrow(_ranged(length, widths[0]), f"{RUN}, seg long, seg2 long, bytes binary")
     whole, several = _grouped(keep(parts, "ranges"), length, ["bytes"], keep)
     return calm.union(whole).union(_settled(keep(several, "ranges"), length, most, widths[1:], keep))
 
@@ -251,104 +268,171 @@ def _settled(runs: DataFrame, length: int, most: int, widths: tuple[int, ...], k
 def _grouped(rows: DataFrame, length: int, more: list[str], keep) -> tuple[DataFrame, DataFrame]:
     """Stretches of segments that repeat whole, and one row of each segment of a k-gram that has several.
 
-    Counts are combined before the shuffle and joined back, so the copies of a hot segment never meet.
+    Counts are combined before the shuffle and joined back by salted keys.
     """
-    g = keep(rows.groupBy("gram", "seg").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "pos", "lo", "hi", *more)).alias("r")), "segments")
-    whole = rows.join(g.where("m > 1").select("gram", "seg"), ["gram", "seg"]).select(*KEY, _span(F.col("lo"), F.col("hi") + length))
-    several = keep(g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    return whole, g.join(several, "gram").select("gram", "n", "r.*")
+    rows = salted(rows, *KEY, "lo", "hi")  # another salt than that by which rows were laid out, so that skew handling can split further
+    own = [*KEY, "pos", "lo", "hi", *more]  # of any one row: all first values of a group come from the same one
+    g = keep(rows.groupBy(*SEGMENT).agg(F.count("*").alias("m"), F.expr(PRESENT), *(F.first(c).alias(c) for c in own)), "segments")
+    again = each_salt(g.where("m > 1").select(*SEGMENT, "salts"))
+    whole = rows.join(again, [*SEGMENT, "salt"]).select(*KEY, _span(F.col("lo"), F.col("hi") + length))
+    one = salted(g.select("gram", *own), *KEY, "pos")
+    several = keep(one.groupBy("gram").agg(F.count("*").alias("n"), F.expr(PRESENT)).where("n > 1"), "several")
+    return whole, one.join(each_salt(several), ["gram", "salt"]).select("gram", "n", *KEY, "pos", "lo", "hi", *more)
 
 
 def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
-    """texts(doc_id, th, text) -> (doc_id, th, span): byte stretches covered by repeated strings (see _span); they may overlap."""
+    """texts(doc_id, th, at, data) -> (doc_id, th, at, span): byte stretches covered by repeated strings (see _span); they may overlap."""
     made: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         made.append(stage(df, name))
         return made[-1]
 
-    a = keep(spread(texts).mapInArrow(_anchored(length, gram), "doc_id long, th int, lo int, hi int, pos int, gram long, seg long"), "anchors")
-    shared = keep(a.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams")
-    b = keep(a.join(shared, "gram"), "shared")
-    unstage(a, shared)
+    a = salted(keep(spread(texts).mapInArrow(_anchored(length, gram), f"{IDS_DDL}, lo int, hi int, pos int, gram long, seg long, seg2 long"), "anchors"), *KEY, "pos")
+    shared = keep(a.groupBy("gram").agg(F.count("*").alias("k"), F.expr(PRESENT)).where("k > 1").select("gram", "salts"), "grams")
+    b = keep(a.join(each_salt(shared), ["gram", "salt"]).drop("salt"), "shared")
+    unstage(*made[:2])
     whole, runs = _grouped(b, length, [], keep)
-    by_doc = runs.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
-    cut = texts.join(by_doc, KEY).select(*KEY, "text", "runs").mapInArrow(_cut(length), f"{RUN}, n long, bytes binary")
+    by_text = runs.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
+    cut = texts.join(by_text, KEY).select(*KEY, "data", "runs").mapInArrow(_cut(length), f"{RUN}, n long, bytes binary")
     spans = whole.union(_settled(keep(cut, "runs"), length, group_rows, (64, 8, 1), keep))
     out = stage(spans.distinct(), "spans")
     unstage(*made)
     return out
 
 
-def _kept(raw: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
-    """Bytes outside the spans, how many were inside, and the number of maximal runs inside."""
+def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the maximal stretches that the spans cover."""
     if not len(spans):
-        return raw, 0, 0
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     spans = np.sort(spans)
     start, stop = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
     new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
-    start, stop = start[new].tolist(), stop[np.concatenate([new[1:], [len(spans)]]) - 1].tolist()
-    kept = b"".join([raw[a:b] for a, b in zip([0, *stop], [*start, len(raw)])])
-    return kept, len(raw) - len(kept), len(start)
+    return start[new], stop[np.concatenate([new[1:], [len(spans)]]) - 1]
+
+
+def _passages(raw: bytes, spans: np.ndarray, words: int, whole: int) -> list[tuple[int, int]]:
+    """The stretches of at least `words` words, or `whole` bytes."""
+    return [(a, b) for a, b in zip(*(x.tolist() for x in merged(spans))) if b - a >= whole or len(raw[a:b].split()) >= words]
+
+
+def _without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    return b"".join([raw[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(raw)])])
+
+
+def _lists(column: pa.Array):
+    """The long arrays of a list column, empty where null."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def _pieces(least: int):
+    """Texts with spans -> their covered stretches of `least` bytes or more, each a text of its own at its place."""
+    schema = pa.schema([*IDS, ("data", pa.binary())])
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "data", 1 << 22):
+                rows = []
+                for doc, th, raw, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "data")), _lists(batch.column("spans"))):
+                    rows += [(doc, th, a, raw[a:b]) for a, b in zip(*(x.tolist() for x in merged(spans))) if b - a >= least]
+                if rows:
+                    yield _batch(rows, schema)
+
+    return run
+
 
+def _listed(spans: DataFrame, name: str) -> DataFrame:
+    """Per text, the list of its spans; both counted from the start of the whole text."""
+    at = F.col("at").cast("long")
+    shifted = spans.select("doc_id", "th", F.lit(0).alias("at"), (F.col("span") + F.shiftleft(at, 32) + at).alias("span"))
+    return shifted.groupBy(*KEY).agg(F.collect_list("span").alias(name))
 
-def _removed(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    for batch in batches:
-        spans = batch.column("spans")
-        values, at = spans.values.to_numpy(zero_copy_only=False), spans.offsets.to_numpy()
-        rows = []
-        for doc, th, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), at, at[1:]):
-            raw = text.encode()
-            kept, removed, runs = _kept(raw, values[a:b])
-            rows.append((doc, th, len(raw), removed, runs, kept))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
+def _texts(docs: DataFrame, **more) -> DataFrame:
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("data"), *(c.alias(x) for x, c in more.items()))
+    return texts.select("doc_id", F.xxhash64("data").alias("th"), F.lit(0).alias("at"), "data", *more)
 
-def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
+
+#: A passage: over 50 words, found by repeated strings of 200 bytes (51 words of three letters each).
+PASSAGE = {"words": 51, "passage_bytes": 200, "passage_gram": 50}
+
+
+def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024, passages: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     Removes each byte covered by a string of `length` bytes that also starts anywhere else in the table,
     in the same text too; strings are judged on the input. A null text counts as empty and keeps zero
     bytes, as does an empty one; texts below `length` bytes are kept whole. Repeated rows repeat each
     other's strings. A null doc_id is carried as null. An empty table gives no rows. Other columns are ignored.
+
+    passages=True adds n_passages and n_passage_bytes: the maximal stretches of over 50 words (or `length` bytes)
+    covered by repeated strings of 200 bytes, which may be shorter than `length` and are then not removed.
+    The search at `length` then runs over those stretches only: a repeated longer string lies in one of them whole.
     """
-    return _cleaned(docs, (), False, length=length, gram=gram, group_rows=group_rows).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    prepare(docs.sparkSession)
+    texts = _texts(docs)
+    plain = texts.select(*KEY, "data")
+    if passages:
+        at_least = repeated_spans(plain, length=PASSAGE["passage_bytes"], gram=PASSAGE["passage_gram"], group_rows=group_rows)
+        short = _listed(at_least, "short")
+        pieces = stage(plain.join(short.withColumnRenamed("short", "spans"), KEY).select("doc_id", "th", "data", "spans").mapInArrow(_pieces(length), f"{IDS_DDL}, data binary"), "pieces")
+        long = _listed(repeated_spans(pieces, length=length, gram=gram, group_rows=group_rows), "spans")
+        unstage(pieces)
+        known = short.join(long, KEY, "left")
+    else:
+        known = _listed(repeated_spans(plain, length=length, gram=gram, group_rows=group_rows), "spans").withColumn("short", F.col("spans"))
+    empty = F.array().cast("array<bigint>")
+    joined = texts.join(known, KEY, "left").select("doc_id", "data", *(F.coalesce(c, empty).alias(c) for c in ("spans", "short")))
+    out = joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_bytes long")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *["n_passages", "n_passage_bytes"] * passages)
+
+
+def _removed(length: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_passages", pa.int64()), ("n_passage_bytes", pa.int64())])
 
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "data", 1 << 22):
+                rows = []
+                for doc, raw, spans, short in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), _lists(batch.column("spans")), _lists(batch.column("short"))):
+                    gone = list(zip(*(x.tolist() for x in merged(spans))))
+                    kept = _without(raw, gone)
+                    found = _passages(raw, short, PASSAGE["words"], length)
+                    rows.append((doc, len(raw), len(raw) - len(kept), len(gone), kept, len(found), sum(b - a for a, b in found)))
+                yield _batch(rows, schema)
 
-def _cleaned(docs: DataFrame, rest: tuple[str, ...], as_text: bool, **options: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept, and the columns `rest` under the names x0, x1..."""
-    prepare(docs.sparkSession)
-    names = [f"x{i}" for i in range(len(rest))]
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(x) for c, x in zip(rest, names)))
-    texts = texts.withColumn("th", F.hash("text"))
-    spans = repeated_spans(texts.select("doc_id", "th", "text"), **options)
-    by_doc = spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
-    joined = texts.join(by_doc, KEY, "left").select(*KEY, "text", "spans", *names)
-    schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
-    out = joined.mapInArrow(_carrying(names, as_text), schema)
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *names)
+    return run
 
 
-def _carrying(names: list[str], text: bool):
+def _carrying(names: list[str], words: int, length: int):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 22):
-                for done in _removed([batch]):
-                    cells = list(done.columns)
-                    if text:
-                        cells[-1] = pa.array([k.decode("utf-8", "ignore") for k in done.column("kept").to_pylist()], pa.string())
-                    yield pa.RecordBatch.from_arrays([*cells, *(batch.column(c) for c in names)], names=[*done.schema.names, *names])
+            for batch in slices(whole, "data", 1 << 22):
+                kept = []
+                for raw, spans in zip(batch.column("data").to_pylist(), _lists(batch.column("spans"))):
+                    found = _passages(raw, spans, words, length)
+                    kept.append(_without(raw, found).decode("utf-8", "ignore") if found else raw.decode())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), *(batch.column(c) for c in names)], names=["doc_id", "kept", *names])
 
     return run
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, their texts without repeated strings, and n_chars (if they have it) anew.
+def without_repeats(docs: DataFrame, *, words: int = PASSAGE["words"], length: int = 400, passage_bytes: int = PASSAGE["passage_bytes"], passage_gram: int = PASSAGE["passage_gram"], group_rows: int = 1024) -> DataFrame:
+    """The documents, with all their columns, their texts without repeated passages, and n_chars (if they have it) anew.
 
-    A character of which one byte is removed goes whole. Texts may become empty; rows stay.
+    A passage is a maximal stretch of at least `words` words, or `length` bytes, each byte of which is covered by a string of
+    `passage_bytes` bytes that also starts anywhere else in the table; strings are judged on the input, and every copy goes.
+    A character of which one byte is removed goes whole. Texts may become empty; rows stay. Null texts become empty ones;
+    null ids are carried; repeated rows repeat each other's strings; an empty table gives no rows.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = _cleaned(docs, rest, True, **({"length": 400, "gram": 100, "group_rows": 1024} | options))
-    new = {c: F.col(f"x{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    prepare(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    names = [f"x{i}" for i in range(len(rest))]
+    texts = _texts(docs, **{x: docs[c] for x, c in zip(names, rest)})
+    spans = repeated_spans(texts.select(*KEY, "data"), length=passage_bytes, gram=passage_gram, group_rows=group_rows)
+    joined = texts.join(_listed(spans, "spans"), KEY, "left").select("doc_id", "data", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), *names)
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, kept string").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
+    out = joined.mapInArrow(_carrying(names, words, length), schema)
+    new = {c: F.col(x) for c, x in zip(rest, names)} | {"doc_id": F.nullif("doc_id", F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*(new[c].alias(c) for c in docs.columns))

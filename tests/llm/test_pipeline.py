@@ -40,8 +40,13 @@ def test_stages_take_effect(spark, folder):
 
 def test_run_equals_its_stages(spark, folder):
     sf, _, _ = folder
+    from pathlib import Path
+
+    staged = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "forumlens")
+    before = set(staged.iterdir())
     out = corpus_pipeline.run(spark, sf)
     assert set(out.columns) == {"doc_id", "ids", "decoded"} and out.count() > 40
+    assert [p.name.split("-")[0] for p in staged.iterdir() if p not in before] == ["pieces"], "all else is deleted"
 
 
 def test_empty_documents(spark, folder, documents, tmp_path):

@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 from llm_helpers import prose
+from pyspark.sql import functions as F
 
+from forumlens.llm import common as C
 from forumlens.llm import substring_dedup as S
 
 
@@ -22,9 +24,10 @@ def brute(texts, length):
 
 
 def check(documents, rows, **options):
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.substring_dedup(documents(rows), **options).collect())
     want = Counter((i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], options.get("length", 400))))
-    assert got == want
+    for passages in (False, True):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.substring_dedup(documents(rows), passages=passages, **options).collect())
+        assert got == want
 
 
 def test_equals_brute_force(documents, awkward):
@@ -38,8 +41,13 @@ def test_shared_passages_of_many_lengths(documents):
     for k in range(60):
         cut = r.randrange(0, 60)
         rows.append((k, prose(100 + k, 12) + " " + passage[cut : cut + r.randrange(20, 260)] + prose(300 + k % 3, 10)))
-    for group_rows in (1024, 2):
-        check(documents, rows, length=60, gram=20, group_rows=group_rows)
+    S_passage = dict(S.PASSAGE)
+    try:
+        S.PASSAGE.update(passage_bytes=30, passage_gram=10)
+        for group_rows in (1024, 2):
+            check(documents, rows, length=60, gram=20, group_rows=group_rows)
+    finally:
+        S.PASSAGE.update(S_passage)
 
 
 def test_repeats_within_one_text(documents):
@@ -78,3 +86,35 @@ def test_text_form_keeps_columns(documents, awkward):
     assert out.columns == docs.columns and out.count() == len(awkward)
     assert all(r.n_chars == len(r.text) for r in out.collect())
     assert S.substring_dedup(documents([])).collect() == []
+
+
+def of_words(seed, n):
+    """Exactly n words in lower case."""
+    return " ".join(w for w in (x.strip(".").lower() for x in prose(seed, 3 * n).split()) if len(w) > 2).split(" ", n)[:n]
+
+
+def test_passages_of_over_fifty_words(documents):
+    long, short = " ".join(of_words(1, 52)), " ".join(of_words(2, 40))
+    assert 200 < len(short) < 400 and 200 < len(long) < 400
+    own = [prose(50 + i, 30) + "\n" for i in range(6)]
+    rows = [(0, own[0] + long + "\n" + own[1]), (1, own[2] + long), (2, own[3] + short), (3, own[4] + short + "\n"), (4, own[5] + prose(60, 90)), (5, None)]
+    found = {r.doc_id: r for r in S.substring_dedup(documents(rows), passages=True).collect()}
+    assert [found[i].n_passages for i in range(6)] == [1, 1, 0, 0, 0, 0] and all(r.n_removed == 0 for r in found.values())
+    assert found[1].n_passage_bytes >= len(long)
+    kept = {r.doc_id: r.text for r in S.without_repeats(documents(rows)).collect()}
+    assert kept[1].strip() == own[2].strip() and long[10:-10] not in kept[0] and own[0].strip()[:-5] in kept[0]
+    assert all(kept[i] == (t or "") for i, t in rows[2:])
+
+
+def test_a_passage_that_very_many_texts_share(documents):
+    """One segment with more copies than salts, and one k-gram with many segments."""
+    passage = prose(7, 90)
+    check(documents, [(i, prose(1000 + i, 4) + " " + passage + " " + prose(3000 + i, 3)) for i in range(150)], length=200, gram=50)
+
+
+def test_joins_of_anchors_are_salted(spark):
+    rows = C.salted(spark.range(500).selectExpr("id", "1L as gram"), "id")
+    known = C.each_salt(rows.groupBy("gram").agg(F.expr(C.PRESENT)))
+    assert known.count() == C.SALTS
+    joined = rows.join(known, ["gram", "salt"])
+    assert joined.count() == 500 and max(r["count"] for r in joined.groupBy("salt").count().collect()) < 60
