@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_column, mix, only, prepare, shingles_of, slices, spread, stage, trim, unstage
+from .common import PRESENT, U64, binary_column, each_salt, mix, only, prepare, salted, shingles_of, slices, spread, stage, trim, unstage
 from .components import components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -190,6 +190,46 @@ def _joined_blocks(size: int, least: float):
 
 #: Items whose overlaps are counted at once in a block, and texts and words of half a block.
 COLUMNS, BLOCK_TEXTS, BLOCK_WORDS = 8192, 256, 250_000
+#: Texts that may share an item for it to be searched by.
+RARE = 64
+
+
+def _items(size: int):
+    """Texts -> their shingles as a set: a shingle counted c times is c items. n is the size of the set."""
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("item", pa.int64())])
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 19):
+                doc, shingle, count = counted(*shingles_of(*binary_column(batch.column("text")), size))
+                n = np.bincount(doc, count, batch.num_rows).astype(np.int32)
+                doc, shingle = np.repeat(doc, count), np.repeat(shingle, count)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(doc)), pa.array(n[doc]), pa.array(mix(shingle + nth.astype(U64) * step(1)).view(np.int64))], schema=schema)
+
+    return run
+
+
+def _by_rare_items(reps: DataFrame, texts: DataFrame, size: int, least: float, keep) -> tuple[DataFrame, DataFrame]:
+    """reps(rep, component) -> pairs (a, b) of different components to verify, and the reps that must be compared otherwise.
+
+    Two sets that overlap by `least` share one of the n - ceil(least * n) + 1 rarest items of each (in any one order of
+    items), and an item that one text alone has is shared with none. So texts are joined by the rarest of their
+    items that occur twice. An item that more than RARE texts have is never joined by: the texts that would need one
+    are returned, and only pairs of two such texts are left to them.
+    """
+    found = texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").dropDuplicates(["rep"])
+    items = salted(keep(found.select("rep", "text").mapInArrow(_items(size), "rep long, n int, item long"), "items"), "rep")
+    common = keep(items.groupBy("item").agg(F.count("*").alias("f"), F.expr(PRESENT)).where("f > 1"), "common")
+    known = items.join(each_salt(common), ["item", "salt"]).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
+    need = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1  # as long a prefix, less the items of one text, which come first
+    known = known.withColumn("need", F.greatest(F.lit(0), need - (F.col("n") - F.size("x"))).cast("int"))
+    prefix = keep(known.select("rep", F.slice("x", F.lit(1), F.col("need")).alias("x")).where(F.size("x") > 0).join(reps, "rep"), "prefixes")
+    crowd = prefix.where(F.element_at("x", -1)["f"] > RARE).select("rep")
+    one = prefix.select("rep", "component", F.explode(F.filter("x", lambda i: i["f"] <= RARE)).alias("i")).select("rep", "component", F.col("i.item").alias("item"))
+    two = one.select(F.col("rep").alias("b"), F.col("component").alias("other"), "item")
+    pairs = one.hint("merge").join(two, "item").where((F.col("rep") > F.col("b")) & (F.col("component") != F.col("other")))
+    return pairs.select("b", F.col("rep").alias("a")).distinct(), crowd
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, bands: int = 36, rows: int = 7) -> DataFrame:
@@ -201,8 +241,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
 
     Equal texts collapse to one representative before banding, so copies never meet in pairs. In a
     bucket every text is first compared with one leader, a different one in each band. Buckets that
-    then still hold texts of several components are compared whole, in blocks of bounded size that
-    give back spanning links only: every candidate pair is decided, and no pair becomes a row.
+    then still hold texts of several components are settled whole: small ones in one block that gives back
+    spanning links only; in larger ones texts are joined by their rarest shingles, each shared by RARE texts at most
+    (see _by_rare_items), and only texts whose rarest shared shingles are all common are compared in blocks.
 
     A null text counts as empty; a text without words is a class of its own; one of fewer than `size`
     words has one shingle. Rows with a null doc_id are in no class and keep a null class_id. Repeated
@@ -225,16 +266,30 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     known = components(links)
     placed = crowd.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = stage(placed, "placed")
+    made = [bucket, crowd, links, placed]
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(stage(df, name))
+        return made[-1]
+
     unsettled = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    parts = F.greatest(F.ceil(F.col("k") / BLOCK_TEXTS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    inside = placed.join(unsettled, "band").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    parts = lambda k, words: F.greatest(F.ceil(k / BLOCK_TEXTS), F.ceil(words / BLOCK_WORDS)).cast("int")
+    inside = keep(placed.join(unsettled, "band").select("band", "rep", "component", "n", parts(F.col("k"), F.col("words")).alias("parts")), "unsettled")
+    pairs, common = _by_rare_items(inside.where("parts > 1").select("rep", "component").distinct(), texts, size, similarity, keep)
+    near = keep(_links(pairs, texts, size, similarity).select("a", "b"), "links")
+    # what is left of the larger buckets: texts that are searched by no rare item, at least two of them
+    left = inside.where("parts > 1").join(common, "rep").select("band", "rep", "component", "n")
+    sizes = left.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1")
+    left = left.join(sizes.select("band", parts(F.col("k"), F.col("words")).alias("parts")), "band")
+    inside = inside.where("parts = 1").select("band", "rep", "component", "parts").union(left.select("band", "rep", "component", "parts"))
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     inside = inside.select("band", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     inside = inside.select("band", "rep", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     blocks = inside.hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     blocks = blocks.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    more = stage(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
-    group = stage(components(links.union(more)), "classes")
-    unstage(bucket, crowd, links, placed, more)
+    more = keep(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
+    group = stage(components(links.union(near).union(more)), "classes")
+    unstage(*made)
     of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(of_text, "same", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

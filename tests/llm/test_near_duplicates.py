@@ -65,6 +65,37 @@ def test_large_group_of_spread_copies(documents):
     assert got == brute(rows)
 
 
+def test_a_template_that_very_many_texts_share(documents):
+    """Texts alike at about 0.7: their buckets are large and unsettled, and all but a few pairs are below the threshold."""
+    base = prose(51, 160)
+    rows = [(k, edited(base, 11, k)) for k in range(120)] + [(200 + k, edited(edited(base, 11, k), 1, 900 + k)) for k in range(0, 120, 6)]
+    was = N.BLOCK_TEXTS, N.RARE
+    try:
+        for N.BLOCK_TEXTS, N.RARE in ((16, 64), (16, 3)):
+            got = {r.doc_id: r.class_id for r in N.near_duplicates(documents(rows)).collect()}
+            assert got == brute(rows)
+    finally:
+        N.BLOCK_TEXTS, N.RARE = was
+
+
+def test_rare_items_lose_no_pair(spark):
+    base = prose(52, 140)
+    rows = [(k, edited(base, random.Random(k).choice([1, 3, 5, 8, 11]), k)) for k in range(60)] + [(60 + k, prose(k, 40)) for k in range(20)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    was = N.RARE
+    try:
+        for N.RARE in (1000, 8):
+            pairs, crowd = N._by_rare_items(texts.select(N.F.col("doc_id").alias("rep"), N.F.col("doc_id").alias("component")), texts, 5, 0.8, lambda df, name: df)
+            pairs, crowd = {(r.a, r.b) for r in pairs.collect()}, {r.rep for r in crowd.collect()}
+            for i, t in rows:
+                for j, u in rows[:i]:
+                    if similarity(t, u) >= 0.8:
+                        assert (i, j) in pairs or {i, j} <= crowd
+            assert len(pairs) < 60 * 59 / 2 and (N.RARE == 8 or not crowd)
+    finally:
+        N.RARE = was
+
+
 def test_every_row_has_a_class_and_null_ids_none(documents, awkward):
     out = N.near_duplicates(documents(awkward)).collect()
     assert len(out) == len(awkward)
