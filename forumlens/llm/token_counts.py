@@ -1,7 +1,7 @@
 """Document lengths in flat token files without an index, by a scan for the separator id.
 
 A token file is a plain run of little-endian ids in which an end-of-document id closes each document.
-It is read in blocks. Each block is searched for separators at once and reports the lengths of the
+It is read in ranges of whole blocks, so that a file of any size is split over tasks. Each block is searched for separators at once and reports the lengths of the
 documents that both begin and end in it, the tokens before its first separator and those after its last.
 A prefix scan over the block reports (within super-blocks, then over them) numbers the documents and adds up
 those that cross block boundaries, however many blocks they span.
@@ -10,36 +10,72 @@ those that cross block boundaries, however many blocks they span.
 from __future__ import annotations
 
 import base64
+import contextlib
+import uuid
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, prepare, slices, spread, stage
+from .common import only, prepare, shared_folder, slices, spread, stage
 
 BLOCK_TOKENS = 1 << 16
+#: Blocks that one task reads in a row.
+RANGE = 64
 #: Blocks of a file that one task of the scan handles together.
 SUPER = 4096
 
 
+def store(uri: str):
+    """(file system, path in it) of a location that Arrow can open, on the driver and on executors alike; None for others."""
+    import pyarrow.fs as fs
+
+    if urlsplit(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(urlsplit(uri).path)
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return None
+
+
 def read_token_files(spark: SparkSession, path: str, *, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Flat files under path -> blocks (file, block, payload). Files are read by Spark, 2 GB each at most; shards may be many.
+    """Flat files under path -> blocks (file, block, payload).
 
-    Bytes after the last whole id of a file are ignored.
+    Spark lists the files and their lengths; tasks open ranges of RANGE blocks by seeking, so files may have any size. In a
+    store that only Spark can open each file is one row of it, of 2 GB at most. Bytes after a file's last whole id are
+    ignored, and an empty file has no blocks.
     """
     prepare(spark)
     step = block_tokens * width
+    files = spark.read.format("binaryFile").load(path)
+    if store(path) is None:
+
+        def whole(batches):
+            for batch in batches:
+                for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    raw = memoryview(content.as_buffer())
+                    size = len(raw) // width * width
+                    for k, at in enumerate(range(0, size, step)):
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([bytes(raw[at : min(at + step, size)])])], names=["file", "block", "payload"])
+
+        return files.select("path", "content").mapInArrow(whole, "file string, block long, payload binary")
+
+    size = F.expr(f"length div {width} * {width}")
+    ranges = files.select("path", size.alias("size")).where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step * RANGE}"))).alias("part"))
+    ranges = ranges.repartition(max(2 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions()), "path", "part")
 
     def run(batches):
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = memoryview(content.as_buffer())
-                size = len(raw) // width * width
-                for k, at in enumerate(range(0, size, step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([bytes(raw[at : min(at + step, size)])])], names=["file", "block", "payload"])
+            for file, size, part in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "part"))):
+                opened, where = store(file)
+                with opened.open_input_file(where) as stream:
+                    stream.seek(part * RANGE * step)
+                    for k in range(part * RANGE, min((part + 1) * RANGE, -(-size // step))):
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([stream.read(min(step, size - k * step))])], names=["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, payload binary")
+    return ranges.mapInArrow(run, "file string, block long, payload binary")
 
 
 def _scanned(separator: int, width: int):
@@ -103,20 +139,24 @@ def separator_scan(blocks: DataFrame, separator: int, *, width: int = 4) -> Data
     return done.union(rest.withColumn("terminated", F.lit(False))).select("file", F.col("document").cast("long").alias("document"), F.col("n_tokens").cast("long").alias("n_tokens"), "terminated")
 
 
-def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int, *, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, int]:
-    """Tokenise docs(doc_id, text) into flat streams: (blocks as read_token_files gives them, manifest, bytes of an id).
+def write_tokens(docs: DataFrame, folder: str, ranks_file: str, pattern: str, separator: int) -> tuple[DataFrame, int]:
+    """Tokenise docs(doc_id, text) into flat files under folder: (manifest, bytes of an id).
 
-    Each input partition becomes one file, a stream of ids of 2 bytes (4 if the vocabulary is larger), cut into
-    blocks wherever they fall; the manifest (file, document, doc_id) is all that tells which document is which. The ranks of the
-    byte-pair vocabulary are broadcast; their number bounds that.
+    Each input partition becomes one file part-N.tok, ids of 2 bytes (4 if the vocabulary is larger), that the task writes
+    under a name of its own and renames at its end: a task that is lost and run again leaves one whole file. The manifest
+    (file, document, doc_id) is all that tells which document is which. The ranks of the byte-pair
+    vocabulary are broadcast; their number bounds that. folder must be one that Arrow can open (see store).
     """
     spark = docs.sparkSession
     prepare(spark)
+    if store(folder) is None:
+        raise ValueError(f"token files need a folder that executors can open: {folder}")
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     width = 2 if max(separator, *ranks.values()) < 1 << 16 else 4
     kind = f"<u{width}"
     shared = spark.sparkContext.broadcast((pattern, ranks))
+    numbers = pa.list_(pa.struct([("document", pa.int64()), ("doc_id", pa.int64())]))
 
     def run(batches):
         import tiktoken
@@ -124,45 +164,43 @@ def write_tokens(docs: DataFrame, ranks_file: str, pattern: str, separator: int,
 
         shape, merges = shared.value
         coder = tiktoken.Encoding("flat", pat_str=shape, mergeable_ranks=merges, special_tokens={})
-        file = f"part-{TaskContext.get().partitionId():06d}"
-        names = ["file", "block", "payload", "documents"]
-        kept, size, block, n = [], 0, 0, 0
-
-        def cut(whole: bool):
-            nonlocal kept, size, block
-            ids = np.concatenate(kept) if kept else np.zeros(0, kind)
-            at = 0
-            while len(ids) - at >= block_tokens or whole and at < len(ids):
-                part = ids[at : at + block_tokens]
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([part.tobytes()]), pa.array([None], pa.list_(pa.struct([("document", pa.int64()), ("doc_id", pa.int64())])))], names=names)
-                block, at = block + 1, at + len(part)
-            kept, size = [ids[at:]], len(ids) - at
-
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                numbered = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = np.array([*coder.encode_ordinary(text or ""), separator], kind)
-                    kept.append(ids)
-                    size += len(ids)
-                    numbered.append({"document": n, "doc_id": doc})
-                    n += 1
-                    if size >= block_tokens:
-                        yield from cut(False)
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([numbered], pa.list_(pa.struct([("document", pa.int64()), ("doc_id", pa.int64())])))], names=names)
-        yield from cut(True)
-
-    out = stage(spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "file string, block long, payload binary, documents array<struct<document: long, doc_id: long>>"), "tokens")
-    manifest = out.where("block is null").select("file", F.explode("documents").alias("d")).select("file", "d.document", "d.doc_id")
-    return out.where("block is not null").select("file", "block", "payload"), manifest, width
+        task = TaskContext.get()
+        file = f"part-{task.partitionId():06d}.tok"
+        opened, where = store(folder)
+        own = f"{where}/_{file}-{task.taskAttemptId()}"
+        opened.create_dir(where, recursive=True)
+        n = 0
+        with opened.open_output_stream(own, buffer_size=1 << 20) as out:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    numbered = []
+                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                        out.write(np.array([*coder.encode_ordinary(text or ""), separator], kind).tobytes())
+                        numbered.append({"document": n, "doc_id": doc})
+                        n += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([numbered], numbers)], names=["file", "documents"])
+        if n:
+            opened.move(own, f"{where}/{file}")
+        else:
+            opened.delete_file(own)
+
+    out = stage(spread(only(docs, doc_id="long", text="string")).mapInArrow(run, "file string, documents array<struct<document: long, doc_id: long>>"), "manifest")
+    return out.select("file", F.explode("documents").alias("d")).select("file", "d.document", "d.doc_id"), width
 
 
 def token_counts(docs: DataFrame, ranks_file: str, pattern: str, separator: int) -> DataFrame:
     """docs(doc_id, text) -> file, document, doc_id, n_tokens: written as flat token files, then counted from these alone.
 
     Null and empty texts have 0 tokens. Repeated rows are counted each; a null doc_id is carried. A
-    separator id inside a document would end it, so it must be none of the vocabulary's.
+    separator id inside a document would end it, so it must be none of the vocabulary's. The files lie in
+    the shared folder while they are scanned and are then deleted.
     """
-    blocks, manifest, width = write_tokens(docs, ranks_file, pattern, separator)
-    found = separator_scan(blocks, separator, width=width)
-    return found.join(manifest, ["file", "document"]).select("file", "document", "doc_id", "n_tokens")
+    folder = f"{shared_folder(docs.sparkSession)}/forumlens/tokens-{uuid.uuid4().hex}"
+    manifest, width = write_tokens(docs, folder, ranks_file, pattern, separator)
+    opened, where = store(folder)
+    opened.create_dir(where, recursive=True)
+    found = separator_scan(read_token_files(docs.sparkSession, folder, width=width), separator, width=width)
+    with contextlib.suppress(OSError):
+        opened.delete_dir(where)
+    name = F.element_at(F.split("file", "/"), -1)
+    return found.withColumn("file", name).join(manifest, ["file", "document"]).select("file", "document", "doc_id", "n_tokens")
