@@ -8,7 +8,9 @@ vectors give the least edit distance of the item to any stretch there.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -66,15 +68,15 @@ def myers(bits: dict[str, int], m: int, text: str, most: int, anchored: bool = F
     return best, end
 
 
-#: The matcher of the broadcast in use, by its object in this worker process.
-_MATCHERS: dict[int, Matcher] = {}
+#: Matchers in this worker process, by a digest of their items and settings: the last in use, built once a worker and not once a task.
+_MATCHERS: dict[str, Matcher] = {}
 
 
 class Matcher:
     """All items, prepared for search."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, f) for i, t in items if (f := folded(t or "").strip())]
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_chars: int = 1):
+        self.items = [(i, f) for i, t in items if len(f := folded(t or "").strip()) >= max(1, least_chars)]
         self.error_rate = error_rate
         self.budget = [int(error_rate * len(t)) for _, t in self.items]
         self.bits = [peq(t) for _, t in self.items]
@@ -125,27 +127,50 @@ class Matcher:
 
 
 
+def matcher(block: Block, error_rate: float, least_chars: int) -> Matcher:
+    """The matcher of a block, from this worker's store. Two blocks never share a key, whatever became of the broadcasts that brought them."""
+    key = f"{block.digest}:{error_rate}:{least_chars}"
+    if key not in _MATCHERS:
+        _MATCHERS.clear()  # one at a time: a block's automaton is the largest thing that a worker holds
+        _MATCHERS[key] = Matcher(block.items, error_rate, least_chars)
+    return _MATCHERS[key]
+
+
+@dataclass
+class Block:
+    """Items that are searched at once, and a digest of them."""
+
+    items: list[tuple[int, str]]
+    digest: str
+
+
 def _blocks(items: DataFrame, most: int):
     """Items in blocks of at most `most` characters (or one item), so that what is broadcast has a bound."""
+
+    def made(rows: list[tuple[int, str]]) -> Block:
+        return Block(rows, hashlib.sha256(repr(rows).encode()).hexdigest())
+
     block, size = [], 0
     for row in only(items, item_id="long", text="string").where(F.col("item_id").isNotNull()).toLocalIterator():
         n = len(row["text"] or "")
         if block and size + n > most:
-            yield block
+            yield made(block)
             block, size = [], 0
         block.append((row["item_id"], row["text"]))
         size += n
-    yield block
+    yield made(block)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, least_chars: int = 1, block_chars: int = 4_000_000) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> doc_id, item_id, distance, start, end: one row per match.
 
     start and end are character offsets in the document of the nearest stretch (the first of several),
     case and kind of white space aside. The items are the query set: they are broadcast in blocks of
-    block_chars characters, each block against all documents. Null, empty and blank texts or items
-    match nothing. Repeated documents are matched each; repeated items give a row each. A null doc_id is
-    carried; an item with a null id is ignored. Empty tables give no rows; other columns are ignored.
+    block_chars characters, each block against all documents, so that the cost is one pass over the documents a block.
+    Items below least_chars characters match nothing; at 1, an item of one short word matches every text that holds it.
+    Null, empty and blank texts or items match nothing. Repeated documents are matched each; repeated items give
+    a row each. A null doc_id is carried; an item with a null id is ignored. Empty tables give no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -154,10 +179,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08,
 
     def search(shared):
         def run(batches):
-            matcher = Matcher(shared.value, error_rate)
+            found_in = matcher(shared.value, error_rate, least_chars).matches
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    found = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for m in matcher.matches(t)]
+                    found = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for m in found_in(t)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found), schema)], schema=schema)
 
@@ -170,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08,
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, least_chars: int = 1, block_chars: int = 4_000_000) -> DataFrame:
     """The documents, with all their columns, that match no item (see contaminated); decided row by row, without a shuffle."""
     prepare(docs.sparkSession)
     for block in _blocks(items, block_chars):
@@ -178,11 +203,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08
         flag = f"hit_{uuid.uuid4().hex}"
 
         def compute(column, shared=shared):
-            key = id(shared)
-            if key not in _MATCHERS:
-                _MATCHERS.clear()
-                _MATCHERS[key] = Matcher(shared.value, error_rate)
-            return [pa.array([next(_MATCHERS[key].matches(t or ""), None) is not None for t in column.to_pylist()], pa.bool_())]
+            found_in = matcher(shared.value, error_rate, least_chars).matches
+            return [pa.array([next(found_in(t or ""), None) is not None for t in column.to_pylist()], pa.bool_())]
 
         docs = carried(docs, [(flag, "boolean")], compute).where(~F.col(flag)).drop(flag)
     return docs

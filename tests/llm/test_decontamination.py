@@ -57,6 +57,23 @@ def test_blocks_of_items_agree(documents, spark):
     assert one == many and len(one) == 5
 
 
+def test_two_blocks_in_one_worker(documents, spark):
+    """Blocks follow each other in the same worker process, also in a second run with other items of the same number."""
+    docs = documents([(k, prose(k, 25) + "!") for k in range(6)]).coalesce(1)
+    for ids in ((0, 1, 2, 3), (2, 3, 4, 5)):
+        table = spark.createDataFrame([(k, prose(k, 25)) for k in ids], "item_id long, text string").coalesce(1)
+        kept = D.decontaminate(docs, table, block_chars=2 * len(prose(ids[0], 25)))
+        assert {r.doc_id for r in kept.collect()} == set(range(6)) - set(ids)
+        assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, table, block_chars=200).collect()} == {(k, k) for k in ids}
+
+
+def test_matchers_are_kept_by_content():
+    one, two = (D.Block([(1, t)], D.hashlib.sha256(t.encode()).hexdigest()) for t in ("a first text", "another text"))
+    assert D.matcher(one, 0.08, 1) is D.matcher(D.Block(list(one.items), one.digest), 0.08, 1)
+    assert next(D.matcher(two, 0.08, 1).matches("it is another text"))[0] == 1 and len(D._MATCHERS) == 1
+    assert not list(D.matcher(one, 0.08, 20).matches("a first text"))
+
+
 def test_decontaminate_keeps_clean_rows_whole(documents, spark, awkward):
     docs = documents([*awkward, (50, "Intro. " + prose(3, 25).upper() + " end")])
     table = spark.createDataFrame([(1, prose(3, 25)), (2, None)], "item_id long, text string")
