@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: White space between words, and the symbols that are counted.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -45,7 +47,7 @@ def _without(chars: str) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id and the measurements that the rules need."""
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    d = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
         "doc_id",
@@ -78,7 +80,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, measurements, failure_bits (long): one row per document.
 
     Null and empty texts have no words: all counts are 0 and few_words fails. Texts of any length are
-    measured whole. Repeated rows are measured each, a null doc_id is kept, other columns are
+    measured whole; a table of fewer partitions than cores is first dealt over them. Repeated rows are measured each, a null doc_id is kept, other columns are
     ignored, and an empty table gives no rows. Windows of WINDOW words count as equal by 64-bit hash.
     """
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()])
