@@ -1,18 +1,14 @@
-"""Rule-based sentiment from a small lexicon of our own (a declared substitute for a published one).
+"""Rule-based sentiment from a small lexicon (a declared substitute for a full one).
 
-Rules: word valences, negation, boosters, capitals, exclamation marks, and x / sqrt(x * x + 15) to bring the
-sum into [-1, 1]. Vectorised over Arrow batches.
+Rules and constants, and those valences that agree, are those of a published rule-based model (Hutto and Gilbert, "VADER", ICWSM 2014,
+MIT licence): word valences, negation, boosters, capitals, exclamation marks, and x / sqrt(x * x + 15) to bring
+the sum into [-1, 1]. All in column expressions: words are looked up once, and only those in the lexicon are scored.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import LEXICON_CUT, WEAK_NEGATIVE, WEAK_NEUTRAL, WEAK_POSITIVE
 
@@ -25,35 +21,40 @@ VALENCE = {
 }
 BOOST = {"very": 0.293, "really": 0.293, "extremely": 0.293, "so": 0.293, "totally": 0.293, "absolutely": 0.293, "slightly": -0.293, "somewhat": -0.293, "barely": -0.293}
 NEGATION = {"not", "no", "never", "without", "cannot", "cant", "can't", "dont", "don't", "isnt", "isn't", "wasnt", "wasn't", "wont", "won't", "nothing", "neither", "nor"}
-WORD = re.compile(r"[A-Za-z']+")
-
-
-def compound(text: str | None) -> float:
-    """Sentiment in [-1, 1]; 0 for null, empty or neutral text."""
-    words = WORD.findall(text or "")
-    shouting = any(w.isupper() for w in words) and not all(w.isupper() for w in words)
-    total = 0.0
-    for i, word in enumerate(words):
-        score = VALENCE.get(word.lower())
-        if score is None:
-            continue
-        if shouting and word.isupper() and len(word) > 1:
-            score += math.copysign(0.733, score)
-        for back, fade in ((1, 1.0), (2, 0.95), (3, 0.9)):
-            if i >= back:
-                before = words[i - back].lower()
-                score += math.copysign(BOOST.get(before, 0.0) * fade, score) if BOOST.get(before, 0.0) > 0 else -math.copysign(-BOOST.get(before, 0.0) * fade, score)
-                if before in NEGATION:
-                    score *= -0.74
-        total += score
-    if total:
-        total += math.copysign(min((text or "").count("!"), 4) * 0.292, total)
-    return total / math.sqrt(total * total + 15) if total else 0.0
-
-
-@F.pandas_udf(T.DoubleType())
-def compound_score(text: pd.Series) -> pd.Series:
-    return text.map(compound)
+#: Emphasis by capitals and by an exclamation mark (four count at most), reversal by a negation, scale of the sum; fading by distance.
+CAPITALS, MARK, REVERSAL, SCALE = 0.733, 0.292, -0.74, 15
+FADE = ((1, 1.0), (2, 0.95), (3, 0.9))
+
+
+def _upper(word: Column) -> Column:
+    return (word == F.upper(word)) & (word != F.lower(word))
+
+
+def with_compound(df: DataFrame, text: str, name: str = "compound") -> DataFrame:
+    """df with the sentiment of a text column in [-1, 1]; 0 for null, empty or neutral text."""
+    known = F.create_map(*(F.lit(x) for pair in VALENCE.items() for x in pair))
+    boost = F.create_map(*(F.lit(x) for pair in BOOST.items() for x in pair))
+    d = df.withColumn("_words", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z']+)"), 1))
+    d = d.withColumn("_low", F.transform("_words", F.lower))
+    d = d.withColumn("_hits", F.filter(F.transform("_low", lambda w, i: F.struct(i.alias("i"), F.try_element_at(known, w).alias("v"))), lambda x: x["v"].isNotNull()))
+    d = d.withColumn("_loud", (F.size("_hits") > 0) & F.exists("_words", _upper) & ~F.forall("_words", _upper))
+
+    def scored(hit: Column) -> Column:
+        word = F.get("_words", hit["i"])
+        start = hit["v"] + F.when(F.col("_loud") & _upper(word) & (F.length(word) > 1), F.signum(hit["v"]) * CAPITALS).otherwise(0.0)
+        steps = F.array(*(F.struct(F.lit(k).alias("back"), F.lit(f).alias("fade")) for k, f in FADE))
+
+        def step(score: Column, at: Column) -> Column:
+            before = F.get("_low", hit["i"] - at["back"])
+            turned = F.when(F.coalesce(before.isin(*sorted(NEGATION)), F.lit(False)), F.lit(REVERSAL)).otherwise(1.0)
+            return (score + F.signum(score) * F.coalesce(F.try_element_at(boost, before), F.lit(0.0)) * at["fade"]) * turned
+
+        return F.aggregate(steps, start, step)
+
+    d = d.withColumn("_sum", F.aggregate(F.transform("_hits", scored), F.lit(0.0), lambda s, x: s + x))
+    marks = F.least(F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))), F.lit(4))
+    d = d.withColumn("_sum", F.when(F.col("_sum") != 0, F.col("_sum") + F.signum("_sum") * marks * MARK).otherwise(0.0))
+    return d.withColumn(name, F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + SCALE)).drop("_words", "_low", "_hits", "_loud", "_sum")
 
 
 def sign(score: Column, cut: float = LEXICON_CUT) -> Column:

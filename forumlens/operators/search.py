@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import search_terms
+from ..functions.text import lexical_score, preview, search_terms
 from ..functions.vector import cosine
 from .filters import first_rows
 
@@ -71,10 +73,8 @@ def lexical_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     terms = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
     low = F.lower(F.coalesce("text", F.lit("")))
     marked = docs.select("id", search_terms(low).alias("terms"), F.contains(low, F.lit(query.lower())).alias("phrase"))
-    scored = marked.select("id", F.size(F.array_intersect(terms, "terms")).alias("shared"), F.size("terms").alias("n"), "phrase").where("phrase or shared > 0")
-    overlap = F.col("shared") / F.greatest(F.lit(len(wanted)) + F.col("n") - F.col("shared"), F.lit(1))
-    score = F.when(F.col("phrase"), F.greatest(overlap, F.lit(0.25))).otherwise(overlap)
-    return scored.select("id", F.bround(score, 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = marked.select("id", lexical_score(terms, F.col("phrase"), F.col("terms")).alias("score")).where("score is not null")
+    return scored.select("id", F.bround("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def phrase_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -89,3 +89,36 @@ def search(strategy: str, query: str | list[float], *, docs: DataFrame | None =
     if strategy == "lexical":
         return lexical_search(docs, query, limit).withColumn("algorithm", F.lit("lexical_overlap_fallback"))
     return phrase_search(docs, query, limit).withColumn("algorithm", F.lit("like_fallback"))
+
+
+def semantic_search(docs: DataFrame, query: str, *, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, limit: int = 50) -> DataFrame:
+    """docs(id, text, ...) -> id, score, algorithm, state: search as one call that goes down the ladder by itself.
+
+    By vectors where there is an encoder and any text has a vector; else by words that overlap. Where either breaks off
+    (an encoder that fails, unreadable vectors), by the phrase. A blank query finds nothing.
+    """
+    states = {"vector_cosine": "ready", "lexical_overlap_fallback": "missing_config", "like_fallback": "error"}
+
+    def found(rows: DataFrame) -> DataFrame:
+        cases = F.create_map(*(F.lit(x) for pair in states.items() for x in pair))
+        return rows.select("id", "score", "algorithm", F.element_at(cases, F.col("algorithm")).alias("state"))
+
+    if not query.strip():
+        return found(search("like", query, docs=docs.limit(0), limit=limit))
+    try:
+        if vectors is not None and encode is not None:
+            known = vectors.join(docs.select("id"), "id", "left_semi")
+            if not known.isEmpty():
+                return found(search("vector", encode(query), vectors=known, limit=limit))
+        rows = search("lexical", query, docs=docs, limit=limit)
+    except Exception:
+        logging.getLogger(__name__).exception("search falls back to the phrase")
+        rows = search("like", query, docs=docs, limit=limit)
+    return found(rows)
+
+
+def detailed(found: DataFrame, docs: DataFrame, predictions: DataFrame, n: int = 240) -> DataFrame:
+    """Search results with group, day, label, confidence and a preview of each text; the results are few and are broadcast by their limit."""
+    few = F.broadcast(found)
+    shown = docs.join(few, "id").select("id", "score", "algorithm", "state", "subreddit", F.to_date("timestamp").alias("date"), preview(F.col("text"), n).alias("text_preview"))
+    return shown.join(predictions.select("id", "label", "confidence"), "id", "left")

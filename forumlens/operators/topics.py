@@ -52,8 +52,8 @@ def coherence(docs: DataFrame, keywords: DataFrame, n: int = 10) -> DataFrame:
     """
     top = keywords.where(F.col("place") <= n)
     lists = top.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"))
-    texts = docs.join(lists, "topic_id")
-    held = texts.select("topic_id", F.filter("words", lambda w: F.contains(F.lower(F.col("text")), w["word"])).alias("held"))
+    texts = docs.select("topic_id", F.lower("text").alias("low")).join(lists, "topic_id")
+    held = texts.select("topic_id", F.filter("words", lambda w: F.contains(F.col("low"), w["word"])).alias("held"))
     one = held.select("topic_id", F.explode("held").alias("w")).groupBy("topic_id", F.col("w.place").alias("pb")).agg(F.count("*").alias("d1"))
     a = held.select("topic_id", "held", F.explode("held").alias("a")).select("topic_id", F.col("a.place").alias("pa"), F.explode("held").alias("b"))
     two = a.where(F.col("pa") > F.col("b.place")).groupBy("topic_id", "pa", F.col("b.place").alias("pb")).agg(F.count("*").alias("d2"))

@@ -57,26 +57,56 @@ class ArtifactLog:
         return self._events().select("artifact_id", "from_status", F.col("status").alias("to_status"), "reason", F.col("lease_owner").alias("worker_id"), F.col("updated_at").alias("created_at"), "seq").orderBy("seq")
 
     def _append(self, row: dict, before: str | None, reason: str) -> dict:
+        return self.record([(row, before, reason)])[0]
+
+    def record(self, transitions: list[tuple[dict, str | None, str]]) -> list[dict]:
+        """Append (row, status before, reason) transitions in order: one read of the last number and one file for all of them."""
         events = self._events()
-        seq = 1 + (0 if events is None else events.agg(F.max("seq")).first()[0] or 0)
+        last = 0 if events is None else events.agg(F.max("seq")).first()[0] or 0
         full = schema("analysis_artifacts").add("seq", "long").add("from_status", "string").add("reason", "string")
-        row = row | {"seq": seq, "from_status": before, "reason": reason, "updated_at": self.clock()}
-        self.spark.createDataFrame([tuple(row.get(f.name) for f in full.fields)], full).coalesce(1).write.mode("append").parquet(self.path)
-        return row
+        now = self.clock()
+        rows = [row | {"seq": last + k, "from_status": before, "reason": reason, "updated_at": now} for k, (row, before, reason) in enumerate(transitions, 1)]
+        if rows:
+            self.spark.createDataFrame([tuple(r.get(f.name) for f in full.fields) for r in rows], full).coalesce(1).write.mode("append").parquet(self.path)
+        return rows
+
+    def known(self, kind: str, hashes: list[str], status: str | None = None) -> set[str]:
+        """Those of the source hashes that an artifact of the kind (and status) has: what comes back is no more than what was asked."""
+        asked = self.spark.createDataFrame([(h,) for h in hashes], "source_input_hash string").distinct()
+        found = self.state().where((F.col("kind") == kind) & (F.lit(True) if status is None else F.col("status") == status))
+        return {r["source_input_hash"] for r in asked.join(found, "source_input_hash", "left_semi").collect()}
+
+    def compact(self) -> None:
+        """The whole log in one file a partition, in order; run it by the writer while nothing else writes."""
+        events = self._events()
+        if events is None:
+            return
+        fresh = f"{self.path}.compact"
+        events.repartition("artifact_id").sortWithinPartitions("seq").write.mode("overwrite").parquet(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.rename(path(self.path), path(f"{self.path}.old"))
+        fs.rename(path(fresh), path(self.path))
+        fs.delete(path(f"{self.path}.old"), True)
 
     def _row(self, where) -> dict | None:
         found = self.state().where(where).orderBy("created_at", "seq").limit(1).collect()
         return found[0].asDict() if found else None
 
-    def enqueue(self, kind: str, source_hash: str, payload: object, *, version: int = 1, max_attempts: int = MAX_ATTEMPTS, provider: str = "", model: str = "", prompt: str = "") -> dict:
+    def enqueue(self, kind: str, source_hash: str, payload: object, **settings) -> dict:
         """A queued artifact, or the one that the same kind, source and version made before."""
+        row = self.queued(kind, source_hash, payload, **settings)
+        known = self._row(F.col("idempotency_key") == row["idempotency_key"])
+        return known or self._append(row, None, "enqueued")
+
+    def queued(self, kind: str, source_hash: str, payload: object, *, version: int = 1, max_attempts: int = MAX_ATTEMPTS, provider: str = "", model: str = "", prompt: str = "") -> dict:
+        """The row of a new artifact; nothing is written."""
         key = idempotency_key(kind, source_hash, version)
-        known = self._row(F.col("idempotency_key") == key)
-        if known:
-            return known
-        now = self.clock()
-        row = {"artifact_id": key[:32], "kind": kind, "status": "queued", "idempotency_key": key, "payload": json.dumps(payload, sort_keys=True), "schema_version": version, "source_input_hash": source_hash, "attempts": 0, "max_attempts": max_attempts, "created_at": now, "provider": provider, "model_name": model, "prompt_version": prompt}
-        return self._append(row, None, "enqueued")
+        return {"artifact_id": key[:32], "kind": kind, "status": "queued", "idempotency_key": key, "payload": json.dumps(payload, sort_keys=True), "schema_version": version, "source_input_hash": source_hash, "attempts": 0, "max_attempts": max_attempts, "created_at": self.clock(), "provider": provider, "model_name": model, "prompt_version": prompt}
+
+    def succeeded(self, row: dict, payload: object) -> dict:
+        """The row of an artifact once it is done; nothing is written."""
+        return row | {"status": "succeeded", "payload": json.dumps(payload, sort_keys=True), "checksum": checksum(payload), "freshness_timestamp": self.clock(), "lease_expires_at": None}
 
     def claim(self, worker: str, max_running: int = 1) -> dict | None:
         """The oldest queued or stale artifact, or one whose lease ran out; none if the worker runs enough already."""
@@ -90,14 +120,18 @@ class ArtifactLog:
 
     def complete(self, artifact_id: str, payload: object) -> dict:
         row = self._row(F.col("artifact_id") == artifact_id)
-        return self._append(row | {"status": "succeeded", "payload": json.dumps(payload, sort_keys=True), "checksum": checksum(payload), "freshness_timestamp": self.clock(), "lease_expires_at": None}, row["status"], "completed")
+        return self._append(self.succeeded(row, payload), row["status"], "completed")
 
     def fail(self, artifact_id: str, category: str, message: str = "") -> dict:
         """Queued again after a transient error while attempts are left; failed otherwise."""
         row = self._row(F.col("artifact_id") == artifact_id)
+        return self._append(self.failed(row, category, message), row["status"], category)
+
+    def failed(self, row: dict, category: str, message: str = "") -> dict:
+        """The row of an artifact after an error; nothing is written."""
         again = category in TRANSIENT and row["attempts"] < row["max_attempts"]
         new = {"status": "queued" if again else "failed", "error_category": category, "error_message": message[:ERROR_CHARS], "lease_owner": None, "lease_expires_at": None, "retry_after": self.clock() + timedelta(seconds=RETRY_SECONDS) if again else None}
-        return self._append(row | new, row["status"], category)
+        return row | new
 
 
 def freshness(state: DataFrame, as_of: datetime) -> DataFrame:

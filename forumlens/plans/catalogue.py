@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text, vector
 from ..operators import filters, model, search, series, topics, upkeep, views
-from ..sources.domain import SQL, Domain, day, moment
+from ..sources.domain import SQL, Domain, day, dealt, moment
 from . import artifacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +122,7 @@ def _over_time(d: Domain) -> DataFrame:
 def trending_topics(d: Domain) -> DataFrame:
     weeks = _over_time(d)
     last = weeks.agg(F.max("week_start").alias("week_start"))
-    now = weeks.join(F.broadcast(last), "week_start").join(d.topics.select("topic_id"), "topic_id").where("topic_id != -1")
+    now = weeks.join(F.broadcast(last), "week_start").join(d.topic_sizes.select("topic_id"), "topic_id").where("topic_id != -1")
     return now.select("topic_id", "doc_count", day("week_start").alias("week_start")).orderBy(F.desc("doc_count"), "topic_id").limit(3)
 
 
@@ -138,7 +138,7 @@ def topic_over_time(d: Domain) -> DataFrame:
 
 
 def _heatmap(d: Domain, n: int) -> DataFrame:
-    top = d.topics.where("topic_id != -1").orderBy(F.desc("doc_count"), "topic_id").limit(n).select("topic_id")
+    top = d.topic_sizes.where("topic_id != -1").orderBy(F.desc("doc_count"), "topic_id").limit(n).select("topic_id")
     return _over_time(d).join(top, "topic_id", "left_semi").select("topic_id", day("week_start").alias("week_start"), r6("avg_sentiment").alias("avg_sentiment")).orderBy("topic_id", "week_start")
 
 
@@ -225,23 +225,60 @@ def high_confidence_share(d: Domain) -> DataFrame:
     return d.content.groupBy("content_type").agg(r6(F.avg((F.col("confidence") >= 0.75).cast("double"))).alias("share"))
 
 
+def _listed(rows: dict[str, float]) -> str:
+    return ", ".join(f"('{word.replace(chr(39), chr(39) * 2)}', {value})" for word, value in rows.items())
+
+
+def _scored_sql(source: str) -> str:
+    """The lexicon's rules over source(id, text) as views of SQL, the last of them lexicon(id, compound)."""
+    step = "({s} + sign({s}) * coalesce(b.boost, 0) * {fade}) * CASE WHEN lower(h.w[h.i - {back}]) IN (SELECT word FROM negations) AND h.i > {back} THEN {turn} ELSE 1.0 END"
+    out = f"""valences(word, v) AS (VALUES {_listed(lexicon.VALENCE)}), boosts(word, boost) AS (VALUES {_listed(lexicon.BOOST)}), negations(word) AS (VALUES {", ".join("('" + w.replace("'", "''") + "')" for w in sorted(lexicon.NEGATION))}),
+  worded AS (SELECT id, text, regexp_extract_all(coalesce(text, ''), '[A-Za-z'']+') AS w FROM {source}),
+  loud AS (SELECT *, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS up FROM worded),
+  places AS (SELECT id, w, up > 0 AND up < len(w) AS loud, unnest(range(1, len(w) + 1)) AS i FROM loud),
+  hit0 AS (SELECT h.*, v.v + CASE WHEN h.loud AND h.w[h.i] = upper(h.w[h.i]) AND h.w[h.i] <> lower(h.w[h.i]) AND length(h.w[h.i]) > 1 THEN sign(v.v) * {lexicon.CAPITALS} ELSE 0 END AS s FROM places h JOIN valences v ON v.word = lower(h.w[h.i]))"""
+    for k, (back, fade) in enumerate(lexicon.FADE):
+        out += f""",
+  hit{k + 1} AS (SELECT h.id, h.w, h.loud, h.i, {step.format(s="h.s", fade=fade, back=back, turn=lexicon.REVERSAL)} AS s FROM hit{k} h LEFT JOIN boosts b ON h.i > {back} AND b.word = lower(h.w[h.i - {back}]))"""
+    return (
+        out
+        + f""",
+  summed AS (SELECT id, sum(s) AS s FROM hit{len(lexicon.FADE)} GROUP BY id),
+  marked AS (SELECT w.id, CASE WHEN s.s <> 0 THEN s.s + sign(s.s) * least(length(w.text) - length(replace(w.text, '!', '')), 4) * {lexicon.MARK} ELSE 0 END AS s FROM worded w LEFT JOIN summed s USING (id)),
+  lexicon AS (SELECT id, s / sqrt(s * s + {lexicon.SCALE}) AS compound FROM marked)"""
+    )
+
+
 def _agreement(d: Domain) -> DataFrame:
-    both = d.documents.join(d.predictions, "id").withColumn("compound", lexicon.compound_score("text"))
+    both = lexicon.with_compound(dealt(d.documents).join(d.predictions, "id"), "text")
     return both.withColumn("lexicon_sign", lexicon.sign(F.col("compound"))).withColumn("model_sign", series.score_of(F.col("label")))
 
 
-@query()
+SIGNS = """CASE WHEN compound > 0.05 THEN 1 WHEN compound < -0.05 THEN -1 ELSE 0 END AS lexicon_sign, CASE label WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END AS model_sign"""
+
+
+@query(f""", labelled AS (SELECT d.*, p.label, p.confidence FROM docs d JOIN predictions p USING (id)), {_scored_sql("labelled")}, signs AS (SELECT l.*, {SIGNS} FROM labelled l JOIN lexicon USING (id))
+  SELECT subreddit, round(avg(CASE WHEN lexicon_sign = model_sign THEN 1.0 ELSE 0.0 END), 6) AS agreement_rate, count(*) AS total FROM signs WHERE subreddit IS NOT NULL GROUP BY 1""")
 def lexicon_agreement(d: Domain) -> DataFrame:
     agree = (F.col("lexicon_sign") == F.col("model_sign")).cast("double")
     return _agreement(d).where("subreddit is not null").groupBy("subreddit").agg(r6(F.avg(agree)).alias("agreement_rate"), F.count("*").alias("total"))
 
 
-@query()
+@query(f""", labelled AS (SELECT d.*, p.label, p.confidence FROM docs d JOIN predictions p USING (id) ORDER BY d.timestamp DESC, d.id LIMIT 5000), {_scored_sql("labelled")}, signs AS (SELECT l.*, compound, {SIGNS} FROM labelled l JOIN lexicon USING (id))
+  SELECT id, subreddit, label, CASE lexicon_sign WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS lexicon_label, confidence, substring(text, 1, 220) AS text_preview FROM signs WHERE lexicon_sign <> model_sign ORDER BY confidence DESC, id LIMIT 50""")
 def lexicon_disagreements(d: Domain) -> DataFrame:
-    apart = _agreement(d).where("lexicon_sign != model_sign")
+    """Of the latest 5,000 scored texts, the 50 of most confidence that the lexicon judges otherwise."""
+    latest = d.documents.join(d.predictions, "id").orderBy(F.desc("timestamp"), "id").limit(5000)
+    scored = lexicon.with_compound(latest, "text")
+    apart = scored.where(lexicon.sign(F.col("compound")) != series.score_of(F.col("label")))
     return apart.orderBy(F.desc("confidence"), "id").limit(50).select("id", "subreddit", "label", lexicon.sign_label(F.col("compound")).alias("lexicon_label"), "confidence", text.preview(F.col("text"), 220).alias("text_preview"))
 
 
+@query(f", {_scored_sql('docs')} SELECT id, round(compound, 6) AS compound FROM lexicon")
+def lexicon_scores(d: Domain) -> DataFrame:
+    return lexicon.with_compound(dealt(d.documents), "text").select("id", r6("compound").alias("compound"))
+
+
 @query("SELECT DISTINCT subreddit FROM content WHERE subreddit IS NOT NULL AND subreddit <> '' ORDER BY 1")
 def known_groups(d: Domain) -> DataFrame:
     return d.content.select("subreddit").distinct().where("subreddit is not null and subreddit != ''").orderBy("subreddit")
@@ -264,7 +301,7 @@ TOKENS = "CASE WHEN clean_text = '' THEN 0 ELSE len(string_split(clean_text, ' '
 
 
 def _prepared(d: Domain) -> DataFrame:
-    c = d.documents.select("id", "author", text.clean(text.raw_text(F.lit(None).cast("string"), F.col("text"))).alias("clean_text"))
+    c = dealt(d.documents).select("id", "author", text.clean(text.raw_text(F.lit(None).cast("string"), F.col("text"))).alias("clean_text"))
     return c.withColumn("token_count", text.token_count(F.col("clean_text")))
 
 
@@ -333,6 +370,38 @@ def phrase_search(d: Domain) -> DataFrame:
     return search.phrase_search(d.documents, QUESTION, 25)
 
 
+SHOWN = "SELECT f.id, f.score, f.algorithm, f.state, d.subreddit, CAST(d.timestamp AS VARCHAR) AS date, p.label, substring(coalesce(d.text, ''), 1, 240) AS text_preview FROM found f JOIN docs d USING (id) LEFT JOIN predictions p USING (id)"
+
+
+def _shown(d: Domain, found: DataFrame) -> DataFrame:
+    return search.detailed(found, d.documents, d.predictions).select("id", "score", "algorithm", "state", "subreddit", day("date").alias("date"), "label", "text_preview")
+
+
+@query(f""", q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), found AS (SELECT e.vec_id AS id, round(greatest(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 0), 4) AS score, 'vector_cosine' AS algorithm, 'ready' AS state
+  FROM embeddings e, q WHERE e.vec_id IN (SELECT id FROM docs) ORDER BY 2 DESC, 1 LIMIT 50) {SHOWN}""")
+def semantic_search(d: Domain) -> DataFrame:
+    """The ladder with an encoder at hand (it gives the vector of row 0): vectors decide."""
+    return _shown(d, search.semantic_search(d.documents, QUESTION, vectors=d.vectors, encode=lambda _: d.vectors.where("id = 0").first()["vector"]))
+
+
+@query(f""", t AS (SELECT id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS w, ['and', 'the'] AS q FROM docs),
+  s AS (SELECT id, len(list_intersect(w, q)) / (len(w) + 2 - len(list_intersect(w, q))) AS o, contains(lower(text), '{QUESTION}') AS ph FROM t),
+  found AS (SELECT id, round(CASE WHEN ph THEN greatest(o, 0.25) ELSE o END, 4) AS score, 'lexical_overlap_fallback' AS algorithm, 'missing_config' AS state FROM s WHERE ph OR o > 0 ORDER BY score DESC, id LIMIT 50) {SHOWN}""")
+def semantic_search_without_vectors(d: Domain) -> DataFrame:
+    """The ladder where no encoder is configured: words that overlap."""
+    return _shown(d, search.semantic_search(d.documents, QUESTION))
+
+
+@query(f", found AS (SELECT id, 0.25 AS score, 'like_fallback' AS algorithm, 'error' AS state FROM docs WHERE contains(lower(text), '{QUESTION}') ORDER BY id LIMIT 50) {SHOWN}")
+def semantic_search_after_an_error(d: Domain) -> DataFrame:
+    """The ladder where the encoder fails: the phrase."""
+
+    def broken(_: str) -> list[float]:
+        raise OSError("no encoder")
+
+    return _shown(d, search.semantic_search(d.documents, QUESTION, vectors=d.vectors, encode=broken))
+
+
 @query("""SELECT e.vec_id AS id, coalesce(a.topic_id, -1) AS topic_id, d.subreddit, p.label, substring(coalesce(d.text, ''), 1, 120) AS preview FROM embeddings e LEFT JOIN assignments a ON a.id = e.vec_id
   LEFT JOIN docs d ON d.id = e.vec_id LEFT JOIN predictions p ON p.id = e.vec_id""")
 def embedding_map(d: Domain) -> DataFrame:
@@ -492,9 +561,9 @@ def retention_delete(d: Domain) -> DataFrame:
     return upkeep.retained(d.content, datetime(2000, 1, 1)).groupBy("content_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f", {_scored_sql('docs')} SELECT CASE WHEN compound > 0.5 THEN 'positive' WHEN compound < -0.5 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS n FROM lexicon WHERE abs(compound) > 0.5 OR abs(compound) < 0.1 GROUP BY 1")
 def weak_labels(d: Domain) -> DataFrame:
-    scored = d.documents.select("id", lexicon.weak_label(lexicon.compound_score("text")).alias("label")).where("label is not null")
+    scored = lexicon.with_compound(dealt(d.documents), "text").select("id", lexicon.weak_label(F.col("compound")).alias("label")).where("label is not null")
     return scored.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -534,7 +603,7 @@ def umass_coherence(d: Domain) -> DataFrame:
 
 @query("SELECT CAST(sum(CASE WHEN doc_count % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS coherent, round(avg(CASE WHEN doc_count % 2 = 0 THEN 0.7 ELSE 0.3 END), 6) AS mean_coherence, sum(CASE WHEN doc_count % 2 = 0 THEN 1 ELSE 0 END) >= 3 AS passed FROM topics WHERE topic_id <> -1")
 def coherence_gate(d: Domain) -> DataFrame:
-    marked = d.topics.withColumn("coherence_score", F.when(F.col("doc_count") % 2 == 0, 0.7).otherwise(0.3))
+    marked = d.topic_sizes.withColumn("coherence_score", F.when(F.col("doc_count") % 2 == 0, 0.7).otherwise(0.3))
     return topics.gate(marked, least=3).withColumn("mean_coherence", r6("mean_coherence"))
 
 
@@ -649,7 +718,7 @@ def request_rate(d: Domain) -> DataFrame:
 
 @query("SELECT t.topic_id, t.topic_id IN (SELECT topic_id FROM assigned WHERE timestamp >= DATE '2024-03-24') AS emerging FROM topics t")
 def topics_emerging_flag(d: Domain) -> DataFrame:
-    return views.flagged(d.topics.select("topic_id"), filters.recent(d.assigned, 7, datetime(2024, 3, 31).date()), "topic_id", "emerging")
+    return views.flagged(d.topic_sizes.select("topic_id"), filters.recent(d.assigned, 7, datetime(2024, 3, 31).date()), "topic_id", "emerging")
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\b[a-z]{{3,}}\\b')) AS word FROM docs WHERE lang = 'en') WHERE word NOT IN ('{STOP}') GROUP BY word ORDER BY n DESC, word LIMIT 100")

@@ -63,29 +63,42 @@ def narrative_events(changes: DataFrame, posts: DataFrame, assigned: DataFrame,
     )
 
 
+# Kinds of artifacts and the texts of the brief.
+EVENT_ROW, EVENT_SET, BRIEF = "narrative_event_row", "narrative_events", "analyst_brief"
+BRIEF_SECTIONS = [
+    ("Narrative events", "{events} persisted event signals are available."),
+    ("Topic labels", "{topics} topic labels are available."),
+    ("Model enrichment", "{models} configured LLM models are currently registered."),
+]
+
+
 def backfill_events(log: ArtifactLog, events: DataFrame) -> int:
-    """Logs each event once, by date and label, and one aggregate artifact for the set; returns how many are new."""
+    """Logs each event once, by date and label, and one aggregate artifact for the set; returns how many are new.
+
+    events are the strongest shifts, a few dozen rows. All their transitions are written at once.
+    """
     rows = [(str(r["peak_date"]), r["auto_label"], list(r["top_post_ids"])) for r in events.orderBy("peak_date", "auto_label").collect()]
-    known = {r["source_input_hash"] for r in log.state().where("kind = 'narrative_event_row'").select("source_input_hash").collect()}
-    new = 0
+    source = {(d, x): checksum({"narrative_event": f"{d}:{x}"}) for d, x, _ in rows}
+    known, steps, new = log.known(EVENT_ROW, list(source.values())), [], set()
     for date, label, posts in rows:
-        source = checksum({"narrative_event": f"{date}:{label}"})
-        if source not in known:
+        if source[date, label] not in known | new:
             payload = {"peak_date": date, "label": label, "top_post_ids": posts}
-            log.complete(log.enqueue("narrative_event_row", source, payload, provider="deterministic")["artifact_id"], payload)
-            new += 1
-    total = len(known | {checksum({"narrative_event": f"{d}:{x}"}) for d, x, _ in rows})
-    whole = log.enqueue("narrative_events", checksum({"events": sorted(f"{d}:{x}" for d, x, _ in rows)}), {"event_count": total}, provider="deterministic")
+            row = log.queued(EVENT_ROW, source[date, label], payload, provider="deterministic")
+            steps += [(row, None, "enqueued"), (log.succeeded(row, payload), "queued", "completed")]
+            new.add(source[date, label])
+    log.record(steps)
+    total = log.state().where(F.col("kind") == EVENT_ROW).select("source_input_hash").distinct().count()
+    whole = log.enqueue(EVENT_SET, checksum({"events": sorted(f"{d}:{x}" for d, x, _ in rows)}), {"event_count": total}, provider="deterministic")
     if whole["status"] != "succeeded":
         log.complete(whole["artifact_id"], {"event_count": total})
-    return new
+    return len(new)
 
 
 def brief(log: ArtifactLog, events: int, topics: int, models: int) -> dict:
     """The latest brief from counts alone; logged once for each pair of event and topic counts."""
-    sections = [("Narrative events", f"{events} persisted event signals are available."), ("Topic labels", f"{topics} topic labels are available."), ("Model enrichment", f"{models} configured LLM models are currently registered.")]
-    payload = {"brief_id": "latest", "period": "latest", "sections": [{"title": t, "body": b} for t, b in sections]}
-    made = log.enqueue("analyst_brief", checksum({"event_count": events, "topic_count": topics}), payload, provider="deterministic")
+    counts = {"events": events, "topics": topics, "models": models}
+    payload = {"brief_id": "latest", "period": "latest", "sections": [{"title": t, "body": b.format(**counts)} for t, b in BRIEF_SECTIONS]}
+    made = log.enqueue(BRIEF, checksum({"event_count": events, "topic_count": topics}), payload, provider="deterministic")
     return made if made["status"] == "succeeded" else log.complete(made["artifact_id"], payload)
 
 
@@ -131,23 +144,31 @@ def category(error: Exception) -> str:
     return "timeout" if "timeout" in name else "provider_unavailable" if "connection" in name else "rate_limited" if "limit" in name else "provider_error"
 
 
-def enriched(log: ArtifactLog, kind: str, sources: list[tuple[object, str]], chat: Chat = offline) -> dict[str, str]:
-    """Generate a text for each (source, prompt) that has none yet; failures are logged by category and don't stop the rest."""
-    done = {r["source_input_hash"] for r in log.state().where((F.col("kind") == kind) & (F.col("status") == "succeeded")).select("source_input_hash").collect()}
-    out = {}
-    for source, prompt in sources:
-        key = checksum(source)
-        if key in done:
-            continue
-        made = log.enqueue(kind, key, {"prompt": prompt}, prompt=Prompts().version)
-        try:
-            answer = chat(prompt)
-        except Exception as error:
-            log.fail(made["artifact_id"], category(error), str(error))
-            continue
-        lines = [x.strip() for x in answer.split("\n") if x.strip()]
-        log.complete(made["artifact_id"], {"headline": lines[0] if lines else "", "body": "\n".join(lines[1:])})
-        out[key] = answer
+def enriched(log: ArtifactLog, kind: str, sources: list[tuple[object, str]], chat: Chat = offline, batch: int = 32) -> dict[str, str]:
+    """Generate a text for each (source, prompt) that has none yet; failures are logged by category and don't stop the rest.
+
+    Transitions are written `batch` sources at a time, so that a run that breaks off loses no more than those.
+    """
+    out: dict[str, str] = {}
+    keyed = {checksum(source): prompt for source, prompt in sources}
+    done = log.known(kind, list(keyed), "succeeded")
+    todo = [(k, p) for k, p in keyed.items() if k not in done]
+    for at in range(0, len(todo), batch):
+        part = todo[at : at + batch]
+        rows = [log.queued(kind, key, {"prompt": prompt}, prompt=Prompts().version) for key, prompt in part]
+        before = {r["artifact_id"]: r.asDict() for r in log.state().where(F.col("artifact_id").isin([r["artifact_id"] for r in rows])).collect()}
+        steps = [(r, None, "enqueued") for r in rows if r["artifact_id"] not in before]
+        for row, (key, prompt) in zip(rows, part):
+            row = before.get(row["artifact_id"], row)
+            try:
+                answer = chat(prompt)
+            except Exception as error:
+                steps.append((log.failed(row, category(error), str(error)), row["status"], category(error)))
+                continue
+            lines = [x.strip() for x in answer.split("\n") if x.strip()]
+            steps.append((log.succeeded(row, {"headline": lines[0] if lines else "", "body": "\n".join(lines[1:])}), row["status"], "completed"))
+            out[key] = answer
+        log.record(steps)
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, text
 from ..operators import model, series, topics
 from ..operators.filters import usable, unprocessed
-from ..schemas import GATE_TOPICS
+from ..schemas import GATE_TOPICS, GATE_WEAK_LABELS
 from ..sources import sinks
 from ..sources.readers import Store
 
@@ -24,6 +24,24 @@ def content(store: Store) -> DataFrame:
     return p.unionByName(c)
 
 
+#: Rows that a step must have left before the next may run; one row unless stated here.
+LEAST = {3: GATE_WEAK_LABELS, 6: GATE_TOPICS}
+
+
+def step_states(tables: dict[int, DataFrame]) -> DataFrame:
+    """Step number -> the rows it leaves: num, done, state. A step is done with enough rows, else idle if the one before it is done, else locked.
+
+    One row a step; no table is counted further than its gate.
+    """
+    counts = [t.limit(LEAST.get(k, 1)).agg(F.count("*").alias("n")).select(F.lit(k).alias("num"), (F.col("n") >= LEAST.get(k, 1)).alias("done")) for k, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    before = out.select((F.col("num") + 1).alias("num"), F.col("done").alias("before"))
+    state = F.when(F.col("done"), "done").when((F.col("num") == min(tables)) | F.coalesce("before", F.lit(False)), "idle").otherwise("locked")
+    return out.join(before, "num", "left").select("num", "done", state.alias("state"))
+
+
 @dataclass
 class Pipeline:
     """Steps by number and name; each reads and writes the store and can be run again."""
@@ -49,7 +67,7 @@ class Pipeline:
     def weak_labels(self) -> DataFrame:
         """Kept texts whose lexicon score decides a label."""
         kept = usable(self.store.read("preprocessed"))
-        scored = kept.select("id", F.col("clean_text").alias("text"), lexicon.compound_score("clean_text").alias("compound"))
+        scored = lexicon.with_compound(kept.select("id", F.col("clean_text").alias("text")), "text")
         return scored.withColumn("label", lexicon.weak_label(F.col("compound"))).where("label is not null")
 
     def train(self) -> dict[str, float]:
@@ -65,7 +83,7 @@ class Pipeline:
         if self.model is not None:
             rows = model.predicted(self.model, todo.select("id", F.col("clean_text").alias("text"))).join(todo.select("id", "content_type"), "id")
         else:
-            rows = todo.select("id", "content_type", lexicon.compound_score("clean_text").alias("c")).select("id", "content_type", lexicon.sign_label(F.col("c")).alias("label"), F.greatest(F.abs("c"), F.lit(0.5)).alias("confidence"))
+            rows = lexicon.with_compound(todo.select("id", "content_type", "clean_text"), "clean_text", "c").select("id", "content_type", lexicon.sign_label(F.col("c")).alias("label"), F.greatest(F.abs("c"), F.lit(0.5)).alias("confidence"))
         rows = rows.withColumn("predicted_at", F.lit(self.as_of)).withColumn("model_version", F.lit("v1"))
         return {"scored": sinks.upsert(self.store, "sentiment_predictions", rows)}
 

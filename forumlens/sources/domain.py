@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a small input has fewer; for work on whole texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Domain:
     """Lazy DataFrames over one data directory."""
 
@@ -91,16 +97,22 @@ class Domain:
         """Documents with topic and, where there is one, label."""
         return self.assignments.join(self.documents, "id").join(self.predictions, "id", "left")
 
+    @cached_property
+    def topic_sizes(self) -> DataFrame:
+        """topic_id, doc_count: no text is read."""
+        ids = self.assignments.join(self.documents.select("id"), "id")
+        return ids.groupBy("topic_id").agg(F.count("*").alias("doc_count"))
+
     @cached_property
     def topics(self) -> DataFrame:
         """topic_id, keywords (the eight most frequent words), doc_count."""
         from ..operators.filters import first_rows
         from ..operators.topics import words_by_topic
 
-        top = first_rows(words_by_topic(self.assigned), ["topic_id"], F.desc("n"), F.asc("word"), n=8)
+        texts = self.assignments.join(dealt(self.documents).select("id", "text"), "id")
+        top = first_rows(words_by_topic(texts), ["topic_id"], F.desc("n"), F.asc("word"), n=8)
         words = top.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "word"))).alias("w"))
-        sizes = self.assigned.groupBy("topic_id").agg(F.count("*").alias("doc_count"))
-        return sizes.join(words.select("topic_id", F.transform("w", lambda x: x["word"]).alias("keywords")), "topic_id", "left")
+        return self.topic_sizes.join(words.select("topic_id", F.transform("w", lambda x: x["word"]).alias("keywords")), "topic_id", "left")
 
     @cached_property
     def batches(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,7 +16,11 @@ from ..schemas import TABLES, keys, require, schema
 
 @dataclass
 class Store:
-    """A directory of Parquet tables with fixed schemas, or a JDBC database."""
+    """A directory of Parquet tables with fixed schemas, or a JDBC database.
+
+    A table is a folder of versions; the last whole one is the table. A writer adds a version beside it, so that a
+    reader sees the old table or the new one and never none. Writers to one table take turns.
+    """
 
     spark: SparkSession
     root: str
@@ -23,15 +28,32 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def exists(self, table: str) -> bool:
+    def versions(self, table: str) -> list[str]:
+        """Paths of the whole versions, oldest first."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        names = sorted(s.getPath().getName() for s in files.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("v"))
+        whole = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [f"{self.path(table)}/{n}" for n in names if files.exists(whole(f"{self.path(table)}/{n}/_SUCCESS"))]
+
+    def current(self, table: str) -> str | None:
+        return next(iter(self.versions(table)[-1:]), None)
+
+    def next_version(self, table: str) -> str:
+        now = self.current(table)
+        return f"{self.path(table)}/v{int(now.rsplit('/v', 1)[1]) + 1 if now else 0:012d}"
+
+    def exists(self, table: str) -> bool:
+        return self.current(table) is not None
 
     def read(self, table: str) -> DataFrame:
         """The table, or its empty form if nothing was written yet."""
-        if not self.exists(table):
+        at = self.current(table)
+        if at is None:
             return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.schema(schema(table)).parquet(self.path(table))
+        return self.spark.read.schema(schema(table)).parquet(at)
 
     def missing(self, *tables: str) -> list[str]:
         return [t for t in tables or TABLES if not self.exists(t)]
@@ -46,7 +68,7 @@ class Store:
     def create(self, *tables: str) -> None:
         """Empty tables for those that don't exist."""
         for t in self.missing(*tables):
-            self.spark.createDataFrame([], schema(t)).write.parquet(self.path(t))
+            self.spark.createDataFrame([], schema(t)).write.parquet(self.next_version(t))
 
     def keys(self, table: str) -> list[str]:
         return list(keys(table))
@@ -73,9 +95,20 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str | None =
     return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, properties=properties)
 
 
-def gathered(vectors: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """The vectors of the wanted keys; keys without a vector are left out."""
-    return vectors.join(wanted.select(key).distinct(), key, "left_semi")
+def gathered(vectors: DataFrame, wanted: DataFrame, key: str = "id", position: str | None = None) -> DataFrame:
+    """The vectors of the wanted keys; keys without a vector are left out.
+
+    With `position`, the column of row numbers, a wanted key that no vector has but that reads as a number takes the vector
+    at that row instead; its rows come under the key that was wanted.
+    """
+    keys = wanted.select(F.col(key).cast("string").alias("_wanted")).where("_wanted is not null").distinct()
+    named = vectors.withColumn("_key", F.col(key).cast("string"))
+    found = named.join(keys, F.col("_key") == F.col("_wanted"), "left_semi").drop("_key")
+    if position is None:
+        return found
+    rest = keys.join(named.select("_key"), F.col("_wanted") == F.col("_key"), "left_anti").select("_wanted", F.expr("try_cast(_wanted as bigint)").alias("_at")).where("_at is not null")
+    placed = vectors.join(rest, F.col(position) == F.col("_at"))
+    return found.unionByName(placed.withColumn(key, F.col("_wanted").cast(vectors.schema[key].dataType)).select(*vectors.columns))
 
 
 def extracted_posts(raw: DataFrame) -> DataFrame:
@@ -91,15 +124,15 @@ def extracted_comments(raw: DataFrame) -> DataFrame:
     return raw.select("id", "parent_id", F.coalesce("body", F.lit("")).alias("content"), F.col("score").alias("upvotes"), F.timestamp_seconds("created_utc").alias("timestamp"), "subreddit", F.coalesce("author", F.lit("[deleted]")).alias("author"), _karma().alias("author_karma"), "post_id", F.lit("comment").alias("content_type"))
 
 
-def flattened_comments(trees: DataFrame, limit: int | None = None, depth: int = 64) -> DataFrame:
+def flattened_comments(trees: DataFrame, limit: int | None = None, depth: int | None = None) -> DataFrame:
     """trees(post_id, tree: a JSON list of comments with nested `replies`) -> post_id, place, comment (JSON), parents first.
 
-    Level by level, at most `depth` of them and no further than there are replies; `limit` keeps the first so many of each post.
+    Level by level, as deep as there are replies, or `depth` levels below the first; `limit` keeps the first so many of each post.
     """
     level = trees.select("post_id", F.posexplode(F.from_json("tree", "array<string>")).alias("k", "comment"))
     level = level.select("post_id", F.array("k").alias("path"), "comment")
     out = level
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         level = level.select("post_id", "path", F.posexplode(F.from_json(F.get_json_object("comment", "$.replies"), "array<string>")).alias("k", "comment"))
         level = level.select("post_id", F.concat("path", F.array("k")).alias("path"), "comment")
         if level.isEmpty():

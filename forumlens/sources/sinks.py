@@ -14,16 +14,15 @@ from .readers import Store
 
 
 def _swap(store: Store, table: str, df: DataFrame) -> None:
-    """Write beside the table, then rename: readers see the old table or the new one."""
-    spark = store.spark
-    fresh, old = f"{store.path(table)}.{uuid.uuid4().hex}", f"{store.path(table)}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(table):
-        fs.rename(path(store.path(table)), path(old))
-    fs.rename(path(fresh), path(store.path(table)))
-    fs.delete(path(old), True)
+    """A new version of the table. The one before it stays for readers that have begun; older ones go."""
+    df.write.parquet(store.next_version(table))
+    _forget(store, table)
+
+
+def _forget(store: Store, table: str) -> None:
+    path = store.spark._jvm.org.apache.hadoop.fs.Path
+    for at in store.versions(table)[:-2]:
+        path(at).getFileSystem(store.spark._jsc.hadoopConfiguration()).delete(path(at), True)
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -45,7 +44,7 @@ def insert_ignore(store: Store, table: str, rows: DataFrame) -> None:
 
 
 def append(store: Store, table: str, rows: DataFrame) -> None:
-    typed(rows, table).write.mode("append").parquet(store.path(table))
+    typed(rows, table).write.mode("append").parquet(store.current(table) or store.next_version(table))
 
 
 def overwrite(store: Store, table: str, rows: DataFrame) -> None:
@@ -57,30 +56,25 @@ class BatchError(RuntimeError):
 
 
 def store_batch(store: Store, posts: DataFrame, comments: DataFrame, meta: DataFrame) -> dict[str, int]:
-    """Posts, comments and batch row together or not at all: all three are prepared before the first is put in place."""
+    """Posts, comments and batch row together or not at all: all three are prepared before the first becomes a version."""
     parts = {"posts": posts, "comments": comments, "batch_collections": meta}
-    ready: dict[str, tuple[DataFrame, str]] = {}
+    ready: dict[str, str] = {}
     counts = {}
-    spark = store.spark
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(store.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = store.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(store.root).getFileSystem(store.spark._jsc.hadoopConfiguration())
     try:
         for table, rows in parts.items():
             new = typed(rows, table)
-            at = f"{store.path(table)}.batch-{uuid.uuid4().hex}"
+            ready[table] = at = f"{store.path(table)}/_batch-{uuid.uuid4().hex}"
             upserted(store.read(table), new, store.keys(table), ("created_at",)).write.parquet(at)
-            ready[table] = (new, at)
             counts[table] = new.select(*store.keys(table)).distinct().count()
     except Exception as error:
-        for _, at in ready.values():
+        for at in ready.values():
             fs.delete(path(at), True)
         raise BatchError(str(error)[:1000]) from error
-    for table, (_, at) in ready.items():
-        old = f"{at}.old"
-        if store.exists(table):
-            fs.rename(path(store.path(table)), path(old))
-        fs.rename(path(at), path(store.path(table)))
-        fs.delete(path(old), True)
+    for table, at in ready.items():
+        fs.rename(path(at), path(store.next_version(table)))
+        _forget(store, table)
     return counts
 
 
@@ -124,7 +118,7 @@ def copy_all(source: Store, target: Store, tables: tuple[str, ...] = tuple(TABLE
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_json(df: DataFrame, path: str) -> None:

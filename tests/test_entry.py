@@ -44,7 +44,8 @@ def test_equals_its_sql(spark, sf, database, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and n != "pipeline" and not n.startswith("op")))
 def test_others_run(spark, sf, name):
-    assert entry.queries()[name](spark, sf).columns
+    """Their values are held against NumPy in test_bruteforce.py."""
+    assert entry.queries()[name](spark, sf).count()
 
 
 def test_heatmap_of_30_topics_has_all_of_the_table(spark, sf):

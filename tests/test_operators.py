@@ -213,3 +213,18 @@ def test_last_weeks_keeps_the_newest(spark):
     weeks = spark.createDataFrame(rows, "topic_id int, week_start string, v double").selectExpr("topic_id", "cast(week_start as date) week_start", "v")
     out = {r.topic_id: list(r)[1:] for r in views.last_weeks(weeks, "v").collect()}
     assert out == {1: [m + 0.1 for m in range(2, 14)], 2: [None if m in (5, 13) else m + 0.2 for m in range(2, 14)], 3: [None] * 12}
+
+
+def test_search_goes_down_the_ladder(spark):
+    docs = spark.createDataFrame([("p1", "Open model benchmark of today"), ("p2", "Coffee and an open door"), ("p3", None)], "id string, text string")
+    vectors = spark.createDataFrame([("p1", [1.0, 0.0]), ("p2", [0.0, 1.0]), ("other", [0.0, 1.0])], "id string, vector array<double>")
+    at = lambda found: [(r.id, r.algorithm, r.state) for r in found.collect()]
+    assert at(search.semantic_search(docs, "coffee", vectors=vectors, encode=lambda q: [0.0, 1.0])) == [("p2", "vector_cosine", "ready"), ("p1", "vector_cosine", "ready")]
+    assert at(search.semantic_search(docs, "open model")) == [("p1", "lexical_overlap_fallback", "missing_config"), ("p2", "lexical_overlap_fallback", "missing_config")]
+    assert at(search.semantic_search(docs, "open model", vectors=vectors.where("id = 'other'"), encode=lambda q: [0.0, 1.0]))[0][1] == "lexical_overlap_fallback"
+
+    def broken(_):
+        raise OSError("no encoder")
+
+    assert at(search.semantic_search(docs, "OPEN DOOR", vectors=vectors, encode=broken)) == [("p2", "like_fallback", "error")]
+    assert at(search.semantic_search(docs, "  ")) == []

@@ -266,3 +266,47 @@ def test_keyword_pairs(spark):
 
     df = spark.createDataFrame([('[["ai", 0.5], ["gpu", 0.1]]',), ('["ai", "gpu"]',), ("ai, gpu",)], "k string")
     assert [r[0] for r in df.select(text.keyword_words(F.col("k"))).collect()] == [["ai", "gpu"]] * 3
+
+
+def test_a_reader_never_finds_a_table_gone(spark, store):
+    sinks.upsert(store, "posts", posts(spark, [("a", "one", "c", "g", "u")]))
+    before = store.read("posts")
+    sinks.upsert(store, "posts", posts(spark, [("a", "two", "c", "g", "u")]))
+    assert [r.title for r in before.collect()] == ["one"], "a reader that began keeps its version"
+    for k in range(3):
+        sinks.upsert(store, "posts", posts(spark, [(f"x{k}", "t", "c", "g", "u")]))
+    assert len(store.versions("posts")) == 2 and store.read("posts").count() == 4
+    spark.createDataFrame([], schema("posts")).write.parquet(f"{store.path('posts')}/_batch-broken")
+    assert store.read("posts").count() == 4, "what is not a version is not the table"
+
+
+def test_log_in_batches(spark, tmp_path):
+    log = ArtifactLog(spark, f"file://{tmp_path}/log", lambda: T)
+    rows = [log.queued("k", f"h{i}", {"i": i}) for i in range(5)]
+    log.record([(r, None, "enqueued") for r in rows] + [(log.succeeded(rows[0], {"done": 1}), "queued", "completed")])
+    assert sum(1 for p in (tmp_path / "log").iterdir() if p.name.startswith("part-")) == 1
+    assert log.known("k", ["h0", "h4", "h9"]) == {"h0", "h4"} and log.known("k", ["h0", "h4"], "succeeded") == {"h0"}
+    before = sorted(map(str, log.history().collect()))
+    log.compact()
+    assert sorted(map(str, log.history().collect())) == before and log.state().where("status = 'queued'").count() == 4
+    assert log.enqueue("k", "h9", {})["seq"] == 7
+    calls = []
+    sources = [(f"s{i}", f"prompt {i}") for i in range(7)]
+    assert len(jobs.enriched(log, "text", sources, lambda p: calls.append(p) or p, batch=3)) == 7 and len(calls) == 7
+    assert jobs.enriched(log, "text", sources, lambda p: calls.append(p) or p) == {} and len(calls) == 7
+
+
+def test_gather_falls_back_to_row_numbers(spark):
+    vectors = spark.createDataFrame([("a", 0, [1.0]), ("7", 1, [2.0]), ("c", 2, [3.0])], "id string, row int, vector array<double>")
+    wanted = spark.createDataFrame([("a",), ("7",), ("2",), ("9",), ("zz",), (None,)], "id string")
+    assert sorted((r.id, r.vector[0]) for r in readers.gathered(vectors, wanted).collect()) == [("7", 2.0), ("a", 1.0)]
+    assert sorted((r.id, r.vector[0]) for r in readers.gathered(vectors, wanted, position="row").collect()) == [("2", 3.0), ("7", 2.0), ("a", 1.0)]
+
+
+def test_replies_of_any_depth(spark):
+    tree = []
+    for k in range(90, -1, -1):
+        tree = [{"id": f"c{k}", "replies": tree}]
+    df = spark.createDataFrame([("p", json.dumps(tree))], "post_id string, tree string")
+    assert readers.flattened_comments(df, depth=5).count() == 6
+    assert readers.flattened_comments(df, depth=None, limit=70).count() == 70

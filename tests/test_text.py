@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,13 +103,43 @@ def test_projection_keeps_the_main_axis(spark):
     assert rows[0].x == pytest.approx(-1, abs=0.01) and rows[10].x == pytest.approx(1, abs=0.01)
 
 
-def test_lexicon():
-    assert lexicon.compound("This is great!") > 0.5 > lexicon.compound("ok") == 0.0 == lexicon.compound(None)
-    assert lexicon.compound("not good") < 0 < lexicon.compound("good") < lexicon.compound("very good") < lexicon.compound("VERY GOOD stuff!!!")
-    assert -1 <= lexicon.compound("hate " * 200) < -0.9
+def compound(text):
+    """The lexicon's rules word by word."""
+    words = re.findall("[A-Za-z']+", text or "")
+    loud = any(w.isupper() for w in words) and not all(w.isupper() for w in words)
+    total = 0.0
+    for i, word in enumerate(words):
+        score = lexicon.VALENCE.get(word.lower())
+        if score is None:
+            continue
+        if loud and word.isupper() and len(word) > 1:
+            score += math.copysign(lexicon.CAPITALS, score)
+        for back, fade in lexicon.FADE:
+            if i >= back:
+                before = words[i - back].lower()
+                score += math.copysign(1, score) * lexicon.BOOST.get(before, 0.0) * fade
+                if before in lexicon.NEGATION:
+                    score *= lexicon.REVERSAL
+        total += score
+    if total:
+        total += math.copysign(min((text or "").count("!"), 4) * lexicon.MARK, total)
+    return total / math.sqrt(total * total + lexicon.SCALE) if total else 0.0
+
+
+def test_lexicon(spark):
+    r = random.Random(2)
+    words = [*lexicon.VALENCE, *lexicon.BOOST, *lexicon.NEGATION, "table", "I", "x", "don't"]
+    texts = [None, "", "ok", "This is great!", "good", "not good", "very good", "VERY GOOD stuff!!!", "GOOD", "hate " * 200]
+    texts += [" ".join(r.choice([str, str, str.upper, str.title])(r.choice(words)) + r.choice(["", "", "!", ","]) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    df = lexicon.with_compound(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", "c").orderBy("id")
+    assert df.columns == ["id", "t", "c"]
+    got = [row.c for row in df.collect()]
+    for t, c in zip(texts, got):
+        assert c == pytest.approx(compound(t), abs=1e-9), t
+    assert got[0] == got[1] == got[2] == 0 and got[5] < 0 < got[4] < got[6] < got[7] and -1 <= got[9] < -0.9
 
 
 def test_lexicon_columns(spark):
-    df = spark.createDataFrame([("great love",), ("terrible hate",), ("table",), (None,)], "t string").withColumn("c", lexicon.compound_score("t"))
+    df = lexicon.with_compound(spark.createDataFrame([("great love",), ("terrible hate",), ("table",), (None,)], "t string"), "t", "c")
     rows = df.select(lexicon.sign(F.col("c")), lexicon.sign_label(F.col("c")), lexicon.weak_label(F.col("c"))).collect()
     assert [tuple(r) for r in rows] == [(1, "positive", "positive"), (-1, "negative", "negative"), (0, "neutral", "neutral"), (0, "neutral", "neutral")]
