@@ -26,14 +26,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.where("action = 'add'").select("entry", "category", F.col("at").alias("since"), "until")
 
 
-def keyed(captures: DataFrame) -> DataFrame:
-    """captures with host and keys: every domain suffix of the host, and host plus every path prefix at a slash."""
+def keyed(captures: DataFrame, labels: int, steps: int) -> DataFrame:
+    """captures with host and keys: every domain suffix of the host, and host plus every path prefix at a slash.
+
+    Only as long as the longest entry, of `labels` domain labels and `steps` path steps: longer ones can match none, and
+    a URL of very many steps would otherwise have keys of the square of its length.
+    """
     authority = F.lower(F.regexp_extract(F.col("url"), URL, 1))
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", "")
     path = F.regexp_replace(F.regexp_extract(F.col("url"), URL, 2), r"/+$", "")
     c = captures.withColumn("host", F.when(host != "", host)).withColumn("_labels", F.split("host", r"\.")).withColumn("_steps", F.filter(F.split(path, "/"), lambda x: x != ""))
-    domains = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
-    paths = F.when(F.size("_steps") > 0, F.transform(F.sequence(F.lit(1), F.size("_steps")), lambda i: F.concat(F.col("host"), F.lit("/"), F.lower(F.array_join(F.slice("_steps", F.lit(1), i), "/")))))
+    first = F.greatest(F.lit(1), F.size("_labels") - (max(labels, 1) - 1))
+    domains = F.transform(F.sequence(first, F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
+    paths = F.when((F.size("_steps") > 0) & F.lit(steps > 0), F.transform(F.sequence(F.lit(1), F.least(F.size("_steps"), F.lit(max(steps, 1)))), lambda i: F.concat(F.col("host"), F.lit("/"), F.lower(F.array_join(F.slice("_steps", F.lit(1), i), "/")))))
     keys = F.when(F.col("host").isNotNull(), F.array_distinct(F.concat(domains, F.coalesce(paths, F.array().cast("array<string>")))))
     return c.withColumn("keys", keys).drop("_labels", "_steps")
 
@@ -48,12 +53,14 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Columns: page_id, url, fetched, host, blocked, n_entries, categories (sorted, joined by a comma).
     An entry is a domain (it covers its subdomains) or host/path prefix, without scheme. A null or
     unreadable URL has no host and is never blocked, nor is a capture without a fetch time. Repeated
-    captures are judged each. Empty tables and empty lists give no rows and no blocks; other columns
+    captures are judged each. URLs of any length are read whole. Empty tables and empty lists give no rows and no blocks; other columns
     are ignored. The join is by key, with the interval as its condition; see BROADCAST_INTERVALS.
     """
     c = captures.select(captures["page_id"].cast("long").alias("page_id"), captures["url"].cast("string").alias("url"), captures["fetched"].cast("timestamp").alias("fetched"))
-    c = keyed(c)
     span = intervals(entries)
+    parts = F.split("entry", "/")
+    longest = span.agg(F.max(F.size(F.split(F.get(parts, F.lit(0)), r"\."))).alias("labels"), F.max(F.size(parts) - 1).alias("steps")).first()
+    c = keyed(c, longest["labels"] or 0, longest["steps"] or 0)
     if span.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:
         span = F.broadcast(span)
     looked = c.where("fetched is not null").select("page_id", "url", "fetched", F.explode("keys").alias("entry"))
