@@ -4,6 +4,8 @@ Two aspects are judged alike: junk (tables, symbol noise, shouting, repetition)
 1. Overlapping labellers vote good, bad or nothing on every document. The votes of all documents are
    counted by pattern (a few hundred rows at most), and expectation-maximisation estimates each
    labeller's rates and every pattern's posterior from these counts.
+   The junk labellers read style alone. The toxic ones look for insults of a fixed list and for words that a bounded
+   sample of labelled rows (`toxic`) marks; the labels' `quality` is not used, and is left for judging results.
 2. The posteriors of a bounded sample label it; a sparse logistic scorer (follow the regularised leader,
    L1) is trained on hashed words, style measures in bins, and votes.
 3. One pass scores every document; it is rejected where either score reaches one half.
@@ -21,10 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import binary_column, carried, only, prepare, slices, spread, stage, word_hashes
 
-#: Insults that the lexicon labellers look for. Fixed values; the labelled sample adds to them.
+# Insults that the lexicon labellers look for, in four languages. The labelled sample adds words to them.
 INSULTS = [
+    # English
     "clown", "crap", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "loser", "moron",
     "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless",
+    # French
+    "abruti", "connard", "crétin", "débile", "imbécile", "minable", "ordure", "salaud", "stupides", "vermine",
+    # German
+    "abschaum", "arschloch", "blödmann", "dummkopf", "drecksau", "miststück", "trottel", "ungeziefer", "versager", "widerlich",
+    # Spanish
+    "asqueroso", "cretino", "escoria", "estúpido", "gilipollas", "idiota", "imbécil", "inútil", "patético", "tonto",
 ]
 GOOD, BAD, NONE = 0, 1, 2
 BUCKETS = 1 << 18
@@ -318,8 +327,9 @@ def _decoded(code: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000, labelled_sample: int = 6000) -> Model:
-    """Fit on docs(doc_id, text). Votes are counted over all documents; `sample` bounds the scorer's
-    training documents and `labelled_sample` the labelled rows that teach the vocabulary (about so many)."""
+    """Fit on docs(doc_id, text). Votes are counted over all documents; `sample` bounds the scorer's training documents (about
+    so many, drawn by hash over all documents, never more than twice as many) and `labelled_sample` the labelled rows that
+    teach the vocabulary (about so many)."""
     prepare(docs.sparkSession)
     texts = only(docs, doc_id="long", text="string")
     learned = learned_marks(texts, labels, labelled_sample) if labels is not None else NO_MARKS

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from llm_helpers import prose
@@ -131,3 +133,65 @@ def test_all_marks_are_learned(documents, spark):
     known = spark.createDataFrame([(i, 1, int(i < 6)) for i, _ in rows], "doc_id long, quality int, toxic int")
     learned = Q.learned_marks(documents(rows), known, 6000)
     assert len(learned.hashes) == 6 * 900 and set(Q.lexicon(marks)) <= set(learned.hashes)
+
+
+def plain_votes(text):
+    """The labellers, one text at a time: votes of both aspects, style measures and distinct words."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", raw.lower())
+    n, some = len(words), max(len(words), 1)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    upper, lower = count(range(0x41, 0x5B)), count(range(0x61, 0x7B))
+    m = {"symbols": count(b"#*$%&|<>") / some, "bars": raw.count(b"|") / some, "marks": raw.count(b"!") / some, "upper": upper / max(upper + lower, 1)}
+    m["again"] = sum(a == b for a, b in zip(words, words[1:])) / some
+    m["same"] = 1 - len(set(words)) / some if n >= 50 else 0.0
+    bad = [m["symbols"] > 0.3, m["bars"] > 0.3, m["marks"] > 0.3, m["upper"] > 0.5, m["again"] > 0.2, m["same"] > 0.9, n == 0]
+    calm = m["symbols"] < 0.1 and m["marks"] < 0.1 and m["upper"] < 0.3 and m["again"] <= 0.2 and n > 0
+    insults = sorted((int(Q.lexicon([w])[0]), w.encode()) for w in Q.INSULTS)
+    first, second = (sum(w in words for _, w in insults[k::2]) for k in (0, 1))
+    toxic = [first > 0, second > 0, first + second > 1, False]
+    vote = lambda flags, good: [*(Q.BAD if f else Q.NONE for f in flags), Q.GOOD if good else Q.NONE]
+    return {"junk": vote(bad, calm), "toxic": vote(toxic, first + second == 0)}, [*m.values(), 0.0], set(words)
+
+
+def plain_em(patterns):
+    """Counter of vote patterns -> posterior of bad, by loops over patterns, labellers and votes."""
+    total = sum(patterns.values())
+    q = {p: (0.5 if Q.GOOD in p else 0.95) if Q.BAD in p else 0.02 if Q.GOOD in p else 0.2 for p in patterns}
+    for _ in range(200):
+        weight = {p: (n * (1 - q[p]), n * q[p]) for p, n in patterns.items()}
+        prior = [(sum(w[y] for w in weight.values()) + 1) / (total + 2) for y in (0, 1)]
+        new = {}
+        for p in patterns:
+            log = [np.log(x) for x in prior]
+            for k, v in enumerate(p):
+                for y in (0, 1):
+                    rate = [sum(w[y] for o, w in weight.items() if o[k] == vote) + 0.1 for vote in (Q.GOOD, Q.BAD, Q.NONE)]
+                    log[y] += np.log(rate[v] / sum(rate))
+            new[p] = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        change, q = max(abs(new[p] - q[p]) for p in q), new
+        if change < 1e-9:
+            break
+    mean = sum(n * q[p] for p, n in patterns.items()) / total
+    return {p: q[p] if set(p) != {Q.NONE} else mean for p in q}
+
+
+def test_equals_a_plain_version(documents, awkward):
+    """Votes, posteriors and scores of every document, computed one text at a time."""
+    rows = corpus(160)[0] + [(i and i + 1000, t) for i, t in awkward]
+    docs = documents(rows)
+    model = Q.fit(docs)
+    got = Counter((r.doc_id, round(r.junk_posterior, 6), round(r.toxic_posterior, 6), round(r.junk_score, 6), round(r.toxic_score, 6), r.rejected) for r in Q.classify(docs).collect())
+    plain = [(i, *plain_votes(t)) for i, t in rows]
+    posterior = {a: plain_em(Counter(tuple(votes[a]) for _, votes, _, _ in plain)) for a in Q.ASPECTS}
+    want = Counter()
+    for i, votes, measures, words in plain:
+        score = {}
+        for aspect in Q.ASPECTS:
+            slots = {int(Q.lexicon([w.decode()])[0]) % Q.BUCKETS for w in words}
+            slots |= {Q.BUCKETS + 10 * k + min(int(x * 10), 9) for k, x in enumerate(measures)}
+            slots |= {Q.BUCKETS + 10 * len(measures) + 3 * k + v for k, v in enumerate(votes[aspect])}
+            w = model.weights[aspect]
+            score[aspect] = 1 / (1 + np.exp(-np.clip(sum(w[s] for s in slots) + w[-1], -30, 30)))
+        want[i, *(round(posterior[a][tuple(votes[a])], 6) for a in Q.ASPECTS), *(round(float(score[a]), 6) for a in Q.ASPECTS), any(s >= 0.5 for s in score.values())] += 1
+    assert got == want
