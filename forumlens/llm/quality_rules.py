@@ -88,7 +88,10 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def judged(book: DataFrame, policy: tuple[str, ...] | str = "v2") -> DataFrame:
-    """The ledger with base_failed and kept: kept is false where a rule of the policy, or a base rule, failed."""
+    """The ledger with base_failed and kept: kept is false where a rule of the policy, or a base rule, failed.
+
+    An empty ledger gives no rows; null bits, which ledger() never makes, give null verdicts.
+    """
     failed = lambda mask: F.col("failure_bits").bitwiseAND(F.lit(mask).cast("long")) != 0
     return book.withColumn("base_failed", failed(mask_of(BASE))).withColumn("kept", ~failed(mask_of(policy) | mask_of(BASE)))
 
@@ -97,6 +100,7 @@ def ablations(book: DataFrame) -> DataFrame:
     """policy, rule, n_failed, n_only, n_kept_without: what each policy would keep if one of its rules went.
 
     One aggregation by failure pattern (at most 2 ** rules rows, combined before the shuffle) serves all policies.
+    An empty ledger gives no rows.
     """
     patterns = book.groupBy("failure_bits").agg(F.count("*").alias("n"))
     each = [F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(BIT[r]).cast("long").alias("bit"), F.lit(mask_of(p)).cast("long").alias("mask")) for p in POLICIES for r in POLICIES[p]]

@@ -37,3 +37,11 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert chat_format(table(spark, [])).collect() == []
+
+
+def test_very_long_texts_and_a_hot_conversation(spark):
+    """Texts of a million characters, one of 400 turns, and one conversation that is logged 300 times."""
+    long = "word <| " * 130_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "yes"), *((3, k, "user", str(k)) for k in range(400))]
+    rows += [(10 + i, k, "user", f"hot {k}") for i in range(300) for k in range(1 + i % 3)]
+    assert sorted(tuple(x) for x in chat_format(table(spark, rows)).collect()) == brute(rows)

@@ -44,6 +44,7 @@ def test_ablations_follow_from_the_ledger(documents, awkward):
         assert r.n_failed == sum(h & bit != 0 for h in hit)
         assert r.n_only == sum(h == bit for h in hit)
         assert r.n_kept_without == sum(h & ~bit == 0 for h in hit)
+    assert Q.ablations(Q.ledger(documents([]))).collect() == [] and Q.judged(Q.ledger(documents([]))).collect() == []
 
 
 def test_no_python_in_the_plan(documents):
