@@ -49,13 +49,14 @@ class Pipeline:
     store: Store
     as_of: datetime
     topics: int = 20
+    lemmatize: bool = False
     model: object = field(default=None)
 
     def preprocess(self) -> dict[str, float]:
         """Clean what was not cleaned yet, mark bots, empty and short texts, and keep a vector key for the rest."""
         new = unprocessed(content(self.store), self.store.read("preprocessed"), "id")
         rows = new.select("id", "content_type", text.raw_text(F.col("title"), F.col("content")).alias("raw_text"), "author")
-        rows = rows.withColumn("clean_text", text.clean(F.col("raw_text"))).withColumn("token_count", text.token_count(F.col("clean_text")))
+        rows = rows.withColumn("clean_text", text.lemmas(text.clean(F.col("raw_text"))) if self.lemmatize else text.clean(F.col("raw_text"))).withColumn("token_count", text.token_count(F.col("clean_text")))
         rows = rows.withColumn("filter_reason", text.filter_reason(F.col("author"), F.col("token_count"))).withColumn("is_filtered", F.col("filter_reason").isNotNull())
         rows = rows.withColumn("embedding_key", F.when(~F.col("is_filtered"), F.col("id"))).withColumn("processed_at", F.lit(self.as_of))
         sinks.upsert(self.store, "preprocessed", rows)

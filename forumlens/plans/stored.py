@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import drift
+from ..operators.topics import words_by_topic
 from ..schemas import schema
-from ..sources import readers, sinks
+from ..sources import ingest, readers, sinks
 from ..sources.domain import Domain, day, moment
-from . import jobs, stages
-from .catalogue import GROUPS, query, r6
+from . import artifacts, jobs, stages
+from .catalogue import CLEANED, GROUPS, TOKENS, _scored_sql, query, r6
 
 NOW = datetime(2024, 2, 1)
 
@@ -221,3 +223,226 @@ def incremental_rest(d: Domain) -> DataFrame:
     sinks.insert_ignore(store, "topic_assignments", done.withColumn("topic_id", F.lit(0)))
     rest = d.documents.select("id", F.col("id").cast("string").alias("key"))
     return rest.join(store.read("topic_assignments").select(F.col("id").alias("key")), "key", "left_anti").select("id")
+
+
+@query("SELECT id, subreddit FROM posts WHERE upvotes >= 100 AND subreddit = '2-HIGH'")
+def sql_with_parameters(d: Domain) -> DataFrame:
+    """SQL text over views, with named parameters."""
+    return readers.sql(d.spark, "SELECT id, subreddit FROM shown WHERE upvotes >= :least AND subreddit = :name", {"shown": d.posts}, least=100, name="2-HIGH")
+
+
+@query("SELECT * FROM (VALUES ('posts', 'ready'), ('comments', 'unpopulated'), ('topics', 'missing_schema'), ('posts, topics', 'missing_schema')) t(name, state)", with_domain=False)
+def store_states(d: Domain) -> DataFrame:
+    """What a store says of tables that are filled, empty and absent; creating a table again changes nothing."""
+    store = _store(d)
+    store.create("posts", "comments")
+    sinks.upsert(store, "posts", _posts(d).limit(10))
+    store.create("posts", "comments")
+    return d.spark.createDataFrame([(", ".join(t), store.state(*t)["state"]) for t in (("posts",), ("comments",), ("topics",), ("posts", "topics"))], "name string, state string")
+
+
+@query("SELECT 'g' || g AS subreddit, count(*) AS n, CAST(sum(k) AS BIGINT) AS score FROM range(3) a(g), range(4) b(k) GROUP BY 1", with_domain=False)
+def pulled_listing(d: Domain) -> DataFrame:
+    """A pull source read as a table: three groups, the first four records of each listing."""
+    source = readers.pull_source("forumlens_listing", "id string, subreddit string, score int", lambda group, listing, limit: ({"id": f"{group}-{listing}-{k}", "subreddit": group, "score": k} for k in range(99)))
+    d.spark.dataSource.register(source)
+    rows = d.spark.read.format("forumlens_listing").options(groups="g0,g1,g2", listing="top", limit="4").load()
+    return rows.groupBy("subreddit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query("SELECT * FROM (VALUES ('groups', 'a|b'), ('keywords', 'x'), ('requests', '5'), ('model', 'small'), ('any model', 'other'), ('no model', NULL)) t(name, value)", with_domain=False)
+def settings_and_models(d: Domain) -> DataFrame:
+    """Settings from an environment, lists split at commas, and the model that is chosen by preference."""
+    s = readers.Settings.from_env({"FORUMLENS_GROUPS": "a, b,,", "FORUMLENS_KEYWORDS": "x", "FORUMLENS_REQUESTS": "5"})
+    rows = [("groups", "|".join(s.groups)), ("keywords", "|".join(s.keywords)), ("requests", str(s.requests)), ("model", jobs.preferred(["big", "small"], ["other", "small"])), ("any model", jobs.preferred(["big"], ["other", "more"])), ("no model", jobs.preferred(["big"], []))]
+    return d.spark.createDataFrame(rows, "name string, value string")
+
+
+@query("SELECT subreddit, count(*) AS n, CAST(sum(posts_collected) AS BIGINT) AS posts FROM batches GROUP BY 1")
+def store_metadata(d: Domain) -> DataFrame:
+    """Rows of collection metadata, appended by status, summed up from the store."""
+    store = _store(d)
+    for status in ("completed", "failed"):
+        sinks.append(store, "collection_metadata", d.batches.where(F.col("batch_status") == status))
+    return store.read("collection_metadata").groupBy("subreddit").agg(F.count("*").alias("n"), F.sum("posts_collected").alias("posts"))
+
+
+@query("SELECT topic_id, doc_count FROM topics WHERE doc_count % 2 = 0")
+def store_reload(d: Domain) -> DataFrame:
+    """A table is written anew: nothing of what it held before stays, and a reader that had begun still has it."""
+    store = _store(d)
+    sinks.overwrite(store, "topics", d.topic_sizes)
+    before = store.read("topics")
+    sinks.overwrite(store, "topics", d.topic_sizes.where("doc_count % 2 = 0"))
+    if before.count() != d.topic_sizes.count():
+        raise ValueError("a reader lost its version")
+    return store.read("topics").select(F.col("topic_id").cast("long").alias("topic_id"), F.col("doc_count").cast("long").alias("doc_count"))
+
+
+@query("""SELECT id, sha256('{"author":"' || author || '","score":' || upvotes || '}') AS hash FROM posts""")
+def canonical_hashes(d: Domain) -> DataFrame:
+    """SHA-256 of a row as JSON with sorted keys."""
+    from ..functions.text import canonical_hash
+
+    return d.posts.select("id", canonical_hash(("score", F.col("upvotes")), ("author", F.col("author"))).alias("hash"))
+
+
+@query("SELECT label, count(*) AS n, CASE label WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END AS score, round(100.0 * avg(CASE WHEN confidence >= 0.75 THEN 1.0 ELSE 0.0 END), 2) AS sure FROM (SELECT CASE WHEN upvotes % 5 = 0 THEN 'unheard of' ELSE label END AS label, confidence FROM content) GROUP BY 1")
+def label_scores(d: Domain) -> DataFrame:
+    """Labels as numbers, unknown ones as 0, with the percentage of sure ones to two places."""
+    from ..operators.series import score_of
+
+    c = d.content.select(F.when(F.col("upvotes") % 5 == 0, "unheard of").otherwise(F.col("label")).alias("label"), "confidence")
+    by = c.groupBy("label").agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("confidence") >= 0.75).cast("double")), 2).alias("sure"))
+    return by.select("label", "n", score_of(F.col("label")).alias("score"), "sure")
+
+
+def _texts_as_posts(d: Domain) -> DataFrame:
+    return d.documents.select(F.col("id").cast("string").alias("id"), F.lit("").alias("title"), F.col("text").alias("content"), "subreddit", "author", F.col("timestamp").cast("timestamp").alias("timestamp"), F.lit("post").alias("content_type"))
+
+
+@query(f"""{CLEANED}, t AS (SELECT *, {TOKENS} AS n FROM cleaned) SELECT CASE WHEN author IS NULL OR author = '' OR regexp_matches(lower(author), 'bot$|automoderator|automod|\\[deleted\\]|\\[removed\\]') THEN 'bot'
+  WHEN n = 0 THEN 'empty' WHEN n < 10 THEN 'too_short' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY 1""")
+def prepared_in_two_runs(d: Domain) -> DataFrame:
+    """The preparing step over a store: a first run with half of the texts, a second with all; each text is prepared once."""
+    store = _store(d)
+    posts = _texts_as_posts(d)
+    first, second = (stages.Pipeline(store, datetime(2024, 2, k)) for k in (1, 2))
+    sinks.upsert(store, "posts", posts.where("cast(id as long) % 2 = 0"))
+    one = first.preprocess()["record_count"]
+    sinks.upsert(store, "posts", posts)
+    two = second.preprocess()["record_count"]
+    done = store.read("preprocessed")
+    if one + two != done.count():
+        raise ValueError("a text was prepared twice")
+    return done.groupBy(F.coalesce("filter_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+
+
+@query(f"""{CLEANED}, t AS (SELECT *, clean_text AS text, {TOKENS} AS n FROM cleaned WHERE NOT regexp_matches(lower(author), 'bot$|automoderator|automod')), usable AS (SELECT id, text FROM t WHERE n >= 10), {_scored_sql("usable")}
+  SELECT CASE WHEN compound > 0.05 THEN 'positive' WHEN compound < -0.05 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS n, round(avg(greatest(abs(compound), 0.5)), 6) AS confidence FROM lexicon GROUP BY 1""")
+def scored_in_two_runs(d: Domain) -> DataFrame:
+    """The scoring step over a store, by the lexicon: what has a label keeps it, the rest gets one."""
+    store = _store(d)
+    pipeline = stages.Pipeline(store, NOW)
+    sinks.upsert(store, "posts", _texts_as_posts(d))
+    pipeline.preprocess()
+    whole = store.read("preprocessed")
+    sinks.overwrite(store, "preprocessed", whole.where("cast(id as long) % 3 = 0"))
+    pipeline.score()
+    sinks.upsert(store, "preprocessed", whole)
+    pipeline.score()
+    return store.read("sentiment_predictions").groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("confidence"))
+
+
+@query("""SELECT * FROM (VALUES ('brief', 'failed', 2, 'timeout', 5), ('other', 'succeeded', 2, NULL, 4), ('third', 'queued', 0, NULL, 1), ('fourth', 'failed', 0, 'provider_error', 2)) t(kind, status, attempts, error, steps)""", with_domain=False)
+def artifact_life_cycle(d: Domain) -> DataFrame:
+    """Artifacts enqueued (one of them twice), claimed under leases, failed, tried again and completed: their last states and numbers of steps."""
+    now = [NOW]
+    log = artifacts.ArtifactLog(d.spark, f"{folder(d.spark)}/log", lambda: now[0])
+    wait = lambda seconds: now.__setitem__(0, now[0] + timedelta(seconds=seconds))
+    first = log.enqueue("brief", "h", {"x": 1}, max_attempts=2)
+    log.enqueue("brief", "h", {"x": 1}, max_attempts=2)
+    log.claim("w1")
+    wait(1)
+    log.fail(first["artifact_id"], "timeout", "x" * 2000)
+    log.claim("w2")
+    log.fail(first["artifact_id"], "timeout")
+    other = log.enqueue("other", "h", {})
+    log.claim("w1")
+    wait(artifacts.LEASE_SECONDS + 1)
+    log.claim("w2")  # the lease of w1 ran out
+    log.complete(other["artifact_id"], {"y": 1})
+    wait(1)
+    log.enqueue("third", "h", {})
+    log.fail(log.enqueue("fourth", "h", {})["artifact_id"], "provider_error")
+    log.compact()
+    steps = log.history().groupBy("artifact_id").agg(F.count("*").cast("int").alias("steps"))
+    return log.state().join(steps, "artifact_id").select("kind", "status", "attempts", F.col("error_category").alias("error"), "steps")
+
+
+@query("SELECT subreddit, count(*) AS n FROM posts WHERE subreddit <> '3-MEDIUM' AND timestamp >= TIMESTAMP '1998-01-01' GROUP BY 1")
+def collected_groups(d: Domain) -> DataFrame:
+    """Groups collected one after the other: one fails and stops none of the others, and a second run skips what is done."""
+    store = _store(d)
+    store.create("posts", "comments", "batch_collections")
+    posts, none = _posts(d), d.spark.createDataFrame([], schema("comments"))
+    pulls = []
+
+    def pull(group: str):
+        pulls.append(group)
+        if group == "3-MEDIUM":
+            raise ingest.Refused("no")
+        return ingest.fresh(posts.where(F.col("subreddit") == group), store.read("posts"), frame=ingest.TimeFrame(datetime(1998, 1, 1), datetime(2030, 1, 1))), none
+
+    groups = [r["subreddit"] for r in d.posts.select("subreddit").distinct().orderBy("subreddit").collect()]
+    ingest.collect(d.spark, store, groups, pull, NOW)
+    ingest.collect(d.spark, store, groups, pull, NOW + timedelta(hours=1))
+    if sorted(pulls) != sorted([*groups, "3-MEDIUM"]):
+        raise ValueError(f"pulled {pulls}")
+    return store.read("posts").groupBy("subreddit").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT round(sum((b - e) * (b - e) / e), 6) AS chi_square, greatest(count(*) - 1, 0) AS degrees FROM (SELECT coalesce(y.b, 0) AS b, greatest(coalesce(x.a, 0), 1) * (SELECT count(*) FROM comments) / greatest((SELECT count(*) FROM posts), 1) AS e
+  FROM (SELECT label, count(*) AS a FROM posts GROUP BY 1) x FULL JOIN (SELECT label, count(*) AS b FROM comments GROUP BY 1) y USING (label))""")
+def label_drift(d: Domain) -> DataFrame:
+    """Chi-square of the comments' labels against the posts' shares."""
+    return drift.label_shift(d.posts, d.comments).select(r6("chi_square").alias("chi_square"), F.col("degrees").cast("long").alias("degrees"))
+
+
+@query("""SELECT round(max(abs(a / (SELECT count(*) FROM posts WHERE confidence IS NOT NULL) - b / (SELECT count(*) FROM comments WHERE confidence IS NOT NULL))), 6) AS distance FROM (SELECT sum(a) OVER (ORDER BY v) AS a, sum(b) OVER (ORDER BY v) AS b FROM (
+  SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT confidence AS v, 1 AS a, 0 AS b FROM posts UNION ALL SELECT confidence, 0, 1 FROM comments) WHERE v IS NOT NULL GROUP BY v))""")
+def confidence_drift(d: Domain) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the comments' confidence to the posts'."""
+    return drift.value_shift(d.posts, d.comments).select(r6("distance").alias("distance"))
+
+
+@query("SELECT subreddit, round(avg(confidence), 6) AS mean_confidence, avg(confidence) < 0.75 AS alarm FROM (SELECT 'posts' AS subreddit, confidence FROM posts UNION ALL SELECT 'comments', confidence FROM comments) GROUP BY 1")
+def confidence_alarms(d: Domain) -> DataFrame:
+    parts = [drift.confidence_alarm(t).select(F.lit(n).alias("subreddit"), r6("mean_confidence").alias("mean_confidence"), "alarm") for n, t in (("posts", d.posts), ("comments", d.comments))]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT event_type AS subreddit, count(*) AS n FROM events GROUP BY 1", with_domain=False)
+def streamed_batches(d: Domain) -> DataFrame:
+    """Files that land in two goes, drained into the store by a stream that stops when nothing is left; the same rows twice count once."""
+    from ..streaming import incremental
+
+    store = _store(d)
+    at = f"{store.root}/landing"
+    rows = d.table("events").select(F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_type").alias("subreddit"), F.col("ts").alias("timestamp"))
+    for part in (rows.where("cast(substring(id, 2) as long) % 2 = 0"), rows):
+        part.write.mode("append").json(at)
+        stream = incremental.landed(store, at, "id string, subreddit string, timestamp timestamp")
+        incremental.drained(stream, store, "posts", f"{store.root}/progress")
+    return store.read("posts").groupBy("subreddit").agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, source, target FROM (SELECT 'posts' AS name, count(*) AS source, count(*) AS target FROM posts UNION ALL SELECT 'topics', count(*), count(*) FROM topics)")
+def copied_counts(d: Domain) -> DataFrame:
+    """Rows of each table before and after a copy into an empty store."""
+    one, two = _store(d), _store(d)
+    sinks.upsert(one, "posts", _posts(d))
+    sinks.overwrite(one, "topics", d.topic_sizes)
+    counts = sinks.copy_all(one, two)
+    return d.spark.createDataFrame([(t, *n) for t, n in counts.items()], "name string, source long, target long")
+
+
+@query("SELECT num, name FROM (VALUES (1, 'check'), (2, 'preprocess'), (5, 'score'), (7, 'time_series')) t(num, name)", with_domain=False)
+def pipeline_lines(d: Domain) -> DataFrame:
+    """Some steps of the pipeline run in order over a small store; each that ended logged its metrics."""
+    store = _store(d)
+    sinks.upsert(store, "posts", _texts_as_posts(d).where("cast(id as long) < 100"))
+    store.create("comments")
+    lines = list(stages.Pipeline(store, NOW).run([1, 2, 5, 7]))
+    names = {name: k for k, (name, _) in stages.Pipeline(store, NOW).steps().items()}
+    if any("failed" in x for x in lines):
+        raise ValueError("; ".join(lines))
+    logged = [r["stage"] for r in store.read("run_metrics").select("stage").distinct().collect()]
+    return d.spark.createDataFrame([(names[s], s) for s in logged], "num int, name string")
+
+
+@query("SELECT CASE WHEN n >= 100 THEN 'many' ELSE 'few' END AS kind, count(*) AS words FROM (SELECT word, sum(n) AS n FROM words GROUP BY word) GROUP BY 1")
+def word_cloud(d: Domain) -> DataFrame:
+    """How many words of the topics' texts are frequent."""
+    counts = words_by_topic(d.assigned).groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.groupBy(F.when(F.col("n") >= 100, "many").otherwise("few").alias("kind")).agg(F.count("*").alias("words"))

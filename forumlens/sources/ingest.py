@@ -203,4 +203,71 @@ def estimated_calls(groups: int, chunks: int, calls: int = 6) -> int:
     return groups * chunks * calls
 
 
-__all__ = ["Delay", "Limiter", "Progress", "Refused", "Report", "TimeFrame", "between_days", "collect", "estimated_calls", "fresh"]
+@dataclass(frozen=True)
+class Scope:
+    """What a back-fill will take, before any request is made: one request a chunk and group, and a tenth of one a post."""
+
+    chunks: int
+    requests: float
+    minutes: float
+
+    @classmethod
+    def of(cls, frame: TimeFrame, groups: int, posts_per_group: int, chunk_days: int, seconds: float = 2.0) -> Scope:
+        if groups <= 0 or posts_per_group < 0 or chunk_days <= 0:
+            raise ValueError("a back-fill needs groups, chunks of a day at least and no negative number of posts")
+        chunks = len(frame.chunks(chunk_days))
+        requests = groups * chunks * (1 + posts_per_group * 0.1)
+        return cls(chunks, requests, requests * seconds / 60)
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """When a collection is due: every `days` days at `hour`, and at `backup_hour` of such a day if none succeeded on it.
+
+    It keeps no clock and no process of its own: any outer scheduler asks due() and reports successes.
+    """
+
+    first: datetime
+    days: int = 2
+    hour: int = 1
+    backup_hour: int = 13
+    guard_hours: int = 24
+
+    def planned(self, now: datetime) -> tuple[datetime, bool] | None:
+        """The latest planned start at or before now, and whether it is the backup of its day."""
+        since = (now.date() - self.first.date()).days
+        if since < 0:
+            return None
+        day = datetime.combine(now.date() - timedelta(days=since % self.days), datetime.min.time())
+        starts = [(day + timedelta(hours=self.hour), False), (day + timedelta(hours=self.backup_hour), True)]
+        past = [s for s in starts if s[0] <= now]
+        if past:
+            return past[-1]
+        before = day - timedelta(days=self.days)
+        return None if before < datetime.combine(self.first.date(), datetime.min.time()) else (before + timedelta(hours=self.backup_hour), True)
+
+    def due(self, now: datetime, last_success: datetime | None = None, last_start: datetime | None = None, running: bool = False) -> bool:
+        """Whether to start now: nothing runs, this planned start was not used yet, and there was no success that makes it needless."""
+        planned = self.planned(now)
+        if planned is None or running or last_start is not None and last_start >= planned[0]:
+            return False
+        if last_success is None:
+            return True
+        return last_success.date() < planned[0].date() if planned[1] else now - last_success >= timedelta(hours=self.guard_hours)
+
+
+def checks(spark: SparkSession, store: Store, pull: Callable[[str], object] | None = None, group: str = "") -> dict[str, str]:
+    """What a collection needs, each "ok" or the reason why not: the session, the store, and one pull."""
+
+    def tried(step: Callable[[], object]) -> str:
+        try:
+            step()
+        except Exception as error:
+            return f"{type(error).__name__}: {error}"[:200]
+        return "ok"
+
+    out = {"session": tried(lambda: spark.range(1).count()), "store": tried(lambda: store.missing())}
+    return out | ({"source": tried(lambda: pull(group))} if pull else {})
+
+
+__all__ = ["Delay", "Limiter", "Progress", "Refused", "Report", "Schedule", "Scope", "TimeFrame", "between_days", "checks", "collect", "estimated_calls", "fresh"]

@@ -310,3 +310,32 @@ def test_replies_of_any_depth(spark):
     df = spark.createDataFrame([("p", json.dumps(tree))], "post_id string, tree string")
     assert readers.flattened_comments(df, depth=5).count() == 6
     assert readers.flattened_comments(df, depth=None, limit=70).count() == 70
+
+
+def test_scope_and_schedule(capsys):
+    frame = ingest.TimeFrame.parse("2026-01-01", "2026-01-31")
+    scope = ingest.Scope.of(frame, 3, 100, 7)
+    assert (scope.chunks, scope.requests, scope.minutes) == (5, 165.0, 5.5)
+    for bad in ((0, 1, 1), (1, -1, 1), (1, 1, 0)):
+        with pytest.raises(ValueError):
+            ingest.Scope.of(frame, *bad)
+    at = lambda day, hour: dt.datetime(2026, 3, day, hour)
+    plan = ingest.Schedule(at(1, 0))
+    assert plan.planned(at(1, 0)) is None and plan.planned(at(1, 2)) == (at(1, 1), False) and plan.planned(at(2, 9)) == (at(1, 13), True) and plan.planned(at(3, 0)) == (at(1, 13), True)
+    assert not plan.due(at(1, 0)) and plan.due(at(1, 1)) and not plan.due(at(1, 2), last_start=at(1, 1)) and not plan.due(at(1, 2), running=True)
+    assert plan.due(at(1, 13), last_start=at(1, 1)) and not plan.due(at(1, 13), last_success=at(1, 2), last_start=at(1, 1))
+    assert not plan.due(at(3, 1), last_success=at(2, 9), last_start=at(1, 13)) and plan.due(at(3, 1), last_success=at(1, 2), last_start=at(1, 13))
+    from forumlens.__main__ import main
+
+    assert main(["scope", "--root", "x", "--start", "2026-01-01", "--end", "2026-01-31", "--groups", "a,b,c"]) == 0
+    assert "5 chunks, about 165 requests, about 5.5 minutes" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["scope", "--root", "x", "--start", "2026-02-01", "--end", "2026-01-31", "--groups", "a"])
+
+
+def test_checks(spark, store):
+    def refuse(group):
+        raise ingest.Refused("no")
+
+    found = ingest.checks(spark, store, refuse, "g")
+    assert found == {"session": "ok", "store": "ok", "source": "Refused: no"}

@@ -143,3 +143,9 @@ def test_lexicon_columns(spark):
     df = lexicon.with_compound(spark.createDataFrame([("great love",), ("terrible hate",), ("table",), (None,)], "t string"), "t", "c")
     rows = df.select(lexicon.sign(F.col("c")), lexicon.sign_label(F.col("c")), lexicon.weak_label(F.col("c"))).collect()
     assert [tuple(r) for r in rows] == [(1, "positive", "positive"), (-1, "negative", "negative"), (0, "neutral", "neutral"), (0, "neutral", "neutral")]
+
+
+def test_lemmas(spark):
+    given = "stories about classes of boxes and cards that crashed while running is this as bus glass tested king red"
+    assert one(spark, text.lemmas(F.col("t")), t=given) == "story about class of box and card that crash while runn is this as bus glass test king red"
+    assert one(spark, text.lemmas(F.col("t")), t="") == ""
