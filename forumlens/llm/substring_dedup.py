@@ -281,7 +281,10 @@ def _grouped(rows: DataFrame, length: int, more: list[str], keep) -> tuple[DataF
 
 
 def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, group_rows: int = 1024) -> DataFrame:
-    """texts(doc_id, th, at, data) -> (doc_id, th, at, span): byte stretches covered by repeated strings (see _span); they may overlap."""
+    """texts(doc_id, th, at, data) -> (doc_id, th, at, spans): per text that has any, a list of byte stretches covered by repeated strings (see _span).
+
+    They may overlap. Rows that repeat an id and its text share one list.
+    """
     made: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -296,7 +299,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 400, gram: int = 100, grou
     by_text = runs.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pos", "gram", "n")).alias("runs"))
     cut = texts.join(by_text, KEY).select(*KEY, "data", "runs").mapInArrow(_cut(length), f"{RUN}, n long, bytes binary")
     spans = whole.union(_settled(keep(cut, "runs"), length, group_rows, (64, 8, 1), keep))
-    out = stage(spans.distinct(), "spans")
+    out = stage(spans.groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")
     unstage(*made)
     return out
 
@@ -342,11 +345,11 @@ def _pieces(least: int):
     return run
 
 
-def _listed(spans: DataFrame, name: str) -> DataFrame:
-    """Per text, the list of its spans; both counted from the start of the whole text."""
+def _placed(spans: DataFrame) -> DataFrame:
+    """Spans of the stretches of a text, counted from the start of the whole text, in one list a text."""
     at = F.col("at").cast("long")
-    shifted = spans.select("doc_id", "th", F.lit(0).alias("at"), (F.col("span") + F.shiftleft(at, 32) + at).alias("span"))
-    return shifted.groupBy(*KEY).agg(F.collect_list("span").alias(name))
+    moved = spans.select("doc_id", "th", F.transform("spans", lambda s: s + F.shiftleft(at, 32) + at).alias("spans")).withColumn("at", F.lit(0))
+    return moved.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _texts(docs: DataFrame, **more) -> DataFrame:
@@ -375,13 +378,13 @@ def substring_dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, grou
     plain = texts.select(*KEY, "data")
     if passages:
         at_least = repeated_spans(plain, length=PASSAGE["passage_bytes"], gram=PASSAGE["passage_gram"], group_rows=group_rows)
-        short = _listed(at_least, "short")
-        pieces = stage(plain.join(short.withColumnRenamed("short", "spans"), KEY).select("doc_id", "th", "data", "spans").mapInArrow(_pieces(length), f"{IDS_DDL}, data binary"), "pieces")
-        long = _listed(repeated_spans(pieces, length=length, gram=gram, group_rows=group_rows), "spans")
+        short = at_least.withColumnRenamed("spans", "short")
+        pieces = stage(plain.join(at_least, KEY).select("doc_id", "th", "data", "spans").mapInArrow(_pieces(length), f"{IDS_DDL}, data binary"), "pieces")
+        long = _placed(repeated_spans(pieces, length=length, gram=gram, group_rows=group_rows))
         unstage(pieces)
         known = short.join(long, KEY, "left")
     else:
-        known = _listed(repeated_spans(plain, length=length, gram=gram, group_rows=group_rows), "spans").withColumn("short", F.col("spans"))
+        known = repeated_spans(plain, length=length, gram=gram, group_rows=group_rows).withColumn("short", F.col("spans"))
     empty = F.array().cast("array<bigint>")
     joined = texts.join(known, KEY, "left").select("doc_id", "data", *(F.coalesce(c, empty).alias(c) for c in ("spans", "short")))
     out = joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_bytes long")
@@ -431,7 +434,7 @@ def without_repeats(docs: DataFrame, *, words: int = PASSAGE["words"], length: i
     names = [f"x{i}" for i in range(len(rest))]
     texts = _texts(docs, **{x: docs[c] for x, c in zip(names, rest)})
     spans = repeated_spans(texts.select(*KEY, "data"), length=passage_bytes, gram=passage_gram, group_rows=group_rows)
-    joined = texts.join(_listed(spans, "spans"), KEY, "left").select("doc_id", "data", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), *names)
+    joined = texts.join(spans, KEY, "left").select("doc_id", "data", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), *names)
     schema = T.StructType([*T.StructType.fromDDL("doc_id long, kept string").fields, *(T.StructField(x, docs.schema[c].dataType) for c, x in zip(rest, names))])
     out = joined.mapInArrow(_carrying(names, words, length), schema)
     new = {c: F.col(x) for c, x in zip(rest, names)} | {"doc_id": F.nullif("doc_id", F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
