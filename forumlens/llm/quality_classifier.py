@@ -326,7 +326,7 @@ def _decoded(code: np.ndarray, n: int) -> np.ndarray:
     return np.stack([code // 3**i % 3 for i in range(n)], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000, labelled_sample: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, sample: int = 6000, labelled_sample: int = 20_000) -> Model:
     """Fit on docs(doc_id, text). Votes are counted over all documents; `sample` bounds the scorer's training documents (about
     so many, drawn by hash over all documents, never more than twice as many) and `labelled_sample` the labelled rows that
     teach the vocabulary (about so many)."""
