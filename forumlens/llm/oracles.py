@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Dated list of the registered URL query: entry, category, action, date.
+#: Dated list of the registered URL query: entry, category, action, date. A quarter of all hosts of the table are listed besides, by hash (see queries.py).
 URL_LIST = [
     ("spam-farm.example.org", "spam", "add", "2024-01-10"),
     ("spam-farm.example.org", "spam", "remove", "2024-05-01"),
@@ -18,7 +18,11 @@ URL_LIST = [
 ]
 
 OP1 = f"""
-WITH list(entry, category, action, since) AS (VALUES {", ".join(f"('{e}', '{c}', '{a}', DATE '{d}')" for e, c, a, d in URL_LIST)}),
+WITH own(entry, category, action, since) AS (VALUES {", ".join(f"('{e}', '{c}', '{a}', DATE '{d}')" for e, c, a, d in URL_LIST)}),
+hosts AS (SELECT host, md5(host) AS h FROM (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^\\s*[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)([^?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS host FROM pages) WHERE host <> ''),
+dated AS (SELECT host, substring(h, 3, 1) AS again, CASE WHEN substring(h, 2, 1) < '8' THEN 'spam' ELSE 'adult' END AS category, DATE '2024-01-01' + CAST(('0x' || substring(h, 4, 2)) AS INTEGER) AS since FROM hosts WHERE substring(h, 1, 1) < '4'),
+list AS (SELECT DISTINCT entry, category, action, since FROM (SELECT * FROM own UNION ALL SELECT host, category, 'add', since FROM dated UNION ALL SELECT host, category, 'remove', CAST(since + INTERVAL 60 DAY AS DATE) FROM dated WHERE again < '8'
+  UNION ALL SELECT host, category, 'add', CAST(since + INTERVAL 120 DAY AS DATE) FROM dated WHERE again < '4')),
 span AS (SELECT entry, category, action, since, lead(since) OVER (PARTITION BY entry, category ORDER BY since) AS until FROM list),
 cap AS (SELECT row_number() OVER () AS rid, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
   nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^\\s*[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)([^?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\\.+$', ''), '') AS host,

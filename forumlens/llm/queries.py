@@ -15,12 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page is a capture of the day 2024-01-01 + page_id % 366; the list is URL_LIST."""
-    from .url_filter import url_filter
+    """Each page is a capture of the day 2024-01-01 + page_id % 366. The list is URL_LIST and about a quarter of all hosts that occur.
+
+    The MD5 hash of a host decides whether it is listed, its category, the day, and whether it is taken off after 60 days and put on again
+    after 120: so the list grows with the table and holds hot and rare hosts alike.
+    """
+    from .url_filter import host_of, url_filter
 
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
-    entries = spark.createDataFrame(oracles.URL_LIST, "entry string, category string, action string, at string")
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", day.alias("fetched"))
+    hosts = pages.select(host_of("url").alias("entry")).distinct().where("entry != ''").withColumn("h", F.md5("entry"))
+    digit = lambda k, n=1: F.substring("h", k, n)
+    listed = hosts.where(digit(1) < "4").select("entry", F.when(digit(2) < "8", "spam").otherwise("adult").alias("category"), digit(3).alias("again"), F.date_add(F.lit("2024-01-01").cast("date"), F.conv(digit(4, 2), 16, 10).cast("int")).alias("at"))
+    steps = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(b).alias("below"), F.lit(k).alias("later")) for a, b, k in (("add", "g", 0), ("remove", "8", 60), ("add", "4", 120))))
+    listed = listed.select("entry", "category", "at", F.explode(F.filter(steps, lambda s: F.col("again") < s["below"])).alias("s"))
+    listed = listed.select("entry", "category", F.col("s.action").alias("action"), F.date_add("at", F.col("s.later")).cast("string").alias("at"))
+    entries = listed.union(spark.createDataFrame(oracles.URL_LIST, "entry string, category string, action string, at string"))
     out = url_filter(captures, entries)
     return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
 

@@ -7,7 +7,7 @@ its host and each path prefix below the host, and is blocked by the entries acti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 URL = r"^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)"
@@ -26,14 +26,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.where("action = 'add'").select("entry", "category", F.col("at").alias("since"), "until")
 
 
+def host_of(url: str) -> Column:
+    """The host in a column of URLs, in lower case, without user, port and closing dots; empty if there is none."""
+    authority = F.lower(F.regexp_extract(F.col(url), URL, 1))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", "")
+
+
 def keyed(captures: DataFrame, labels: int, steps: int) -> DataFrame:
     """captures with host and keys: every domain suffix of the host, and host plus every path prefix at a slash.
 
     Only as long as the longest entry, of `labels` domain labels and `steps` path steps: longer ones can match none, and
     a URL of very many steps would otherwise have keys of the square of its length.
     """
-    authority = F.lower(F.regexp_extract(F.col("url"), URL, 1))
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", "")
+    host = host_of("url")
     path = F.regexp_replace(F.regexp_extract(F.col("url"), URL, 2), r"/+$", "")
     c = captures.withColumn("host", F.when(host != "", host)).withColumn("_labels", F.split("host", r"\.")).withColumn("_steps", F.filter(F.split(path, "/"), lambda x: x != ""))
     first = F.greatest(F.lit(1), F.size("_labels") - (max(labels, 1) - 1))
