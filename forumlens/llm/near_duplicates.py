@@ -196,7 +196,7 @@ RARE = 64
 
 def _items(size: int):
     """Texts -> their shingles as a set: a shingle counted c times is c items. n is the size of the set."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("item", pa.int64())])
+    schema = pa.schema([("rep", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("item", pa.int64())])
 
     def run(batches):
         for whole in batches:
@@ -205,7 +205,8 @@ def _items(size: int):
                 n = np.bincount(doc, count, batch.num_rows).astype(np.int32)
                 doc, shingle = np.repeat(doc, count), np.repeat(shingle, count)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(doc)), pa.array(n[doc]), pa.array(mix(shingle + nth.astype(U64) * step(1)).view(np.int64))], schema=schema)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("h").take(take), pa.array(n[doc]), pa.array(mix(shingle + nth.astype(U64) * step(1)).view(np.int64))], schema=schema)
 
     return run
 
@@ -216,12 +217,12 @@ def _by_rare_items(reps: DataFrame, texts: DataFrame, size: int, least: float, k
     Two sets that overlap by `least` share one of the n - ceil(least * n) + 1 rarest items of each (in any one order of
     items), and an item that one text alone has is shared with none. So texts are joined by the rarest of their
     items that occur twice. An item that more than RARE texts have is never joined by: the texts that would need one
-    are returned, and only pairs of two such texts are left to them.
+    are returned, and only pairs of two such texts are left to them. Different texts of one id are sets of their own.
     """
-    found = texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").dropDuplicates(["rep"])
-    items = salted(keep(found.select("rep", "text").mapInArrow(_items(size), "rep long, n int, item long"), "items"), "rep")
+    found = texts.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("h")).join(reps.select("rep").distinct(), "rep").dropDuplicates(["rep", "h"])
+    items = salted(keep(found.select("rep", "h", "text").mapInArrow(_items(size), "rep long, h long, n int, item long"), "items"), "rep", "h")
     common = keep(items.groupBy("item").agg(F.count("*").alias("f"), F.expr(PRESENT)).where("f > 1"), "common")
-    known = items.join(each_salt(common), ["item", "salt"]).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
+    known = items.join(each_salt(common), ["item", "salt"]).groupBy("rep", "h").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
     need = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1  # as long a prefix, less the items of one text, which come first
     known = known.withColumn("need", F.greatest(F.lit(0), need - (F.col("n") - F.size("x"))).cast("int"))
     prefix = keep(known.select("rep", F.slice("x", F.lit(1), F.col("need")).alias("x")).where(F.size("x") > 0).join(reps, "rep"), "prefixes")
@@ -288,7 +289,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     blocks = inside.hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     blocks = blocks.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     more = keep(blocks.mapInArrow(_joined_blocks(size, similarity), "a long, b long"), "links")
-    group = stage(components(links.union(near).union(more)), "classes")
+    stars = known.select(F.col("id").alias("a"), F.col("component").alias("b"))  # what the first links join, in its shortest form
+    group = stage(components(stars.union(near).union(more)), "classes")
     unstage(*made)
     of_text = firsts.select("same", F.col("rep").alias("id")).join(group, "id", "left").select("same", F.coalesce("component", "id").alias("class_id"))
     out = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(of_text, "same", "left")

@@ -96,6 +96,20 @@ def test_rare_items_lose_no_pair(spark):
         N.RARE = was
 
 
+def test_different_texts_of_one_id_in_a_large_bucket(documents):
+    """An id that two texts share links the neighbours of both."""
+    base, other = prose(53, 160), prose(54, 160)
+    rows = [(k, edited(base, 9, k)) for k in range(60)] + [(100 + k, edited(other, 9, 500 + k)) for k in range(60)]
+    rows += [(7, edited(other, 9, 500)), (300, edited(edited(other, 9, 500), 1, 3))]
+    was = N.BLOCK_TEXTS
+    try:
+        N.BLOCK_TEXTS = 16
+        got = {r.doc_id: r.class_id for r in N.near_duplicates(documents(rows)).collect()}
+    finally:
+        N.BLOCK_TEXTS = was
+    assert got[7] == got[100] == got[300] and got[300] <= 7
+
+
 def test_every_row_has_a_class_and_null_ids_none(documents, awkward):
     out = N.near_duplicates(documents(awkward)).collect()
     assert len(out) == len(awkward)
