@@ -51,7 +51,8 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
         "doc_id",
-        F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
+        # words are hashed once: windows are then hashes of eight numbers, not of eight texts
+        F.transform(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words"),
         lines.alias("lines"),
         F.length("text").cast("long").alias("chars"),
         _without(SPACE).alias("word_chars"),
