@@ -79,13 +79,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(shared / union)
 
 
-def lexical_score(terms: Column, phrase: Column, other_terms: Column) -> Column:
-    """Overlap of the query's and a text's search_terms, at least 0.25 where the text holds the query as a phrase; null without any.
+def overlap_score(shared: Column, size: Column, other_size: Column, phrase: Column) -> Column:
+    """Jaccard overlap from counts, at least 0.25 where the text holds the query as a phrase; null without any.
 
     The arguments are columns that are computed already: an expression would be evaluated once for each mention.
     """
-    overlap = jaccard(terms, other_terms)
-    return F.when(phrase, F.greatest(overlap, F.lit(0.25))).when(overlap > 0, overlap)
+    overlap = shared / F.greatest(size + other_size - shared, F.lit(1))
+    return F.when(phrase, F.greatest(overlap, F.lit(0.25))).when(shared > 0, overlap)
+
+
+def lexical_score(terms: Column, phrase: Column, other_terms: Column) -> Column:
+    """overlap_score of the query's and a text's search_terms, both columns that are computed already."""
+    return overlap_score(F.size(F.array_intersect(terms, other_terms)), F.size(terms), F.size(other_terms), phrase)
 
 
 def parse_list(text: Column, separators: str = ",") -> Column:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_score, preview, search_terms
+from ..functions.text import overlap_score, preview, search_terms
 from ..functions.vector import cosine
 from .filters import first_rows
 
@@ -73,7 +73,8 @@ def lexical_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     terms = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
     low = F.lower(F.coalesce("text", F.lit("")))
     marked = docs.select("id", search_terms(low).alias("terms"), F.contains(low, F.lit(query.lower())).alias("phrase"))
-    scored = marked.select("id", lexical_score(terms, F.col("phrase"), F.col("terms")).alias("score")).where("score is not null")
+    counted = marked.select("id", F.size(F.array_intersect(terms, "terms")).alias("shared"), F.size("terms").alias("n"), "phrase").where("phrase or shared > 0")
+    scored = counted.select("id", overlap_score(F.col("shared"), F.lit(len(wanted)), F.col("n"), F.col("phrase")).alias("score"))
     return scored.select("id", F.bround("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 

@@ -349,7 +349,7 @@ QUESTION = "and the"
   s AS (SELECT id, len(list_intersect(w, q)) / (len(w) + 2 - len(list_intersect(w, q))) AS o, contains(lower(text), '{QUESTION}') AS ph FROM t)
   SELECT id, round(CASE WHEN ph THEN greatest(o, 0.25) ELSE o END, 4) AS score FROM s WHERE ph OR o > 0 ORDER BY score DESC, id LIMIT 25""")
 def lexical_search(d: Domain) -> DataFrame:
-    return search.lexical_search(d.documents, QUESTION, 25)
+    return search.lexical_search(dealt(d.documents), QUESTION, 25)
 
 
 @query("""SELECT e.id, round(greatest(list_cosine_similarity(CAST(e.v AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 0), 4) AS score FROM (SELECT vec_id AS id, embedding AS v FROM embeddings) e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 20""", with_domain=False)
@@ -389,7 +389,7 @@ def semantic_search(d: Domain) -> DataFrame:
   found AS (SELECT id, round(CASE WHEN ph THEN greatest(o, 0.25) ELSE o END, 4) AS score, 'lexical_overlap_fallback' AS algorithm, 'missing_config' AS state FROM s WHERE ph OR o > 0 ORDER BY score DESC, id LIMIT 50) {SHOWN}""")
 def semantic_search_without_vectors(d: Domain) -> DataFrame:
     """The ladder where no encoder is configured: words that overlap."""
-    return _shown(d, search.semantic_search(d.documents, QUESTION))
+    return _shown(d, search.semantic_search(dealt(d.documents), QUESTION))
 
 
 @query(f", found AS (SELECT id, 0.25 AS score, 'like_fallback' AS algorithm, 'error' AS state FROM docs WHERE contains(lower(text), '{QUESTION}') ORDER BY id LIMIT 50) {SHOWN}")
