@@ -127,12 +127,12 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 BLOCK = 1 << 18
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document number of each word (run without white space) of a text column."""
+def words_of(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document number of each word (run of bytes not `outside`, by default without white space) of a text column."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~IS_SPACE[data]
+    solid = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = solid.copy()
@@ -239,8 +239,8 @@ def each_salt(known: DataFrame) -> DataFrame:
     return each.where("shiftright(salts, salt) & 1 = 1").drop("salts")
 
 
-def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame:
-    """docs with columns added by compute(batches of doc_id and text) -> per batch, a list of Arrow arrays.
+def carried(docs: DataFrame, added: list[tuple[str, str]], compute, inputs: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs with columns added by compute(the input columns of a batch) -> a list of Arrow arrays. The first input bounds a batch.
 
     All columns travel along under internal names, so added names may clash with none of them on the way;
     a name that docs already has is returned in its new meaning.
@@ -253,13 +253,13 @@ def carried(docs: DataFrame, added: list[tuple[str, str]], compute) -> DataFrame
     kinds = {"c": T.StructType.fromDDL(", ".join(f"x{i} {t}" for i, (_, t) in enumerate(added)))}
     schema = T.StructType([*fields, *kinds["c"].fields])
     names = [f.name for f in schema.fields]
-    text = f"c{at['text']}"
+    given = [f"c{at[c]}" for c in inputs]
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 1 << 19):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(text))], names=names)
+            for batch in slices(whole, given[0], 1 << 19):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(*map(batch.column, given))], names=names)
 
     out = inner.mapInArrow(run, schema)
-    new = {n for n, _ in added}
-    return out.select(*(out[f"c{i}"].alias(f.name) for i, f in enumerate(docs.schema.fields) if f.name not in new), *(out[f"x{i}"].alias(n) for i, (n, _) in enumerate(added)))
+    new = {n.lower() for n, _ in added}
+    return out.select(*(out[f"c{i}"].alias(f.name) for i, f in enumerate(docs.schema.fields) if f.name.lower() not in new), *(out[f"x{i}"].alias(n) for i, (n, _) in enumerate(added)))

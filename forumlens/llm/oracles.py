@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import GRAM, PHRASES, SHARE, TEMPLATES
+
 #: Dated list of the registered URL query: entry, category, action, date. A quarter of all hosts of the table are listed besides, by hash (see queries.py).
 URL_LIST = [
     ("spam-farm.example.org", "spam", "add", "2024-01-10"),
@@ -65,3 +67,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 O
   CAST(CAST(r0 AS INTEGER) + 2 * CAST(r1 AS INTEGER) + 4 * CAST(r2 AS INTEGER) + 8 * CAST(r3 AS INTEGER) + 16 * CAST(r4 AS INTEGER) + 32 * CAST(r5 AS INTEGER) AS BIGINT) AS failure_bits
 FROM b
 """
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ALL_TEMPLATES = ", ".join(f"({k}, {quoted(label)}, {base}, {quoted(text)})" for k, (label, text, base) in enumerate([(*x, True) for x in PHRASES] + [(*x, False) for x in TEMPLATES]))
+WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH tpl(k, label, base, body) AS (VALUES {ALL_TEMPLATES}),
+tw AS (SELECT k, label, base, {WORDS.format("body")} AS ws FROM tpl),
+tg AS (SELECT k, i - 1 AS t, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM tw)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+dg AS (SELECT rid, unnest(range(0, len(ws) - 2)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS gram FROM d WHERE len(ws) >= {GRAM}),
+hit AS (SELECT rid, k, p - t AS diagonal, t FROM dg JOIN tg USING (gram)),
+dia AS (SELECT DISTINCT rid, k, diagonal FROM hit),
+step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, k ORDER BY diagonal) <= CASE WHEN base THEN 0 ELSE greatest(2, len(ws) // 10) END THEN 0 ELSE 1 END AS fresh FROM dia JOIN tw USING (k)),
+place AS (SELECT rid, k, diagonal, sum(fresh) OVER (PARTITION BY rid, k ORDER BY diagonal) AS place FROM step),
+cov AS (SELECT rid, k, place, min(diagonal) AS diagonal, count(DISTINCT t + j) AS n FROM place JOIN hit USING (rid, k, diagonal) CROSS JOIN (SELECT unnest(range(0, {GRAM})) AS j) GROUP BY rid, k, place),
+ok AS (SELECT rid, label, base, diagonal, n / len(ws) AS share FROM cov JOIN tw USING (k) WHERE n / len(ws) >= CASE WHEN base THEN 1 ELSE {SHARE} END),
+found AS (SELECT rid, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN found USING (rid)
+"""
+
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS v, CAST('0x' || h[25:32] AS BIGINT) % 100 AS w FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR v >= 90 THEN 'plain' WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+c AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def _round(k: int) -> str:
+    """Codebooks b{k} -> nearest entries a{k} (distance * 64 + entry, so that the least one breaks ties)."""
+    return f"""a{k} AS MATERIALIZED (SELECT rid, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 64 + e) AS best FROM part JOIN b{k} USING (p) GROUP BY rid, p)"""
+
+
+def _next(k: int) -> str:
+    return f"""m{k} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (SELECT p, best % 64 AS e, i, sum(x[i + 1]) AS s, count(*) AS n FROM a{k} JOIN part USING (rid, p) CROSS JOIN (SELECT unnest(range(0, (SELECT w FROM width))) AS i) GROUP BY ALL) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} ON b{k}.p = m{k}.p AND b{k}.e = m{k}.e)"""
+
+
+OP13 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+width AS (SELECT max(len(v)) // 16 AS w FROM kept),
+part AS MATERIALIZED (SELECT rid, p, v[p * w + 1:p * w + w] AS x FROM kept, width, (SELECT unnest(range(0, 16)) AS p)),
+seed AS (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT p, e, x AS c FROM part JOIN seed USING (rid)),
+{_round(0)}, {_next(0)}, {_round(1)}, {_next(1)}, {_round(2)},
+code AS (SELECT rid, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS h FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN code USING (rid), book
+"""

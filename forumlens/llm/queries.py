@@ -98,9 +98,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256).select("doc_id", "n_tokens")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts; null texts count as empty, repeated rows are judged alike."""
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts; null texts count as empty, a null id draws as one without digits."""
+    from .fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whose components are finite; null labels are one label, repeated rows are coded each."""
+    from .vector_codes import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op7_html_text, op8_pieces, op9_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_chat, op4_near_duplicates, op5_substring_dedup, op6_quality_rules, op7_html_text, op8_pieces, op9_quality_classifier, op10_token_counts, op11_license_scan, op12_fill_in_middle, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.OP1, "op3_chat": oracles.OP3, "op6_quality_rules": oracles.OP6}
+    return {"op1_url_filter": oracles.OP1, "op3_chat": oracles.OP3, "op6_quality_rules": oracles.OP6, "op11_license_scan": oracles.OP11, "op12_fill_in_middle": oracles.OP12, "op13_vector_codes": oracles.OP13}
