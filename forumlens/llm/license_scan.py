@@ -28,6 +28,8 @@ SHARE = 0.7
 ROW_GRAMS = 1 << 15
 #: Diagonals verified at once.
 BLOCK = 4096
+#: Template positions that are broadcast (24 bytes each); more are joined by shuffling the grams.
+BROADCAST_POSITIONS = 1_000_000
 #: Bytes outside words, and the table that lower-cases A-Z.
 OUTSIDE = np.zeros(256, bool)
 OUTSIDE[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -123,6 +125,7 @@ def places(texts: DataFrame, known: list[Template]) -> DataFrame:
         data = np.frombuffer(b" ".join(t.words), np.uint8)
         cells += [(k, i, int(g)) for i, g in enumerate(grams(data, np.array([0, len(data)]))[0])]
     positions = spark.createDataFrame(cells, "template int, t int, gram long")
+    positions = F.broadcast(positions) if len(cells) <= BROADCAST_POSITIONS else positions
     rules = F.create_map(*(F.lit(x) for k, t in enumerate(known) for x in (k, t.slack))), F.create_map(*(F.lit(x) for k, t in enumerate(known) for x in (k, t.need)))
     hashed = texts.mapInArrow(_hashed, "doc_id long, th long, at long, grams array<long>")
     hits = hashed.select("doc_id", "th", "at", F.posexplode("grams").alias("i", "gram")).join(positions, "gram")
