@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from llm_helpers import prose
@@ -23,11 +24,40 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, words, length):
+    """Per text: flags of the bytes in a repeated run of words, or a repeated string of bytes."""
+    raw = [(t or "").encode() for t in texts]
+    split = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", b)] for b in raw]
+    runs = [[tuple(b[x:y] for x, y in s[i : i + words]) for i in range(len(s) - words + 1)] for b, s in zip(raw, split)]
+    seen = Counter(x for r in runs for x in r)
+    bytes_seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b, s, r in zip(raw, split, runs):
+        gone = bytearray(len(b))
+        for i, x in enumerate(r):
+            if seen[x] > 1:
+                gone[s[i][0] : s[i + words - 1][1]] = b"\1" * (s[i + words - 1][1] - s[i][0])
+        for i in range(len(b) - length + 1):
+            if bytes_seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+def stretches(gone):
+    return sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+
+
 def check(documents, rows, **options):
     want = Counter((i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], options.get("length", 400))))
     for passages in (False, True):
-        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.substring_dedup(documents(rows), passages=passages, **options).collect())
-        assert got == want
+        out = S.substring_dedup(documents(rows), passages=passages, **options).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == want
+    flags = brute_passages([t for _, t in rows], S.PASSAGE["length"], options.get("length", 400))
+    assert Counter((r.doc_id, r.n_passages, r.n_passage_bytes) for r in out) == Counter((i, stretches(g), sum(g)) for (i, _), g in zip(rows, flags))
+    short = {"words": S.PASSAGE["length"], "word_gram": S.PASSAGE["gram"]}
+    kept = Counter((r.doc_id, r.text) for r in S.without_repeats(documents(rows), **short, **options).collect())
+    assert kept == Counter((i, bytes(c for c, g in zip((t or "").encode(), f) if not g).decode("utf-8", "ignore")) for (i, t), f in zip(rows, flags))
 
 
 def test_equals_brute_force(documents, awkward):
@@ -43,7 +73,7 @@ def test_shared_passages_of_many_lengths(documents):
         rows.append((k, prose(100 + k, 12) + " " + passage[cut : cut + r.randrange(20, 260)] + prose(300 + k % 3, 10)))
     S_passage = dict(S.PASSAGE)
     try:
-        S.PASSAGE.update(passage_bytes=30, passage_gram=10)
+        S.PASSAGE.update(length=12, gram=4)
         for group_rows in (1024, 2):
             check(documents, rows, length=60, gram=20, group_rows=group_rows)
     finally:
@@ -94,16 +124,43 @@ def of_words(seed, n):
 
 
 def test_passages_of_over_fifty_words(documents):
-    long, short = " ".join(of_words(1, 52)), " ".join(of_words(2, 40))
-    assert 200 < len(short) < 400 and 200 < len(long) < 400
+    long, short = " ".join(of_words(1, 51)), " ".join(of_words(2, 50))
     own = [prose(50 + i, 30) + "\n" for i in range(6)]
-    rows = [(0, own[0] + long + "\n" + own[1]), (1, own[2] + long), (2, own[3] + short), (3, own[4] + short + "\n"), (4, own[5] + prose(60, 90)), (5, None)]
+    rows = [(0, own[0] + long + "\n" + own[1]), (1, own[2] + long.replace(" ", "\n\t", 7)), (2, own[3] + short), (3, own[4] + short + "\n"), (4, own[5] + prose(60, 90)), (5, None)]
     found = {r.doc_id: r for r in S.substring_dedup(documents(rows), passages=True).collect()}
     assert [found[i].n_passages for i in range(6)] == [1, 1, 0, 0, 0, 0] and all(r.n_removed == 0 for r in found.values())
-    assert found[1].n_passage_bytes >= len(long)
+    assert found[0].n_passage_bytes == len(long)
     kept = {r.doc_id: r.text for r in S.without_repeats(documents(rows)).collect()}
-    assert kept[1].strip() == own[2].strip() and long[10:-10] not in kept[0] and own[0].strip()[:-5] in kept[0]
+    assert kept[1] == own[2] and kept[0] == own[0] + "\n" + own[1]
     assert all(kept[i] == (t or "") for i, t in rows[2:])
+    check(documents, rows)
+
+
+def test_neighbouring_short_repeats_are_no_passage(documents):
+    one, two = " ".join(of_words(11, 30)), " ".join(of_words(12, 30))
+    own = [prose(80 + i, 40) for i in range(4)]
+    rows = [(1, f"{own[0]} {one} {two} {own[3]}"), (2, f"{own[1]} {one}"), (3, f"{two} {own[2]}")]
+    assert {r.doc_id: r.text for r in S.without_repeats(documents(rows)).collect()} == dict(rows)
+    assert all(r.n_passages == 0 for r in S.substring_dedup(documents(rows), passages=True).collect())
+
+
+def test_a_passage_of_short_words(documents):
+    r = random.Random(3)
+    passage = " ".join(r.choice(["a", "of", "to", "in", "é", "I"]) for _ in range(55))
+    assert len(passage) < 170
+    rows = [(4, f"{prose(1, 20)}\n{passage}\n{prose(2, 20)}"), (5, f"{passage} {prose(3, 20)}")]
+    kept = {r.doc_id: r.text for r in S.without_repeats(documents(rows)).collect()}
+    assert kept == {4: f"{prose(1, 20)}\n\n{prose(2, 20)}", 5: f" {prose(3, 20)}"}
+
+
+def test_word_units_of_many_texts_equal_those_of_each(documents):
+    import numpy as np
+
+    texts = ["", " a  b\n", "één\x00x  y", "z", "\t \n"]
+    raw = [t.encode() for t in texts]
+    both = S.units(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), True)
+    assert both.offsets.tolist() == [0, 0, 2, 4, 5, 5]
+    assert both.cut(np.array([0, 2, 4]), np.array([2, 4, 5])) == [b"a b", "één\x00x y".encode(), b"z"]
 
 
 def test_a_passage_that_very_many_texts_share(documents):
