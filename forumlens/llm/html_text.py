@@ -2,7 +2,8 @@
 
 The page becomes a tree. Paragraphs hand points for length and commas to their ancestors, less to
 farther ones; a container's points are discounted by its link density. The best container is kept, and
-those of its siblings that score or read like it. Boilerplate (by element, role or class) takes no part.
+those of its siblings that score or read like it, as are the siblings of the wrappers around it: the rows
+of a grid, or articles that are wrapped each. Boilerplate (by element, role or class) takes no part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .common import only, prepare, slices, spread
 # Elements by kind, and words of classes and ids that mark boilerplate or content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "xmp", "noembed", "noframes"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "label", "fieldset", "canvas", "audio", "video", "annotation", "annotation-xml"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "fieldset", "canvas", "audio", "video", "annotation", "annotation-xml"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li",
@@ -41,7 +42,12 @@ COMPANIONS = {
     "area", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "links", "list", "media", "message",
     "outer", "panel", "post", "posts", "section", "slot", "stories", "unit", "widgets", "wrap", "wrapper", "article", "entry", "page", "site", "main", "policy", "info", "warning",
 }
-REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "response", "responses"}
+REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "response", "responses", "remark", "remarks"}
+#: Words for readers: a name that has one is never that of the content ("user-post"), and of a thread of them if it starts so.
+READERS = {"user", "users", "reader", "readers", "visitor", "visitors", "guest", "guests", "member", "members"}
+SAYINGS = {"post", "posts", "opinion", "opinions", "feedback", "voices", "thoughts", "letters", "talk", "message", "messages", "discussion"}
+#: Names of a list of remarks, unless it is a section with a heading of the text's own.
+THREAD = {"discussion", "discussions", "thread"}
 #: First or last parts of a name that only tells the state or layout of what holds the content ("has-sidebar", "comments-open").
 STATE_FIRST = {"has", "have", "no", "not", "with", "without", "hide", "show"}
 STATE_LAST = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off"}
@@ -85,24 +91,34 @@ class Node:
             words = SPLIT.split(names.lower())
             self.words = frozenset(words)
             style = found.get("style", "").replace(" ", "").lower()
+            if self.of_readers(found.get("class", "").split()):
+                self.named = "thread"
             if UNLIKELY & self.words or REMARKS & self.words or RUN_TOGETHER.search(" ".join(words)):
-                self.named = self.name_of_boilerplate(names.split())
+                self.named = self.name_of_boilerplate(names.split()) or self.named
+            self.skip |= tag == "label" and "for" in found
             if tag not in ("article", "body", "html", "main"):
                 self.skip |= found.get("role", "").lower() in ROLES
             self.skip |= "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden", "").lower() == "true"
 
+    def of_readers(self, classes: list[str]) -> bool:
+        """A thread by its class: "thread", "discussion", "user-post", "reader-voices". An element that holds the text is none."""
+        if self.tag not in ("div", "ol", "ul", "li", "section", "aside") or not (THREAD | READERS) & self.words:
+            return False
+        split = [[w for w in SPLIT.split(n.lower()) if w] for n in classes]
+        return any(w and (w[0] in READERS and w[-1] in SAYINGS or self.tag != "section" and w[-1] in THREAD) for w in split)
+
     def name_of_boilerplate(self, names: list[str]) -> str:
         """How classes and id mark boilerplate: "remarks", "frame", "other", or not at all ("")."""
         split = [[w for w in SPLIT.split(HUMP.sub("-", n).lower()) if w] for n in names]
         split = [SPLIT.split(n.lower()) for n, w in zip(names, split) if not (len(w) > 1 and (w[0] in STATE_FIRST or w[-1] in STATE_LAST))]
         if self.within == "article":  # there, a word of boilerplate counts only in a name that says nothing else
-            split = [n for n in split if RUN_TOGETHER.search(" ".join(n)) or {w for w in n if w and not w.isdigit()} <= UNLIKELY | REMARKS | COMPANIONS]
+            split = [n for n in split if RUN_TOGETHER.search(" ".join(n)) or n and n[-1] in REMARKS or {w for w in n if w and not w.isdigit()} <= UNLIKELY | REMARKS | COMPANIONS]
         words = {w for n in split for w in n}
         if self.tag == "article":
             return "remarks" if REMARKS & words else ""
         if self.tag in ("body", "html", "main"):
             return ""
-        unlikely = UNLIKELY & words
+        unlikely = (UNLIKELY | REMARKS) & words
         if unlikely == {"header"} and {"article", "post", "entry", "content", "story"} & words:
             return ""  # the head of the text itself
         run_together = {m[0] for n in split for m in RUN_TOGETHER.finditer(" ".join(n))}
@@ -222,6 +238,7 @@ def parsed(page: str) -> Node:
         seen_body |= tag == "body"
         node = Node(tag, path.at, m[3])
         path.at.children.append(node)
+        path.at.skip |= tag in ("input", "select", "textarea") and path.at.tag == "label"
         if tag not in VOID:
             path.enter(node)
 
@@ -246,9 +263,12 @@ def unnamed(root: Node) -> Node:
         inside = [c for c in node.children if isinstance(c, Node) and not c.skip]
         free[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(free.pop(c) for c in inside)
         holds[node] = {node.tag} & {"article", "main"} if node.named != "remarks" else set()
+        if node.named == "thread":  # a page of nothing else keeps it
+            node.points = free[node]
+            free[node] = 0 if not holds[node] else free[node]
         for c in inside:
             holds[node] |= holds.pop(c) if c.named != "remarks" else set()
-        if node.named:
+        if node.named and node.named != "thread":
             node.points = free[node]  # until the page's total is known
             if "main" in holds[node] and node.named != "remarks":
                 node.named = ""
@@ -257,7 +277,9 @@ def unnamed(root: Node) -> Node:
             if node.named in ("remarks", "other"):
                 free[node] = 0
     for node in order:
-        if node.named:
+        if node.named == "thread":
+            node.skip = free[root] >= 25
+        elif node.named:
             node.skip = node.named != "frame" or 2 * node.points <= free[root]
         node.points = 0.0
     return root
@@ -286,6 +308,19 @@ def menu(node: Node) -> bool:
     return node.tag in LISTS and node.within != "article" and node.links >= 3 and node.linked > 0.8 * node.chars and node.linked < 40 * node.links
 
 
+def framed(parent: Node) -> set[Node]:
+    """The children before which a heading or text of the same container stands, so that they belong to it."""
+    out, text = set(), False
+    for c in parent.children:
+        if isinstance(c, str):
+            text |= bool(c.strip())
+        elif not skipped(c) and c.chars:
+            if text:
+                out.add(c)
+            text = c.tag in HEADING | {"p", "blockquote", "pre"} and link_density(c) < 0.5
+    return out
+
+
 def scored(root: Node) -> Node:
     """The best container: characters, link characters and commas rise from each node, points from each paragraph."""
     nodes = []
@@ -318,7 +353,7 @@ def scored(root: Node) -> Node:
     best, top = None, 0.0
     for node in nodes:
         if node.points and node.tag != "html":
-            bonus = TAG_POINTS.get(node.tag, 0) + 25 * bool(LIKELY & node.words)
+            bonus = TAG_POINTS.get(node.tag, 0) + 25 * bool(LIKELY & node.words and not READERS & node.words and node.named != "thread")
             node.points = (node.points + bonus) * (1 - link_density(node))
             if node.points > top:
                 best, top = node, node.points
@@ -339,23 +374,50 @@ def link_density(node: Node) -> float:
 
 
 def kept(best: Node) -> list[Node]:
-    """The best container and, in page order, its siblings that belong to the text."""
-    if best.parent is None or best.tag in ("main", "body"):
-        return [best]
-    least = max(10.0, 0.2 * best.points)
-    out = []
-    for node in best.parent.children:
-        if node is best:
-            out.append(node)
-        elif isinstance(node, Node) and not skipped(node):
-            dense = link_density(node)
-            if best.tag == "article":
-                if node.chars and dense < 0.5 and (node.tag in ("h1", "h2", "h3") or node.tag == "article" and node.points):
-                    out.append(node)
-            elif node.points >= least or node.points and node.tag == best.tag and node.words == best.words:
-                out.append(node)
-            elif node.chars and not menu(node) and (dense < 0.6 and node.tag in BESIDE or dense < 0.25 and node.tag in ("section", best.tag) and node.headed):
-                out.append(node)
+    """The best container and, in page order, what belongs to the text beside it and beside the wrappers around it."""
+    before, after = [], []
+    node = best
+    titled = titles(best)
+    while node.parent is not None and node.tag not in ("main", "body"):
+        sides = beside(node, best)
+        titled = titled or any(map(titles, sides))
+        at = node.parent.children.index(node)
+        chosen = [(i, n) for i, n in enumerate(node.parent.children) if n in sides or not titled and isinstance(n, Node) and n.tag == "h1" and n.chars and not skipped(n) and link_density(n) < 0.5]
+        before += [n for i, n in reversed(chosen) if i < at]  # nearest first
+        after += [n for i, n in chosen if i > at]
+        titled = titled or len(chosen) > len(sides)
+        node = node.parent
+    return [*reversed(before), best, *after]
+
+
+def titles(node: Node) -> bool:
+    """Whether the node is or holds an h1 (outside boilerplate)."""
+    return any(n.tag == "h1" and n.chars for n, done in in_order(node) if not done)
+
+
+def holds_article(node: Node) -> bool:
+    return any(n.tag == "article" and n.points and link_density(n) < 0.5 for n, done in in_order(node) if not done)
+
+
+def beside(node: Node, best: Node) -> set[Node]:
+    """The siblings of node (the best container, or a wrapper around it) that belong to the text."""
+    out = set()
+    close = node is best
+    least = max(10.0, 0.2 * node.points)
+    for other in node.parent.children:
+        if other is node or not isinstance(other, Node) or skipped(other) or not other.chars:
+            continue
+        dense = link_density(other)
+        alike = other.tag == node.tag and other.words == node.words
+        if best.tag == "article":
+            wrapped = not close and dense < 0.5 and other.tag in ("div", "section", "li") and holds_article(other)
+            if dense < 0.5 and (close and other.tag in ("h1", "h2", "h3") or other.tag == "article" and other.points) or wrapped:
+                out.add(other)
+        elif not close:
+            if dense < 0.25 and other.tag in ("div", "section", "td", "tr", "table") and (alike and other.points or other.points >= least):
+                out.add(other)
+        elif other.points >= least or other.points and alike or not menu(other) and (dense < 0.6 and other.tag in BESIDE or dense < 0.25 and other.tag in ("section", best.tag) and other.headed):
+            out.add(other)
     return out
 
 
@@ -363,6 +425,7 @@ def text_of(parts: list[Node]) -> str:
     """Blocks joined by a line break each; white space inside a block is one space."""
     blocks: list[str] = []
     now: list[str] = []
+    told: dict[Node, set[Node]] = {}
 
     def flush() -> None:
         line = WHITE.sub(" ", "".join(now)).strip()
@@ -370,6 +433,11 @@ def text_of(parts: list[Node]) -> str:
             blocks.append(line)
         now.clear()
 
+    def belongs(item: Node) -> bool:
+        if item.parent not in told:
+            told[item.parent] = framed(item.parent)
+        return item in told[item.parent]
+
     for part in parts:
         stack: list[Node | str | None] = [part]
         while stack:
@@ -380,7 +448,7 @@ def text_of(parts: list[Node]) -> str:
                 now.append(item)
             elif item.tag == "br":
                 now.append(" ")
-            elif item is part or not (skipped(item) or menu(item)):
+            elif item is part or not (skipped(item) or menu(item) and not belongs(item)):
                 if item.tag in BLOCK:
                     flush()
                     stack.append(None)

@@ -163,10 +163,74 @@ def test_generated_pages_come_out_whole():
         assert got == "\n".join([first, *(x for _, lines in parts for x in lines)]), seed
 
 
+def paragraph(seed, n=50):
+    return prose(seed, n), f"<p>{prose(seed, n)}</p>"
+
+
+def test_rows_of_a_grid_and_wrapped_articles():
+    (a, pa), (b, pb) = paragraph(1), paragraph(2)
+    for outer in ("{}", "<main>{}</main>", "<div class=page>{}</div>"):
+        for row in ("<div class=row><div class=col>{}</div></div>", "<div class=cell><article>{}</article></div>", "<section><div><div>{}</div></div></section>"):
+            assert main_text("<body>" + outer.format(row.format(pa) + row.format(pb)) + "</body>") == f"{a}\n{b}", (outer, row)
+
+
+def test_a_thread_beside_or_inside_the_article_goes():
+    a, b = prose(1, 60)[:320], prose(2, 60)[:320]
+    for times in (1, 3):
+        for name in ("user-post", "user-remark", "reader-comment", "guest message", "post user", "x"):
+            page = f"<body><article>{f'<p>{a}</p>' * times}</article><div class=thread><div class='{name}'><p>{b}</p></div></div></body>"
+            assert main_text(page) == "\n".join([a] * times), name
+    for name in ("reader-comments", "discussion", "user-comments", "reader-opinions"):
+        assert main_text(f"<body><article><p>{a}</p><div class='{name}'><p>{b}</p></div></article></body>") == a, name
+    assert main_text(f"<body><div class=thread><div class=user-post><p>{a}</p></div></div></body>") == a, "a page of nothing else"
+    science = f'<section id=discussion class=discussion><h2>Discussion</h2><p>{b}</p></section>'
+    assert main_text(f"<body><article><p>{a}</p>{science}</article></body>") == f"{a}\nDiscussion\n{b}"
+
+
+def test_lists_of_links_under_a_heading_or_text():
+    a, pa = paragraph(1)
+    links = "<ul>" + "".join(f"<li><a href={x}>{x}</a>" for x in ("One", "Two", "Three")) + "</ul>"
+    for tag in ("main", "div class=content", "article"):
+        for before, want in (("<h2>Sources</h2>", "Sources\n"), ("<p>See</p>", "See\n"), ("Look at", "Look at\n")):
+            assert main_text(f"<body><{tag}>{pa}{before}{links}</{tag.split()[0]}></body>") == f"{a}\n{want}One\nTwo\nThree", (tag, before)
+    assert main_text(f"<body><main><div>{links}</div>{pa}</main></body>") == a
+
+
+def test_labels_and_the_title_outside_the_wrapper():
+    a, pa = paragraph(1)
+    assert main_text(f"<body><article><p>An <label>odd label</label> here.</p>{pa}</article></body>") == f"An odd label here.\n{a}"
+    assert main_text(f"<body><article>{pa}<label>Name <input></label><label for=x>Mail</label></article></body>") == a
+    for inner, want in (("", f"Head\n{a}"), ("<h1>Own</h1>", f"Own\n{a}")):
+        assert main_text(f"<body><h1>Head</h1><div class=outer><div class=content>{inner}{pa}{pa}</div></div></body>") == f"{want}\n{a}"
+        assert main_text(f"<body><h1>Head</h1><div><div class=outer><article>{inner}{pa}</article></div></div></body>") == want
+
+
+def test_generated_wrappers_and_threads():
+    """Two thousand pages whose article lies in random wrappers or rows, with threads of readers beside it."""
+    for seed in range(2000):
+        r = random.Random(seed)
+        lines = [prose(seed * 7 + k, r.randrange(30, 60)) for k in range(r.randrange(1, 6))]
+        paragraphs = [f"<p>{x}</p>" for x in lines]
+        kind = r.choice(["grid", "articles", "one", "one"])
+        if kind == "grid":
+            row = r.choice(["<div class=row><div class=col>{}</div></div>", "<div class=r>{}</div>", "<section><div>{}</div></section>"])
+            body = "".join(map(row.format, paragraphs))
+        elif kind == "articles":
+            body = "".join(map(r.choice(["<div class=item><article>{}</article></div>", "<article>{}</article>"]).format, paragraphs))
+        else:
+            body = f"<article>{''.join(paragraphs)}</article>"
+        for _ in range(r.randrange(0, 4)):
+            body = r.choice(["<div>{}</div>", "<main>{}</main>", "<div class=wrap-1>{}</div>", "<section>{}</section>"]).format(body)
+        thread = "".join(f'<div class="{r.choice(["user-post", "reader-remark", "comment", "guest-message"])}"><p>{prose(r.randrange(10**6), r.randrange(5, 60))}</p></div>' for _ in range(r.randrange(0, 4)))
+        thread = r.choice(['<div class="thread">{}</div>', '<div class="reader-comments">{}</div>', "<div id=comments>{}</div>", "<div class=discussion>{}</div>"]).format(thread)
+        junk = r.sample(JUNK, 6)
+        assert main_text(f"<body>{''.join(junk[:3])}{body}{thread}{''.join(junk[3:])}</body>") == "\n".join(lines), seed
+
+
 def test_stray_tags_take_linear_time():
     import time
 
-    for make in (lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<b><table>" + "<div>" * n + "</b>" * n, lambda n: "<header>" * n + "x", lambda n: "<table><tr><td>" * n + "</i>" * n):
+    for make in (lambda n: "<div>" * n + "</b>" * n, lambda n: "<b>" * n + "<hr>" * n, lambda n: "<b><table>" + "<div>" * n + "</b>" * n, lambda n: "<header>" * n + "x", lambda n: "<table><tr><td>" * n + "</i>" * n, lambda n: "<main><p>x, y</p>" + "<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>" * (n // 8), lambda n: "<div>" * n + "<p>" + "some words, " * 9):
         began = time.process_time()
         main_text(make(30_000))
         assert time.process_time() - began < 3, make(2)
