@@ -300,12 +300,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One document of each class of near duplicates, with all its columns: that of the least doc_id.
 
-    Rows with a null doc_id are in no class and stay. Of rows that repeat a doc_id one stays.
+    Rows with a null doc_id are in no class and stay. Where rows repeat the least doc_id of a class, one row of each different text
+    of theirs stays (null counts as empty): the one whose columns have the least hash. Columns may have any name.
     """
     classes = near_duplicates(docs, **options).where("doc_id is not null")
-    id_ = docs["doc_id"].cast("long")
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    id_, text = inner[at["doc_id"]].cast("long"), F.coalesce(inner[at["text"]].cast("string"), F.lit(""))
     first = stage(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("k")).select(F.col("doc_id").alias("kept_id"), "k"), "kept")
-    kept = docs.join(first.where("k = 1"), id_ == F.col("kept_id"), "left_semi")
+    kept = inner.join(first.where("k = 1"), id_ == F.col("kept_id"), "left_semi")
     if not first.where("k > 1").isEmpty():
-        kept = kept.union(docs.join(first.where("k > 1"), id_ == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]))
-    return kept.union(docs.where(docs["doc_id"].isNull()))
+        hashed = F.xxhash64(*(c for c, t in inner.dtypes if "map<" not in t and "variant" not in t))
+        several = inner.join(first.where("k > 1"), id_ == F.col("kept_id"), "left_semi")
+        several = several.groupBy(id_.alias("kept_id"), F.xxhash64(text).alias("th")).agg(F.min_by(F.struct(*inner.columns), hashed).alias("row"))
+        kept = kept.union(several.select("row.*"))
+    return kept.union(inner.where(id_.isNull())).toDF(*docs.columns)

@@ -132,6 +132,15 @@ def test_deduplicated_keeps_rows_whole(documents, awkward):
     assert out.where("doc_id is null").count() == 2
 
 
+def test_deduplicated_keeps_different_texts_of_one_id_and_columns_of_any_name(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(5, a, "x", 1, 2), (5, a, "y", 1, 2), (5, b, "x", 1, 2), (8, a + " end", "z", 1, 2), (9, c, "z", 1, 2), (None, c, "n", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, c0 int, k int")
+    runs = [sorted(map(tuple, N.deduplicated(docs.repartition(n)).collect()), key=str) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2] and N.deduplicated(docs).columns == docs.columns
+    assert [r[:2] for r in runs[0]] == sorted([(5, a), (5, b), (9, c), (None, c)], key=str)
+
+
 def test_registers_agree_as_often_as_the_multisets_overlap():
     a = "u v w x y " * 40 + prose(3, 100)
     b = "u v w x y " * 25 + prose(3, 80) + " " + prose(4, 30)
