@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,24 +12,15 @@ from ..operators.topics import words_by_topic
 from ..schemas import schema
 from ..sources import ingest, readers, sinks
 from ..sources.domain import Domain, day, moment
+from ..sources.scratch import new_folder
 from . import artifacts, jobs, stages
 from .catalogue import CLEANED, GROUPS, TOKENS, _scored_sql, query, r6
 
 NOW = datetime(2024, 2, 1)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; a temporary one only in a local session that names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='forumlens-')}"
-    return f"{shared.rstrip('/')}/forumlens-store/{uuid.uuid4().hex}"
-
-
 def _store(d: Domain) -> readers.Store:
-    return readers.Store(d.spark, folder(d.spark))
+    return readers.Store(d.spark, new_folder(d.spark, "store"))
 
 
 def _posts(d: Domain) -> DataFrame:
@@ -108,7 +97,7 @@ def store_copy(d: Domain) -> DataFrame:
 @query("SELECT id, label, substring(coalesce(text, ''), 1, 400) AS text FROM docs JOIN predictions USING (id)")
 def labels_through_csv(d: Domain) -> DataFrame:
     """Labelled texts written as CSV, with their quotes and line breaks, and read back with required columns."""
-    at = f"{folder(d.spark)}/labels"
+    at = f"{new_folder(d.spark, "store")}/labels"
     rows = d.documents.join(d.predictions, "id").select("id", "label", F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("text"))
     sinks.export_csv(rows, at)
     return readers.read_csv(d.spark, at, "id long, label string, text string", ("id", "label", "text")).select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
@@ -338,7 +327,7 @@ def scored_in_two_runs(d: Domain) -> DataFrame:
 def artifact_life_cycle(d: Domain) -> DataFrame:
     """Artifacts enqueued (one of them twice), claimed under leases, failed, tried again and completed: their last states and numbers of steps."""
     now = [NOW]
-    log = artifacts.ArtifactLog(d.spark, f"{folder(d.spark)}/log", lambda: now[0])
+    log = artifacts.ArtifactLog(d.spark, f"{new_folder(d.spark, "store")}/log", lambda: now[0])
     wait = lambda seconds: now.__setitem__(0, now[0] + timedelta(seconds=seconds))
     first = log.enqueue("brief", "h", {"x": 1}, max_attempts=2)
     log.enqueue("brief", "h", {"x": 1}, max_attempts=2)
