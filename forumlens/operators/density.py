@@ -148,8 +148,9 @@ def _condensed(points: DataFrame, forest: DataFrame, components: DataFrame, leas
             light = split.where("w < cut").drop("cut")
             _, parts = spanning_forest(light.select("a", "b", "w"))
             labelled = scratch.staged(members.join(parts.withColumnRenamed("component", "u"), "id", "left").withColumn("u", F.coalesce("u", "id")), "labelled")
-            heavy = split.where("w >= cut").join(labelled.select(F.col("id").alias("a"), "u"), "a").join(labelled.select(F.col("id").alias("b"), F.col("u").alias("v")), "b")
+            heavy = scratch.staged(split.where("w >= cut").join(labelled.select(F.col("id").alias("a"), "u"), "a").join(labelled.select(F.col("id").alias("b"), F.col("u").alias("v")), "b"), "heavy")
         nodes = labelled.groupBy("g", "u").agg(F.sum("n").alias("size"), (F.count("*") == 1).alias("single")).join(groups, "g")
+        nodes = scratch.staged(nodes, "nodes")
         task = lambda n, e: pd.DataFrame(condense(n, e, least), columns=[c.split()[0] for c in STEP.split(", ")])
         step = scratch.staged(nodes.groupBy("g").cogroup(heavy.select("g", "u", "v", "w").groupBy("g")).applyInPandas(task, STEP), "step")
         fell = step.where("kind = 'fall'").join(labelled.select("id", "u"), "u").select("kind", F.col("id").alias("u"), "cluster", "parent", "depth", "density", "mass")

@@ -189,6 +189,34 @@ class VectorIndex:
         more = self.nearest(keep(self.probed(rest, probes, "least"), "more"), k, digits, floor)
         return self.best(first.union(more), k)
 
+    def calibrated(self, sample: DataFrame, k: int = 10, *, target: float = 0.95, staged=None) -> int:
+        """The least number of probes at which the cells read hold `target` of the k nearest rows of the sample's queries (id, vector), found exactly.
+
+        Vectors with groups need few probes; vectors spread evenly in many dimensions need most cells, whatever their number.
+        """
+        if not self.rows.sum():
+            return 1
+        keep = staged or (lambda df, name: df)
+        asked = usable(sample).withColumnRenamed("id", "query_id")
+        found = keep(self.search(sample, k, exact=True, digits=None, floor=None, staged=staged), "true")
+        listed = self.lists(list(range(len(self.rows)))).select("id", "cell")
+        centres, filled = self.centres, self.rows > 0
+
+        def place(batches):
+            for batch in batches:
+                score = np.where(filled, unit(matrix(batch["vector"])) @ centres.T, -np.inf)
+                own = score[np.arange(len(score)), batch["cell"].to_numpy()]
+                yield pd.DataFrame({"place": (score > own[:, None]).sum(axis=1) + 1})
+
+        places = found.join(listed, "id").join(asked, "query_id").select("vector", "cell").mapInPandas(place, "place long")
+        counts = dict(places.groupBy("place").count().collect())  # one row a cell at most
+        total, held = sum(counts.values()), 0
+        for place_ in sorted(counts):
+            held += counts[place_]
+            if held >= target * total:
+                return int(place_)
+        return len(self.rows)
+
     @staticmethod
     def best(found: DataFrame, k: int) -> DataFrame:
         """The k best of each query's rows: of each block at most k come here, so a query's list is short."""

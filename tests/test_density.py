@@ -56,7 +56,7 @@ def plain(rows, least, samples, k):
     mass, end, tree, fell = {}, {}, {}, {}
 
     def walk(part, name, depth, born):
-        inner = {e: w for e, w in weight.items() if e[0] in part}
+        inner = {e: w for e, w in weight.items() if e[0] in part and e[1] in part}
         while True:
             if len(part) == 1:
                 [i] = part
@@ -86,7 +86,7 @@ def plain(rows, least, samples, k):
                     walk(p, child, depth + 1, density)
                 return
             [part] = large
-            inner = {e: w for e, w in inner.items() if e[0] in part}
+            inner = {e: w for e, w in inner.items() if e[0] in part and e[1] in part}
 
     first = parts(ids, weight)
     large = [p for p in first if size(p) >= least]
@@ -142,9 +142,9 @@ def same(got, want):
 
 @pytest.mark.parametrize("limit", [500_000, 25])
 def test_equals_a_plain_hierarchy(spark, limit):
-    rows = blobs(1, 160)
+    rows = blobs(7, 160)
     want = plain(rows, 12, 6, 8)
-    assert {t for t, _ in want.values()} >= {-1, 0, 1, 2}
+    assert {t for t, _ in want.values()} == {-1, 0, 1, 2, 3}
     same(found(spark, rows, least=12, samples=6, neighbours=8, limit=limit), want)
 
 
@@ -194,5 +194,5 @@ def test_the_registered_query(spark, sf):
     got = {r.id: (r.topic_id, r.probability) for r in entry.queries()["topic_density"](spark, sf).collect()}
     t = pq.read_table(f"{sf}/embeddings.parquet")
     rows = [(i, np.array(v, float)) for i, v in zip(t.column("vec_id").to_pylist(), t.column("embedding").to_pylist())]
-    want = plain(rows, 15, 5, 15)
+    want = plain(rows, 10, 3, 15)
     assert {i: (t, round(p, 6)) for i, (t, p) in want.items()} == got

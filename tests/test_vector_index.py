@@ -57,6 +57,16 @@ def test_few_cells_hold_most_of_the_nearest(spark, rows):
     assert 0 < index.share_read(probed) < 0.8
 
 
+def test_probes_are_calibrated_to_a_recall(spark, rows):
+    index = V.VectorIndex.build(table(spark, rows), cells=8)
+    sample, asked = table(spark, [x for x in rows if x[0] % 9 == 1]), [x for x in rows if x[0] % 9 == 2]
+    few, all_ = (index.calibrated(sample, 10, target=t) for t in (0.9, 1.0))
+    assert 1 <= few <= all_ <= 8 and few < 8
+    got = {(r.query_id, r.id) for r in index.search(table(spark, asked), 10, probes=few).collect()}
+    want = {x[:2] for x in plain(rows, asked, 10)}
+    assert len(got & want) >= 0.85 * len(want)
+
+
 def test_only_probed_lists_are_read(spark, rows):
     index = V.VectorIndex.build(table(spark, rows), cells=8)
     files = index.lists([1]).inputFiles()
@@ -76,4 +86,4 @@ def test_recall_of_the_registered_query(spark, sf):
     [row] = entry.queries()["vector_index_recall"](spark, sf).collect()
     t = pq.read_table(f"{sf}/embeddings.parquet")
     n = sum(1 for i in t.column("vec_id").to_pylist() if i % 100 == 0)
-    assert row.n_queries == n and row.n_rows == 10 * n and row.recall >= 0.9 and 0 < row.share_read < 0.5
+    assert row.n_queries == n and row.n_rows == 10 * n and row.recall >= 0.9 and 0 < row.share_read < 0.95 and 1 <= row.probes <= 16
