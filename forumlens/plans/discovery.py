@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.domain import Domain
 from ..sources.scratch import Scratch
-from .catalogue import ORACLES, query, r6
+from .catalogue import ORACLES, QUESTION, query, r6
 
 
 @query(ORACLES["vector_search_many"], with_domain=False)
@@ -47,3 +48,47 @@ def topic_density(d: Domain) -> DataFrame:
     from ..operators.density import density_clusters
 
     return density_clusters(d.vectors, least=10, samples=3, neighbours=15, exact=True).withColumn("probability", r6("probability"))
+
+
+@query()
+def embedding_layout_2d(d: Domain) -> DataFrame:
+    """All vectors in two dimensions, near ones near each other."""
+    from ..operators.layout import layout
+
+    return layout(d.vectors, exact=True)
+
+
+@query()
+def learned_text_vectors(d: Domain) -> DataFrame:
+    """A learned vector of each text, as its id, length and two of its components' sizes; see operators.word_vectors."""
+    from ..operators.word_vectors import learned
+
+    with Scratch(d.spark) as scratch:
+        vectors = learned(d.documents.select("id", "text"))
+        return scratch.keep(scratch.staged(vectors.of_texts(d.documents.select("id", "text")), "texts"))
+
+
+def _indexed_texts(d: Domain, ask) -> DataFrame:
+    with Scratch(d.spark) as scratch:
+        index = TextIndex.build(d.documents)
+        out = scratch.keep(scratch.staged(ask(index, scratch), "found"))
+        index.remove()
+        return out
+
+
+@query(f"SELECT id FROM docs WHERE contains(lower(text), '{QUESTION}')")
+def text_index_phrase(d: Domain) -> DataFrame:
+    """The texts that hold a phrase, by the rarest of its trigrams, verified."""
+    return _indexed_texts(d, lambda i, s: i.containing(QUESTION, scratch=s).select("id"))
+
+
+@query("SELECT id FROM docs WHERE contains(lower(text), 'license') OR contains(lower(text), '@') OR contains(lower(text), 'password')")
+def text_index_keywords(d: Domain) -> DataFrame:
+    """The texts that hold one of several keywords; one of them is too short for the index, so all texts are read."""
+    return _indexed_texts(d, lambda i, s: i.containing("license", "@", "password", scratch=s).select("id"))
+
+
+@query(ORACLES["lexical_search"], with_domain=False)
+def text_index_lexical(d: Domain) -> DataFrame:
+    """The 25 texts of most overlap with a question, from posting lists."""
+    return _indexed_texts(d, lambda i, s: i.lexical(QUESTION, 25, scratch=s))
