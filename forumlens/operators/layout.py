@@ -134,11 +134,12 @@ def layout(vectors: DataFrame, *, neighbours: int = 15, least: float = 0.1, roun
             part = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(parts)).cast("int")
             own = at.withColumn("part", part)
             ends = graph.join(at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b").join(own.select(F.col("id").alias("a"), "part"), "a")
+            ends = scratch.staged(ends, "ends")
             now = rates[k * epochs : (k + 1) * epochs]
 
             new = own.groupBy("part").cogroup(ends.groupBy("part")).applyInPandas(_epochs(a, b, now, seed, k), "id long, x double, y double")
             new = scratch.staged(new, "at")
-            scratch.drop(at)
+            scratch.drop(at, ends)
             at = new
         placed = points.join(at, "id").select("vector", "x", "y")
         return scratch.keep(scratch.staged(rows.join(placed, "vector").select("id", "x", "y"), "layout"))

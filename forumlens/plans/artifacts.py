@@ -32,15 +32,27 @@ def idempotency_key(kind: str, source_hash: str, version: int = 1) -> str:
 
 @dataclass
 class ArtifactLog:
-    """Enqueue, claim, complete and fail; every call appends rows and reads its own writes."""
+    """Enqueue, claim, complete and fail; every call appends rows and reads its own writes.
+
+    Events are appended to one folder. Compacting writes all of them to a new folder inside, which is the log once it is whole;
+    what it replaces stays until the next time, for readers that have begun.
+    """
 
     spark: SparkSession
     path: str
     clock: object = field(default=datetime.now)
 
+    def _folders(self) -> list[str]:
+        """The log's folder and the whole compacted ones in it, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("_compact-")) if fs.exists(at) else []
+        return [self.path, *(f"{self.path}/{n}" for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS")))]
+
     def _events(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(f"{schema('analysis_artifacts').simpleString()[7:-1].replace(':', ' ')}, seq long, from_status string, reason string").parquet(self.path)
+            return self.spark.read.schema(f"{schema('analysis_artifacts').simpleString()[7:-1].replace(':', ' ')}, seq long, from_status string, reason string").parquet(self._folders()[-1])
         except Exception as error:
             if "PATH_NOT_FOUND" in str(error):
                 return None
@@ -67,7 +79,7 @@ class ArtifactLog:
         now = self.clock()
         rows = [row | {"seq": last + k, "from_status": before, "reason": reason, "updated_at": now} for k, (row, before, reason) in enumerate(transitions, 1)]
         if rows:
-            self.spark.createDataFrame([tuple(r.get(f.name) for f in full.fields) for r in rows], full).coalesce(1).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame([tuple(r.get(f.name) for f in full.fields) for r in rows], full).coalesce(1).write.mode("append").parquet(self._folders()[-1])
         return rows
 
     def known(self, kind: str, hashes: list[str], status: str | None = None) -> set[str]:
@@ -81,13 +93,13 @@ class ArtifactLog:
         events = self._events()
         if events is None:
             return
-        fresh = f"{self.path}.compact"
+        known = self._folders()
+        fresh = f"{self.path}/_compact-{int(known[-1].rsplit('-', 1)[1]) + 1 if len(known) > 1 else 0:012d}"
         events.repartition("artifact_id").sortWithinPartitions("seq").write.mode("overwrite").parquet(fresh)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.rename(path(self.path), path(f"{self.path}.old"))
-        fs.rename(path(fresh), path(self.path))
-        fs.delete(path(f"{self.path}.old"), True)
+        for old in known[1:-1]:
+            fs.delete(path(old), True)
 
     def _row(self, where) -> dict | None:
         found = self.state().where(where).orderBy("created_at", "seq").limit(1).collect()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -14,46 +16,114 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schemas import TABLES, keys, require, schema
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the same table in the meantime."""
+
+
 @dataclass
 class Store:
-    """A directory of Parquet tables with fixed schemas, or a JDBC database.
+    """Parquet tables with fixed schemas, and a log of commits: small files that name the folders each table consists of.
 
-    A table is a folder of versions; the last whole one is the table. A writer adds a version beside it, so that a
-    reader sees the old table or the new one and never none. Writers to one table take turns.
+    Tables with keys are dealt to `buckets` folders by hash of the key, so a writer replaces only the folders of the keys it brings. A commit appears
+    whole, by one rename, for all tables it changes: readers see the tables before or after it. Of each table the state before the
+    last is kept for readers that have begun. Two writers may change different tables at once; of two that change one, the later fails.
     """
 
     spark: SparkSession
     root: str
+    buckets: int = 16
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def versions(self, table: str) -> list[str]:
-        """Paths of the whole versions, oldest first."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in files.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("v"))
-        whole = self.spark._jvm.org.apache.hadoop.fs.Path
-        return [f"{self.path(table)}/{n}" for n in names if files.exists(whole(f"{self.path(table)}/{n}/_SUCCESS"))]
-
-    def current(self, table: str) -> str | None:
-        return next(iter(self.versions(table)[-1:]), None)
+    def _at(self, path: str):
+        """A path and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list[str]:
+        at, files = self._at(self.path("_commits"))
+        return sorted(s.getPath().getName() for s in files.listStatus(at) if s.getPath().getName().startswith("c")) if files.exists(at) else []
+
+    def tables(self) -> dict[str, dict]:
+        """Of each table its last commit (rev), folders by bucket (parts) and others (loose), and the same of the state before."""
+        for _ in range(3):  # a commit may be cleared away between being listed and read
+            names = self._commits()
+            if not names:
+                return {}
+            at, files = self._at(f"{self.path('_commits')}/{names[-1]}")
+            try:
+                stream = files.open(at)
+            except Exception:
+                continue
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        raise Conflict("the store changes faster than it can be read")
+
+    def commit(self, base: dict[str, dict], changed: dict[str, dict]) -> None:
+        """Make the changed tables' new states the current ones, if nobody else changed those tables since `base` was read."""
+        now = self.tables()
+        for table in changed:
+            if now.get(table, {}).get("rev") != base.get(table, {}).get("rev"):
+                raise Conflict(table)
+        names = self._commits()
+        rev = int(names[-1][1:-5]) + 1 if names else 0
+        gone: set[str] = set()
+        for table, state in changed.items():
+            was = now.get(table)
+            before = {k: was[k] for k in ("rev", "parts", "loose")} if was else None
+            gone |= set(folders(was["before"])) if was and was["before"] else set()
+            now[table] = {"rev": rev, "parts": state["parts"], "loose": state["loose"], "before": before}
+        text = json.dumps(now, sort_keys=True)
+        temporary, files = self._at(f"{self.path('_commits')}/.{uuid.uuid4().hex}")
+        stream = files.create(temporary, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        final, _ = self._at(f"{self.path('_commits')}/c{rev:012d}.json")
+        if files.exists(final) or not files.rename(temporary, final):
+            files.delete(temporary, False)
+            raise Conflict(f"commit {rev}")
+        used = {f for s in now.values() for x in (s, s["before"]) if x for f in folders(x)}
+        for folder in gone - used:
+            files.delete(self._at(f"{self.root.rstrip('/')}/{folder}")[0], True)
+        for name in names[:-4]:
+            files.delete(self._at(f"{self.path('_commits')}/{name}")[0], False)
+
+    def written(self, table: str, rows: DataFrame) -> dict:
+        """Write rows to new folders, one a bucket if the table has keys; returns them as a table's state. Nothing is committed."""
+        name = f"{table}/data-{uuid.uuid4().hex}"
+        at = f"{self.root.rstrip('/')}/{name}"
+        if not self.keys(table):
+            rows.write.parquet(at)
+            return {"parts": {}, "loose": [name]}
+        rows.withColumn("key_bucket", self.bucket(table)).repartition("key_bucket").write.partitionBy("key_bucket").parquet(at)
+        path, files = self._at(at)
+        found = [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
+        return {"parts": {f.split("=")[1]: [f"{name}/{f}"] for f in found if f.startswith("key_bucket=")}, "loose": []}
+
+    def bucket(self, table: str):
+        return F.pmod(F.xxhash64(*self.keys(table)), F.lit(self.buckets)).cast("int")
+
+    def of(self, table: str, names: list[str]) -> DataFrame:
+        """The rows of some of a table's folders."""
+        if not names:
+            return self.spark.createDataFrame([], schema(table))
+        return self.spark.read.schema(schema(table)).parquet(*(f"{self.root.rstrip('/')}/{n}" for n in names))
 
-    def next_version(self, table: str) -> str:
-        now = self.current(table)
-        return f"{self.path(table)}/v{int(now.rsplit('/v', 1)[1]) + 1 if now else 0:012d}"
+    def versions(self, table: str) -> list[int]:
+        """The commits whose states of the table are still there, the older one first."""
+        state = self.tables().get(table)
+        return [x["rev"] for x in (state["before"], state) if x] if state else []
 
     def exists(self, table: str) -> bool:
-        return self.current(table) is not None
+        return table in self.tables()
 
     def read(self, table: str) -> DataFrame:
         """The table, or its empty form if nothing was written yet."""
-        at = self.current(table)
-        if at is None:
-            return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.schema(schema(table)).parquet(at)
+        state = self.tables().get(table)
+        return self.of(table, folders(state) if state else [])
 
     def missing(self, *tables: str) -> list[str]:
         return [t for t in tables or TABLES if not self.exists(t)]
@@ -67,13 +137,20 @@ class Store:
 
     def create(self, *tables: str) -> None:
         """Empty tables for those that don't exist."""
-        for t in self.missing(*tables):
-            self.spark.createDataFrame([], schema(t)).write.parquet(self.next_version(t))
+        base = self.tables()
+        new = {t: {"parts": {}, "loose": []} for t in self.missing(*tables)}
+        if new:
+            self.commit(base, new)
 
     def keys(self, table: str) -> list[str]:
         return list(keys(table))
 
 
+def folders(state: dict) -> list[str]:
+    """All folders of a table's state."""
+    return [f for names in state["parts"].values() for f in names] + state["loose"]
+
+
 def sql(spark: SparkSession, text: str, views: dict[str, DataFrame] | None = None, **parameters) -> DataFrame:
     """A query with named parameters (:name) over views."""
     for name, df in (views or {}).items():

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.upkeep import inserted, retained, split_by_group, upserted
+from ..operators.filters import first_rows
+from ..operators.upkeep import retained, split_by_group, upserted
 from ..schemas import TABLES, schema
-from .readers import Store
-
-
-def _swap(store: Store, table: str, df: DataFrame) -> None:
-    """A new version of the table. The one before it stays for readers that have begun; older ones go."""
-    df.write.parquet(store.next_version(table))
-    _forget(store, table)
-
-
-def _forget(store: Store, table: str) -> None:
-    path = store.spark._jvm.org.apache.hadoop.fs.Path
-    for at in store.versions(table)[:-2]:
-        path(at).getFileSystem(store.spark._jsc.hadoopConfiguration()).delete(path(at), True)
+from .readers import Store, folders
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -30,25 +18,65 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields))
 
 
+def _merged(store: Store, table: str, rows: DataFrame, state: dict | None, keep: tuple[str, ...]) -> tuple[dict, int]:
+    """A keyed table's state with rows put in: only the buckets of their keys are read and written anew. Also the number of distinct keys.
+
+    The rows are evaluated once, before anything of the table changes (they may be derived from it).
+    """
+    keys = store.keys(table)
+    new = typed(rows, table)
+    fresh = store.written(table, first_rows(new, keys, *(F.desc_nulls_last(c) for c in new.columns if c not in keys)))
+    parts = dict(state["parts"]) if state else {}
+    old = [f for b in fresh["parts"] for f in parts.get(b, [])]
+    arrived = store.of(table, [f for names in fresh["parts"].values() for f in names])
+    count = arrived.count()
+    both = {b: names for b, names in fresh["parts"].items() if b in parts}
+    if old:
+        again = store.of(table, [f for names in both.values() for f in names])
+        whole = store.written(table, upserted(store.of(table, old), again, keys, tuple(c for c in keep if c in new.columns)))
+        _delete(store, both)
+        fresh["parts"].update(whole["parts"])
+    return {"parts": parts | fresh["parts"], "loose": []}, count
+
+
+def _delete(store: Store, parts: dict[str, list[str]]) -> None:
+    for names in parts.values():
+        for name in names:
+            at, files = store._at(f"{store.root.rstrip('/')}/{name}")
+            files.delete(at, True)
+
+
 def upsert(store: Store, table: str, rows: DataFrame, keep: tuple[str, ...] = ("created_at",)) -> int:
     """Insert or update by the table's key; returns the number of distinct keys stored."""
-    new = typed(rows, table)
-    kept = tuple(c for c in keep if c in new.columns)
-    count = new.select(*store.keys(table)).distinct().count()  # before the swap: rows may be derived from the table itself
-    _swap(store, table, upserted(store.read(table), new, store.keys(table), kept))
+    base = store.tables()
+    state, count = _merged(store, table, rows, base.get(table), keep)
+    store.commit(base, {table: state})
     return count
 
 
 def insert_ignore(store: Store, table: str, rows: DataFrame) -> None:
-    _swap(store, table, inserted(store.read(table), typed(rows, table), store.keys(table)))
+    """Add the rows whose keys the table lacks, as further files of their buckets; nothing is rewritten."""
+    base = store.tables()
+    state = base.get(table) or {"parts": {}, "loose": []}
+    keys, new = store.keys(table), typed(rows, table)
+    lacking = new.join(store.of(table, folders(state)).select(*keys), keys, "left_anti").select(*new.columns)
+    fresh = store.written(table, first_rows(lacking, keys, *(F.asc_nulls_first(c) for c in new.columns if c not in keys)))
+    parts = {b: state["parts"].get(b, []) + fresh["parts"].get(b, []) for b in {*state["parts"], *fresh["parts"]}}
+    store.commit(base, {table: {"parts": parts, "loose": []}})
 
 
 def append(store: Store, table: str, rows: DataFrame) -> None:
-    typed(rows, table).write.mode("append").parquet(store.current(table) or store.next_version(table))
+    """Add rows whether their keys are there or not."""
+    base = store.tables()
+    state = base.get(table) or {"parts": {}, "loose": []}
+    fresh = store.written(table, typed(rows, table))
+    parts = {b: state["parts"].get(b, []) + fresh["parts"].get(b, []) for b in {*state["parts"], *fresh["parts"]}}
+    store.commit(base, {table: {"parts": parts, "loose": state["loose"] + fresh["loose"]}})
 
 
 def overwrite(store: Store, table: str, rows: DataFrame) -> None:
-    _swap(store, table, typed(rows, table))
+    base = store.tables()
+    store.commit(base, {table: store.written(table, typed(rows, table))})
 
 
 class BatchError(RuntimeError):
@@ -56,25 +84,18 @@ class BatchError(RuntimeError):
 
 
 def store_batch(store: Store, posts: DataFrame, comments: DataFrame, meta: DataFrame) -> dict[str, int]:
-    """Posts, comments and batch row together or not at all: all three are prepared before the first becomes a version."""
-    parts = {"posts": posts, "comments": comments, "batch_collections": meta}
-    ready: dict[str, str] = {}
-    counts = {}
-    path = store.spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(store.root).getFileSystem(store.spark._jsc.hadoopConfiguration())
+    """Posts, comments and batch row together or not at all: one commit names what all three consist of then."""
+    base = store.tables()
+    changed, counts = {}, {}
     try:
-        for table, rows in parts.items():
-            new = typed(rows, table)
-            ready[table] = at = f"{store.path(table)}/_batch-{uuid.uuid4().hex}"
-            upserted(store.read(table), new, store.keys(table), ("created_at",)).write.parquet(at)
-            counts[table] = new.select(*store.keys(table)).distinct().count()
+        for table, rows in {"posts": posts, "comments": comments, "batch_collections": meta}.items():
+            changed[table], counts[table] = _merged(store, table, rows, base.get(table), ("created_at",))
+        store.commit(base, changed)
     except Exception as error:
-        for at in ready.values():
-            fs.delete(path(at), True)
+        for table, state in changed.items():
+            had = set(folders(base[table])) if table in base else set()
+            _delete(store, {"": [f for f in folders(state) if f not in had]})
         raise BatchError(str(error)[:1000]) from error
-    for table, at in ready.items():
-        fs.rename(path(at), path(store.next_version(table)))
-        _forget(store, table)
     return counts
 
 
@@ -84,7 +105,7 @@ def cleanup(store: Store, cutoff: datetime, tables: tuple[str, ...] = ("posts",
     for table in tables:
         df = store.read(table)
         before = df.count()
-        _swap(store, table, retained(df, cutoff, column))
+        overwrite(store, table, retained(df, cutoff, column))
         gone += before - store.read(table).count()
     return gone
 
@@ -97,7 +118,7 @@ def move_groups(store: Store, table: str, groups: list[str], other: str) -> int:
     if n + m != total:
         raise BatchError(f"{n} + {m} rows are not {total}")
     moves.write.mode("append").parquet(other)
-    _swap(store, table, stays)
+    overwrite(store, table, stays)
     return m
 
 
