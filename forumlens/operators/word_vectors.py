@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,40 +66,100 @@ def information(near: DataFrame, shift: float = 1.0) -> DataFrame:
     return joined.select("a", "b", (F.log(F.col("n") * F.col("all") / (F.col("na") * F.col("nb"))) - F.log(F.lit(float(shift)))).alias("v")).where("v > 0")
 
 
-def _columns(width: int, of: str = "y") -> list[str]:
-    return [f"{of}{k}" for k in range(width)]
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _times(entries: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The product of a matrix of entries(a, b, v) with rows(w, y0, ...): sums are combined before the shuffle."""
-    names = _columns(width)
-    joined = entries.join(rows.withColumnRenamed("w", "b"), "b")
-    return joined.groupBy(F.col("a").alias("w")).agg(*(F.sum(F.col("v") * F.col(c)).alias(c) for c in names))
+def _added(key: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    key, y = key[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(y, first, axis=0)
+
+
+DDL = "key long, y array<double>"
+SCHEMA = pa.schema([("key", pa.int64()), ("y", pa.list_(pa.float64()))])
+#: Products of a row and a number that are held at once.
+HELD = 1 << 15
+
+
+def _batch(key: np.ndarray, y: np.ndarray, width: int) -> pa.RecordBatch:
+    at = np.arange(0, y.size + 1, width, dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(at), pa.array(y.ravel()))], schema=SCHEMA)
+
+
+def _sums(lists: DataFrame, width: int) -> DataFrame:
+    """lists(keys, vs, y) -> key, y: of each key (a long) the sum of v * y. Batches are summed before the shuffle, sorted runs after it."""
+
+    def some(batches):
+        for batch in batches:
+            keys, vs = batch.column("keys"), batch.column("vs")
+            size = np.diff(keys.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            key, v, y = keys.flatten().to_numpy(), vs.flatten().to_numpy(), _matrix(batch.column("y"), width)
+            for i in range(0, len(key), HELD):
+                part = slice(i, i + HELD)
+                yield _batch(*_added(key[part], y[row[part]] * v[part, None]), width)
+
+    def all_(batches):
+        last, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, y = _added(batch.column("key").to_numpy(), _matrix(batch.column("y"), width))
+            if last is not None:
+                if key[0] == last:
+                    y[0] += held
+                else:
+                    yield _batch(np.array([last]), held, width)
+            last, held = key[-1], y[-1].copy()
+            if len(key) > 1:
+                yield _batch(key[:-1], y[:-1], width)
+        if last is not None:
+            yield _batch(np.array([last]), held, width)
+
+    return lists.select("keys", "vs", "y").mapInArrow(some, DDL).repartition("key").sortWithinPartitions("key").mapInArrow(all_, DDL)
+
+
+def listed(entries: DataFrame, by: str, key: str, v) -> DataFrame:
+    """Entries as lists: by, keys, vs. A frequent one has several lists, so that none holds all."""
+    part = F.pmod(F.xxhash64(key), F.lit(8))
+    return entries.select(by, F.col(key).cast("long").alias("k"), v.cast("double").alias("v"), part.alias("part")).groupBy(by, "part").agg(F.collect_list("k").alias("keys"), F.collect_list("v").alias("vs")).drop("part")
+
+
+def _times(lists: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The product of a matrix, as lists of its entries by column, with rows(w, y)."""
+    return _sums(lists.join(rows.withColumnRenamed("w", "b"), "b"), width).withColumnRenamed("key", "w")
 
 
 def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:
     """left' right (width x width), summed over partitions; the rows are joined by word unless both are one table."""
-    names = _columns(width)
-    both = left.select(F.array(*names).alias("l"), F.array(*names).alias("r")) if left is right else left.select("w", F.array(*names).alias("l")).join(right.select("w", F.array(*names).alias("r")), "w").select("l", "r")
+    both = left.select(F.col("y").alias("l"), F.col("y").alias("r")) if left is right else left.select("w", F.col("y").alias("l")).join(right.select("w", F.col("y").alias("r")), "w").select("l", "r")
 
     def part(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            if len(batch):
-                total += np.array(batch["l"].tolist()).T @ np.array(batch["r"].tolist())
-        yield pd.DataFrame({"i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width), "x": total.ravel()})
+            total += _matrix(batch.column("l"), width).T @ _matrix(batch.column("r"), width)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(np.arange(width, dtype=np.int32), width)), "j": pa.array(np.tile(np.arange(width, dtype=np.int32), width)), "x": pa.array(total.ravel())})
 
-    sums = both.mapInPandas(part, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    sums = both.mapInArrow(part, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
     out = np.zeros((width, width))
     out[sums["i"], sums["j"]] = sums["x"]
     return out
 
 
 def _mapped(rows: DataFrame, m: np.ndarray) -> DataFrame:
-    """Each row times m, which is small."""
-    names = _columns(len(m))
-    out = [sum((F.col(c) * F.lit(float(x)) for c, x in zip(names[1:], m[1:, k])), F.col(names[0]) * F.lit(float(m[0, k]))).alias(f"y{k}") for k in range(m.shape[1])]
-    return rows.select("w", *out)
+    """Each row times m, which is small: one matrix product a batch."""
+    schema = pa.schema([("w", pa.int64()), ("y", pa.list_(pa.float64()))])
+
+    def times(batches):
+        for batch in batches:
+            y = _matrix(batch.column("y"), len(m)) @ m
+            at = np.arange(0, y.size + 1, m.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.ListArray.from_arrays(pa.array(at), pa.array(y.ravel()))], schema=schema)
+
+    return rows.mapInArrow(times, "w long, y array<double>")
 
 
 def _orthonormal(rows: DataFrame, width: int, keep) -> DataFrame:
@@ -120,14 +181,15 @@ class WordVectors:
     total: int
 
     def of_texts(self, docs: DataFrame) -> DataFrame:
-        """docs(id, text) -> id, vector: the mean of its words' vectors, rare words counting more, on the unit sphere; zeros without known words."""
+        """docs(id, text), ids long -> id, vector: the mean of its words' vectors, rare words counting more, on the unit sphere; zeros without known words."""
         idf = F.log(F.lit(float(self.total)) / F.col("n_docs")) + 1
         counted = docs.select("id", F.explode(words_in(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-        rows = counted.join(self.table.select("word", idf.alias("idf"), "vector"), "word")
-        sums = rows.groupBy("id").agg(*(F.sum(F.log1p("n") * F.col("idf") * F.col("vector")[k]).alias(f"y{k}") for k in range(self.width)))
-        norm = F.sqrt(sum((F.col(c) * F.col(c) for c in _columns(self.width)[1:]), F.col("y0") * F.col("y0")))
-        unit = sums.select("id", F.array(*(F.when(norm > 0, F.col(c) / norm).otherwise(0.0) for c in _columns(self.width))).alias("vector"))
-        zeros = F.array(*[F.lit(0.0)] * self.width)
+        lists = listed(counted, "word", "id", F.log1p("n"))
+        weighted = self.table.select("word", F.transform("vector", lambda x: x * idf).alias("y"))
+        sums = _sums(lists.join(weighted, "word"), self.width).withColumnRenamed("key", "id")
+        norm = F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x))
+        unit = sums.withColumn("norm", norm).select("id", F.transform("y", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("vector"))
+        zeros = F.array_repeat(F.lit(0.0), self.width)
         return docs.select("id").join(unit, "id", "left").withColumn("vector", F.coalesce("vector", zeros))
 
 
@@ -141,15 +203,16 @@ def learned(docs: DataFrame, *, width: int = 64, extra: int = 8, rounds: int = 2
     with Scratch(spark) as scratch:
         texts = dealt(docs).select("id", "text")
         words = scratch.staged(vocabulary(texts, least), "words")
-        entries = scratch.staged(information(scratch.staged(cooccurrences(texts, words, window), "near"), shift), "entries")
+        entries = information(scratch.staged(cooccurrences(texts, words, window), "near"), shift)
+        lists = scratch.staged(listed(entries, "b", "a", F.col("v")), "lists")
         n = width + extra
         uniform = lambda k: (F.pmod(F.xxhash64("w", F.lit(seed), F.lit(k)), F.lit(1 << 20)) + 0.5) / (1 << 20) - 0.5
-        y = words.select("w", *(uniform(k).alias(f"y{k}") for k in range(n)))
+        y = scratch.staged(words.select("w", F.array(*(uniform(k) for k in range(n))).alias("y")), "start")
         for _ in range(rounds + 1):
-            y = _orthonormal(scratch.staged(_times(entries, y, n), "product"), n, scratch.staged)
-        small = _gram(y, scratch.staged(_times(entries, y, n), "product"), n)
+            y = _orthonormal(scratch.staged(_times(lists, y, n), "product"), n, scratch.staged)
+        small = _gram(y, scratch.staged(_times(lists, y, n), "product"), n)
         value, vector = np.linalg.eigh((small + small.T) / 2)
         top = np.argsort(-np.abs(value))[:width]
         scaled = _mapped(y, vector[:, top] * np.sqrt(np.abs(value[top])))  # left singular vectors times the roots of the singular values
-        out = words.join(scaled, "w").select("word", "w", "n_docs", F.array(*_columns(width)).alias("vector"))
+        out = words.join(scaled, "w").select("word", "w", "n_docs", F.col("y").alias("vector"))
         return WordVectors(scratch.keep(scratch.staged(out, "vectors")), width, docs.count())
