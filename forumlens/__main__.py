@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         for row in Pipeline(store, datetime.now()).status():
             print(row["step"], row["state"])
     elif args.command == "query":
-        from .plans import discovery, stored  # noqa: F401 (register queries)
+        from .plans import discovery, overview, stored  # noqa: F401 (register queries)
         from .plans.catalogue import QUERIES
 
         QUERIES[args.name](spark, args.root).show(50, truncate=False)

@@ -48,6 +48,25 @@ def page(df: DataFrame, *order: Column, limit: int, offset: int = 0) -> DataFram
     return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
 
 
+def page_after(df: DataFrame, limit: int, after: tuple | None = None, time: str = "timestamp", key: str = "id") -> DataFrame:
+    """The next `limit` rows by time (latest first) and key, after the row of that time and key. The token's range reaches the scan, so late pages cost what early ones do."""
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        df = df.where((F.col(time) <= at) & ((F.col(time) < at) | (F.col(key) > last)))
+    return df.where(F.col(time).isNotNull() & F.col(key).isNotNull()).orderBy(F.desc(time), F.asc(key)).limit(limit)
+
+
+def token_of(page: DataFrame, limit: int, time: str = "timestamp", key: str = "id") -> tuple | None:
+    """The token of the page after this one; None after the last (one short of `limit` rows)."""
+    rows = page.select(time, key).collect()  # `limit` rows at most
+    return tuple(rows[-1]) if len(rows) == limit else None
+
+
+def digest_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, the same ones at every run and in every engine: those of least MD5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones at every run: those of least hash of key and seed."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

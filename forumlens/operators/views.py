@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import between_days, in_groups
+
 LABEL_ORDER = ("positive", "neutral", "negative")
 
 
@@ -61,3 +63,35 @@ def last_weeks(weeks: DataFrame, values: str, n: int = 12) -> DataFrame:
     place = present.withColumn("place", F.row_number().over(Window.orderBy("week_start")) - 1)  # n rows
     placed = weeks.join(F.broadcast(place), "week_start", "left")
     return placed.groupBy("topic_id").agg(*(F.max(F.when(F.col("place") == k, F.col(values))).alias(f"week_{k}") for k in range(n)))
+
+
+def last_prediction(predictions: DataFrame, preprocessed: DataFrame, sources: DataFrame, groups: tuple[str, ...] = (), start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row, the latest predicted_at: of all predictions, or with groups of those whose source row lies in them and between the days.
+
+    predictions(id, predicted_at), preprocessed(id, content_type), sources(id, content_type, subreddit, timestamp). Days count only beside groups.
+    """
+    if groups:
+        wanted = between_days(in_groups(sources, groups), start, end).select("id", "content_type").distinct()
+        predictions = predictions.join(preprocessed.select("id", "content_type").join(wanted, ["id", "content_type"]).select("id"), "id", "left_semi")
+    return predictions.agg(F.max("predicted_at").alias("last_ml_timestamp"))
+
+
+def volume_markers(volume: DataFrame, days: int = 36, n: int = 6) -> DataFrame:
+    """volume(date, count) -> the last days: date, count, its share of the greatest, and whether it is one of the n largest (earlier days first among equals)."""
+    last = volume.orderBy(F.desc("date")).limit(days)
+    top = last.orderBy(F.desc("count"), "date").limit(n).select("date", F.lit(True).alias("marked"))
+    most = last.agg(F.greatest(F.max("count"), F.lit(1)).alias("most"))
+    return last.join(F.broadcast(top), "date", "left").crossJoin(F.broadcast(most)).select("date", "count", (F.col("count") / F.col("most")).alias("share"), F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+def by_group(rows: DataFrame, *values: str, row: str = "date", group: str = "subreddit") -> DataFrame:
+    """One row a date, and for each value and each group present a column "value group"; null where a group has no row."""
+    out = rows.groupBy(row).pivot(group).agg(*(F.first(v).alias(v) for v in values))
+    if len(values) > 1:  # then columns are called group_value
+        return out.select(row, *(_named(c, values) for c in out.columns if c != row))
+    return out.select(row, *(F.col(f"`{c}`").alias(f"{values[0]} {c}") for c in out.columns if c != row))
+
+
+def _named(column: str, values: tuple[str, ...]):
+    value = max((v for v in values if column.endswith(f"_{v}")), key=len)
+    return F.col(f"`{column}`").alias(f"{value} {column[: -len(value) - 1]}")

@@ -649,9 +649,9 @@ def label_share(d: Domain) -> DataFrame:
 
 @query("""SELECT strftime(timestamp, '%Y-%m') AS month, """ + ", ".join(f"count(*) FILTER (subreddit = '{g}') AS g{g[0]}" for g in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM content GROUP BY 1")
 def volume_pivot(d: Domain) -> DataFrame:
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    p = d.content.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).pivot("subreddit", names).count()
-    return p.select("month", *(F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"g{g[0]}") for g in names))
+    """A column for each group that is present."""
+    p = d.content.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).pivot("subreddit").count()
+    return p.select("month", *(F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"g{g[0]}") for g in p.columns if g != "month"))
 
 
 @query("""SELECT k AS chunk, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(7 * k AS INTEGER)), '%Y-%m-%d') AS start, strftime(least(TIMESTAMP '2024-01-01' + to_days(CAST(7 * k + 7 AS INTEGER)), TIMESTAMP '2024-02-01'), '%Y-%m-%d') AS "end" FROM range(0, 5) t(k)""", with_domain=False)

@@ -94,11 +94,11 @@ def store_copy(d: Domain) -> DataFrame:
     return two.read("posts").select("id", "title", "upvotes")
 
 
-@query("SELECT id, label, substring(coalesce(text, ''), 1, 400) AS text FROM docs JOIN predictions USING (id)")
+@query("SELECT id, label, coalesce(text, '') AS text FROM docs JOIN predictions USING (id)")
 def labels_through_csv(d: Domain) -> DataFrame:
     """Labelled texts written as CSV, with their quotes and line breaks, and read back with required columns."""
     at = f"{new_folder(d.spark, "store")}/labels"
-    rows = d.documents.join(d.predictions, "id").select("id", "label", F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("text"))
+    rows = d.documents.join(d.predictions, "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
     sinks.export_csv(rows, at)
     return readers.read_csv(d.spark, at, "id long, label string, text string", ("id", "label", "text")).select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
