@@ -67,3 +67,12 @@ def line_chart(d: Domain) -> DataFrame:
 def sampled_texts(d: Domain) -> DataFrame:
     """A hundred texts, the same at every run."""
     return filters.digest_sample(d.documents.where("id is not null").select("id", "subreddit"), "id", 100)
+
+
+@query()
+def forecast_trend(d: Domain) -> DataFrame:
+    """Two weeks ahead for each kind of event, with a trend that may change."""
+    from ..operators.trend import trend_forecast
+
+    daily = d.table("events").groupBy(F.col("event_type").alias("subreddit"), F.to_date("ts").alias("date")).agg(F.avg("value").alias("mean_score"))
+    return trend_forecast(daily).select("subreddit", day("date").alias("date"), *(r6(c).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")))
