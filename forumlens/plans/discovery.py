@@ -60,7 +60,7 @@ def embedding_layout_2d(d: Domain) -> DataFrame:
 
 @query()
 def learned_text_vectors(d: Domain) -> DataFrame:
-    """A learned vector of each text, as its id, length and two of its components' sizes; see operators.word_vectors."""
+    """id and learned vector of each text; see operators.word_vectors."""
     from ..operators.word_vectors import learned
 
     with Scratch(d.spark) as scratch:
