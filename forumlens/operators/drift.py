@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+from .ordered import running
+
 
 def label_shift(reference: DataFrame, current: DataFrame, label: str = "label") -> DataFrame:
     """One row: chi-square statistic of the current label counts against the reference's shares, and its degrees of freedom.
@@ -22,13 +25,13 @@ def label_shift(reference: DataFrame, current: DataFrame, label: str = "label")
 def value_shift(reference: DataFrame, current: DataFrame, value: str = "confidence") -> DataFrame:
     """One row: the Kolmogorov-Smirnov distance of the two distributions; nulls are left out.
 
-    Counts are combined by distinct value first; the running sums go over these.
+    Counts are combined by distinct value first; the running sums go over ranges of these.
     """
     both = reference.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(current.select(F.col(value), F.lit(0), F.lit(1)))
     steps = both.where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select(F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b")).crossJoin(F.broadcast(total))
+    sums = running(steps.toDF("v", "n", "m"), ["v"], {"a": F.col("n"), "b": F.col("m")}, Scratch(both.sparkSession))
+    run = sums.crossJoin(F.broadcast(total))
     gap = F.abs(F.col("a") / F.greatest("na", F.lit(1)) - F.col("b") / F.greatest("nb", F.lit(1)))
     return run.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("distance"))
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LABEL_ID
+from ..sources.scratch import Scratch
+from .ordered import running
 
 
 def stratified_split(labelled: DataFrame, label: str = "label", key: str = "id", train: float = 0.8, seed: int = 42) -> DataFrame:
     """labelled with `split`: of each label the first 80 % by hashed key train, the rest validates."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return labelled.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * train), "train").otherwise("validation"))
+    hashed = labelled.withColumn("_hash", F.xxhash64(key, F.lit(seed)))
+    placed = running(hashed, ["_hash", key], {"_place": F.lit(1)}, Scratch(labelled.sparkSession), [label], totals=True)
+    split = F.when(F.col("_place") <= F.floor(F.col("_place_total") * train), "train").otherwise("validation")
+    return placed.select(*labelled.columns, split.alias("split"))
 
 
 def trained(labelled: DataFrame, features: int = 1 << 16, rounds: int = 30):

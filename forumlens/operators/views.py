@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import between_days, in_groups
+from .ordered import counted_within
 
 LABEL_ORDER = ("positive", "neutral", "negative")
 
@@ -42,8 +43,7 @@ def in_label_order(counts: DataFrame) -> DataFrame:
 
 def request_rate(requests: DataFrame, seconds: int = 600, time: str = "ts", group: str = "event_type") -> DataFrame:
     """At each request, how many of its group were made in the seconds up to it."""
-    w = Window.partitionBy(group).orderBy(F.col(time).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return requests.withColumn("recent", F.count("*").over(w))
+    return counted_within(requests, seconds, F.col(time), group, "recent")
 
 
 def flagged(df: DataFrame, some: DataFrame, key: str, flag: str) -> DataFrame:
