@@ -97,7 +97,7 @@ class VectorIndex:
         parts = F.element_at(F.array(*(F.lit(int(b)) for b in np.maximum(index.blocks, 1))), F.col("cell") + 1) if len(centres) else F.lit(1)
         blocked = listed.select("id", "vector", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("block"))
         blocked.repartition("cell", "block").write.partitionBy("cell").parquet(f"{path}/lists")
-        cells_ = pd.DataFrame({"cell": range(len(centres)), "centre": list(centres), "radius": radius, "n": rows})
+        cells_ = pd.DataFrame({"cell": range(len(centres)), "centre": centres.tolist(), "radius": radius, "n": rows})
         spark.createDataFrame(cells_, "cell int, centre array<double>, radius double, n long").coalesce(1).write.parquet(f"{path}/cells")
         return index
 

@@ -87,3 +87,15 @@ def test_recall_of_the_registered_query(spark, sf):
     t = pq.read_table(f"{sf}/embeddings.parquet")
     n = sum(1 for i in t.column("vec_id").to_pylist() if i % 100 == 0)
     assert row.n_queries == n and row.n_rows == 10 * n and row.recall >= 0.9 and 0 < row.share_read < 0.95 and 1 <= row.probes <= 16
+
+
+def test_index_is_built_in_a_session_without_arrow(spark, rows):
+    """A session's default before Spark's Arrow conversion is switched on; cells were refused as numpy.float64."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        index = V.VectorIndex.build(table(spark, rows), cells=8)
+        again = V.VectorIndex.load(spark, index.path)
+        assert np.array_equal(again.centres, index.centres) and np.array_equal(again.rows, index.rows) and np.array_equal(again.radius, index.radius)
+        index.remove()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
