@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+from .ordered import running
+
 
 def in_groups(df: DataFrame, groups: tuple[str, ...] = (), column: str = "subreddit") -> DataFrame:
     """Rows of the groups; all rows if none is named."""
@@ -62,6 +65,13 @@ def token_of(page: DataFrame, limit: int, time: str = "timestamp", key: str = "i
     return tuple(rows[-1]) if len(rows) == limit else None
 
 
+def pages(df: DataFrame, limit: int, scratch: Scratch, time: str = "timestamp", key: str = "id") -> DataFrame:
+    """df with `page`, from 0: all the pages that page_after gives one after the other, from places in the whole order; nothing comes to the driver."""
+    rows = df.where(F.col(time).isNotNull() & F.col(key).isNotNull()).withColumn("_late", -F.unix_micros(F.col(time).cast("timestamp")))
+    placed = running(rows, ["_late", key], {"_place": F.lit(1)}, scratch)
+    return placed.select(*df.columns, F.floor((F.col("_place") - 1) / limit).alias("page"))
+
+
 def digest_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones at every run and in every engine: those of least MD5 of key and seed."""
     return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

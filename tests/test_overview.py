@@ -1,7 +1,9 @@
+import collections
 from datetime import datetime
 
 from forumlens.operators import filters, views
 from forumlens.sources import readers, sinks
+from forumlens.sources.scratch import Scratch
 
 T = [datetime(2024, 1, d) for d in (1, 2, 2, 3, 3, 3, 9)]
 
@@ -75,3 +77,23 @@ def test_words_end_at_all_but_ascii_letters_digits_and_underscores(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {r.word: r.n for r in views.word_counts(df, ["the"]).collect()}
     assert got == {"tion": 4, "abc": 3, "caf": 1, "iabc": 1}
+
+
+def test_all_pages_at_once_are_those_by_token(spark):
+    rows = [(i, T[i % 7]) for i in range(50)] + [(99, None), (None, T[0])]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp").repartition(3)
+    scratch = Scratch(spark)
+    got = collections.defaultdict(set)
+    for r in filters.pages(df, 7, scratch).collect():
+        got[r.page].add(r.id)
+    after, k, first = None, 0, True
+    while first or after is not None:
+        page, first = filters.page_after(df, 7, after), False
+        assert got.pop(k) == {r.id for r in page.collect()}
+        after, k = filters.token_of(page, 7), k + 1
+    assert not got
+
+
+def test_rows_of_a_page_boundary_that_are_equal_are_all_kept(spark):
+    df = spark.createDataFrame([(1, T[0])] * 5 + [(2, T[0])], "id long, timestamp timestamp")
+    assert sorted(r.id for r in filters.pages(df, 2, Scratch(spark)).collect()) == [1] * 5 + [2]
