@@ -16,6 +16,10 @@ from ..functions.vector import cosine
 from .filters import first_rows
 
 
+#: Queries whose scores with a batch of vectors are held at once.
+SCORED = 64
+
+
 def vector_search(vectors: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
     """vectors(id, vector) -> the nearest ids by cosine; negative scores are shown as 0. The query is a literal: no join."""
     score = F.bround(F.greatest(cosine(F.col("vector"), F.lit([float(x) for x in query])), F.lit(0.0)), 4)
@@ -33,17 +37,17 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, bloc
     def nearest(shared):
         def run(batches):
             ids, q = shared.value
-            q = np.array(q, float)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             for batch in batches:
                 v = np.array(batch["vector"].tolist(), float)
                 norm = np.linalg.norm(v, axis=1)
-                score = np.round(np.maximum(q @ (v / np.where(norm > 0, norm, 1)[:, None]).T, 0), 4)
+                v /= np.where(norm > 0, norm, 1)[:, None]
                 key = batch["id"].to_numpy()
-                for i, s in enumerate(score):
-                    top = np.lexsort((key, -s))[:k]
-                    best[i] = sorted([*best[i], *zip((-s[top]).tolist(), key[top].tolist())])[:k]
+                for at in range(0, len(ids), SCORED):
+                    for i, s in enumerate(np.round(np.maximum(q[at : at + SCORED] @ v.T, 0), 4), at):
+                        top = np.lexsort((key, -s))[:k]
+                        best[i] = sorted([*best[i], *zip((-s[top]).tolist(), key[top].tolist())])[:k]
             yield pd.DataFrame([(x, i, -s) for x, found in zip(ids, best) for s, i in found], columns=["query_id", "id", "score"])
 
         return rows.mapInPandas(run, "query_id long, id long, score double")
@@ -54,7 +58,7 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, bloc
     def flush():
         nonlocal found, part
         if part:
-            one = nearest(context.broadcast(tuple(zip(*part))))
+            one = nearest(context.broadcast(([i for i, _ in part], np.array([v for _, v in part], float))))
             found, part = one if found is None else found.union(one), []
 
     for r in queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null").toLocalIterator():
