@@ -60,3 +60,16 @@ def test_a_look_up_opens_the_folders_of_its_terms(index):
     one = i.texts(i.spark.createDataFrame([(904,)], "id long"))
     assert [r.id for r in one.collect()] == [904]
     assert files(i._read("texts", "id long, text string", {3})) <= 2
+
+
+def test_lists_are_rows_a_term_not_a_text(index, spark):
+    """One row a term and group of texts is shuffled and stored; characters beyond the 16-bit ones count as one."""
+    docs, i = index
+    lists = spark.read.parquet(f"{i.path}/lists")
+    texts = [(k, (t or "").lower()) for k, t in corpus()]
+    assert lists.where("term = 'gthe'").count() <= docs.rdd.getNumPartitions() * 2 < sum("the" in t for _, t in texts)
+    assert sorted(r.id for r in i.postings(["gthe"]).collect()) == [k for k, t in texts if "the" in t]
+    odd = spark.createDataFrame([(1, "x\U0001F600\U0001F601y"), (2, "\U0001F600 x")], "id long, text string")
+    with Scratch(spark) as scratch:
+        other = TextIndex.build(odd, parts=4, files=1)
+        assert [r.id for r in other.containing("\U0001F600\U0001F601y", scratch=scratch).collect()] == [1]
