@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,15 @@ from .filters import first_rows
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """old with the rows of new in place of those of equal keys. Columns of `keep` (such as created_at) stay as they were.
 
-    Of several new rows of one key the last by all columns wins, so that the outcome is the same every time.
+    Of several new rows of one key the last by all columns wins, so that the outcome is the same every time. Nulls in keys equal each other.
     """
     rows = first_rows(new, keys, *(F.desc_nulls_last(c) for c in new.columns if c not in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
     if keep:
-        was = old.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep))
-        rows = rows.join(was, keys, "left").select(*(F.coalesce(f"_old_{c}", c).alias(c) if c in keep else F.col(c) for c in new.columns))
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*old.columns))
+        was = old.select(*named, *(F.col(c).alias(f"_old_{c}") for c in keep))
+        rows = rows.join(was, same, "left").select(*(F.coalesce(f"_old_{c}", c).alias(c) if c in keep else F.col(c) for c in new.columns))
+    return old.join(new.select(*named).distinct(), same, "left_anti").unionByName(rows.select(*old.columns))
 
 
 def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,6 +30,11 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(first_rows(new.join(old.select(*keys), keys, "left_anti"), keys, *(F.asc_nulls_first(c) for c in new.columns if c not in keys)).select(*old.columns))
 
 
+def first_of_copies(df: DataFrame, keys: list[str], id: str) -> DataFrame:
+    """Of each key the least id, first_id, and the number of its rows, copies: sums, so that no key's rows are held together."""
+    return df.groupBy(*keys).agg(F.min(id).alias("first_id"), F.count("*").alias("copies"))
+
+
 def retained(df: DataFrame, cutoff: datetime, column: str = "timestamp") -> DataFrame:
     """Rows at or after the cutoff; rows without a time survive a retention delete."""
     return df.where((F.col(column) >= F.lit(cutoff)) | F.col(column).isNull())
