@@ -59,7 +59,7 @@ class Pipeline:
         rows = rows.withColumn("clean_text", text.lemmas(text.clean(F.col("raw_text"))) if self.lemmatize else text.clean(F.col("raw_text"))).withColumn("token_count", text.token_count(F.col("clean_text")))
         rows = rows.withColumn("filter_reason", text.filter_reason(F.col("author"), F.col("token_count"))).withColumn("is_filtered", F.col("filter_reason").isNotNull())
         rows = rows.withColumn("embedding_key", F.when(~F.col("is_filtered"), F.col("id"))).withColumn("processed_at", F.lit(self.as_of))
-        sinks.upsert(self.store, "preprocessed", rows)
+        sinks.insert_ignore(self.store, "preprocessed", rows, F.desc_nulls_last)  # new ones only: what was prepared before is not written again
         done = self.store.read("preprocessed").where(F.col("processed_at") == F.lit(self.as_of)).agg(F.count("*").alias("record_count"), F.count_if(~F.col("is_filtered")).alias("kept_count"), F.count_if("is_filtered").alias("filtered_count"))
         kept = usable(self.store.read("preprocessed")).select("id", F.col("clean_text").alias("text"))
         sinks.insert_ignore(self.store, "embeddings", model.embedded(unprocessed(kept, self.store.read("embeddings"), "id")))

@@ -20,6 +20,10 @@ class Conflict(RuntimeError):
     """Another writer changed the same table in the meantime."""
 
 
+#: Shares of a bucket that are written in tasks of their own.
+SHARES = 16
+
+
 @dataclass
 class Store:
     """Parquet tables with fixed schemas, and a log of commits: small files that name the folders each table consists of.
@@ -92,17 +96,23 @@ class Store:
             files.delete(self._at(f"{self.path('_commits')}/{name}")[0], False)
 
     def written(self, table: str, rows: DataFrame) -> dict:
-        """Write rows to new folders, one a bucket if the table has keys; returns them as a table's state. Nothing is committed."""
+        """Write rows (dealt already or not) to new folders, one a bucket if the table has keys; returns them as a table's state. Nothing is committed."""
         name = f"{table}/data-{uuid.uuid4().hex}"
         at = f"{self.root.rstrip('/')}/{name}"
         if not self.keys(table):
             rows.write.parquet(at)
             return {"parts": {}, "loose": [name]}
-        rows.withColumn("key_bucket", self.bucket(table)).repartition("key_bucket").write.partitionBy("key_bucket").parquet(at)
+        dealt = rows if "key_bucket" in rows.columns else self.dealt(table, rows)
+        dealt.drop("key_share").write.option("compression", "zstd").partitionBy("key_bucket").parquet(at)
         path, files = self._at(at)
         found = [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
         return {"parts": {f.split("=")[1]: [f"{name}/{f}"] for f in found if f.startswith("key_bucket=")}, "loose": []}
 
+    def dealt(self, table: str, rows: DataFrame) -> DataFrame:
+        """rows with bucket and share, shuffled by both: a bucket's shares are tasks of their own, and windows by bucket, share and key need no further shuffle."""
+        share = F.pmod(F.xxhash64(F.lit(1), *self.keys(table)), F.lit(SHARES)).cast("int")
+        return rows.withColumns({"key_bucket": self.bucket(table), "key_share": share}).repartition("key_bucket", "key_share")
+
     def bucket(self, table: str):
         return F.pmod(F.xxhash64(*self.keys(table)), F.lit(self.buckets)).cast("int")
 

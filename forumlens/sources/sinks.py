@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import first_rows
-from ..operators.upkeep import retained, split_by_group, upserted
+from ..operators.upkeep import retained, split_by_group
 from ..schemas import TABLES, schema
 from .readers import Store, folders
 
@@ -25,7 +25,7 @@ def _merged(store: Store, table: str, rows: DataFrame, state: dict | None, keep:
     """
     keys = store.keys(table)
     new = typed(rows, table)
-    fresh = store.written(table, first_rows(new, keys, *(F.desc_nulls_last(c) for c in new.columns if c not in keys)))
+    fresh = store.written(table, _first(store, table, new, F.desc_nulls_last))
     parts = dict(state["parts"]) if state else {}
     old = [f for b in fresh["parts"] for f in parts.get(b, [])]
     arrived = store.of(table, [f for names in fresh["parts"].values() for f in names])
@@ -33,12 +33,44 @@ def _merged(store: Store, table: str, rows: DataFrame, state: dict | None, keep:
     both = {b: names for b, names in fresh["parts"].items() if b in parts}
     if old:
         again = store.of(table, [f for names in both.values() for f in names])
-        whole = store.written(table, upserted(store.of(table, old), again, keys, tuple(c for c in keep if c in new.columns)))
-        _delete(store, both)
-        fresh["parts"].update(whole["parts"])
+        kept = tuple(c for c in keep if c in new.columns)
+        whole = store.written(table, _upserted(store, table, store.of(table, old), again, kept))
+        if kept:
+            _delete(store, both)
+            fresh["parts"].update(whole["parts"])
+        else:  # the new rows stay in the files they are in
+            fresh["parts"].update({b: whole["parts"].get(b, []) + names for b, names in both.items()})
     return {"parts": parts | fresh["parts"], "loose": []}, count
 
 
+def _first(store: Store, table: str, rows: DataFrame, order) -> DataFrame:
+    """rows dealt to the table's buckets, one of each key, in a single shuffle."""
+    keys, columns = store.keys(table), rows.columns
+    return first_rows(store.dealt(table, rows), ["key_bucket", "key_share", *keys], *(order(c) for c in columns if c not in keys))
+
+
+def _keys_of(store: Store, table: str, rows: DataFrame) -> DataFrame:
+    """rows in their columns, but null in all that are no keys."""
+    return rows.select(*(F.col(f.name) if f.name in store.keys(table) else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+
+
+def _upserted(store: Store, table: str, old: DataFrame, new: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """operators.upkeep.upserted for rows of distinct keys, dealt to the table's buckets: old and new rows meet in a single shuffle. Without `keep`, of the old rows only."""
+    both = old.withColumn("_new", F.lit(False)).unionByName((new if keep else _keys_of(store, table, new)).withColumn("_new", F.lit(True)))
+    of_key = Window.partitionBy("key_bucket", "key_share", *store.keys(table))
+    both = store.dealt(table, both).withColumns({"_any": F.max("_new").over(of_key), **{f"_old_{c}": F.max(F.when(~F.col("_new"), F.col(c))).over(of_key) for c in keep}})
+    columns = [F.coalesce(f"_old_{c}", c).alias(c) if c in keep else F.col(c) for c in old.columns]
+    return both.where(F.col("_new") == F.col("_any") if keep else ~F.col("_any")).select(*columns, "key_bucket", "key_share")
+
+
+def _lacking(store: Store, table: str, known: DataFrame, new: DataFrame, order) -> DataFrame:
+    """The first row of each key that `known` lacks, dealt to the table's buckets in a single shuffle."""
+    keys, columns = store.keys(table), new.columns
+    both = store.dealt(table, new.withColumn("_new", F.lit(True)).unionByName(_keys_of(store, table, known).withColumn("_new", F.lit(False))))
+    first = first_rows(both, ["key_bucket", "key_share", *keys], "_new", *(order(c) for c in columns if c not in keys))
+    return first.where("_new").drop("_new")
+
+
 def _delete(store: Store, parts: dict[str, list[str]]) -> None:
     for names in parts.values():
         for name in names:
@@ -54,13 +86,13 @@ def upsert(store: Store, table: str, rows: DataFrame, keep: tuple[str, ...] = ("
     return count
 
 
-def insert_ignore(store: Store, table: str, rows: DataFrame) -> None:
-    """Add the rows whose keys the table lacks, as further files of their buckets; nothing is rewritten."""
+def insert_ignore(store: Store, table: str, rows: DataFrame, order=F.asc_nulls_first) -> None:
+    """Add the rows whose keys the table lacks, as further files of their buckets; nothing is rewritten. Of several rows of a key the first in the order of all columns is added."""
     base = store.tables()
     state = base.get(table) or {"parts": {}, "loose": []}
-    keys, new = store.keys(table), typed(rows, table)
-    lacking = new.join(store.of(table, folders(state)).select(*keys), keys, "left_anti").select(*new.columns)
-    fresh = store.written(table, first_rows(lacking, keys, *(F.asc_nulls_first(c) for c in new.columns if c not in keys)))
+    new = typed(rows, table)
+    known = folders(state)
+    fresh = store.written(table, _lacking(store, table, store.of(table, known), new, order) if known else _first(store, table, new, order))
     parts = {b: state["parts"].get(b, []) + fresh["parts"].get(b, []) for b in {*state["parts"], *fresh["parts"]}}
     store.commit(base, {table: {"parts": parts, "loose": []}})
 
