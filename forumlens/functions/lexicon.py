@@ -36,7 +36,7 @@ def with_compound(df: DataFrame, text: str, name: str = "compound") -> DataFrame
     boost = F.create_map(*(F.lit(x) for pair in BOOST.items() for x in pair))
     d = df.withColumn("_words", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z']+)"), 1))
     d = d.withColumn("_low", F.transform("_words", F.lower))
-    d = d.withColumn("_hits", F.filter(F.transform("_low", lambda w, i: F.struct(i.alias("i"), F.try_element_at(known, w).alias("v"))), lambda x: x["v"].isNotNull()))
+    d = d.withColumn("_hits", F.filter(F.transform("_low", lambda w, i: F.when(w.isin(*VALENCE), F.struct(i.alias("i"), F.try_element_at(known, w).alias("v")))), lambda x: x.isNotNull()))
     d = d.withColumn("_loud", (F.size("_hits") > 0) & F.exists("_words", _upper) & ~F.forall("_words", _upper))
 
     def scored(hit: Column) -> Column:

@@ -495,9 +495,7 @@ def dedup_keep_latest(d: Domain) -> DataFrame:
 
 @query("SELECT post_id, author, min(id) AS first_id, count(*) AS copies FROM comments GROUP BY 1, 2")
 def dedup_keep_first(d: Domain) -> DataFrame:
-    w = Window.partitionBy("post_id", "author")
-    first = d.comments.withColumn("copies", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("id")))
-    return first.where("k = 1").select("post_id", "author", F.col("id").alias("first_id"), "copies")
+    return upkeep.first_of_copies(d.comments, ["post_id", "author"], "id")
 
 
 @query("SELECT id, title, subreddit, upvotes FROM posts WHERE subreddit = '1-URGENT' AND (contains(lower(title), '77') OR contains(lower(title), '99')) ORDER BY timestamp DESC, id LIMIT 30")
@@ -563,8 +561,9 @@ def retention_delete(d: Domain) -> DataFrame:
 
 @query(f", {_scored_sql('docs')} SELECT CASE WHEN compound > 0.5 THEN 'positive' WHEN compound < -0.5 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS n FROM lexicon WHERE abs(compound) > 0.5 OR abs(compound) < 0.1 GROUP BY 1")
 def weak_labels(d: Domain) -> DataFrame:
-    scored = lexicon.with_compound(dealt(d.documents), "text").select("id", lexicon.weak_label(F.col("compound")).alias("label")).where("label is not null")
-    return scored.groupBy("label").agg(F.count("*").alias("n"))
+    scored = lexicon.with_compound(dealt(d.documents), "text").select(lexicon.weak_label(F.col("compound")).alias("label"))
+    # the undecided go after they were counted: a test before would be pushed down to the texts, which would be scored for it once more
+    return scored.groupBy("label").agg(F.count("label").alias("n")).where("n > 0")
 
 
 @query("""SELECT l.label, round(CASE WHEN s > 0 THEN tp / s ELSE 0.0 END, 6) AS precision, round(CASE WHEN r > 0 THEN tp / r ELSE 0.0 END, 6) AS recall, round(CASE WHEN s + r > 0 THEN 2 * tp / (s + r) ELSE 0.0 END, 6) AS f1, r AS support FROM (
