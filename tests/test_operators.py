@@ -228,3 +228,17 @@ def test_search_goes_down_the_ladder(spark):
 
     assert at(search.semantic_search(docs, "OPEN DOOR", vectors=vectors, encode=broken)) == [("p2", "like_fallback", "error")]
     assert at(search.semantic_search(docs, "  ")) == []
+
+
+def test_upserts_take_null_keys_as_equal(spark):
+    from forumlens.operators import upkeep
+
+    old, new = (spark.createDataFrame([(None, "g", v), ("k", "g", v)], "a string, b string, v int") for v in (1, 2))
+    assert sorted(r.v for r in upkeep.upserted(old, new, ["a", "b"]).collect()) == [2, 2]
+
+
+def test_first_of_copies_passes_null_ids_over(spark):
+    from forumlens.operators import upkeep
+
+    df = spark.createDataFrame([("p", None, "c2"), ("p", None, None), ("p", None, "c1"), ("q", "x", None)], "post_id string, author string, id string")
+    assert {tuple(r) for r in upkeep.first_of_copies(df, ["post_id", "author"], "id").collect()} == {("p", None, "c1", 3), ("q", "x", None, 1)}
