@@ -1,8 +1,10 @@
 """Learned vectors of words and texts: co-occurrence counts, shifted positive mutual information, a randomised singular value decomposition.
 
-Counts are of word pairs within WINDOW places of each other, summed within a text before they are shuffled. The matrix of
-log(p(a, b) / (p(a) p(b))) - log(shift), where positive, stays a table of entries; it is multiplied by tall thin matrices that are tables of rows
-themselves. Only square matrices of the width (Gram matrices, and the projected one) come to the driver, to be factored there.
+Counts are of word pairs within WINDOW places of each other, summed over CHUNK words of text before they are shuffled. The matrix of
+log(p(a, b) / (p(a) p(b))) - log(shift), where positive, is kept as counts, in compressed pieces by block of rows and block of columns. A product
+with a tall thin matrix, itself a table of rows, sends the pieces and a copy of all rows to each block of rows, which meets them column block by
+column block: rows are shuffled once a block, not once an entry. Only square matrices of the width (Gram matrices, and the projected one) and the
+hashes of the COMMON most frequent words, for which pieces hold short ranks, come to the driver.
 """
 
 from __future__ import annotations
@@ -10,16 +12,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ship
 from ..sources.domain import dealt
 from ..sources.scratch import Scratch
 
 WINDOW = 4
+#: Words with a rank in place of their hash, at most; words of text whose pairs are summed at once; pairs that are summed in one task, about.
+COMMON, CHUNK, MERGED = 1 << 16, 2_000_000, 3_000_000
+#: Blocks of rows, at least, and rows of a block, at most; rows of a block of columns.
+BLOCKS, TALL, WIDE = 6, 1 << 19, 1 << 17
+#: Products of a row and a number that are held at once.
+HELD = 1 << 15
 WORD = r"([\p{L}\p{N}']+)"
 
 
@@ -33,27 +41,161 @@ def vocabulary(docs: DataFrame, least: int) -> DataFrame:
     return held.groupBy("word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least).select("word", F.xxhash64("word").alias("w"), "n_docs")
 
 
-def cooccurrences(docs: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(id, text), words(w) -> a < b or a = b, n: how often two words of the vocabulary stand within `window` places."""
+@dataclass
+class Codes:
+    """What stands for words: the rank of a frequent one, the hash of any other. `hashes` are those of the frequent words, sorted."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Codes:
+        """words(w, n_docs): those of as many texts as leave COMMON words at most are frequent."""
+        left, least = COMMON, None
+        for n, k in sorted(words.groupBy("n_docs").count().collect(), reverse=True):  # one row a number of texts
+            if k > left:
+                break
+            left, least = left - k, n
+        top = [] if least is None else words.where(F.col("n_docs") >= least).select("w", "n_docs").collect()  # COMMON rows at most
+        hashes = np.array([w for w, _ in sorted(top, key=lambda x: (-x[1], x[0]))], np.int64)
+        order = np.argsort(hashes)
+        return cls(hashes[order], order.astype(np.int64))
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return w
+        at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == w, self.ranks[at], w)
+
+    def coded(self, words: DataFrame) -> DataFrame:
+        """words(w, ...) with their codes as a column more."""
+
+        def run(batches):
+            for batch in batches:
+                yield batch.append_column("code", pa.array(self(batch["w"].to_numpy())))
+
+        return words.mapInArrow(run, StructType([*words.schema.fields, StructField("code", LongType())]))
+
+
+def hashed(text: Column) -> Column:
+    return F.transform(words_in(text), lambda x: F.xxhash64(x))
+
+
+PIECES = "i int, j int, size int, data binary"
+_PIECES = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("size", pa.int32()), ("data", pa.binary())])
+
+
+def packed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Entries in order of a and b: differences of a and of b, and n, byte place by byte place, compressed."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) for x in (np.diff(a, prepend=np.int64(0)), np.diff(b, prepend=np.int64(0)), n.astype(np.int64))]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 24 * size, codec="zstd"), np.uint8).reshape(3, 8, size)
+    a, b, n = (np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes)
+    return np.cumsum(a), np.cumsum(b), n
+
+
+def _pieces(block: np.ndarray, wide: int, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    """Entries in order of a and b, of blocks i * wide + j -> one piece for each block."""
+    if not len(a):
+        return
+    order = np.argsort(block, kind="stable")
+    block, a, b, n = (x[order] for x in (block, a, b, n))
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(first[1:], len(a))
+    data = [packed(a[s:e], b[s:e], n[s:e]) for s, e in zip(first.tolist(), ends.tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(block[first] // wide, pa.int32()), pa.array(block[first] % wide, pa.int32()), pa.array(ends - first, pa.int32()), pa.array(data, pa.binary())], schema=_PIECES)
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the sums of their n (1 by default)."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(a))) if n is None else np.add.reduceat(n[order], first) if len(a) else n
+    return a[first], b[first], count
+
+
+def _chunks(batches, most: int, *columns: str):
+    """Of whole texts with about `most` words: all words in one array, the number of each one's text, and the other columns by text."""
+    held, size = [], 0
+
+    def joined():
+        lists = [b["words"] for b in held]
+        text = np.repeat(np.arange(sum(map(len, lists))), np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]))
+        return np.concatenate([x.flatten().to_numpy() for x in lists]), text, *(np.concatenate([b[c].to_numpy() for b in held]) for c in columns)
+
+    for batch in batches:
+        while batch.num_rows:
+            ends = batch["words"].offsets.to_numpy()
+            k = min(batch.num_rows, max(1, int(np.searchsorted(ends - ends[0], most - size, side="right")) - 1))
+            held.append(batch.slice(0, k))
+            size += int(ends[k] - ends[0])
+            batch = batch.slice(k)
+            if size >= most or batch.num_rows:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _pairs(docs: DataFrame, codes: Codes, window: int, groups: int) -> DataFrame:
+    """docs(id, text) -> pieces whose entries are the numbers of all pairs a >= b, also of words outside the vocabulary; each pair is in one piece."""
 
     def count(batches):
+        for w, text in _chunks(batches, CHUNK):
+            # Read without sign, a hash comes after all ranks: of two words, the row is the one with the greater code, so that rows are short.
+            local, w = np.unique(codes(w).view(np.uint64), return_inverse=True)
+            keys = [np.zeros(0, np.int64)]
+            for step in range(1, min(window, len(w) - 1) + 1):
+                same = text[:-step] == text[step:]
+                lo, hi = np.minimum(w[:-step], w[step:])[same], np.maximum(w[:-step], w[step:])[same]
+                keys.append(hi * len(local) + lo)
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            a, b = (local[x].view(np.int64) for x in divmod(key, max(1, len(local))))
+            yield from _pieces(a % groups, 1, a, b, n)
+
+    def merge(batches):
+        held: dict[int, list] = {}
+        last = None
         for batch in batches:
-            total: dict[tuple[int, int], int] = {}
-            for row in batch["words"]:
-                w = np.asarray(row, np.int64)
-                for step in range(1, min(window, len(w) - 1) + 1):
-                    lo, hi = np.minimum(w[:-step], w[step:]), np.maximum(w[:-step], w[step:])
-                    pairs, n = np.unique(np.stack([lo, hi], axis=1), axis=0, return_counts=True)
-                    for (a, b), k in zip(map(tuple, pairs.tolist()), n.tolist()):
-                        total[a, b] = total.get((a, b), 0) + k
-                if len(total) > 500_000:
-                    yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["a", "b", "n"])
-                    total = {}
-            yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["a", "b", "n"])
-
-    hashed = docs.select(F.transform(words_in(F.col("text")), lambda x: F.xxhash64(x)).alias("words"))
-    near = hashed.mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+            for i, size, data in zip(batch["i"].to_pylist(), batch["size"].to_pylist(), batch["data"]):
+                if last is not None and i != last:
+                    yield from out(last, held.pop(last))
+                last = i
+                part = held.setdefault(i, [])
+                part.append(unpacked(data.as_buffer(), size))
+                if len(part) > 1 and sum(len(x[0]) for x in part[1:]) > max(MERGED // 2, len(part[0][0])):
+                    held[i] = [_summed(*map(np.concatenate, zip(*part)))]
+        if last is not None:
+            yield from out(last, held.pop(last))
+
+    def out(i, part):
+        a, b, n = _summed(*map(np.concatenate, zip(*part)))
+        yield from _pieces(np.full(len(a), i), 1, a, b, n)
+
+    rows = docs.select(hashed(F.col("text")).alias("words"))
+    return rows.mapInArrow(count, PIECES).repartition(groups, "i").sortWithinPartitions("i").mapInArrow(merge, PIECES)
+
+
+def _groups(words: DataFrame) -> int:
+    """How many tasks sum pairs: about three pairs reach them for each word of each text."""
+    return max(BLOCKS, -(-3 * (words.agg(F.sum("n_docs")).first()[0] or 0) // MERGED))
+
+
+def cooccurrences(docs: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs(id, text), words(w, n_docs) -> a < b or a = b, n: how often two words of the vocabulary stand within `window` places."""
+
+    def run(batches):
+        for batch in batches:
+            for size, data in zip(batch["size"].to_pylist(), batch["data"]):
+                a, b, n = unpacked(data.as_buffer(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n)], names=["a", "b", "n"])
+
     known = words.select("w")
+    near = _pairs(docs, Codes(np.zeros(0, np.int64), np.zeros(0, np.int64)), window, _groups(words)).mapInArrow(run, "a long, b long, n long")
     return near.join(known.toDF("a"), "a", "left_semi").join(known.toDF("b"), "b", "left_semi").select("a", "b", "n")
 
 
@@ -70,67 +212,111 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _added(key: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
-    key, y = key[order], y[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(y, first, axis=0)
+def _lists(y: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
 
 
-DDL = "key long, y array<double>"
-SCHEMA = pa.schema([("key", pa.int64()), ("y", pa.list_(pa.float64()))])
-#: Products of a row and a number that are held at once.
-HELD = 1 << 15
-
+@dataclass
+class Grid:
+    """Pieces of a matrix's entries a, b, n: row a lies in block a mod tall, column b in block b mod wide."""
 
-def _batch(key: np.ndarray, y: np.ndarray, width: int) -> pa.RecordBatch:
-    at = np.arange(0, y.size + 1, width, dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(pa.array(at), pa.array(y.ravel()))], schema=SCHEMA)
+    pieces: DataFrame
+    tall: int
+    wide: int
 
 
-def _sums(lists: DataFrame, width: int) -> DataFrame:
-    """lists(keys, vs, y) -> key, y: of each key (a long) the sum of v * y. Batches are summed before the shuffle, sorted runs after it."""
+def both_triangles(pairs: DataFrame, tall: int, wide: int) -> DataFrame:
+    """Pieces of pairs a, b -> pieces of the blocks of a grid, with b, a as well."""
 
-    def some(batches):
+    def run(batches):
         for batch in batches:
-            keys, vs = batch.column("keys"), batch.column("vs")
-            size = np.diff(keys.offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            key, v, y = keys.flatten().to_numpy(), vs.flatten().to_numpy(), _matrix(batch.column("y"), width)
-            for i in range(0, len(key), HELD):
-                part = slice(i, i + HELD)
-                yield _batch(*_added(key[part], y[row[part]] * v[part, None]), width)
-
-    def all_(batches):
-        last, held = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, y = _added(batch.column("key").to_numpy(), _matrix(batch.column("y"), width))
-            if last is not None:
-                if key[0] == last:
-                    y[0] += held
-                else:
-                    yield _batch(np.array([last]), held, width)
-            last, held = key[-1], y[-1].copy()
-            if len(key) > 1:
-                yield _batch(key[:-1], y[:-1], width)
-        if last is not None:
-            yield _batch(np.array([last]), held, width)
-
-    return lists.select("keys", "vs", "y").mapInArrow(some, DDL).repartition("key").sortWithinPartitions("key").mapInArrow(all_, DDL)
+            for size, data in zip(batch["size"].to_pylist(), batch["data"]):
+                a, b, n = unpacked(data.as_buffer(), size)
+                other = a != b
+                a, b, n = np.concatenate([a, b[other]]), np.concatenate([b, a[other]]), np.concatenate([n, n[other]])
+                order = np.lexsort((b, a))
+                a, b, n = a[order], b[order], n[order]
+                yield from _pieces(a % tall * wide + b % wide, wide, a, b, n)
 
+    return pairs.mapInArrow(run, PIECES)
 
-def listed(entries: DataFrame, by: str, key: str, v) -> DataFrame:
-    """Entries as lists: by, keys, vs. A frequent one has several lists, so that none holds all."""
-    part = F.pmod(F.xxhash64(key), F.lit(8))
-    return entries.select(by, F.col(key).cast("long").alias("k"), v.cast("double").alias("v"), part.alias("part")).groupBy(by, "part").agg(F.collect_list("k").alias("keys"), F.collect_list("v").alias("vs")).drop("part")
 
+def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=np.float32) -> DataFrame:
+    """own(w, weight), rows(w, weight, y) -> w, weight, y: for each row of own the sum of value(n, own weight, weight) * y over its entries, where that is positive.
 
-def _times(lists: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The product of a matrix, as lists of its entries by column, with rows(w, y)."""
-    return _sums(lists.join(rows.withColumnRenamed("w", "b"), "b"), width).withColumnRenamed("key", "w")
+    Equal rows of own get equal sums. Entries whose row is not in own, or whose column is not in rows, count nothing.
+    """
+    tall, wide = grid.tall, grid.wide
+
+    def spread(blocks: int):
+        def run(batches):
+            for batch in batches:
+                w, x = batch["w"].to_numpy(), batch["weight"].to_numpy()
+                y = _matrix(batch["y"], width).astype(real) if "y" in batch.schema.names else np.zeros((len(w), 0), real)
+                block = w % blocks
+                for k in np.unique(block).tolist():
+                    at = block == k
+                    data = w[at].tobytes() + x[at].tobytes() + y[at].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(at.sum())], pa.int32()), pa.array([data], pa.binary())], names=["k", "size", "data"])
+
+        return run
+
+    def read(data, size: int, columns: int):
+        return np.frombuffer(data, np.int64, size), np.frombuffer(data, float, size, 8 * size), np.frombuffer(data, real, size * columns, 16 * size).reshape(size, columns)
+
+    def ordered(parts):
+        w, weight, y = map(np.concatenate, zip(*parts))
+        order = np.argsort(w)
+        return w[order], weight[order], y[order]
+
+    def add(total, w, weight, known, its, y, a, b, n):
+        i, j = np.minimum(np.searchsorted(w, a), len(w) - 1), np.minimum(np.searchsorted(known, b), len(known) - 1)
+        use = (w[i] == a) & (known[j] == b)
+        i, j = i[use], j[use]
+        v = value(n[use], weight[i], its[j])
+        i, j, v = i[v > 0], j[v > 0], v[v > 0]
+        for s in range(0, len(i), HELD):
+            part = slice(s, s + HELD)
+            row = i[part]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            total[row[first]] += np.add.reduceat(y[j[part]] * v[part, None], first, axis=0)
+
+    def done(w, weight, total):
+        for s in range(0, len(w), 4096):
+            part = slice(s, s + 4096)
+            yield pa.RecordBatch.from_arrays([pa.array(w[part]), pa.array(weight[part]), _lists(total[np.searchsorted(w, w[part])])], names=["w", "weight", "y"])
+
+    def sums(batches):
+        """In order of i, j, kind: a block's own rows, then of each block of columns its rows and the entries."""
+        block = at = mine = columns = total = None
+        for batch in batches:
+            for i, j, kind, size, data in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["kind"].to_pylist(), batch["size"].to_pylist(), batch["data"]):
+                if i != block:
+                    if total is not None:
+                        yield from done(*mine[:2], total)
+                    block, at, held, mine, columns, total = i, -1, [], None, None, None
+                if j != at:
+                    if at == -1 and held:
+                        mine = ordered(held)
+                        total = np.zeros((len(mine[0]), width), real)
+                    at, held, columns = j, [], None
+                if kind < 2:
+                    held.append(read(data.as_buffer(), size, width * kind))
+                elif total is not None and (columns or held):
+                    columns, held = columns or ordered(held), []
+                    add(total, *mine[:2], *columns, *unpacked(data.as_buffer(), size))
+        if block is not None and at == -1 and held:
+            mine = ordered(held)
+            total = np.zeros((len(mine[0]), width), real)
+        if total is not None:
+            yield from done(*mine[:2], total)
+
+    k = "k int, size int, data binary"
+    mine = own.select("w", "weight").mapInArrow(spread(tall), k).select(F.col("k").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("kind"), "size", "data")
+    theirs = rows.select("w", "weight", "y").mapInArrow(spread(wide), k).select(F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("i"), F.col("k").alias("j"), F.lit(1).alias("kind"), "size", "data")
+    entries = grid.pieces.select("i", "j", F.lit(2).alias("kind"), "size", "data")
+    dealt_ = mine.union(theirs).union(entries).repartition(4 * tall, "i").sortWithinPartitions("i", "j", "kind")
+    return dealt_.mapInArrow(sums, f"w long, weight double, y array<{'float' if real is np.float32 else 'double'}>")
 
 
 def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:
@@ -140,7 +326,7 @@ def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:
     def part(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            total += _matrix(batch.column("l"), width).T @ _matrix(batch.column("r"), width)
+            total += _matrix(batch.column("l"), width).T.astype(float) @ _matrix(batch.column("r"), width).astype(float)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(np.arange(width, dtype=np.int32), width)), "j": pa.array(np.tile(np.arange(width, dtype=np.int32), width)), "x": pa.array(total.ravel())})
 
     sums = both.mapInArrow(part, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
@@ -151,46 +337,57 @@ def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:
 
 def _mapped(rows: DataFrame, m: np.ndarray) -> DataFrame:
     """Each row times m, which is small: one matrix product a batch."""
-    schema = pa.schema([("w", pa.int64()), ("y", pa.list_(pa.float64()))])
 
     def times(batches):
         for batch in batches:
-            y = _matrix(batch.column("y"), len(m)) @ m
-            at = np.arange(0, y.size + 1, m.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.ListArray.from_arrays(pa.array(at), pa.array(y.ravel()))], schema=schema)
+            y = (_matrix(batch["y"], len(m)) @ m).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch["w"], batch["weight"], _lists(y)], names=["w", "weight", "y"])
 
-    return rows.mapInArrow(times, "w long, y array<double>")
+    return rows.select("w", "weight", "y").mapInArrow(times, "w long, weight double, y array<float>")
 
 
-def _orthonormal(rows: DataFrame, width: int, keep) -> DataFrame:
-    """The same column space with orthonormal columns: the factor of the Gram matrix is undone row by row, twice for precision."""
+def _orthonormal(rows: DataFrame, width: int) -> np.ndarray:
+    """What rows are to be multiplied by for orthonormal columns of the same space: the factor of the Gram matrix is undone, twice for precision."""
+    m = np.eye(width)
     for _ in range(2):
-        gram = _gram(rows, rows, width)
-        value, vector = np.linalg.eigh(gram)
-        scale = np.where(value > value.max() * 1e-12, 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
-        rows = keep(_mapped(rows, vector * scale), "basis")
-    return rows
+        y = _mapped(rows, m)
+        value, vector = np.linalg.eigh(_gram(y, y, width))
+        m = m @ (vector * np.where(value > value.max() * 1e-12, 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0))
+    return m
 
 
 @dataclass
 class WordVectors:
-    """word, w, vector as a staged table; n_docs is how many texts hold the word, total how many texts there were."""
+    """word, w, code, vector as a staged table; n_docs is how many texts hold the word, total how many texts there were."""
 
     table: DataFrame
     width: int
     total: int
+    codes: Codes
 
     def of_texts(self, docs: DataFrame) -> DataFrame:
         """docs(id, text), ids long -> id, vector: the mean of its words' vectors, rare words counting more, on the unit sphere; zeros without known words."""
+        held, codes = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "text"), self.codes
+        tall, wide = _blocks(held.count(), BLOCKS, TALL), _blocks(self.table.count(), 1, WIDE)
+
+        def run(batches):
+            for w, text, ids in _chunks(batches, CHUNK, "id"):
+                a, b, n = _summed(ids[text], codes(w))
+                yield from _pieces(a % tall * wide + b % wide, wide, a, b, n)
+
+        pieces = dealt(held).select("id", hashed(F.col("text")).alias("words")).mapInArrow(run, PIECES)
         idf = F.log(F.lit(float(self.total)) / F.col("n_docs")) + 1
-        counted = docs.select("id", F.explode(words_in(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-        lists = listed(counted, "word", "id", F.log1p("n"))
-        weighted = self.table.select("word", F.transform("vector", lambda x: x * idf).alias("y"))
-        sums = _sums(lists.join(weighted, "word"), self.width).withColumnRenamed("key", "id")
+        rows = self.table.select(F.col("code").alias("w"), idf.alias("weight"), F.col("vector").cast("array<float>").alias("y"))
+        own = held.select(F.col("id").alias("w"), F.lit(0.0).alias("weight"))
+        sums = _times(Grid(pieces, tall, wide), own, rows, self.width, lambda n, _, idf: np.log1p(n) * idf).select(F.col("w").alias("id"), F.col("y").cast("array<double>").alias("y"))
         norm = F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x))
         unit = sums.withColumn("norm", norm).select("id", F.transform("y", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("vector"))
-        zeros = F.array_repeat(F.lit(0.0), self.width)
-        return docs.select("id").join(unit, "id", "left").withColumn("vector", F.coalesce("vector", zeros))
+        zeros = docs.where("id is null").select("id", F.array_repeat(F.lit(0.0), self.width).alias("vector"))
+        return unit.union(zeros)
+
+
+def _blocks(rows: int, least: int, most: int) -> int:
+    return max(least, -(-rows // most))
 
 
 def learned(docs: DataFrame, *, width: int = 64, extra: int = 8, rounds: int = 2, least: int = 3, window: int = WINDOW, shift: float = 1.0, seed: int = 42) -> WordVectors:
@@ -203,16 +400,27 @@ def learned(docs: DataFrame, *, width: int = 64, extra: int = 8, rounds: int = 2
     with Scratch(spark) as scratch:
         texts = dealt(docs).select("id", "text")
         words = scratch.staged(vocabulary(texts, least), "words")
-        entries = information(scratch.staged(cooccurrences(texts, words, window), "near"), shift)
-        lists = scratch.staged(listed(entries, "b", "a", F.col("v")), "lists")
-        n = width + extra
+        codes = Codes.of(words)
+        n_words = words.count()
+        grid = Grid(None, _blocks(n_words, BLOCKS, TALL), _blocks(n_words, 1, WIDE))
+        grid.pieces = scratch.staged(both_triangles(_pairs(texts, codes, window, _groups(words)), grid.tall, grid.wide), "pieces")
+        coded = scratch.staged(codes.coded(words), "coded")
+        ones = coded.select(F.col("code").alias("w"), F.lit(0.0).alias("weight"), F.array(F.lit(1.0)).alias("y"))
+        each = scratch.staged(_times(grid, ones, ones, 1, lambda n, *_: n, np.float64).select("w", F.col("y")[0].alias("weight")), "each")
+        all_ = float(each.agg(F.sum("weight")).first()[0] or 0)
+        n, log_shift = width + extra, float(np.log(shift))
         uniform = lambda k: (F.pmod(F.xxhash64("w", F.lit(seed), F.lit(k)), F.lit(1 << 20)) + 0.5) / (1 << 20) - 0.5
-        y = scratch.staged(words.select("w", F.array(*(uniform(k) for k in range(n))).alias("y")), "start")
+        start = coded.join(each.toDF("code", "weight"), "code").select(F.col("code").alias("w"), "weight", F.array(*(uniform(k).cast("float") for k in range(n))).alias("y"))
+        times = lambda rows: scratch.staged(_times(grid, each, rows, n, lambda k, na, nb: np.log(k * all_ / (na * nb)) - log_shift), "product")
+        basis = start
         for _ in range(rounds + 1):
-            y = _orthonormal(scratch.staged(_times(lists, y, n), "product"), n, scratch.staged)
-        small = _gram(y, scratch.staged(_times(lists, y, n), "product"), n)
+            y = times(basis)
+            scratch.drop(basis)
+            basis = scratch.staged(_mapped(y, _orthonormal(y, n)), "basis")
+            scratch.drop(y)
+        small = _gram(basis, times(basis), n)
         value, vector = np.linalg.eigh((small + small.T) / 2)
         top = np.argsort(-np.abs(value))[:width]
-        scaled = _mapped(y, vector[:, top] * np.sqrt(np.abs(value[top])))  # left singular vectors times the roots of the singular values
-        out = words.join(scaled, "w").select("word", "w", "n_docs", F.col("y").alias("vector"))
-        return WordVectors(scratch.keep(scratch.staged(out, "vectors")), width, docs.count())
+        scaled = _mapped(basis, vector[:, top] * np.sqrt(np.abs(value[top])))  # left singular vectors times the roots of the singular values
+        out = coded.join(scaled.select(F.col("w").alias("code"), F.col("y").cast("array<double>").alias("vector")), "code").select("word", "w", "n_docs", "code", "vector")
+        return WordVectors(scratch.keep(scratch.staged(out, "vectors")), width, docs.count(), codes)

@@ -71,3 +71,43 @@ def test_texts_of_one_subject_are_near_and_odd_texts_are_zero(spark):
     own = np.array([i % 2 for i, _ in docs])
     same = own[:, None] == own[None]
     assert s[same].mean() > s[~same].mean() + 0.3
+
+
+def test_small_chunks_and_blocks_give_the_same_vectors(spark, monkeypatch):
+    """Frequent words by rank and rare ones by hash, pairs summed over many pieces, rows in several blocks of rows and of columns."""
+    docs = [*corpus(n=60), (90, None), (91, ""), (92, "one one one"), (None, "x1 x2"), (-7, "x1 y2 x1")]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    found = W.learned(df, width=4, extra=16, rounds=6)
+    want = {r.word: r.vector for r in found.table.collect()}, {r.id: r.vector for r in found.of_texts(df).collect()}
+    for name, value in {"COMMON": 20, "CHUNK": 100, "MERGED": 500, "BLOCKS": 3, "TALL": 15, "WIDE": 11, "HELD": 16}.items():
+        monkeypatch.setattr(W, name, value)
+    found = W.learned(df, width=4, extra=16, rounds=6)
+    assert len(found.codes.hashes) <= 20 and 0 < len(found.codes.hashes) < found.table.count()
+    got = {r.word: r.vector for r in found.table.collect()}, {r.id: r.vector for r in found.of_texts(df).collect()}
+    for one, other in zip(want, got):
+        assert one.keys() == other.keys() and len(one) > 50
+        a, b = (np.array([x[k] for k in one]) for x in (want[got.index(other)], other))
+        assert np.abs(a @ a.T - b @ b.T).max() < 1e-3 * np.abs(a @ a.T).max()
+
+
+def test_no_word_is_frequent_enough(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    found = W.learned(df, width=2)
+    assert found.table.collect() == [] and {(r.id, *r.vector) for r in found.of_texts(df).collect()} == {(1, 0.0, 0.0), (2, 0.0, 0.0)}
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have shuffled."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_products_shuffle_rows_by_block_and_not_by_entry(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{r.randrange(1500)}" for _ in range(300))) for i in range(400)]
+    before = shuffled(spark)
+    found = W.learned(spark.createDataFrame(docs, "id long, text string"))
+    assert found.table.count() == 1500
+    assert shuffled(spark) - before < 40e6
