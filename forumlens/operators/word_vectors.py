@@ -27,7 +27,7 @@ COMMON, CHUNK, MERGED = 1 << 16, 2_000_000, 3_000_000
 #: Blocks of rows, at least, and rows of a block, at most; rows of a block of columns.
 BLOCKS, TALL, WIDE = 6, 1 << 19, 1 << 17
 #: Products of a row and a number that are held at once.
-HELD = 1 << 15
+HELD = 1 << 12
 WORD = r"([\p{L}\p{N}']+)"
 
 
@@ -218,11 +218,12 @@ def _lists(y: np.ndarray) -> pa.Array:
 
 @dataclass
 class Grid:
-    """Pieces of a matrix's entries a, b, n: row a lies in block a mod tall, column b in block b mod wide."""
+    """Pieces of a matrix's entries a, b, n: row a lies in block a mod tall, column b in block b mod wide. Once `placed`, a and b are places in the order of the block's rows."""
 
     pieces: DataFrame
     tall: int
     wide: int
+    placed: bool = False
 
 
 def both_triangles(pairs: DataFrame, tall: int, wide: int) -> DataFrame:
@@ -244,9 +245,9 @@ def both_triangles(pairs: DataFrame, tall: int, wide: int) -> DataFrame:
 def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=np.float32) -> DataFrame:
     """own(w, weight), rows(w, weight, y) -> w, weight, y: for each row of own the sum of value(n, own weight, weight) * y over its entries, where that is positive.
 
-    Equal rows of own get equal sums. Entries whose row is not in own, or whose column is not in rows, count nothing.
+    Equal rows of own get equal sums. Without a value the result is the pieces, placed. Entries whose row is not in own, or whose column is not in rows, count nothing.
     """
-    tall, wide = grid.tall, grid.wide
+    tall, wide, in_place = grid.tall, grid.wide, grid.placed
 
     def spread(blocks: int):
         def run(batches):
@@ -269,12 +270,14 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
         order = np.argsort(w)
         return w[order], weight[order], y[order]
 
-    def add(total, w, weight, known, its, y, a, b, n):
+    def placed(w, known, a, b, n):
         i, j = np.minimum(np.searchsorted(w, a), len(w) - 1), np.minimum(np.searchsorted(known, b), len(known) - 1)
         use = (w[i] == a) & (known[j] == b)
-        i, j = i[use], j[use]
-        v = value(n[use], weight[i], its[j])
-        i, j, v = i[v > 0], j[v > 0], v[v > 0]
+        return i[use], j[use], n[use]
+
+    def add(total, weight, its, y, i, j, n):
+        v = value(n, weight[i], its[j])
+        i, j, v = i[v > 0], j[v > 0], v[v > 0].astype(real)
         for s in range(0, len(i), HELD):
             part = slice(s, s + HELD)
             row = i[part]
@@ -282,7 +285,7 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
             total[row[first]] += np.add.reduceat(y[j[part]] * v[part, None], first, axis=0)
 
     def done(w, weight, total):
-        for s in range(0, len(w), 4096):
+        for s in range(0, len(w) if value else 0, 4096):
             part = slice(s, s + 4096)
             yield pa.RecordBatch.from_arrays([pa.array(w[part]), pa.array(weight[part]), _lists(total[np.searchsorted(w, w[part])])], names=["w", "weight", "y"])
 
@@ -304,7 +307,12 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
                     held.append(read(data.as_buffer(), size, width * kind))
                 elif total is not None and (columns or held):
                     columns, held = columns or ordered(held), []
-                    add(total, *mine[:2], *columns, *unpacked(data.as_buffer(), size))
+                    known = unpacked(data.as_buffer(), size)
+                    known = known if in_place else placed(mine[0], columns[0], *known)
+                    if value:
+                        add(total, mine[1], *columns[1:], *known)
+                    else:
+                        yield from _pieces(np.full(len(known[0]), i * wide + j), wide, *known)
         if block is not None and at == -1 and held:
             mine = ordered(held)
             total = np.zeros((len(mine[0]), width), real)
@@ -316,7 +324,7 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
     theirs = rows.select("w", "weight", "y").mapInArrow(spread(wide), k).select(F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("i"), F.col("k").alias("j"), F.lit(1).alias("kind"), "size", "data")
     entries = grid.pieces.select("i", "j", F.lit(2).alias("kind"), "size", "data")
     dealt_ = mine.union(theirs).union(entries).repartition(4 * tall, "i").sortWithinPartitions("i", "j", "kind")
-    return dealt_.mapInArrow(sums, f"w long, weight double, y array<{'float' if real is np.float32 else 'double'}>")
+    return dealt_.mapInArrow(sums, PIECES if value is None else f"w long, weight double, y array<{'float' if real is np.float32 else 'double'}>")
 
 
 def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:
@@ -402,10 +410,11 @@ def learned(docs: DataFrame, *, width: int = 64, extra: int = 8, rounds: int = 2
         words = scratch.staged(vocabulary(texts, least), "words")
         codes = Codes.of(words)
         n_words = words.count()
-        grid = Grid(None, _blocks(n_words, BLOCKS, TALL), _blocks(n_words, 1, WIDE))
-        grid.pieces = scratch.staged(both_triangles(_pairs(texts, codes, window, _groups(words)), grid.tall, grid.wide), "pieces")
+        tall, wide = _blocks(n_words, BLOCKS, TALL), _blocks(n_words, 1, WIDE)
         coded = scratch.staged(codes.coded(words), "coded")
         ones = coded.select(F.col("code").alias("w"), F.lit(0.0).alias("weight"), F.array(F.lit(1.0)).alias("y"))
+        pairs = Grid(both_triangles(_pairs(texts, codes, window, _groups(words)), tall, wide), tall, wide)
+        grid = Grid(scratch.staged(_times(pairs, ones, ones, 1, None, np.float64), "pieces"), tall, wide, placed=True)
         each = scratch.staged(_times(grid, ones, ones, 1, lambda n, *_: n, np.float64).select("w", F.col("y")[0].alias("weight")), "each")
         all_ = float(each.agg(F.sum("weight")).first()[0] or 0)
         n, log_shift = width + extra, float(np.log(shift))
