@@ -56,7 +56,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             renamed = scratch.staged(renamed.select("id", F.coalesce("root", "component").alias("component")), "names")
             scratch.drop(left, names, picked)
             left, names = fewer, renamed
-        out = spark.createDataFrame([], left.select("a", "b", "w").schema)
+        out = left.select("a", "b", "w")  # by now empty
         for part in forest:
             out = out.union(part)
         least_id = names.groupBy("component").agg(F.min("id").alias("least"))

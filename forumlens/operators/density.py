@@ -7,7 +7,8 @@
    of their cluster there; two or more larger parts are new clusters. The heaviest `limit` edges of a group are one task; the parts
    that hold together below them are groups of the next round, so no task holds more than that (but edges of one weight stay together).
 4. A cluster's excess of mass sums, over its rows, how much longer (as 1 / distance) they stay than the cluster exists.
-   From the leaves up a cluster is taken if it has no less than its parts together; the whole is never one cluster.
+   From the leaves up a cluster is taken if it has no less than its parts together; the whole is never one cluster. A task takes as many
+   depths of the hierarchy as have `limit` clusters together, so the number of jobs does not follow the depth.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ STEP = "kind string, u long, cluster string, parent string, depth int, density d
 def neighbour_graph(points: DataFrame, k: int, scratch: Scratch, *, cells: int = 64, probes: int = 8, exact: bool = False) -> DataFrame:
     """points(id, vector, ...) -> a, b, d: each point's k nearest others by Euclidean distance of unit vectors."""
     index = VectorIndex.build(points, cells=cells)
-    found = index.search(points, k + 1, probes=probes, exact=exact, digits=10, floor=None, staged=scratch.staged)
+    if exact:
+        found = index.neighbours(k, digits=10)
+    else:
+        found = index.search(points, k + 1, probes=probes, digits=10, floor=None, staged=scratch.staged)
     pairs = found.where("query_id != id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("d"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     out = scratch.staged(pairs.withColumn("n", nth).where(F.col("n") <= k).drop("n"), "neighbours")
@@ -165,28 +169,58 @@ def _condensed(points: DataFrame, forest: DataFrame, components: DataFrame, leas
     return out
 
 
-def _chosen(steps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Condensed steps -> cluster, chosen: the taken cluster that each lies in, if any."""
-    stayed = steps.where("kind = 'stay'").groupBy("cluster").agg(F.sum("mass").alias("mass"))
-    tree = scratch.staged(steps.where("kind = 'cluster'").select("cluster", "parent", "depth").join(stayed, "cluster", "left").na.fill(0.0, ["mass"]), "tree")
-    depth = tree.agg(F.max("depth")).first()[0] or 0
-    levels: dict[int, DataFrame] = {}
-    below = None
-    for k in range(depth, 0, -1):
-        level = tree.where(F.col("depth") == k)
-        level = level.withColumn("below", F.lit(0.0)) if below is None else level.join(below, "cluster", "left").na.fill(0.0, ["below"])
-        levels[k] = scratch.staged(level.select("cluster", "parent", (F.col("mass") >= F.col("below")).alias("taken"), F.greatest("mass", "below").alias("best")), "level")
-        below = levels[k].groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"))
-    out = None
-    for k in range(1, depth + 1):
-        own = F.when(F.col("taken"), F.col("cluster"))
-        if out is None:
-            named = levels[k].select("cluster", own.alias("chosen"))
+def _bands(counts: list[tuple[int, int]], limit: int) -> list[tuple[int, int, int]]:
+    """(depth, clusters) in order -> first and last depth, clusters: bands of depths with `limit` clusters at most, or of one depth."""
+    out: list[tuple[int, int, int]] = []
+    for depth, n in counts:
+        if out and out[-1][2] + n <= limit:
+            out[-1] = (out[-1][0], depth, out[-1][2] + n)
         else:
-            named = levels[k].join(last.toDF("parent", "above"), "parent").select("cluster", F.coalesce("above", own).alias("chosen"))
-        last = scratch.staged(named, "named")
+            out.append((depth, depth, n))
+    return out
+
+
+def weighed(band: pd.DataFrame) -> pd.DataFrame:
+    """cluster, parent, depth, mass, below (what its parts under the band have at best) -> with taken and best, from the leaves up."""
+    band = band.sort_values(["depth", "cluster"], ascending=False)
+    below: dict[str, float] = {}
+    rows = []
+    for cluster, parent, depth, mass, more in zip(*(band[c].tolist() for c in ("cluster", "parent", "depth", "mass", "below"))):
+        parts = more + below.get(cluster, 0.0)
+        rows.append((cluster, parent, depth, mass >= parts, max(mass, parts)))
+        below[parent] = below.get(parent, 0.0) + rows[-1][4]
+    return pd.DataFrame(rows, columns=["cluster", "parent", "depth", "taken", "best"])
+
+
+def named(band: pd.DataFrame) -> pd.DataFrame:
+    """cluster, parent, depth, taken, above (what was taken over the band) -> cluster, chosen, from the top down."""
+    band = band.sort_values(["depth", "cluster"])
+    chosen: dict[str, str | None] = {}
+    for cluster, parent, taken, above in zip(*(band[c].tolist() for c in ("cluster", "parent", "taken", "above"))):
+        chosen[cluster] = chosen.get(parent) or (above if isinstance(above, str) else None) or (cluster if taken else None)
+    return pd.DataFrame({"cluster": list(chosen), "chosen": pd.Series(list(chosen.values()), dtype=object)})
+
+
+def _chosen(steps: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """Condensed steps -> cluster, chosen: the taken cluster that each lies in, if any. Depths go by in bands of `limit` clusters, a task each."""
+    stayed = steps.where("kind = 'stay'").groupBy("cluster").agg(F.sum("mass").alias("mass"))
+    tree = steps.where("kind = 'cluster' and depth > 0").select("cluster", "parent", "depth").join(stayed, "cluster", "left").na.fill(0.0, ["mass"])
+    tree = scratch.staged(tree, "tree")
+    bands = _bands(sorted(map(tuple, tree.groupBy("depth").count().collect())), limit)  # one row a depth
+    key = lambda lo, hi, n: F.pmod(F.xxhash64("cluster"), F.lit(-(-n // limit) if lo == hi else 1))
+    upward, below = [], None
+    for lo, hi, n in reversed(bands):
+        band = tree.where(F.col("depth").between(lo, hi))
+        band = band.withColumn("below", F.lit(0.0)) if below is None else band.join(below, "cluster", "left").na.fill(0.0, ["below"])
+        done = scratch.staged(band.groupBy(key(lo, hi, n)).applyInPandas(weighed, "cluster string, parent string, depth int, taken boolean, best double"), "band")
+        upward.append((done, (lo, hi, n)))
+        below = done.where(F.col("depth") == lo).groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"))
+    out = last = None
+    for done, (lo, hi, n) in reversed(upward):
+        band = done.withColumn("above", F.lit(None).cast("string")) if last is None else done.join(last.toDF("parent", "above"), "parent", "left")
+        last = scratch.staged(band.groupBy(key(lo, hi, n)).applyInPandas(named, "cluster string, chosen string"), "named")
         out = last if out is None else out.union(last)
-    return out if out is not None else steps.sparkSession.createDataFrame([], "cluster string, chosen string")
+    return out if out is not None else steps.select("cluster", F.col("cluster").alias("chosen")).limit(0)
 
 
 def density_clusters(vectors: DataFrame, *, least: int = 30, samples: int | None = None, neighbours: int | None = None, cells: int = 64, probes: int = 8, exact: bool = False, limit: int = 500_000) -> DataFrame:
@@ -206,7 +240,7 @@ def density_clusters(vectors: DataFrame, *, least: int = 30, samples: int | None
         graph = scratch.staged(reachability(points.select("id", "n"), pairs, samples), "graph")
         forest, components = spanning_forest(graph)
         steps = scratch.staged(_condensed(points.select("id", "n"), forest, components, least, limit, scratch), "steps")
-        chosen = scratch.staged(_chosen(steps, scratch), "chosen")
+        chosen = scratch.staged(_chosen(steps, scratch, limit), "chosen")
         ends = steps.where("kind = 'stay'").groupBy(F.col("cluster").alias("chosen")).agg(F.max("density").alias("end"))
         fell = steps.where("kind = 'fall'").select(F.col("u").alias("id"), "cluster", "density").join(chosen, "cluster", "left").join(ends, "chosen", "left")
         share = F.when(F.col("chosen").isNull(), 0.0).otherwise(F.least("density", "end") / F.col("end"))

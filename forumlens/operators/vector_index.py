@@ -6,6 +6,9 @@ distance of a query to a cell's centre, less the cell's radius, bounds the cosin
 
 Lists are kept in blocks of BLOCK rows and queries meet them in chunks of BLOCK, one matrix product each, so a cell with a third
 of all vectors, or of all queries, is many tasks.
+
+The nearest others of all listed rows are found by TASKS tasks or more: each holds its rows' best so far, and all blocks come by in packed form, its own and
+the cells near them first. Products in single precision tell what cannot be among the best; the rest is scored in double precision.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from ..sources.scratch import new_folder, remove
 BLOCK = 4096
 #: Sampled rows a cell that place the centres: the only vectors that come to the driver.
 SAMPLE_PER_CELL = 64
+#: Tasks that find the neighbours of all rows, about; rows of one, at least and at most; scores that it holds at once.
+TASKS, FEWEST, MOST, SCORES = 24, 1024, 1 << 15, 1 << 22
 FOUND = "query_id long, id long, score double"
 
 
@@ -55,6 +61,48 @@ def centres_of(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> n
     return centres
 
 
+class Nearest:
+    """The k best others of some rows (ids, unit vectors) by rounded score, equal ones by the lesser id, while blocks of rows come by."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, digits: int):
+        self.ids, self.v, self.single, self.k, self.digits = ids, v, v.astype(np.float32), k, digits
+        self.score, self.other = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.off = (v.shape[1] + 4) * 2.0**-22 + 10.0**-digits  # more than a product in single precision is off, and a rounded one
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray) -> None:
+        """A block of rows against those of the own rows that may find something in it."""
+        single, step, k = v.astype(np.float32), max(1, SCORES // max(1, len(ids))), self.k
+        for s in range(0, len(rows), step):
+            at = rows[s : s + step]
+            near, least = self.single[at] @ single.T, self.score[at, -1]
+            new = np.isinf(least)
+            if k < len(ids) and new.any():  # k others score as much as the (k + 1)-th, as one may be the row itself
+                least[new] = np.partition(near[new], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] - self.off
+            i, j = np.nonzero(near >= (least - self.off).astype(np.float32)[:, None])
+            other = self.ids[at[i]] != ids[j]
+            i, j = i[other], j[other]
+            if len(i) > near.size // 32:
+                score = (self.v[at] @ v.T)[i, j]
+            else:
+                score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.v[at[i[x : x + 65536]]], v[j[x : x + 65536]]) for x in range(0, len(i), 65536))])
+            self.merge(at[i], np.round(score, self.digits), ids[j])
+
+    def merge(self, row: np.ndarray, score: np.ndarray, other: np.ndarray) -> None:
+        last = self.score[row, -1]
+        better = (score > last) | ((score == last) & (other < self.other[row, -1]))
+        touched, place = np.unique(row[better], return_inverse=True)
+        r = np.concatenate([np.repeat(np.arange(len(touched)), self.k), place])
+        s, o = np.concatenate([self.score[touched].ravel(), score[better]]), np.concatenate([self.other[touched].ravel(), other[better]])
+        order = np.lexsort((o, -s, r))
+        best = order[np.searchsorted(r[order], np.arange(len(touched)))[:, None] + np.arange(self.k)]
+        self.score[touched], self.other[touched] = s[best], o[best]
+
+    def found(self):
+        for s in range(0, len(self.ids), 4096):
+            i, j = np.nonzero(~np.isinf(self.score[s : s + 4096]))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[s + i]), pa.array(self.other[s + i, j]), pa.array(self.score[s + i, j])], names=["query_id", "id", "score"])
+
+
 @dataclass
 class VectorIndex:
     """Where the lists are, and per cell: its centre, radius, rows and blocks (as many entries as cells: a parameter)."""
@@ -189,6 +237,71 @@ class VectorIndex:
         more = self.nearest(keep(self.probed(rest, probes, "least"), "more"), k, digits, floor)
         return self.best(first.union(more), k)
 
+    def neighbours(self, k: int, *, digits: int = 10) -> DataFrame:
+        """query_id, id, score: the k nearest others of every listed row by cosine, equal scores (to `digits` places) by the lesser id, as of a full scan."""
+        total, centres, radius = int(self.rows.sum()), self.centres, self.radius
+        if not total:
+            return self.spark.createDataFrame([], FOUND)
+        most, owned, task, held = min(max(FEWEST, -(-total // TASKS)), MOST), [], 0, 0
+        for cell in np.flatnonzero(self.rows).tolist():
+            for block in range(int(self.blocks[cell])):  # a block is one task's, a task has some blocks of cells in order
+                n = int(self.rows[cell] // self.blocks[cell])
+                task, held = (task + 1, n) if held and held + n > most else (task, held + n)
+                owned.append((cell, block, task))
+        order = []
+        for t in range(task + 1):
+            mine = sorted({c for c, _, x in owned if x == t})
+            place = (-(centres[mine] @ centres.T).max(axis=0)).argsort(kind="stable").argsort().tolist()
+            order += [(c, b, t, 0 if x == t else 1 + place[c]) for c, b, x in owned]
+        plan = self.spark.createDataFrame(pd.DataFrame(order, columns=["cell", "block", "task", "place"]), "cell int, block int, task int, place int")  # one row a task and block
+
+        def pack(key, rows):
+            v = matrix(rows["vector"])
+            with np.errstate(over="ignore"):
+                single = v.astype(np.float32)
+            data = rows["id"].to_numpy(np.int64).tobytes() + (single if (single == v).all() else v).tobytes()
+            return pd.DataFrame({"cell": [key[0]], "block": [key[1]], "size": [len(v)], "data": [data]})
+
+        def unpack(data, size: int) -> tuple[np.ndarray, np.ndarray]:
+            real = np.float32 if len(data) == size * (8 + 4 * centres.shape[1]) else np.float64
+            return np.frombuffer(data, np.int64, size), unit(np.frombuffer(data, real, offset=8 * size).reshape(size, -1).astype(float))
+
+        def meet(best: Nearest, cell: int, ids: np.ndarray, v: np.ndarray) -> None:
+            far = np.sqrt(np.maximum((best.v * best.v).sum(axis=1) + 1 - 2 * (best.v @ centres[cell]), 0))
+            gap = np.maximum(far - radius[cell] - 1e-9, 0)
+            best.meet(ids, v, np.flatnonzero(np.maximum(1 - gap * gap / 2, 0) >= best.score[:, -1] - best.off))
+
+        def begun(own) -> Nearest:
+            best = Nearest(*(np.concatenate(x) for x in list(zip(*own))[1:]), k, digits)
+            for cell, ids, v in own:
+                meet(best, cell, ids, v)
+            return best
+
+        def run(batches):
+            """In order of task and place: a task's own blocks, then all others."""
+            now = best = None
+            own: list[tuple] = []
+            for batch in batches:
+                for task, place, cell, size, data in zip(*(batch[c].to_pylist() for c in ("task", "place", "cell", "size")), batch["data"]):
+                    if task != now:
+                        if own or best:
+                            yield from (best or begun(own)).found()
+                        now, own, best = task, [], None
+                    ids, v = unpack(data.as_buffer(), size)
+                    if not place:
+                        own.append((cell, ids, v))
+                        continue
+                    if own:
+                        best, own = begun(own), []
+                    if best:
+                        meet(best, cell, ids, v)
+            if own or best:
+                yield from (best or begun(own)).found()
+
+        pieces = self.lists(sorted({c for c, _, _ in owned})).groupBy("cell", "block").applyInPandas(pack, "cell int, block int, size int, data binary")
+        dealt = pieces.join(F.broadcast(plan), ["cell", "block"]).select("task", "place", "cell", "size", "data")
+        return dealt.repartition(4 * (task + 1), "task").sortWithinPartitions("task", "place").mapInArrow(run, FOUND)
+
     def calibrated(self, sample: DataFrame, k: int = 10, *, target: float = 0.95, staged=None) -> int:
         """The least number of probes at which the cells read hold `target` of the k nearest rows of the sample's queries (id, vector), found exactly.
 

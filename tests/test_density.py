@@ -196,3 +196,24 @@ def test_the_registered_query(spark, sf):
     rows = [(i, np.array(v, float)) for i, v in zip(t.column("vec_id").to_pylist(), t.column("embedding").to_pylist())]
     want = plain(rows, 10, 3, 15)
     assert {i: (t, round(p, 6)) for i, (t, p) in want.items()} == got
+
+
+def test_jobs_do_not_follow_the_depth_of_the_hierarchy(spark):
+    """A chain of 40 clusters, each with a leaf beside it; two staged tables a depth before."""
+    names = [(f"{k}-{side}", None if k == 1 else f"{k - 1}-a", k) for k in range(1, 41) for side in "ab"]
+    names = [(c, p or D.ROOT, k) for c, p, k in names]
+    mass = {c: (50.0 if c in ("7-a", "3-b") else 1.0) for c, _, _ in names}
+    rows = [("cluster", None, c, p, k, 1.0, None) for c, p, k in names] + [("stay", None, c, None, None, 1.0, m) for c, m in mass.items()]
+    steps = spark.createDataFrame(rows, D.STEP)
+    want = {c: c if c.endswith("b") and k <= 7 else "7-a" if c == "7-a" or k > 7 else None for c, _, k in names}
+    for limit, most in ((500, 4), (20, 16)):
+        made = []
+
+        class Counted(D.Scratch):
+            def staged(self, df, name):
+                made.append(name)
+                return super().staged(df, name)
+
+        with Counted(spark) as scratch:
+            assert {r.cluster: r.chosen for r in D._chosen(steps, scratch, limit).collect()} == want
+        assert len(made) <= most + 1

@@ -99,3 +99,22 @@ def test_index_is_built_in_a_session_without_arrow(spark, rows):
         index.remove()
     finally:
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
+@pytest.mark.parametrize("block, most", [(4096, 1 << 15), (60, 100)])
+def test_neighbours_of_all_rows_equal_a_full_scan(spark, rows, monkeypatch, block, most):
+    for name, value in (("BLOCK", block), ("FEWEST", most), ("MOST", most), ("SCORES", 20_000)):
+        monkeypatch.setattr(V, name, value)
+    odd = [(7003, np.zeros(16)), (7004, -rows[0][1]), (7005, 2 * rows[1][1]), (7006, rows[1][1] + 1e-7)]
+    all_ = [*rows, *odd]
+    index = V.VectorIndex.build(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in all_], "id long, vector array<double>"), cells=8)
+    got = {}
+    for r in index.neighbours(12).collect():
+        got.setdefault(r.query_id, set()).add((r.id, round(r.score, 9)))
+    u = V.unit(np.array([v for _, v in all_]))
+    score, ids = np.round(u @ u.T, 10), np.array([i for i, _ in all_])
+    assert len(got) == len(all_)
+    for x, i in enumerate(ids.tolist()):
+        order = [y for y in np.lexsort((ids, -score[x])) if y != x][:12]
+        assert got[i] == {(int(ids[y]), round(float(score[x, y]), 9)) for y in order}
+    index.remove()
