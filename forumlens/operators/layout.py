@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +60,17 @@ def fuzzy_graph(pairs: DataFrame) -> DataFrame:
 
     def weigh(batches):
         for batch in batches:
-            size = batch["near"].map(len)
-            d = np.full((len(batch), int(size.max()) if len(batch) else 0), np.nan)
-            for i, near in enumerate(batch["near"]):
-                d[i, : len(near)] = [x["d"] for x in near]
-            w = memberships(d) if d.size else d
-            yield pd.DataFrame([(a, x["b"], w[i, j]) for i, (a, near) in enumerate(zip(batch["a"], batch["near"])) for j, x in enumerate(near)], columns=["a", "b", "w"])
+            near = batch["near"].flatten()
+            size = np.diff(batch["near"].offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            d = np.full((len(size), int(size.max(initial=0))), np.nan)
+            d[row, column] = near.field("d").to_numpy(zero_copy_only=False)
+            w = memberships(d)[row, column] if d.size else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(row)), near.field("b"), pa.array(w)], names=["a", "b", "w"])
 
     lists = pairs.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", "b"))).alias("near"))  # as many as neighbours asked for
-    one = lists.mapInPandas(weigh, "a long, b long, w double")
+    one = lists.mapInArrow(weigh, "a long, b long, w double")
     both = one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     total = both.groupBy("a", "b").agg(F.sum("w").alias("s"), F.when(F.count("*") == 2, F.min("w") * F.max("w")).otherwise(0.0).alias("p"))
     return total.select("a", "b", (F.col("s") - F.col("p")).alias("w"))

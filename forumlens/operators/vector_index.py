@@ -61,6 +61,13 @@ def centres_of(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> n
     return centres
 
 
+def asked_of(batch: pd.DataFrame, at: np.ndarray, cell: np.ndarray):
+    """Queries (places in a batch) with the cells that they ask, BLOCK rows at once: a batch can ask for each vector as often as there are cells."""
+    for s in range(0, len(at), BLOCK):
+        rows = at[s : s + BLOCK]
+        yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows], "cell": cell[s : s + BLOCK].astype(np.int32)})
+
+
 class Nearest:
     """The k best others of some rows (ids, unit vectors) by rounded score, equal ones by the lesser id, while blocks of rows come by."""
 
@@ -181,7 +188,7 @@ class VectorIndex:
                     most = np.maximum((size + 1 - gap * gap) / 2, 0)
                     wanted = ~wanted & filled & (most >= batch[least].to_numpy()[:, None] - 1e-9)
                 at, cell = np.nonzero(wanted)
-                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at], "cell": cell.astype(np.int32)})
+                yield from asked_of(batch, at, cell)
 
         return queries.mapInPandas(run, "query_id long, vector array<double>, cell int")
 

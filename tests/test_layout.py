@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from forumlens.operators import layout as L
+from forumlens.operators import vector_index as V
 from forumlens.operators.vector_index import unit
 
 
@@ -88,3 +89,18 @@ def test_equal_and_odd_vectors(spark):
     df = table(spark, rows).union(spark.createDataFrame([(200, None), (201, [])], "id long, vector array<double>"))
     got = {r.id: (r.x, r.y) for r in L.layout(df, rounds=1, epochs=2).collect()}
     assert got[0] == got[100] == got[101] and 200 not in got and 201 not in got and len(got) == 62
+
+
+def test_no_task_holds_a_vector_once_a_cell(spark, monkeypatch):
+    """The rows of a batch were held with all cells that they ask, 64 times the batch."""
+    batch = pd.DataFrame({"query_id": range(50), "vector": [np.ones(4)] * 50})
+    at, cell = np.nonzero(np.ones((50, 9), bool))
+    monkeypatch.setattr(V, "BLOCK", 100)
+    parts = list(V.asked_of(batch, at, cell))
+    assert max(map(len, parts)) == 100 and sum(map(len, parts)) == 450 and pd.concat(parts)["cell"].tolist() == cell.tolist()
+
+    def probed(*_):
+        raise AssertionError("vectors are paired with cells")
+
+    monkeypatch.setattr(V.VectorIndex, "probed", probed)
+    run(spark, sheet(40), rounds=1, epochs=1)
