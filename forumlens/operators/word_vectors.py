@@ -3,7 +3,8 @@
 Counts are of word pairs within WINDOW places of each other, summed over CHUNK words of text before they are shuffled. The matrix of
 log(p(a, b) / (p(a) p(b))) - log(shift), where positive, is kept as counts, in compressed pieces by block of rows and block of columns. A product
 with a tall thin matrix, itself a table of rows, sends the pieces and a copy of all rows to each block of rows, which meets them column block by
-column block: rows are shuffled once a block, not once an entry. Only square matrices of the width (Gram matrices, and the projected one) and the
+column block: rows are shuffled once a block, not once an entry. Up to SPLIT tasks share a block of rows, each with some column blocks, and
+their sums are added, so tasks are more than blocks of rows without more copies of a row. Only square matrices of the width (Gram matrices, and the projected one) and the
 hashes of the COMMON most frequent words, for which pieces hold short ranks, come to the driver.
 """
 
@@ -26,6 +27,8 @@ WINDOW = 4
 COMMON, CHUNK, MERGED = 1 << 16, 2_000_000, 3_000_000
 #: Blocks of rows, at least, and rows of a block, at most; rows of a block of columns.
 BLOCKS, TALL, WIDE = 6, 1 << 19, 1 << 17
+#: Tasks that share a block of rows, at most.
+SPLIT = 4
 #: Products of a row and a number that are held at once.
 HELD = 1 << 12
 WORD = r"([\p{L}\p{N}']+)"
@@ -82,6 +85,7 @@ def hashed(text: Column) -> Column:
 
 
 PIECES = "i int, j int, size int, data binary"
+PARTS = "i int, s int, g int, size int, data binary"
 _PIECES = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("size", pa.int32()), ("data", pa.binary())])
 
 
@@ -247,7 +251,7 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
 
     Equal rows of own get equal sums. Without a value the result is the pieces, placed. Entries whose row is not in own, or whose column is not in rows, count nothing.
     """
-    tall, wide, in_place = grid.tall, grid.wide, grid.placed
+    tall, wide, in_place, split = grid.tall, grid.wide, grid.placed, min(grid.wide, SPLIT)
 
     def spread(blocks: int):
         def run(batches):
@@ -284,20 +288,43 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             total[row[first]] += np.add.reduceat(y[j[part]] * v[part, None], first, axis=0)
 
-    def done(w, weight, total):
+    def listed(w, weight, y):
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(weight), _lists(y)], names=["w", "weight", "y"])
+
+    def done(block, w, weight, total):
         for s in range(0, len(w) if value else 0, 4096):
             part = slice(s, s + 4096)
-            yield pa.RecordBatch.from_arrays([pa.array(w[part]), pa.array(weight[part]), _lists(total[np.searchsorted(w, w[part])])], names=["w", "weight", "y"])
+            y = total[np.searchsorted(w, w[part])]
+            if split == 1:
+                yield listed(w[part], weight[part], y)
+            else:
+                data = w[part].tobytes() + weight[part].tobytes() + y.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (block[0], s // 4096, block[1], len(y))] + [pa.array([data], pa.binary())], names=["i", "s", "g", "size", "data"])
+
+    def added(batches):
+        """In order of i, s, g: the sums that tasks have of the same rows."""
+        now = w = weight = total = None
+        for batch in batches:
+            for i, s, size, data in zip(batch["i"].to_pylist(), batch["s"].to_pylist(), batch["size"].to_pylist(), batch["data"]):
+                part = read(data.as_buffer(), size, width)
+                if (i, s) == now:
+                    total = total + part[2]
+                    continue
+                if now is not None:
+                    yield listed(w, weight, total)
+                now, (w, weight, total) = (i, s), part
+        if now is not None:
+            yield listed(w, weight, total)
 
     def sums(batches):
-        """In order of i, j, kind: a block's own rows, then of each block of columns its rows and the entries."""
+        """In order of i, g, j, kind: a block's own rows, then of each of the task's blocks of columns its rows and the entries."""
         block = at = mine = columns = total = None
         for batch in batches:
-            for i, j, kind, size, data in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["kind"].to_pylist(), batch["size"].to_pylist(), batch["data"]):
-                if i != block:
+            for i, g, j, kind, size, data in zip(*(batch[c].to_pylist() for c in ("i", "g", "j", "kind", "size")), batch["data"]):
+                if (i, g) != block:
                     if total is not None:
-                        yield from done(*mine[:2], total)
-                    block, at, held, mine, columns, total = i, -1, [], None, None, None
+                        yield from done(block, *mine[:2], total)
+                    block, at, held, mine, columns, total = (i, g), -1, [], None, None, None
                 if j != at:
                     if at == -1 and held:
                         mine = ordered(held)
@@ -317,14 +344,21 @@ def _times(grid: Grid, own: DataFrame, rows: DataFrame, width: int, value, real=
             mine = ordered(held)
             total = np.zeros((len(mine[0]), width), real)
         if total is not None:
-            yield from done(*mine[:2], total)
+            yield from done(block, *mine[:2], total)
 
     k = "k int, size int, data binary"
     mine = own.select("w", "weight").mapInArrow(spread(tall), k).select(F.col("k").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("kind"), "size", "data")
     theirs = rows.select("w", "weight", "y").mapInArrow(spread(wide), k).select(F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("i"), F.col("k").alias("j"), F.lit(1).alias("kind"), "size", "data")
     entries = grid.pieces.select("i", "j", F.lit(2).alias("kind"), "size", "data")
-    dealt_ = mine.union(theirs).union(entries).repartition(4 * tall, "i").sortWithinPartitions("i", "j", "kind")
-    return dealt_.mapInArrow(sums, PIECES if value is None else f"w long, weight double, y array<{'float' if real is np.float32 else 'double'}>")
+    shared = theirs.union(entries).withColumn("g", F.col("j") % split)
+    mine = mine.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+    dealt_ = mine.unionByName(shared).repartition(4 * tall * split, "i", "g").sortWithinPartitions("i", "g", "j", "kind")
+    if value is None:
+        return dealt_.mapInArrow(sums, PIECES)
+    out = f"w long, weight double, y array<{'float' if real is np.float32 else 'double'}>"
+    if split == 1:
+        return dealt_.mapInArrow(sums, out)
+    return dealt_.mapInArrow(sums, PARTS).repartition(4 * tall * split, "i", "s").sortWithinPartitions("i", "s", "g").mapInArrow(added, out)
 
 
 def _gram(left: DataFrame, right: DataFrame, width: int) -> np.ndarray:

@@ -111,3 +111,19 @@ def test_products_shuffle_rows_by_block_and_not_by_entry(spark):
     found = W.learned(spark.createDataFrame(docs, "id long, text string"))
     assert found.table.count() == 1500
     assert shuffled(spark) - before < 40e6
+
+
+def test_tasks_share_a_block_of_rows(spark, monkeypatch):
+    """A block of rows was one task, whatever the number of its entries."""
+    r = np.random.default_rng(2)
+    v, at = r.normal(size=(40, 3)).astype(np.float32), [(a, b) for a in range(5000) for b in range(a % 3, 40, 3)]
+    rows = spark.createDataFrame([(b, 1.0, [float(x) for x in v[b]]) for b in range(40)], "w long, weight double, y array<float>")
+    own = spark.range(5000).selectExpr("id as w", "2d as weight")
+    a, b = map(np.array, zip(*at))
+    pieces = spark.createDataFrame([(0, j, int((b % 4 == j).sum()), W.packed(a[b % 4 == j], b[b % 4 == j], np.ones((b % 4 == j).sum(), np.int64))) for j in range(4)], W.PIECES)
+    got = W._times(W.Grid(pieces, 1, 4), own, rows, 3, lambda n, x, y: n * x * y)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [i#") == 2
+    want = np.zeros((5000, 3))
+    np.add.at(want, a, 2 * v[b])
+    found = {x.w: (x.weight, x.y) for x in got.collect()}
+    assert len(found) == 5000 and all(found[i][0] == 2.0 and np.allclose(found[i][1], want[i], atol=1e-4) for i in range(5000))
